@@ -122,7 +122,7 @@ def word_shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.
         return w, np.zeros(n + 1, np.int64)
     h = np.zeros(len(w), np.uint64)
     for k in range(size):
-        part = mix(w + np.uint64(k + 1) * _BASE)
+        part = mix(w + np.uint64((k + 1) * int(_BASE) & (1 << 64) - 1))
         h[: len(w) - k] += part[k:]
     full = np.maximum(words - size + 1, 0)
     keep = np.arange(len(w)) < (first[:-1] + full)[doc]
