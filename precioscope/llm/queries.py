@@ -18,6 +18,12 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from precioscope.llm.quality import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from precioscope.llm.packing import pack_documents
 
@@ -55,6 +61,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_votes": op1_quality_votes,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_media_columns": op4_media_columns,
     "op6_warc_revisits": op6_warc_revisits,
