@@ -160,7 +160,8 @@ class Mix:
         self.placed = scratch.cut(word_offsets(self.sized, self.sources), "placed")
         total = self.sources.agg(F.sum("target")).first()[0] or 0
         self.shards = int(max(1, min(4096, total // (block_words * SHARD_SLOTS))))
-        self.slots = draw_slots(self.sources, self.shards, block_words, seed)
+        # A table, so that its real size is known when the join is planned.
+        self.slots = scratch.cut(draw_slots(self.sources, self.shards, block_words, seed), "slots")
         # Of the document's words in the block, those before the slot's cut.
         self.taken = segments(self.placed, block_words).join(self.slots, ["source_no", "block"]).withColumn("take", F.least("high", "words") - F.col("low")).filter("take > 0")
 

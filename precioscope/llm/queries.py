@@ -36,6 +36,12 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(_table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from precioscope.llm.linededup import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from precioscope.llm.warc import archive_pages
 
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_votes": op1_quality_votes,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_media_columns": op4_media_columns,
+    "op5_line_dedup": op5_line_dedup,
     "op6_warc_revisits": op6_warc_revisits,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_source_mixing": op9_source_mixing,
