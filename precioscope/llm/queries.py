@@ -30,6 +30,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), word_bpe_path())
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from precioscope.llm.pii import find_personal
+
+    return find_personal(_table(spark, sf_dir, "documents"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from precioscope.llm.media import media_features
 
@@ -75,6 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_votes": op1_quality_votes,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_personal_data": op3_personal_data,
     "op4_media_columns": op4_media_columns,
     "op5_line_dedup": op5_line_dedup,
     "op6_warc_revisits": op6_warc_revisits,
