@@ -54,6 +54,12 @@ def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from precioscope.llm.licenses import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from precioscope.llm.topk import exact_top_k
 
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_media_columns": op4_media_columns,
     "op5_line_dedup": op5_line_dedup,
     "op6_warc_revisits": op6_warc_revisits,
+    "op7_license_sentences": op7_license_sentences,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_source_mixing": op9_source_mixing,
     "op10_ngram_join": op10_ngram_join,
