@@ -36,8 +36,8 @@ FITS = 4
 RANK_BLOCK = 4096
 BUCKET_ROWS = 50_000
 LEAST_BUCKETS = 64
-CACHE_WORDS = 1_500_000
-CACHE_PARTS = 200_000
+CACHE_WORDS = 500_000
+CACHE_PARTS = 100_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _LOADED: dict[str, WordEncoder] = {}
 
@@ -153,7 +153,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
         for batch in batches:
             doc_ids = batch.column(0).cast(pa.int64())
             texts = pc.fill_null(batch.column(1).cast(pa.large_string()), pa.scalar("", pa.large_string()))
-            for i, j, _, _ in chunked(texts, 16 << 20):
+            for i, j, _, _ in chunked(texts, 8 << 20):
                 flat, counts = encoder.encode(texts.slice(i, j - i))
                 rows, at = [], 0
                 for k, n in enumerate(counts.tolist()):
@@ -285,6 +285,7 @@ def pack(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY) -> DataF
     lengths = scratch.cut(pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")), "lengths")
     plan = best_fit_plan(lengths, scratch, capacity)
     blocks = plan.select(F.col("size").alias("length"), F.col("first").alias("low"), (F.col("first") + F.col("n")).alias("high"), "bin", "copies", F.col("offset").alias("at"), F.explode(F.expr(f"sequence(first div {RANK_BLOCK}, (first + n - 1) div {RANK_BLOCK})")).alias("block"))
+    blocks = scratch.cut(blocks, "blocks")  # a table, so that its real size is known when the join is planned
     rows = ranked(pieces, lengths).withColumn("block", F.expr(f"rank div {RANK_BLOCK}"))
     out = rows.join(blocks, ["length", "block"]).filter("rank >= low and rank < high")
     place = F.col("rank") - F.col("low")
