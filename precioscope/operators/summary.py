@@ -45,7 +45,8 @@ def variation_24h(history: DataFrame, best: DataFrame, as_of: Column | str) -> D
 
 def last_variation(history: DataFrame, best: DataFrame) -> DataFrame:
     """The cheapest store's reading before its last one."""
-    pair = history.filter(has_price()).join(best, (history["product_id"] == best["product_id"]) & (history["store_id"] == best["best_store"])).select(history["product_id"], "seq", "price", "current_price")
+    own = best.select("product_id", F.col("best_store").alias("store_id"), "current_price")
+    pair = history.filter(has_price()).join(own, ["product_id", "store_id"]).select("product_id", "seq", "price", "current_price")
     order = Window.partitionBy("product_id").orderBy(F.col("seq").desc())
     two = pair.withColumn("n", F.row_number().over(order)).filter("n = 2")
     return two.select("product_id", F.col("price").alias("earlier_price"), ((F.col("current_price") - F.col("price")) / F.col("price") * 100).alias("percent"))
