@@ -7,6 +7,9 @@ Edges stay in shared-folder tables; the driver sees only counts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,20 +30,42 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.select("u", F.col("m").alias("v")).unionByName(out.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
 
 
+def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find inside a partition: its edges become stars around least nodes."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = find(a), find(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    rows = [(x, find(x)) for x in parent]
+    rows = [r for r in rows if r[0] != r[1]]
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["u", "v"])
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component) of every node that an edge (a, b) touches; component is its least node.
 
-    Loops and repeated edges do not matter; no edges give no rows.
+    Each partition first contracts its own edges; star rounds join what is left between partitions,
+    and there are none where one partition held all.  Loops and repeated edges do not matter; no
+    edges give no rows.
     """
-    pairs = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = scratch.cut(pairs, "edges")
+    pairs = edges.filter("a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct()
+    now = scratch.cut(pairs.mapInArrow(_local, "u long, v long").distinct(), "edges")
     while True:
-        new = scratch.cut(_star(_star(now, True), False), "stars")
         # Done when it is a forest of stars: no centre has a lesser neighbour and no leaf two.
-        deep = new.select(F.col("u").alias("x")).intersect(new.select(F.col("v").alias("x"))).limit(1).count()
-        many = deep or new.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
+        ends = now.select(F.col("u").alias("x"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).unionByName(now.select(F.col("v").alias("x"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))
+        bad = ends.groupBy("x").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).filter("leaf > 1 or (leaf > 0 and centre > 0)")
+        if not bad.limit(1).count():
+            break
+        new = scratch.cut(_star(_star(now, True), False), "stars")
         scratch.drop(now)
         now = new
-        if not deep and not many:
-            break
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

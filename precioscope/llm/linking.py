@@ -25,7 +25,7 @@ from precioscope.llm.scratch import Scratch
 
 BLOCK_MEMBERS = 256
 FIRST_KEYS = 8
-_BITS = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
+SMALL_TILE = 6
 
 
 def parity_bitmap(hashes: np.ndarray, bits: int) -> bytes:
@@ -52,8 +52,7 @@ def _tile_pairs(ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, bitmaps:
     sides: 0 and 1 for two blocks that meet, all 0 for a block that meets itself.
     """
     least = min(map(len, bitmaps))
-    grid = np.stack([_fold(np.frombuffer(b, np.uint8), least) for b in bitmaps])
-    grid = grid.view(np.uint16) if least % 2 == 0 else grid.astype(np.uint16)
+    grid = np.stack([_fold(np.frombuffer(b, np.uint64), least // 8) for b in bitmaps])
     rows = np.flatnonzero(sides == 0)
     cols = np.flatnonzero(sides == 1) if sides.any() else rows
     out_a, out_b, more = [], [], False
@@ -61,7 +60,7 @@ def _tile_pairs(ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, bitmaps:
         r = rows[i0 : i0 + 64]
         apart = np.zeros((len(r), len(cols)), np.int64)
         for w in range(grid.shape[1]):
-            apart += _BITS[grid[r, w][:, None] ^ grid[cols, w][None, :]]
+            apart += np.bitwise_count(grid[r, w][:, None] ^ grid[cols, w][None, :])
         limit = most_apart(sizes[r][:, None], sizes[cols][None, :], percent)
         gap = np.abs(sizes[r][:, None] - sizes[cols][None, :])
         ok = (np.maximum(apart, gap) <= limit) & (comps[r][:, None] != comps[cols][None, :])
@@ -79,6 +78,26 @@ def _tile_pairs(ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, bitmaps:
     return np.minimum(a, b), np.maximum(a, b), more
 
 
+def _few_pairs(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """The admitted pairs of a small tile: whole-number bit operations without array overhead."""
+    out = []
+    for k, (_, a, comp_a, n, bits_a, _) in enumerate(rows):
+        for _, b, comp_b, m, bits_b, _ in rows[:k]:
+            limit = (100 - percent) * (n + m) // (100 + percent)
+            if comp_a == comp_b or abs(n - m) > limit:
+                continue
+            x, y, size, other = int.from_bytes(bits_a, "little"), int.from_bytes(bits_b, "little"), len(bits_a), len(bits_b)
+            while size > other:
+                size //= 2
+                x = (x & (1 << 8 * size) - 1) ^ (x >> 8 * size)
+            while other > size:
+                other //= 2
+                y = (y & (1 << 8 * other) - 1) ^ (y >> 8 * other)
+            if (x ^ y).bit_count() <= limit:
+                out.append((min(a, b), max(a, b)))
+    return out
+
+
 def _candidates(members: DataFrame, percent: int, best: int) -> DataFrame:
     """(a, b, more): candidate pairs of sorted (tile, id, component, n, bitmap, side) partitions."""
 
@@ -94,9 +113,13 @@ def _candidates(members: DataFrame, percent: int, best: int) -> DataFrame:
             nonlocal more
             if len(held) < 2:
                 return
-            a, b, rest = flush(held)
-            more |= rest
-            for pair in zip(a.tolist(), b.tolist(), strict=True):
+            if len(held) <= SMALL_TILE:
+                pairs = _few_pairs(held, percent)
+            else:
+                a, b, rest = flush(held)
+                more |= rest
+                pairs = zip(a.tolist(), b.tolist(), strict=True)
+            for pair in pairs:
                 if pair not in seen:
                     if len(seen) > 500_000:
                         seen.clear()
@@ -149,12 +172,16 @@ def link_components(tiles: DataFrame, meta: DataFrame, arrays_of, percent: int,
     per_key = Window.partitionBy("key")
     shared = tiles.withColumn("count", F.count(F.lit(1)).over(per_key)).filter("count > 1")
     shared = scratch.cut(shared, "tiles")
+    # Tiles of the same members give the same pairs: one of each member set is enough.
+    prints = shared.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("f"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(20,0)")).alias("g"))
+    prints = prints.groupBy("c", "f", "g").agg(F.min("key").alias("key")).select("key")
+    shared = scratch.cut(shared.join(prints, "key", "left_semi"), "kinds")
     ids = shared.select("id").distinct()
     arrays = scratch.cut(arrays_of(ids), "arrays")
     meta = scratch.cut(meta.join(ids, "id", "left_semi").dropDuplicates(["id"]), "meta")
     links, checked, labels, best, first = None, None, None, 2, True
     while True:
-        now = shared.filter(F.pmod(F.xxhash64("key"), F.lit(FIRST_KEYS)) == 0) if first else shared
+        now = shared.filter((F.col("count") <= SMALL_TILE) | (F.pmod(F.xxhash64("key"), F.lit(FIRST_KEYS)) == 0)) if first else shared
         if labels is None:
             members = now.withColumn("component", F.col("id"))
         else:
