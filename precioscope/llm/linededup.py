@@ -131,7 +131,7 @@ def _signed(docs: DataFrame, least: int) -> DataFrame:
                 for r in range(ROWS):
                     mixed = mix(mixed + keys[:, :, r])
                 sets = [np.unique(r[4]) for r in rows]
-                bits = [min(1 << 16, max(64, 1 << int(4 * most_apart(len(s), len(s), PERCENT)).bit_length())) for s in sets]
+                bits = [min(1 << 16, max(64, 1 << int(8 * most_apart(len(s), len(s), PERCENT)).bit_length())) for s in sets]
                 arrays = [pa.array(ids[at]), pa.array(ties[at]), pa.array([r[1] for r in rows], pa.int32()), *(pa.array(np.array([r[c] for r in rows], np.uint64).view(np.int64)) for c in (2, 3)), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BANDS), pa.array(mixed.ravel().view(np.int64))), pa.array([parity_bitmap(s, b) for s, b in zip(sets, bits, strict=True)], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 

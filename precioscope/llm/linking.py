@@ -3,7 +3,7 @@
 Members meet in tiles: rows (key, id) that any two similar members share by construction.  Inside a
 tile only members of different components are compared, first by parity bitmaps: each bit in which
 two bitmaps differ needs an element that only one of the sets has, so their bit counts bound the
-overlap from above.  Every member passes on its few best partners, these pairs are verified by exact
+overlap from above.  Every component passes on its few best pairs of a tile, these are verified by exact
 sorted-array intersection, true links merge components, and the rounds go on with more partners each
 until no tile holds an unverified pair of different components that the bound admits.  So groups of
 copies shrink to one component in the first rounds and their further pairs are never made, yet no
@@ -47,35 +47,42 @@ def most_apart(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _tile_pairs(ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, bitmaps: list[bytes], sides: np.ndarray, percent: int, best: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Admitted pairs between members of different components, the ``best`` of each member; more left?
+    """Admitted pairs between members of different components, the ``best`` of each component; more left?
 
     sides: 0 and 1 for two blocks that meet, all 0 for a block that meets itself.
     """
     least = min(map(len, bitmaps))
     grid = np.stack([_fold(np.frombuffer(b, np.uint64), least // 8) for b in bitmaps])
     rows = np.flatnonzero(sides == 0)
-    cols = np.flatnonzero(sides == 1) if sides.any() else rows
-    out_a, out_b, more = [], [], False
+    alone = not sides.any()
+    cols = rows if alone else np.flatnonzero(sides == 1)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for i0 in range(0, len(rows), 64):
         r = rows[i0 : i0 + 64]
-        apart = np.zeros((len(r), len(cols)), np.int64)
+        c = cols[: i0 + 64] if alone else cols
+        apart = np.zeros((len(r), len(c)), np.int64)
         for w in range(grid.shape[1]):
-            apart += np.bitwise_count(grid[r, w][:, None] ^ grid[cols, w][None, :])
-        limit = most_apart(sizes[r][:, None], sizes[cols][None, :], percent)
-        gap = np.abs(sizes[r][:, None] - sizes[cols][None, :])
-        ok = (np.maximum(apart, gap) <= limit) & (comps[r][:, None] != comps[cols][None, :])
-        for k in np.flatnonzero(ok.any(1)):
-            at = np.flatnonzero(ok[k])
-            if len(at) > best:
-                more = True
-                order = np.lexsort((ids[cols[at]], apart[k, at]))
-                at = at[order[:best]]
-            out_a.append(np.full(len(at), ids[r[k]]))
-            out_b.append(ids[cols[at]])
-    if not out_a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), more
-    a, b = np.concatenate(out_a), np.concatenate(out_b)
-    return np.minimum(a, b), np.maximum(a, b), more
+            apart += np.bitwise_count(grid[r, w][:, None] ^ grid[c, w][None, :])
+        limit = most_apart(sizes[r][:, None], sizes[c][None, :], percent)
+        gap = np.abs(sizes[r][:, None] - sizes[c][None, :])
+        ok = (np.maximum(apart, gap) <= limit) & (comps[r][:, None] != comps[c][None, :])
+        if alone:
+            ok &= c[None, :] < r[:, None]
+        x, y = np.nonzero(ok)
+        found.append((r[x], c[y], apart[x, y]))
+    x, y, d = (np.concatenate(z) for z in zip(*found, strict=True))
+    if not len(x):
+        return ids[:0], ids[:0], False
+    # The best pairs of each component, from either side of a pair.
+    keep = np.zeros(len(x), bool)
+    for side in (x, y):
+        order = np.lexsort((ids[x], ids[y], d, comps[side]))
+        c = comps[side][order]
+        first = np.concatenate([[0], np.flatnonzero(c[1:] != c[:-1]) + 1])
+        place = np.arange(len(c)) - np.repeat(first, np.diff(np.append(first, len(c))))
+        keep[order[place < best]] = True
+    a, b = ids[x[keep]], ids[y[keep]]
+    return np.minimum(a, b), np.maximum(a, b), not keep.all()
 
 
 def _few_pairs(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
@@ -175,7 +182,8 @@ def link_components(tiles: DataFrame, meta: DataFrame, arrays_of, percent: int,
     # Tiles of the same members give the same pairs: one of each member set is enough.
     prints = shared.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("f"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(20,0)")).alias("g"))
     prints = prints.groupBy("c", "f", "g").agg(F.min("key").alias("key")).select("key")
-    shared = scratch.cut(shared.join(prints, "key", "left_semi"), "kinds")
+    every, shared = shared, scratch.cut(shared.join(prints, "key", "left_semi"), "kinds")
+    scratch.drop(every)
     ids = shared.select("id").distinct()
     arrays = scratch.cut(arrays_of(ids), "arrays")
     meta = scratch.cut(meta.join(ids, "id", "left_semi").dropDuplicates(["id"]), "meta")
@@ -217,4 +225,5 @@ def link_components(tiles: DataFrame, meta: DataFrame, arrays_of, percent: int,
             best *= 16
         else:
             break
+    scratch.drop(shared, arrays, meta)
     return labels if labels is not None else scratch.spark.createDataFrame([], "id long, component long")

@@ -58,7 +58,7 @@ def set_keys(u: np.ndarray, edges: list[int], percent: int) -> tuple[np.ndarray,
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[start])
             out.append(mix(mix(empty * _PART + seed)))
     apart = int(most_apart(edges[own + 1] - 1, edges[own + 1] - 1, percent))
-    return np.concatenate(out), min(1 << 16, max(64, 1 << int(4 * apart - 1).bit_length()))
+    return np.concatenate(out), min(1 << 16, max(64, 1 << int(8 * apart - 1).bit_length()))
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -123,16 +123,19 @@ def ngram_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Data
     scratch = Scratch(spark, "ngrams")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     known = texts.filter("id is not null")
-    signs = scratch.cut(signed(known, words, percent), "signs")
+    wide = scratch.cut(signed(known, words, percent), "signs")
+    signs = scratch.cut(wide.select("id", "n", "h1", "h2"), "sets-of")
     sets = signs.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     sets = scratch.cut(sets, "sets")
-    reps = sets.select(F.col("rep").alias("id"), "h1", "h2").distinct()
-    first = signs.join(reps, ["id", "h1", "h2"], "left_semi")
-    if first.select("id").count() > reps.count():  # repeated rows: each counts once
+    # Of equal sets all but one stay out.  The list of those is the small side, not that of the others.
+    copies = signs.join(sets.filter("copies > 1").select("h1", "h2", "n", "rep"), ["h1", "h2", "n"]).filter("id <> rep").select("id", "h1", "h2").distinct()
+    first = wide.join(scratch.cut(copies, "copies"), ["id", "h1", "h2"], "left_anti")
+    if signs.count() > signs.select("id").distinct().count():  # repeated rows: each counts once
         first = first.dropDuplicates(["id", "h1", "h2"])
     tiles = first.select("id", F.explode("keys").alias("key")).select("key", "id")
     meta = first.select("id", "n", "bitmap")
     near = link_components(tiles, meta, lambda ids: _elements(known.join(ids, "id", "left_semi"), words), percent, scratch)
+    scratch.drop(wide)
     groups = sets.join(near.select(F.col("id").alias("rep"), F.col("component").alias("near")), "rep", "left")
     groups = groups.select("h1", "h2", "n", F.coalesce("near", "rep").alias("component"))
     # Copies of one set may be a third of all rows: only rows of sets that have copies or links ask.
