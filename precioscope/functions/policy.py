@@ -43,7 +43,7 @@ def rule_strength(path: Column, rule: Column) -> Column:
     """Length of a rule that matches the path from its beginning (* any run, $ the end), else 0."""
     quoted = F.regexp_replace(rule, r"([.+?^{}()|\[\]\\$])", r"\\$1")
     body = F.replace(quoted, F.lit("*"), F.lit(".*"))
-    body = F.regexp_replace(body, r"\\\$$", "$")
+    body = F.regexp_replace(body, r"\\\$$", r"\$")
     return F.when(F.regexp_like(path, F.concat(F.lit("^"), body)), F.length(rule)).otherwise(0)
 
 

@@ -28,6 +28,12 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def literals(values: list[str]) -> Column:
+    """An array literal, parsed as one expression."""
+    quoted = ["'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values]
+    return F.expr(f"array({', '.join(quoted)})")
+
+
 def fold_accents(x: Column) -> Column:
     return F.regexp_replace(F.translate(x, FOLD_FROM, FOLD_TO), "[̀-ͯ]", "")
 
@@ -49,7 +55,7 @@ def compact_normal(n: Column) -> Column:
 
 
 def tokens_normal(n: Column) -> Column:
-    stop = F.array(*map(F.lit, L.STOP_WORDS))
+    stop = literals(L.STOP_WORDS)
     return F.filter(F.split(n, r"[\s,]+"), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
 
 
@@ -81,16 +87,14 @@ def find_brand(n: Column, c: Column) -> Column:
 
 
 def _brand_in(padded: Column, c: Column) -> Column:
-    found = []
-    for brand in L.BRANDS:
-        small = brand.replace("-", "").replace(" ", "").replace(".", "")
-        at = F.instr(padded, f" {brand} ")
-        where = F.when(at > 0, at - 1)
-        if len(brand) >= 5:
-            inside = F.instr(c, small)
-            where = F.coalesce(where, F.when(inside > 0, inside - 1 + 1000))
-        found.append(F.struct(F.coalesce(where, F.lit(1 << 30)).alias("at"), F.lit(-len(brand)).alias("size"), F.lit(brand).alias("brand")))
-    return let(F.array_min(F.array(*found)), lambda b: F.when(b["at"] < 1 << 30, b["brand"]))
+    def place(brand: Column) -> Column:
+        small = F.regexp_replace(brand, "[ .-]", "")
+        words, inside = F.instr(padded, F.concat(F.lit(" "), brand, F.lit(" "))), F.instr(c, small)
+        where = F.when(words > 0, words - 1).when((F.length(brand) >= 5) & (inside > 0), inside + 999)
+        return F.struct(where.alias("at"), (-F.length(brand)).alias("size"), brand.alias("brand"))
+
+    found = F.filter(F.transform(literals(L.BRANDS), place), lambda b: b["at"].isNotNull())
+    return F.array_min(found)["brand"]
 
 
 def find_category(n: Column) -> Column:
@@ -99,17 +103,18 @@ def find_category(n: Column) -> Column:
 
 
 def _category_in(padded: Column) -> Column:
-    found = []
-    for i, name in enumerate(L.CATEGORIES):
-        plain = unicodedata.normalize("NFD", name).encode("ascii", "ignore").decode()
-        hit = F.contains(padded, F.lit(f" {plain} ")) | F.contains(padded, F.lit(f" {plain}s "))
-        found.append(F.when(hit, F.struct(F.lit(-len(plain)).alias("size"), F.lit(i).alias("place"), F.lit(name).alias("name"))))
-    return F.array_min(F.array_compact(F.array(*found)))["name"]
+    plain = [unicodedata.normalize("NFD", name).encode("ascii", "ignore").decode() for name in L.CATEGORIES]
+    names = literals(L.CATEGORIES)
+    hit = lambda c: F.contains(padded, F.concat(F.lit(" "), c, F.lit(" "))) | F.contains(padded, F.concat(F.lit(" "), c, F.lit("s ")))
+    rows = F.transform(literals(plain), lambda c, i: F.when(hit(c), F.struct((-F.length(c)).alias("size"), i.alias("place"))))
+    return F.get(names, F.array_min(F.array_compact(rows))["place"])
 
 
 def find_line(words: Column) -> Column:
     """(line, brand) of the first known product line among the tokens."""
-    return F.coalesce(*[F.when(F.array_contains(words, k), F.struct(F.lit(k).alias("line"), F.lit(v).cast("string").alias("brand"))) for k, v in L.LINES.items()])
+    known, brands = literals(list(L.LINES)), literals([v or "" for v in L.LINES.values()])
+    rows = F.filter(F.arrays_zip(known.alias("line"), brands.alias("brand")), lambda r: F.array_contains(words, r["line"]))
+    return F.get(F.transform(rows, lambda r: F.struct(r["line"].alias("line"), F.nullif(r["brand"], F.lit("")).alias("brand"))), F.lit(0))
 
 
 def similarity(a: Column, b: Column) -> Column:

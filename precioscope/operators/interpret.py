@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from precioscope import lexicon as L
-from precioscope.functions.text import compact, compact_normal, find_brand, find_category, find_line, normalise, specs_normal, tokens_normal
+from precioscope.functions.text import compact, compact_normal, find_brand, find_category, find_line, literals, normalise, specs_normal, tokens_normal
 
 MODEL = r"\b([a-z]{0,6}\d{2,6}[a-z0-9]{0,6})\b"
 PAIR = r"\b([a-z]{2,8})\s+(\d{2,5}[a-z]{0,3})\b"
 
 
 def _words(values: list[str]) -> Column:
-    return F.array(*map(F.lit, values))
+    return literals(values)
 
 
 def query_models(n: Column, brand: Column, specs: Column) -> Column:
@@ -41,10 +41,9 @@ def interpret(queries: DataFrame, text: str = "text") -> DataFrame:
     category, models, models_shown, specs, tokens, keywords, required (kind, value), search_terms (at
     most 3) and specificity 0-100.  A query that is only a brand is refused.
     """
-    q = queries.withColumn("_n", normalise(F.trim(F.col(text)))).withColumn("_c", compact_normal(F.col("_n")))
-    q = q.withColumn("tokens", tokens_normal(F.col("_n"))).withColumn("_line", find_line(F.col("tokens")))
-    q = q.withColumn("line", F.col("_line.line")).withColumn("brand", F.coalesce(find_brand(F.col("_n"), F.col("_c")), F.col("_line.brand")))
-    q = q.withColumn("category", find_category(F.col("_n"))).withColumn("specs", specs_normal(F.col("_n")))
+    n = F.col("_n")
+    q = queries.withColumn("_n", normalise(F.trim(F.col(text)))).withColumns({"_c": compact_normal(n), "tokens": tokens_normal(n), "category": find_category(n), "specs": specs_normal(n)})
+    q = q.withColumn("_line", find_line(F.col("tokens"))).withColumns({"line": F.col("_line.line"), "brand": F.coalesce(find_brand(n, F.col("_c")), F.col("_line.brand"))})
     q = q.withColumn("_models", query_models(F.col("_n"), F.col("brand"), F.col("specs")))
     q = q.withColumn("models", F.transform("_models", lambda m: m["model"])).withColumn("models_shown", F.transform("_models", lambda m: m["shown"]))
     brand_words = tokens_normal(F.coalesce("brand", F.lit("")))

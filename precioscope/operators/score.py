@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from precioscope import lexicon as L
 from precioscope.config import DEFAULTS
-from precioscope.functions.text import compact, compact_normal, find_category, mentions, normalise, specs_normal, trusted_brand
+from precioscope.functions.text import compact, compact_normal, find_category, literals, mentions, normalise, specs_normal, trusted_brand
 from precioscope.operators.history import has_price
 from precioscope.operators.summary import upper_median
 
 
 def _array(values: list[str]) -> Column:
-    return F.array(*map(F.lit, values))
+    return literals(values)
 
 
 def _contains_any(text: Column, words: list[str], plain: bool = False) -> Column:

@@ -38,11 +38,12 @@ def run_round(queries: DataFrame, captures: DataFrame, past: DataFrame | None =
 
     Pages are read once per page_id however many queries share them.
     """
-    asked = interpret(queries).filter("accepted")
+    asked = interpret(queries).filter("accepted").persist()  # a few rows, used by every later step
     pages = captures.select("page_id", "url", "html").dropDuplicates(["page_id"])
     listings = chosen_listings(extract_listings(pages, rules)).withColumnRenamed("brand", "store_brand").withColumnRenamed("category", "store_category").withColumnRenamed("url", "listing_url").withColumnRenamed("model", "store_model")
     seen = captures.select("query_id", "store_id", "page_id", "ts").join(listings, "page_id")
     scored = score(seen.join(asked.withColumnRenamed("accepted", "query_accepted").drop("reason", "text"), "query_id"))
+    scored = scored.persist()
     kept = price_sanity(scored.filter("accepted"), "query_id").filter("kept")
     kept = kept.withColumn("listing_id", F.xxhash64("page_id", "ordinal", "query_id")).withColumn("specific", (F.size("keywords") > 0) | (F.size("models") > 0) | (F.col("specificity") >= 55))
     assigned = assign_products(kept)
