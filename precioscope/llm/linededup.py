@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from precioscope.llm.arrowtext import chunked, mix
-from precioscope.llm.linking import link_components, most_apart, parity_bitmap
+from precioscope.llm.linking import bitmap_bits, link_components, parity_bitmap
 from precioscope.llm.scratch import Scratch
 
 SHINGLE = 8
@@ -29,7 +29,9 @@ LEAST_CHARS = 20
 BANDS, ROWS = 12, 4
 BINS = BANDS * ROWS
 NEWLINE = 10
-LINE_SCHEMA = "doc_id long, tie long, line_no int, h1 long, h2 long, n int, keys array<long>, bitmap binary"
+SEEN_LINES = 500_000
+LINE_SCHEMA = "doc_id long, tie long, line_no int, h1 long, h2 long, keys array<long>"
+ELEMENT_SCHEMA = "id long, n long, bitmap binary, elements binary"
 _ODD = 0x9E3779B97F4A7C15
 _TABLE: list[np.ndarray] = []
 _SEED = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -81,7 +83,7 @@ def shingle_hashes(chars: np.ndarray) -> np.ndarray:
 
 
 def _sketch(chars: np.ndarray, bounds: np.ndarray, least: int) -> Iterator[tuple]:
-    """(text, line number, h1, h2, shingle set, minima) of each line of ``least`` characters or more."""
+    """(text, line number, h1, h2, minima) of each line of ``least`` characters or more."""
     text, number, start, stop = lines_of(chars, bounds)
     keep = stop - start >= max(least, SHINGLE)
     text, number, start, stop = text[keep], number[keep], start[keep], stop[keep]
@@ -112,13 +114,14 @@ def _sketch(chars: np.ndarray, bounds: np.ndarray, least: int) -> Iterator[tuple
         own, at = flat[stop] - flat[start], start.astype(np.uint64) * np.uint64(2)
         sums.append(mix(total[stop] - total[start] - own * at + own * _SEED + (stop - start).astype(np.uint64)))
     for i in range(len(text)):
-        yield int(text[i]), int(number[i]), sums[0][i], sums[1][i], x[ends[i] - count[i] : ends[i]], low[i]
+        yield int(text[i]), int(number[i]), sums[0][i], sums[1][i], low[i]
 
 
 def _signed(docs: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in LINE_SCHEMA.split(", ")]
         band = np.arange(1, BANDS + 1, dtype=np.uint64) * _SEED
+        seen: set[tuple[int, int]] = set()  # a line's keys are given once a task, however often it stands there
         for batch in batches:
             ids, ties = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             for i, _, offsets, data in chunked(batch.column(2)):
@@ -126,59 +129,76 @@ def _signed(docs: DataFrame, least: int) -> DataFrame:
                 if not rows:
                     continue
                 at = np.array([r[0] for r in rows]) + i
-                keys = np.array([r[5] for r in rows]).reshape(-1, BANDS, ROWS)
+                minima = np.array([r[4] for r in rows]).reshape(-1, BANDS, ROWS)
                 mixed = band[None, :].repeat(len(rows), 0)
                 for r in range(ROWS):
-                    mixed = mix(mixed + keys[:, :, r])
-                sets = [np.unique(r[4]) for r in rows]
-                bits = [min(1 << 16, max(64, 1 << int(8 * most_apart(len(s), len(s), PERCENT)).bit_length())) for s in sets]
-                arrays = [pa.array(ids[at]), pa.array(ties[at]), pa.array([r[1] for r in rows], pa.int32()), *(pa.array(np.array([r[c] for r in rows], np.uint64).view(np.int64)) for c in (2, 3)), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BANDS), pa.array(mixed.ravel().view(np.int64))), pa.array([parity_bitmap(s, b) for s, b in zip(sets, bits, strict=True)], pa.binary())]
+                    mixed = mix(mixed + minima[:, :, r])
+                keys = []
+                for r, own in zip(rows, mixed.view(np.int64).tolist(), strict=True):
+                    mark = (int(r[2]), int(r[3]))
+                    keys.append(None if mark in seen else own)
+                    if len(seen) < SEEN_LINES:
+                        seen.add(mark)
+                arrays = [pa.array(ids[at]), pa.array(ties[at]), pa.array([r[1] for r in rows], pa.int32()), *(pa.array(np.array([r[c] for r in rows], np.uint64).view(np.int64)) for c in (2, 3)), pa.array(keys, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return docs.select("doc_id", "tie", "text").mapInArrow(run, LINE_SCHEMA)
 
 
+def line_set(line: bytes) -> np.ndarray:
+    """The sorted shingle hashes of a line given as its code points."""
+    chars = np.frombuffer(line, np.uint32)
+    return np.unique(shingle_hashes(chars)[: len(chars) - SHINGLE + 1])
+
+
 def _elements(docs: DataFrame) -> DataFrame:
-    """(id, elements) of the wanted lines (list of line_no and id) of each document."""
+    """(id, n, bitmap, elements) of the wanted lines (line_no and id) of each document; a line's elements
+    are kept as its text, which is smaller than its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in ELEMENT_SCHEMA.split(", ")]
         for batch in batches:
             wanted = batch.column(1).to_pylist()
             for i, j, offsets, data in chunked(batch.column(0)):
                 chars, bounds = _characters(data, offsets)
-                ids, sets = [], []
-                h = shingle_hashes(chars)
-                text, number, start, stop = lines_of(chars, bounds)
+                rows = []
+                text, _, start, stop = lines_of(chars, bounds)
                 first = np.searchsorted(text, np.arange(j - i))
                 for k in range(i, j):
                     for w in wanted[k]:
                         at = first[k - i] + w["line_no"]
-                        ids.append(w["id"])
-                        sets.append(np.unique(h[start[at] : stop[at] - SHINGLE + 1]).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "elements"])
+                        line = chars[start[at] : stop[at]].tobytes()
+                        u = line_set(line)
+                        rows.append((w["id"], len(u), parity_bitmap(u, bitmap_bits(len(u), PERCENT)), line))
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=names)
 
-    return docs.select("text", "wanted").mapInArrow(run, "id long, elements binary")
+    return docs.select("text", "wanted").mapInArrow(run, ELEMENT_SCHEMA)
 
 
 def removed_lines(docs: DataFrame, scratch: Scratch, least: int = LEAST_CHARS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, tie, gone: line numbers from 0) of the documents (doc_id, tie, text) that lose lines."""
-    lines = scratch.cut(_signed(docs, least), "lines")
-    reps = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "tie", "line_no")).alias("first"), F.count(F.lit(1)).alias("copies"))
-    reps = scratch.cut(scratch.cut(reps, "distinct").withColumn("id", F.monotonically_increasing_id()), "reps")
-    at = reps.select("id", "h1", "h2", "first.*")
-    signs = lines.join(at, ["doc_id", "tie", "line_no", "h1", "h2"]).select("id", "n", "keys", "bitmap")
-    signs = scratch.cut(signs, "signs")
-    tiles = signs.select("id", F.explode(F.array_distinct("keys")).alias("key")).select("key", "id")
+    """(doc_id, tie, gone: line numbers from 0) of the documents (doc_id, tie, text) that lose lines.
 
-    def arrays_of(ids: DataFrame) -> DataFrame:
-        own = at.join(ids, "id", "left_semi").groupBy("doc_id", "tie").agg(F.collect_list(F.struct("line_no", "id")).alias("wanted"))
-        return _elements(docs.join(own, ["doc_id", "tie"])).dropDuplicates(["id"])
+    Lines are told apart by 128 bits, and named by the first 64 of them.
+    """
+    wide = scratch.cut(_signed(docs, least), "keys")
+    lines = scratch.cut(wide.drop("keys"), "lines")
+    repeated = lines.count() > lines.select("doc_id", "tie", "line_no").distinct().count()
+    reps = scratch.cut(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "tie", "line_no")).alias("first"), F.count(F.lit(1)).alias("copies")), "reps")
+    tiles = wide.filter("keys is not null").select(F.explode(F.array_distinct("keys")).alias("key"), F.col("h1").alias("id"))
 
-    near = link_components(tiles, signs.select("id", "n", "bitmap").dropDuplicates(["id"]), arrays_of, percent, scratch)
-    joined = reps.join(near, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    def arrays_of(ids: DataFrame) -> DataFrame:
+        own = reps.join(ids, reps["h1"] == ids["id"]).select("id", "first.*")
+        own = scratch.cut(own.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("line_no", "id")).alias("wanted")), "wanted")
+        out = _elements(docs.join(own, ["doc_id", "tie"]))
+        return out.dropDuplicates(["id"]) if repeated else out
+
+    near = link_components(tiles, arrays_of, percent, scratch, line_set)
+    scratch.drop(wide)
+    joined = reps.join(near, reps["h1"] == near["id"], "left").withColumn("component", F.coalesce("component", "h1"))
     best = joined.groupBy("component").agg(F.min("first").alias("winner"), F.sum("copies").alias("lines")).filter("lines > 1")
-    losing = joined.join(best, "component").select("h1", "h2", "winner")
-    gone = lines.select("doc_id", "tie", "line_no", "h1", "h2").join(losing, ["h1", "h2"])
+    losing = scratch.cut(joined.join(best, "component").select("h1", "h2", "winner"), "losing")
+    gone = lines.join(losing, ["h1", "h2"])
     gone = gone.filter(F.struct("doc_id", "tie", "line_no") != F.col("winner"))
     return gone.groupBy("doc_id", "tie").agg(F.collect_set("line_no").alias("gone"))
 

@@ -34,6 +34,11 @@ def parity_bitmap(hashes: np.ndarray, bits: int) -> bytes:
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
 
+def bitmap_bits(n: int, percent: int) -> int:
+    """Bits of the bitmap of a set of n elements: several times what two similar sets can differ in."""
+    return min(1 << 16, max(64, 1 << int(8 * most_apart(n, n, percent)).bit_length()))
+
+
 def _fold(bitmap: np.ndarray, size: int) -> np.ndarray:
     while len(bitmap) > size:
         half = len(bitmap) // 2
@@ -145,22 +150,31 @@ def _candidates(members: DataFrame, percent: int, best: int) -> DataFrame:
                 found_a, found_b = [], []
         take()
         if more:  # a mark for the driver: this task had more partners to give
-            found_a.append(-1)
-            found_b.append(-1)
-        yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64()), pa.array([x == -1 for x in found_a], pa.bool_())], names=["a", "b", "more"])
+            found_a.append(None)
+            found_b.append(None)
+        yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64()), pa.array([x is None for x in found_a], pa.bool_())], names=["a", "b", "more"])
 
     return members.mapInArrow(run, "a long, b long, more boolean")
 
 
-def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+def sorted_hashes(elements: bytes) -> np.ndarray:
+    return np.frombuffer(elements, np.uint64)
+
+
+def _verified(pairs: DataFrame, arrays: DataFrame, percent: int, set_of) -> DataFrame:
     """(a, b, linked) by exact intersection of the sorted element arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column(2), batch.column(3)
-            ok = []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (left, right))
+            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            ok, known = [], {}
+            for pair in zip(left, right, strict=True):
+                for e in pair:
+                    if e not in known:
+                        if len(known) > 2000:
+                            known.clear()
+                        known[e] = set_of(e)
+                x, y = (known[e] if e in known else set_of(e) for e in pair)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
@@ -170,23 +184,22 @@ def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
 
 
-def link_components(tiles: DataFrame, meta: DataFrame, arrays_of, percent: int, scratch: Scratch) -> DataFrame:
+def link_components(tiles: DataFrame, arrays_of, percent: int, scratch: Scratch, set_of=sorted_hashes) -> DataFrame:
     """(id, component) of the members that are linked with another.
 
-    tiles (key, id): no id twice in a key; meta (id, n, bitmap); arrays_of(ids) gives (id, elements:
-    sorted 64-bit hashes as binary) of a table of ids.  Ids are not negative.
+    tiles (key, id); arrays_of(ids) gives (id, n, bitmap, elements) of a table of ids, and
+    set_of(elements) the sorted 64-bit hashes of a set.
     """
     per_key = Window.partitionBy("key")
-    shared = tiles.withColumn("count", F.count(F.lit(1)).over(per_key)).filter("count > 1")
-    shared = scratch.cut(shared, "tiles")
+    shared = tiles.withColumn("low", F.min("id").over(per_key)).withColumn("high", F.max("id").over(per_key)).filter("low <> high")
+    shared = scratch.cut(shared.select("key", "id").distinct(), "tiles")
     # Tiles of the same members give the same pairs: one of each member set is enough.
-    prints = shared.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("f"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(20,0)")).alias("g"))
-    prints = prints.groupBy("c", "f", "g").agg(F.min("key").alias("key")).select("key")
-    every, shared = shared, scratch.cut(shared.join(prints, "key", "left_semi"), "kinds")
+    prints = shared.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("f"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(20,0)")).alias("g"))
+    prints = prints.groupBy("count", "f", "g").agg(F.min("key").alias("key")).select("key", "count")
+    every, shared = shared, scratch.cut(shared.join(prints, "key"), "kinds")
     scratch.drop(every)
-    ids = shared.select("id").distinct()
-    arrays = scratch.cut(arrays_of(ids), "arrays")
-    meta = scratch.cut(meta.join(ids, "id", "left_semi").dropDuplicates(["id"]), "meta")
+    arrays = scratch.cut(arrays_of(shared.select("id").distinct()), "arrays")
+    meta = arrays.select("id", "n", "bitmap")
     links, checked, labels, best, first = None, None, None, 2, True
     while True:
         now = shared.filter((F.col("count") <= SMALL_TILE) | (F.pmod(F.xxhash64("key"), F.lit(FIRST_KEYS)) == 0)) if first else shared
@@ -206,7 +219,7 @@ def link_components(tiles: DataFrame, meta: DataFrame, arrays_of, percent: int,
         pairs = found.filter("not more").select("a", "b").distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        result = scratch.cut(_verified(pairs, arrays, percent), "verified")
+        result = scratch.cut(_verified(pairs, arrays, percent, set_of), "verified")
         counts = result.agg(F.count(F.lit(1)), F.count_if("linked")).first()
         more = found.filter("more").limit(1).count()
         scratch.drop(found)
@@ -225,5 +238,5 @@ def link_components(tiles: DataFrame, meta: DataFrame, arrays_of, percent: int,
             best *= 16
         else:
             break
-    scratch.drop(shared, arrays, meta)
+    scratch.drop(shared, arrays)
     return labels if labels is not None else scratch.spark.createDataFrame([], "id long, component long")

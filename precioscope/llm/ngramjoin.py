@@ -18,13 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from precioscope.llm.arrowtext import chunked, mix, word_shingles
-from precioscope.llm.linking import link_components, most_apart, parity_bitmap
+from precioscope.llm.linking import bitmap_bits, link_components, most_apart, parity_bitmap
 from precioscope.llm.scratch import Scratch
 
 #: Parts beyond the least number, so that this many empty parts of a set need no key.
 SPARE_PARTS = 3
 _PART, _BAND, _SUM = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
-SIGN_SCHEMA = "id long, n long, h1 long, h2 long, keys array<long>, bitmap binary"
+SIGN_SCHEMA = "id long, n long, h1 long, h2 long, keys array<long>"
+ELEMENT_SCHEMA = "id long, n long, bitmap binary, elements binary"
 
 
 def bands(percent: int, most: int = 1 << 40) -> list[int]:
@@ -38,11 +39,11 @@ def bands(percent: int, most: int = 1 << 40) -> list[int]:
     return out
 
 
-def set_keys(u: np.ndarray, edges: list[int], percent: int) -> tuple[np.ndarray, int]:
-    """(tile keys, bits of the bitmap) of a sorted set of hashes."""
+def set_keys(u: np.ndarray, edges: list[int], percent: int) -> np.ndarray:
+    """Tile keys of a sorted set of hashes."""
     n = len(u)
     if n < edges[0]:
-        return np.zeros(0, np.uint64), 64
+        return np.zeros(0, np.uint64)
     own = int(np.searchsorted(edges, n, "right")) - 1
     schemes = [own, own + 1] if 100 * n >= percent * edges[own + 1] else [own]
     out = []
@@ -57,8 +58,7 @@ def set_keys(u: np.ndarray, edges: list[int], percent: int) -> tuple[np.ndarray,
         if parts - len(start) > SPARE_PARTS:
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[start])
             out.append(mix(mix(empty * _PART + seed)))
-    apart = int(most_apart(edges[own + 1] - 1, edges[own + 1] - 1, percent))
-    return np.concatenate(out), min(1 << 16, max(64, 1 << int(8 * apart - 1).bit_length()))
+    return np.concatenate(out)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -71,7 +71,7 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[int,
 
 
 def signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Per document: set size, two hashes of the whole set, tile keys and parity bitmap."""
+    """Per document: set size, two hashes of the whole set, and tile keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges, held, size = bands(percent), [], 0
@@ -80,12 +80,12 @@ def signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
             cols = list(zip(*held, strict=True))
             flat = np.concatenate(cols[4]) if cols[4] else np.zeros(0, np.uint64)
             ends = np.concatenate([[0], np.cumsum([len(k) for k in cols[4]])]).astype(np.int32)
-            arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols[2:4]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))), pa.array(cols[5], pa.binary())]
+            arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols[2:4]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))]
             return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in SIGN_SCHEMA.split(", ")])
 
         for key, u in _sets(batches, words):
-            keys, bits = set_keys(u, edges, percent)
-            held.append((key, len(u), u.sum() if len(u) else np.uint64(0), mix(u ^ _BAND).sum() if len(u) else np.uint64(0), keys, parity_bitmap(u, bits)))
+            keys = set_keys(u, edges, percent)
+            held.append((key, len(u), u.sum() if len(u) else np.uint64(0), mix(u ^ _BAND).sum() if len(u) else np.uint64(0), keys))
             size += len(keys)
             if len(held) >= 1000 or size > 200_000:
                 yield out()
@@ -96,17 +96,21 @@ def signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, SIGN_SCHEMA)
 
 
-def _elements(docs: DataFrame, words: int) -> DataFrame:
+def _elements(docs: DataFrame, words: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        def out() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([h[c] for h in held], k) for c, k in enumerate(kinds)], names=[x.split()[0] for x in ELEMENT_SCHEMA.split(", ")])
+
+        held: list[tuple] = []
         for key, u in _sets(batches, words):
-            held.append((key, u.tobytes()))
+            held.append((key, len(u), parity_bitmap(u, bitmap_bits(len(u), percent)), u.tobytes()))
             if len(held) >= 500:
-                yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.binary())], names=["id", "elements"])
+                yield out()
                 held = []
-        yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.binary())], names=["id", "elements"])
+        yield out()
 
-    return docs.select("id", "text").mapInArrow(run, "id long, elements binary")
+    return docs.select("id", "text").mapInArrow(run, ELEMENT_SCHEMA)
 
 
 def ngram_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
@@ -130,11 +134,16 @@ def ngram_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Data
     # Of equal sets all but one stay out.  The list of those is the small side, not that of the others.
     copies = signs.join(sets.filter("copies > 1").select("h1", "h2", "n", "rep"), ["h1", "h2", "n"]).filter("id <> rep").select("id", "h1", "h2").distinct()
     first = wide.join(scratch.cut(copies, "copies"), ["id", "h1", "h2"], "left_anti")
-    if signs.count() > signs.select("id").distinct().count():  # repeated rows: each counts once
+    repeated = signs.count() > signs.select("id").distinct().count()
+    if repeated:  # each counts once
         first = first.dropDuplicates(["id", "h1", "h2"])
     tiles = first.select("id", F.explode("keys").alias("key")).select("key", "id")
-    meta = first.select("id", "n", "bitmap")
-    near = link_components(tiles, meta, lambda ids: _elements(known.join(ids, "id", "left_semi"), words), percent, scratch)
+
+    def arrays_of(ids: DataFrame) -> DataFrame:
+        out = _elements(known.join(scratch.cut(ids, "ids"), "id", "left_semi"), words, percent)
+        return out.dropDuplicates(["id"]) if repeated else out
+
+    near = link_components(tiles, arrays_of, percent, scratch)
     scratch.drop(wide)
     groups = sets.join(near.select(F.col("id").alias("rep"), F.col("component").alias("near")), "rep", "left")
     groups = groups.select("h1", "h2", "n", F.coalesce("near", "rep").alias("component"))
