@@ -7,6 +7,7 @@ from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from precioscope.functions.text import compact
 
@@ -79,7 +80,7 @@ def host_of(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _set_parameter(url: pd.Series, key: pd.Series, value: pd.Series) -> pd.Series:
     def one(u, k, v):
         try:
