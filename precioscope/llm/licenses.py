@@ -86,10 +86,10 @@ RULES: list[tuple[str, list[str]]] = [
 ]
 #: A rule's licence gives way to these if they match too.
 GIVES_WAY = {"BSD-2-Clause": ["BSD-3-Clause"]}
-MAY = r"(?i)licen[cs]e|permission|redistribut|warrant|public domain|spdx|free software|waived all copyright|as[- ]is"
-#: Sentence ends: . ! ? : ; before white space, blank lines, and line ends after titles and copyright lines.
+MAY = r"(?i)licen[cs]e|permission|redistribut|warrant|public domain|spdx|free software|released under|\bcc0\b|waived all copyright|as[- ]is"
+#: Sentence ends: . ! ? before white space (not of v.), : at a line's end, blank lines, ends of titles.
 MARKS = r"(?m)^[ \t]*(?:#+|//+|/\*+|\*+/?|--|;+|%+|\(\*)[ \t]?"
-BREAKS = r"(?<=[.!?:])\s+|\n[ \t]*\n|(?i)(?<=licen[cs]e)[ \t]*\n|(?i)(?<=\(mit\))[ \t]*\n"
+BREAKS = r"(?<=[.!?])(?<!\bv\.)\s+|(?<=:)[ \t]*\n|\n[ \t]*\n|(?i)(?<=licen[cs]e)[ \t]*\n|(?i)(?<=\(mit\))[ \t]*\n"
 COPYRIGHT = r"(?im)^[ \t]*(?:copyright\b|\(c\)|all rights reserved)[^\n]*$"
 SPDX_TAG = r"(?i)SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)"
 
