@@ -200,43 +200,51 @@ def link_components(tiles: DataFrame, arrays_of, percent: int, scratch: Scratch,
     scratch.drop(every)
     arrays = scratch.cut(arrays_of(shared.select("id").distinct()), "arrays")
     meta = arrays.select("id", "n", "bitmap")
-    links, checked, labels, best, first = None, None, None, 2, True
+    # A small tile gives all its admitted pairs at once, so it takes part in the first round only.
+    # Large ones are asked by a sample of keys until those find no more links, then all that are open.
+    small, large = F.col("count") <= SMALL_TILE, F.col("count") > SMALL_TILE
+    sampled = F.pmod(F.xxhash64("key"), F.lit(FIRST_KEYS)) == 0
+    links, checked, labels, best, wide = None, None, None, 2, False
+    now = scratch.cut(shared.filter(small | sampled), "open")
     while True:
-        now = shared.filter((F.col("count") <= SMALL_TILE) | (F.pmod(F.xxhash64("key"), F.lit(FIRST_KEYS)) == 0)) if first else shared
         if labels is None:
             members = now.withColumn("component", F.col("id"))
         else:
             members = now.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            open_ = members.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key")
-            members = members.join(open_, "key", "left_semi")
         members = members.join(meta, "id").withColumn("blocks", F.ceil(F.col("count") / BLOCK_MEMBERS).cast("int"))
         members = members.withColumn("own", F.pmod(F.xxhash64("id", "key"), "blocks").cast("int"))
         members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        members = members.withColumn("tile", F.struct("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
-        members = members.withColumn("side", F.when(F.col("own") > F.col("other"), 1).otherwise(0))
-        spread = members.withColumn("tile", F.concat_ws(":", F.col("tile.key"), F.col("tile.i"), F.col("tile.j"))).select("tile", "id", "component", "n", "bitmap", "side")
+        tile = F.concat_ws(":", F.col("key"), F.least("own", "other"), F.greatest("own", "other"))
+        spread = members.select(tile.alias("tile"), "id", "component", "n", "bitmap", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
         found = scratch.cut(_candidates(spread.repartition("tile").sortWithinPartitions("tile"), percent, best), "candidates")
         pairs = found.filter("not more").select("a", "b").distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         result = scratch.cut(_verified(pairs, arrays, percent, set_of), "verified")
-        counts = result.agg(F.count(F.lit(1)), F.count_if("linked")).first()
+        linked = result.filter("linked").count()
         more = found.filter("more").limit(1).count()
         scratch.drop(found)
-        new = result.filter("linked").select("a", "b")
         bad = result.filter("not linked").select("a", "b")
         checked = bad if checked is None else checked.unionByName(bad)
-        if counts[1]:
-            links = new if links is None else links.unionByName(new)
-            labels = scratch.cut(components(links, scratch), "labels")
+        if linked:
+            new = result.filter("linked").select("a", "b")
+            old = labels
+            labels = scratch.cut(components(new if links is None else links.unionByName(new), scratch), "labels")
             links = labels.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-        if first:
-            first = False
-        elif counts[1]:
+            scratch.drop(old)
             best *= 4
-        elif more:
+        elif wide and more:
             best *= 16
-        else:
+        elif wide:
             break
-    scratch.drop(shared, arrays)
+        first, wide, old = not wide and not linked, wide or not linked, now
+        # Components only grow: a tile of one component is done for good.
+        now = shared.filter(large) if first else now.filter(large)
+        if labels is not None:
+            named = now.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            open_ = named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key")
+            now = now.join(open_, "key", "left_semi")
+        now = scratch.cut(now, "open")
+        scratch.drop(old)
+    scratch.drop(shared, arrays, now)
     return labels if labels is not None else scratch.spark.createDataFrame([], "id long, component long")
