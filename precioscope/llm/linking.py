@@ -179,8 +179,9 @@ def _verified(pairs: DataFrame, arrays: DataFrame, percent: int, set_of) -> Data
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
 
-    x = arrays.select(F.col("id").alias("a"), F.col("elements").alias("x"))
-    y = arrays.select(F.col("id").alias("b"), F.col("elements").alias("y"))
+    # Only sets that a pair asks for move; a short list of them is sent to the sets.
+    x = arrays.select(F.col("id").alias("a"), F.col("elements").alias("x")).join(pairs.select("a").distinct(), "a", "left_semi")
+    y = arrays.select(F.col("id").alias("b"), F.col("elements").alias("y")).join(pairs.select("b").distinct(), "b", "left_semi")
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
 
 
@@ -220,6 +221,7 @@ def link_components(tiles: DataFrame, arrays_of, percent: int, scratch: Scratch,
         pairs = found.filter("not more").select("a", "b").distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
+        pairs = scratch.cut(pairs, "pairs")
         result = scratch.cut(_verified(pairs, arrays, percent, set_of), "verified")
         linked = result.filter("linked").count()
         more = found.filter("more").limit(1).count()

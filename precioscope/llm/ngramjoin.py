@@ -133,10 +133,11 @@ def ngram_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Data
     sets = scratch.cut(sets, "sets")
     # Of equal sets all but one stay out.  The list of those is the small side, not that of the others.
     copies = signs.join(sets.filter("copies > 1").select("h1", "h2", "n", "rep"), ["h1", "h2", "n"]).filter("id <> rep").select("id", "h1", "h2").distinct()
-    first = wide.join(scratch.cut(copies, "copies"), ["id", "h1", "h2"], "left_anti")
     repeated = signs.count() > signs.select("id").distinct().count()
-    if repeated:  # each counts once
-        first = first.dropDuplicates(["id", "h1", "h2"])
+    if repeated:  # each counts once, and an id may have several sets
+        first = wide.join(scratch.cut(copies, "copies"), ["id", "h1", "h2"], "left_anti").dropDuplicates(["id", "h1", "h2"])
+    else:
+        first = wide.join(scratch.cut(copies.select("id"), "copies"), "id", "left_anti")
     tiles = first.select("id", F.explode("keys").alias("key")).select("key", "id")
 
     def arrays_of(ids: DataFrame) -> DataFrame:
