@@ -234,7 +234,6 @@ def link_components(tiles: DataFrame, arrays_of, percent: int, scratch: Scratch,
             labels = scratch.cut(components(new if links is None else links.unionByName(new), scratch), "labels")
             links = labels.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
             scratch.drop(old)
-            best *= 4
         elif wide and more:
             best *= 16
         elif wide:

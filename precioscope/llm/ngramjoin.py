@@ -141,7 +141,8 @@ def ngram_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Data
     tiles = first.select("id", F.explode("keys").alias("key")).select("key", "id")
 
     def arrays_of(ids: DataFrame) -> DataFrame:
-        out = _elements(known.join(scratch.cut(ids, "ids"), "id", "left_semi"), words, percent)
+        # Candidates grow with the corpus: the same plan at every size, never a list sent to all tasks.
+        out = _elements(known.join(scratch.cut(ids, "ids").hint("merge"), "id", "left_semi"), words, percent)
         return out.dropDuplicates(["id"]) if repeated else out
 
     near = link_components(tiles, arrays_of, percent, scratch)
