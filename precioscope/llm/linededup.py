@@ -13,6 +13,7 @@ than 0.9999.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from precioscope.llm.linking import bitmap_bits, link_components, parity_bitmap
 from precioscope.llm.scratch import Scratch
 
 SHINGLE = 8
+#: Of the query and the pipeline: one changed character inside a line leaves 0.8 from 49 characters on, with 8 from 79 on.
+CORPUS_SHINGLE = 5
 PERCENT = 80
 LEAST_CHARS = 20
 BANDS, ROWS = 12, 4
@@ -73,24 +76,24 @@ def lines_of(chars: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return text, number, start, stop
 
 
-def shingle_hashes(chars: np.ndarray) -> np.ndarray:
-    """Hash of the SHINGLE characters from each place on (of fewer at the end)."""
+def shingle_hashes(chars: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """Hash of the ``size`` characters from each place on (of fewer at the end)."""
     value = _symbols()[chars]
     out = np.zeros(len(chars), np.uint64)
-    for k in range(min(SHINGLE, len(chars))):
+    for k in range(min(size, len(chars))):
         out[: len(chars) - k] += value[k:] * np.uint64(pow(_ODD, k + 1, 1 << 64))
     return mix(out)
 
 
-def _sketch(chars: np.ndarray, bounds: np.ndarray, least: int) -> Iterator[tuple]:
+def _sketch(chars: np.ndarray, bounds: np.ndarray, least: int, size: int = SHINGLE) -> Iterator[tuple]:
     """(text, line number, h1, h2, minima) of each line of ``least`` characters or more."""
     text, number, start, stop = lines_of(chars, bounds)
-    keep = stop - start >= max(least, SHINGLE)
+    keep = stop - start >= max(least, size)
     text, number, start, stop = text[keep], number[keep], start[keep], stop[keep]
     if not len(text):
         return
-    h = shingle_hashes(chars)
-    count = stop - start - SHINGLE + 1
+    h = shingle_hashes(chars, size)
+    count = stop - start - size + 1
     ends = np.cumsum(count)
     line = np.repeat(np.arange(len(text)), count)
     x = h[np.arange(ends[-1]) - np.repeat(ends - count - start, count)]
@@ -117,7 +120,7 @@ def _sketch(chars: np.ndarray, bounds: np.ndarray, least: int) -> Iterator[tuple
         yield int(text[i]), int(number[i]), sums[0][i], sums[1][i], low[i]
 
 
-def _signed(docs: DataFrame, least: int) -> DataFrame:
+def _signed(docs: DataFrame, least: int, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in LINE_SCHEMA.split(", ")]
         band = np.arange(1, BANDS + 1, dtype=np.uint64) * _SEED
@@ -125,7 +128,7 @@ def _signed(docs: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             ids, ties = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             for i, _, offsets, data in chunked(batch.column(2)):
-                rows = list(_sketch(*_characters(data, offsets), least))
+                rows = list(_sketch(*_characters(data, offsets), least, size))
                 if not rows:
                     continue
                 at = np.array([r[0] for r in rows]) + i
@@ -145,13 +148,13 @@ def _signed(docs: DataFrame, least: int) -> DataFrame:
     return docs.select("doc_id", "tie", "text").mapInArrow(run, LINE_SCHEMA)
 
 
-def line_set(line: bytes) -> np.ndarray:
+def line_set(line: bytes, size: int = SHINGLE) -> np.ndarray:
     """The sorted shingle hashes of a line given as its code points."""
     chars = np.frombuffer(line, np.uint32)
-    return np.unique(shingle_hashes(chars)[: len(chars) - SHINGLE + 1])
+    return np.unique(shingle_hashes(chars, size)[: len(chars) - size + 1])
 
 
-def _elements(docs: DataFrame) -> DataFrame:
+def _elements(docs: DataFrame, size: int) -> DataFrame:
     """(id, n, bitmap, elements) of the wanted lines (line_no and id) of each document; a line's elements
     are kept as its text, which is smaller than its shingles."""
 
@@ -168,7 +171,7 @@ def _elements(docs: DataFrame) -> DataFrame:
                     for w in wanted[k]:
                         at = first[k - i] + w["line_no"]
                         line = chars[start[at] : stop[at]].tobytes()
-                        u = line_set(line)
+                        u = line_set(line, size)
                         rows.append((w["id"], len(u), parity_bitmap(u, bitmap_bits(len(u), PERCENT)), line))
                 kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=names)
@@ -176,12 +179,12 @@ def _elements(docs: DataFrame) -> DataFrame:
     return docs.select("text", "wanted").mapInArrow(run, ELEMENT_SCHEMA)
 
 
-def removed_lines(docs: DataFrame, scratch: Scratch, least: int = LEAST_CHARS, percent: int = PERCENT) -> DataFrame:
+def removed_lines(docs: DataFrame, scratch: Scratch, least: int = LEAST_CHARS, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """(doc_id, tie, gone: line numbers from 0) of the documents (doc_id, tie, text) that lose lines.
 
     Lines are told apart by 128 bits, and named by the first 64 of them.
     """
-    wide = scratch.cut(_signed(docs, least), "keys")
+    wide = scratch.cut(_signed(docs, least, size), "keys")
     lines = scratch.cut(wide.drop("keys"), "lines")
     repeated = lines.count() > lines.select("doc_id", "tie", "line_no").distinct().count()
     reps = scratch.cut(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "tie", "line_no")).alias("first"), F.count(F.lit(1)).alias("copies")), "reps")
@@ -190,10 +193,10 @@ def removed_lines(docs: DataFrame, scratch: Scratch, least: int = LEAST_CHARS, p
     def arrays_of(ids: DataFrame) -> DataFrame:
         own = reps.join(ids, reps["h1"] == ids["id"]).select("id", "first.*")
         own = scratch.cut(own.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("line_no", "id")).alias("wanted")), "wanted")
-        out = _elements(docs.join(own, ["doc_id", "tie"]))
+        out = _elements(docs.join(own, ["doc_id", "tie"]), size)
         return out.dropDuplicates(["id"]) if repeated else out
 
-    near = link_components(tiles, arrays_of, percent, scratch, line_set)
+    near = link_components(tiles, arrays_of, percent, scratch, partial(line_set, size=size))
     scratch.drop(wide)
     joined = reps.join(near, reps["h1"] == near["id"], "left").withColumn("component", F.coalesce("component", "h1"))
     best = joined.groupBy("component").agg(F.min("first").alias("winner"), F.sum("copies").alias("lines")).filter("lines > 1")
@@ -203,9 +206,11 @@ def removed_lines(docs: DataFrame, scratch: Scratch, least: int = LEAST_CHARS, p
     return gone.groupBy("doc_id", "tie").agg(F.collect_set("line_no").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, least: int = LEAST_CHARS, percent: int = PERCENT) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = LEAST_CHARS, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """``docs`` with repeated lines taken out of text, and columns n_lines and n_removed.
 
+    Lines are similar if ``percent`` of their shingles of ``size`` characters are the same.
+
     Lines of fewer than ``least`` characters (blank ones among them) stay as they are and count as
     no line.  Letter case and kinds of white space make no difference.  A null or empty text stays.
     Rows that repeat a (doc_id, text) are one document and lose the same lines.  Extra columns pass
@@ -215,7 +220,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_CHARS, percent: int = PERCEN
     names = docs.columns
     keyed = docs.withColumn("_tie", F.xxhash64("text")).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")))
     texts = keyed.select(F.col("_id").alias("doc_id"), F.col("_tie").alias("tie"), "text")
-    gone = removed_lines(texts, scratch, least, percent).select(F.col("doc_id").alias("_gone_id"), F.col("tie").alias("_gone_tie"), "gone")
+    gone = removed_lines(texts, scratch, least, percent, size).select(F.col("doc_id").alias("_gone_id"), F.col("tie").alias("_gone_tie"), "gone")
     gone = scratch.cut(gone, "gone")
     out = keyed.join(gone, (F.col("_id") == F.col("_gone_id")) & (F.col("_tie") == F.col("_gone_tie")), "left")
     lines = F.split("text", "\n", -1)

@@ -233,6 +233,26 @@ def test_line_dedup(spark):
     assert dedup_lines(docs.filter("false")).count() == 0
 
 
+def test_line_dedup_short_lines(spark, tmp_path):
+    """The query links lines of 20 to 80 characters that differ by one character or word."""
+    from precioscope.llm.queries import QUERIES
+
+    rng = random.Random(11)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n)).strip().ljust(n, "q")
+    texts = []
+    for n in range(20, 81):
+        x = some(n)
+        at = rng.randrange(8, n - 8)
+        words = x.split()
+        words[rng.randrange(len(words))] = "no"
+        texts += [x, x[:at] + "#" + x[at + 1 :], " ".join(words), x[:-1] + "#"]
+    want = brute_lines(texts, size=5)
+    assert want[4 * 40 + 1] == "" != brute_lines(texts)[4 * 40 + 1]  # 60 characters, one changed
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["text"] for r in QUERIES["op5_line_dedup"](spark, str(tmp_path)).collect()}
+    assert [i for i, w in enumerate(want) if got[i] != w] == []
+
+
 # --- 6
 
 
