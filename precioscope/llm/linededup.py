@@ -37,6 +37,7 @@ LINE_SCHEMA = "doc_id long, tie long, line_no int, h1 long, h2 long, keys array<
 ELEMENT_SCHEMA = "id long, n long, bitmap binary, elements binary"
 _ODD = 0x9E3779B97F4A7C15
 _TABLE: list[np.ndarray] = []
+_WORDS: list[np.ndarray] = []
 _SEED = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -50,6 +51,13 @@ def _symbols() -> np.ndarray:
     return _TABLE[0]
 
 
+def _in_words() -> np.ndarray:
+    """Which characters are letters or digits of any script."""
+    if not _WORDS:
+        _WORDS.append(np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000))
+    return _WORDS[0]
+
+
 def _characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(code points, text bounds in code points); bytes count as characters if they are not UTF-8."""
     try:
@@ -85,19 +93,42 @@ def shingle_hashes(chars: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return mix(out)
 
 
-def _sketch(chars: np.ndarray, bounds: np.ndarray, least: int, size: int = SHINGLE) -> Iterator[tuple]:
-    """(text, line number, h1, h2, minima) of each line of ``least`` characters or more."""
+def _sketch(chars: np.ndarray, bounds: np.ndarray, least: int, size: int = SHINGLE, short: bool = False) -> Iterator[tuple]:
+    """(text, line number, h1, h2, minima) of each line of ``least`` characters or more; with ``short`` also
+    of the shorter lines that have a letter or digit, whose minima are None."""
     text, number, start, stop = lines_of(chars, bounds)
-    keep = stop - start >= max(least, size)
-    text, number, start, stop = text[keep], number[keep], start[keep], stop[keep]
+    long = stop - start >= max(least, size)
+    keep = long
+    if short:
+        before = np.concatenate([[0], np.cumsum(_in_words()[chars])])
+        keep = long | (before[stop] > before[start])
+    text, number, start, stop, long = text[keep], number[keep], start[keep], stop[keep], long[keep]
     if not len(text):
         return
+    minima = iter(_minima(chars, start[long], stop[long], size))
+    # The whole line: a polynomial over all of its characters, twice.
+    place = np.arange(len(chars), dtype=np.uint64)
+    value = _symbols()[chars]
+    sums = []
+    for seed in (np.uint64(0), _SEED):
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(value + seed) * (place * np.uint64(2) + np.uint64(1)))])
+        flat = np.concatenate([[np.uint64(0)], np.cumsum(mix(value + seed))])
+        own, at = flat[stop] - flat[start], start.astype(np.uint64) * np.uint64(2)
+        sums.append(mix(total[stop] - total[start] - own * at + own * _SEED + (stop - start).astype(np.uint64)))
+    for i in range(len(text)):
+        yield int(text[i]), int(number[i]), sums[0][i], sums[1][i], next(minima) if long[i] else None
+
+
+def _minima(chars: np.ndarray, start: np.ndarray, stop: np.ndarray, size: int) -> np.ndarray:
+    """BINS minima of each line's shingle hashes."""
+    if not len(start):
+        return np.zeros((0, BINS), np.uint64)
     h = shingle_hashes(chars, size)
     count = stop - start - size + 1
     ends = np.cumsum(count)
-    line = np.repeat(np.arange(len(text)), count)
+    line = np.repeat(np.arange(len(start)), count)
     x = h[np.arange(ends[-1]) - np.repeat(ends - count - start, count)]
-    low = np.full(len(text) * BINS, np.iinfo(np.uint64).max, np.uint64)
+    low = np.full(len(start) * BINS, np.iinfo(np.uint64).max, np.uint64)
     np.minimum.at(low, line * BINS + (((x >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)).astype(np.int64), mix(x))
     low = low.reshape(-1, BINS)
     none = low == np.iinfo(np.uint64).max
@@ -107,20 +138,10 @@ def _sketch(chars: np.ndarray, bounds: np.ndarray, least: int, size: int = SHING
         take = none & ~np.roll(none, -shift, axis=1)
         low = np.where(take, np.roll(low, -shift, axis=1) + np.uint64(shift * 0x51ED270B), low)
         none = none & ~take
-    # The whole line: a polynomial over all of its characters, twice.
-    place = np.arange(len(chars), dtype=np.uint64)
-    value = _symbols()[chars]
-    sums = []
-    for seed in (np.uint64(0), _SEED):
-        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(value + seed) * (place * np.uint64(2) + np.uint64(1)))])
-        flat = np.concatenate([[np.uint64(0)], np.cumsum(mix(value + seed))])
-        own, at = flat[stop] - flat[start], start.astype(np.uint64) * np.uint64(2)
-        sums.append(mix(total[stop] - total[start] - own * at + own * _SEED + (stop - start).astype(np.uint64)))
-    for i in range(len(text)):
-        yield int(text[i]), int(number[i]), sums[0][i], sums[1][i], low[i]
+    return low
 
 
-def _signed(docs: DataFrame, least: int, size: int) -> DataFrame:
+def _signed(docs: DataFrame, least: int, size: int, short: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in LINE_SCHEMA.split(", ")]
         band = np.arange(1, BANDS + 1, dtype=np.uint64) * _SEED
@@ -128,17 +149,21 @@ def _signed(docs: DataFrame, least: int, size: int) -> DataFrame:
         for batch in batches:
             ids, ties = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             for i, _, offsets, data in chunked(batch.column(2)):
-                rows = list(_sketch(*_characters(data, offsets), least, size))
+                rows = list(_sketch(*_characters(data, offsets), least, size, short))
                 if not rows:
                     continue
                 at = np.array([r[0] for r in rows]) + i
-                minima = np.array([r[4] for r in rows]).reshape(-1, BANDS, ROWS)
-                mixed = band[None, :].repeat(len(rows), 0)
+                long = [r for r in rows if r[4] is not None]
+                minima = np.array([r[4] for r in long], np.uint64).reshape(-1, BANDS, ROWS)
+                mixed = band[None, :].repeat(len(long), 0)
                 for r in range(ROWS):
                     mixed = mix(mixed + minima[:, :, r])
-                keys = []
-                for r, own in zip(rows, mixed.view(np.int64).tolist(), strict=True):
-                    mark = (int(r[2]), int(r[3]))
+                keys, owns = [], iter(mixed.view(np.int64).tolist())
+                for r in rows:
+                    if r[4] is None:  # only equal lines meet
+                        keys.append(None)
+                        continue
+                    own, mark = next(owns), (int(r[2]), int(r[3]))
                     keys.append(None if mark in seen else own)
                     if len(seen) < SEEN_LINES:
                         seen.add(mark)
@@ -179,12 +204,12 @@ def _elements(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("text", "wanted").mapInArrow(run, ELEMENT_SCHEMA)
 
 
-def removed_lines(docs: DataFrame, scratch: Scratch, least: int = LEAST_CHARS, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+def removed_lines(docs: DataFrame, scratch: Scratch, least: int = LEAST_CHARS, percent: int = PERCENT, size: int = SHINGLE, short: bool = False) -> DataFrame:
     """(doc_id, tie, gone: line numbers from 0) of the documents (doc_id, tie, text) that lose lines.
 
     Lines are told apart by 128 bits, and named by the first 64 of them.
     """
-    wide = scratch.cut(_signed(docs, least, size), "keys")
+    wide = scratch.cut(_signed(docs, least, size, short), "keys")
     lines = scratch.cut(wide.drop("keys"), "lines")
     repeated = lines.count() > lines.select("doc_id", "tie", "line_no").distinct().count()
     reps = scratch.cut(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "tie", "line_no")).alias("first"), F.count(F.lit(1)).alias("copies")), "reps")
@@ -206,13 +231,13 @@ def removed_lines(docs: DataFrame, scratch: Scratch, least: int = LEAST_CHARS, p
     return gone.groupBy("doc_id", "tie").agg(F.collect_set("line_no").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, least: int = LEAST_CHARS, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = LEAST_CHARS, percent: int = PERCENT, size: int = SHINGLE, short: bool = False) -> DataFrame:
     """``docs`` with repeated lines taken out of text, and columns n_lines and n_removed.
 
     Lines are similar if ``percent`` of their shingles of ``size`` characters are the same.
 
-    Lines of fewer than ``least`` characters (blank ones among them) stay as they are and count as
-    no line.  Letter case and kinds of white space make no difference.  A null or empty text stays.
+    Lines of fewer than ``least`` characters stay as they are, but with ``short`` those with a letter or
+    digit lose their equals, of any document, too.  Letter case and kinds of white space make no difference.  A null or empty text stays.
     Rows that repeat a (doc_id, text) are one document and lose the same lines.  Extra columns pass
     through; an empty table gives no row.
     """
@@ -220,7 +245,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_CHARS, percent: int = PERCEN
     names = docs.columns
     keyed = docs.withColumn("_tie", F.xxhash64("text")).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")))
     texts = keyed.select(F.col("_id").alias("doc_id"), F.col("_tie").alias("tie"), "text")
-    gone = removed_lines(texts, scratch, least, percent, size).select(F.col("doc_id").alias("_gone_id"), F.col("tie").alias("_gone_tie"), "gone")
+    gone = removed_lines(texts, scratch, least, percent, size, short).select(F.col("doc_id").alias("_gone_id"), F.col("tie").alias("_gone_tie"), "gone")
     gone = scratch.cut(gone, "gone")
     out = keyed.join(gone, (F.col("_id") == F.col("_gone_id")) & (F.col("_tie") == F.col("_gone_tie")), "left")
     lines = F.split("text", "\n", -1)

@@ -45,7 +45,7 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from precioscope.llm.linededup import CORPUS_SHINGLE, dedup_lines
 
-    return dedup_lines(_table(spark, sf_dir, "documents"), size=CORPUS_SHINGLE).select("doc_id", "text", "n_lines", "n_removed")
+    return dedup_lines(_table(spark, sf_dir, "documents"), size=CORPUS_SHINGLE, short=True).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:

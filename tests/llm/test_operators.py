@@ -253,6 +253,21 @@ def test_line_dedup_short_lines(spark, tmp_path):
     assert [i for i, w in enumerate(want) if got[i] != w] == []
 
 
+def test_line_dedup_shortest_lines(spark, tmp_path):
+    """Equal lines below the bound of the fuzzy comparison go in the query and the pipeline's stage."""
+    from corpus_pipeline import line_stage
+    from precioscope.llm.queries import QUERIES
+
+    texts = ["Menu\n\n---\nA\n你好", "menu\n\n---\na\nMenus\nstay here", "x\nMENU\n你好\n ", None, "", "menu", "the last of these lines\nA", "x"]
+    want = {0: "Menu\n\n---\nA\n你好", 1: "\n---\nMenus\nstay here", 2: "x\n ", 3: None, 4: "", 5: "", 6: "the last of these lines", 7: ""}
+    docs = docs_of(spark, texts)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["op5_line_dedup"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["text"] for r in rows} == want
+    assert {r["doc_id"]: r["n_removed"] for r in rows} == {0: 0, 1: 2, 2: 2, 3: 0, 4: 0, 5: 1, 6: 1, 7: 1}
+    assert {r["doc_id"]: r["text"] for r in line_stage(spark, docs, "").collect()} == {k: v for k, v in want.items() if k not in (5, 7)}
+
+
 # --- 6
 
 
