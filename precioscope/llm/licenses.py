@@ -3,7 +3,8 @@
 A text is cut into sentences, each is normalised and looked up among known licence sentences, and
 the sequence of their identifiers is matched against ordered rules.  A rule's identifiers must occur
 in its order, other sentences may stand between them; a rule gives way to one that contains it.
-Everything is an expression over the document's row, so nothing is shuffled, and the sentence table
+Line ends of all kinds may stand inside a sentence: a piece that is not known is also tried together
+with the one or two that follow it.  Everything is an expression over the document's row, so nothing is shuffled, and the sentence table
 has a fixed size.
 """
 
@@ -15,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from precioscope.functions.text import let
+
 #: Sentences of public licence texts and notices by identifier.
 SENTENCES = {
     "mit-title": ["MIT License", "The MIT License", "The MIT License (MIT)"],
@@ -31,10 +34,11 @@ SENTENCES = {
     "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
     "bsd-no-endorsement": ["Neither the name of HOLDER nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
     "bsd-notice": ["Licensed under the BSD License", "Released under the BSD License", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file"],
-    "apache-title": ["Apache License Version 2.0, January 2004"],
+    "apache-title": ["Apache License Version 2.0, January 2004", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", "Apache License Version 2.0, January 2004 https://www.apache.org/licenses/"],
+    "apache-header": ['Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License', 'The ASF licenses this file to You under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License'],
     "apache-notice": ['Licensed under the Apache License, Version 2.0 (the "License")', "Licensed under the Apache License, Version 2.0", "Released under the Apache License, Version 2.0", "This project is licensed under the Apache License 2.0"],
-    "apache-may-not": ["you may not use this file except in compliance with the License", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License'],
-    "apache-copy": ["You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
+    "apache-may-not": ["you may not use this file except in compliance with the License"],
+    "apache-copy": ["You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"],
     "apache-as-is": ['Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied'],
     "gpl3-notice": ["This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License v3.0", "Released under the GNU General Public License, version 3"],
     "gpl2-notice": ["Licensed under the GNU General Public License, version 2", "This work is licensed under the GNU General Public License, version 2"],
@@ -66,7 +70,9 @@ RULES: list[tuple[str, list[str]]] = [
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("BSD", ["bsd-notice"]),
     ("Apache-2.0", ["apache-notice"]),
+    ("Apache-2.0", ["apache-header"]),
     ("Apache-2.0", ["apache-may-not", "apache-copy"]),
+    ("Apache-2.0", ["apache-may-not", "apache-as-is"]),
     ("Apache-2.0", ["apache-title"]),
     ("GPL-3.0", ["gpl3-notice"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl-hope"]),
@@ -90,19 +96,21 @@ MAY = r"(?i)licen[cs]e|permission|redistribut|warrant|public domain|spdx|free so
 #: Sentence ends: . ! ? before white space (not of v.), : at a line's end, blank lines, ends of titles.
 MARKS = r"(?m)^[ \t]*(?:#+|//+|/\*+|\*+/?|--|;+|%+|\(\*)[ \t]?"
 BREAKS = r"(?<=[.!?])(?<!\bv\.)\s+|(?<=:)[ \t]*\n|\n[ \t]*\n|(?i)(?<=licen[cs]e)[ \t]*\n|(?i)(?<=\(mit\))[ \t]*\n"
-COPYRIGHT = r"(?im)^[ \t]*(?:copyright\b|\(c\)|all rights reserved)[^\n]*$"
+COPYRIGHT = r"(?im)^[ \t]*(?:copyright\b(?![ \t]+(?:notices?|holders?|owners?|and related)\b)|\(c\)|all rights reserved)[^\n]*$"
 SPDX_TAG = r"(?i)SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)"
 
+HOLDER = r"(?is)neither\s+the\s+name\s+of\s.{1,100}?\snor\s+the\s+names\s+of"
+
 
 def normalise(sentence: str) -> str:
     """The Python twin of the column expression, used to build the table."""
-    s = re.sub(r"(?i)neither the name of .{1,100}? nor the names of", "neither the name of holder nor the names of", sentence)
+    s = re.sub(HOLDER, "neither the name of holder nor the names of", sentence)
     s = re.sub(r"[^a-z0-9+.]+", " ", s.lower())
     return re.sub(r"[. ]+$|^(?:[0-9]\.? )?[ ]*", "", s.strip()).strip()
 
 
 def _normalised(s: Column) -> Column:
-    s = F.regexp_replace(s, r"(?i)neither the name of .{1,100}? nor the names of", "neither the name of holder nor the names of")
+    s = F.regexp_replace(s, HOLDER, "neither the name of holder nor the names of")
     s = F.trim(F.regexp_replace(F.lower(s), r"[^a-z0-9+.]+", " "))
     return F.trim(F.regexp_replace(s, r"[. ]+$|^(?:[0-9]\.? )?[ ]*", ""))
 
@@ -113,16 +121,28 @@ def _table() -> dict[str, str]:
 
 
 def sentences_of(text: Column) -> Column:
-    plain = F.regexp_replace(F.regexp_replace(text, MARKS, ""), COPYRIGHT, "\n")
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), MARKS, ""), COPYRIGHT, "\n")
     return F.split(F.regexp_replace(plain, SPDX_TAG, "\n\nspdx license identifier $1\n\n"), BREAKS)
 
 
 def known_sentences(text: Column, table: Column) -> Column:
-    """Identifiers of the known sentences in text order; where a sentence is not known as a whole, each
-    of its lines may be (a notice under a line without a full stop)."""
-    look = lambda s: F.element_at(table, _normalised(s))
-    each = F.transform(sentences_of(text), lambda s: F.when(look(s).isNotNull(), F.array(look(s))).otherwise(F.transform(F.split(s, "\n"), look)))
-    return F.array_compact(F.flatten(each))
+    """Identifiers of the known sentences in text order; where a sentence is not known as a whole, it
+    may be with the next or next two (a blank line or title's end inside it), or each of its lines may be
+    (a notice under a line without a full stop)."""
+    look = lambda s: F.element_at(table, s)
+
+    def among(pieces: Column) -> Column:
+        def one(piece: Column, i: Column) -> Column:
+            after = [F.get(pieces, i + k)["plain"] for k in (1, 2)]
+            two = F.concat(piece["plain"], F.lit(" "), after[0])
+            joined = F.when(look(after[0]).isNull(), F.coalesce(look(two), look(F.concat(two, F.lit(" "), after[1]))))
+            lines = F.transform(F.split(piece["raw"], "\n"), lambda x: look(_normalised(x)))
+            return let(F.coalesce(look(piece["plain"]), joined), lambda known: F.when(known.isNotNull(), F.array(known)).otherwise(lines))
+
+        return F.transform(pieces, one)
+
+    pieces = F.transform(sentences_of(text), lambda s: F.struct(s.alias("raw"), _normalised(s).alias("plain")))
+    return F.array_compact(F.flatten(let(F.filter(pieces, lambda p: p["plain"] != ""), among)))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:

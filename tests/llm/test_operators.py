@@ -308,6 +308,71 @@ def test_licenses(spark):
     assert {r["licenses"] for r in scan_licenses(docs_of(spark, EDGE)).collect()} == {""}
 
 
+APACHE_HEADER = """Copyright 2024 Somebody
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+APACHE_TEXT = """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+"""
+GPL3_HEADER = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+ISC_TEXT = """ISC License
+
+Copyright (c) 2024, Somebody
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS.
+"""
+
+
+def test_license_layouts(spark):
+    from precioscope.llm.licenses import scan_licenses
+
+    comment = lambda t, mark: "\n".join(f"{mark}{x}".rstrip() for x in t.split("\n"))
+    asf = "/*\n" + comment(APACHE_HEADER.replace("Licensed under the Apache", "The ASF licenses this file to You under the Apache"), " * ") + "/"
+    kept = APACHE_HEADER.split('"License");\n')[1]
+    wrapped = GPL3_HEADER.replace("License as published by\nthe Free", "License\nas published by the Free")
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above\n   copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n3. Neither the name of the copyright holder nor the\n   names of its contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"
+    want = [
+        (APACHE_HEADER, "Apache-2.0"), (comment(APACHE_HEADER, "# "), "Apache-2.0"), (asf, "Apache-2.0"), (APACHE_HEADER.replace("\n", "\r\n"), "Apache-2.0"), (kept, "Apache-2.0"),
+        (kept.split("Unless")[0], "Apache-2.0"), (kept.replace("www.apache.org/licenses/LICENSE-2.0", "example.org/other").split("Unless")[0], ""), (APACHE_TEXT, "Apache-2.0"),
+        (GPL3_HEADER, "GPL-3.0-or-later"), (wrapped, "GPL-3.0-or-later"), (comment(wrapped, "// "), "GPL-3.0-or-later"), (wrapped.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2"), "GPL-2.0-or-later"),
+        (ISC_TEXT, "ISC"), (bsd, "BSD-3-Clause"),
+    ]
+    rows = {r["doc_id"]: r for r in scan_licenses(docs_of(spark, [t for t, _ in want])).collect()}
+    assert [(i, n, rows[i]["licenses"]) for i, (_, n) in enumerate(want) if rows[i]["licenses"] != n] == []
+    assert rows[4]["sentence_ids"] == "apache-may-not,apache-copy,apache-as-is"
+
+
 # --- 8
 
 
