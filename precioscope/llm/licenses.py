@@ -16,8 +16,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from precioscope.functions.text import let
+from precioscope.functions.text import let, literals
+from precioscope.llm.spdx import LICENSES
 
+CC = {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nc": "Attribution-NonCommercial", "by-nd": "Attribution-NoDerivatives", "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
 #: Sentences of public licence texts and notices by identifier.
 SENTENCES = {
     "mit-title": ["MIT License", "The MIT License", "The MIT License (MIT)"],
@@ -44,21 +46,38 @@ SENTENCES = {
     "gpl2-notice": ["Licensed under the GNU General Public License, version 2", "This work is licensed under the GNU General Public License, version 2"],
     "gpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
     "gpl2-free": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"],
+    "gpl2-only-free": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation", "This program is free software; you can redistribute it and/or modify it under the terms and conditions of the GNU General Public License, version 2, as published by the Free Software Foundation"],
+    "gpl3-text": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "The GNU General Public License is a free, copyleft license for software and other kinds of works"],
+    "gpl2-text": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "This General Public License applies to most of the Free Software Foundation's software and to any other program whose authors commit to using it"],
     "gpl-hope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"],
     "lgpl-notice": ["Licensed under the GNU Lesser General Public License, version 3", "Licensed under the GNU Lesser General Public License, version 2.1"],
+    "lgpl21-free": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"],
+    "lgpl3-free": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "lgpl21-text": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", "This license, the Lesser General Public License, applies to some specially designated software packages--typically libraries--of the Free Software Foundation and other authors who decide to use it"],
+    "lgpl3-text": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below"],
+    "agpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "agpl-text": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software"],
     "agpl-notice": ["Licensed under the GNU Affero General Public License, version 3"],
     "mpl-notice": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License, version 2.0"],
     "mpl-copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"],
+    "mpl-text": ["Mozilla Public License Version 2.0", '"Covered Software" means Source Code Form to which the initial Contributor has attached the notice in Exhibit A, the Executable Form of such Source Code Form, and Modifications of such Source Code Form, in each case including portions thereof'],
     "unlicense-domain": ["This is free and unencumbered software released into the public domain"],
     "cc0-notice": ["Released under CC0 1.0", "Licensed under CC0 1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"],
     "cc-by-notice": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "cc-by-sa-notice": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
     "cc-by-nc-notice": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "cc-by-nd-notice": ["Licensed under CC BY-ND 4.0"],
+    "cc0-text": ["Creative Commons Legal Code CC0 1.0 Universal", "CC0 1.0 Universal"],
+    **{
+        f"cc-{key}-text": [
+            f"Creative Commons {name} 4.0 International Public License",
+            f'By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons {name} 4.0 International Public License ("Public License")',
+        ]
+        for key, name in CC.items()
+    },
     "zlib-as-is": ["This software is provided 'as-is', without any express or implied warranty"],
     "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
 }
-SPDX = ["MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-3.0-only", "AGPL-3.0-only", "MPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "Zlib"]
 #: (licence, identifiers in order); a licence may have several rules.
 RULES: list[tuple[str, list[str]]] = [
     ("MIT", ["mit-grant", "mit-notice-kept", "as-is-software"]),
@@ -78,17 +97,28 @@ RULES: list[tuple[str, list[str]]] = [
     ("GPL-3.0-or-later", ["gpl-free", "gpl-hope"]),
     ("GPL-2.0", ["gpl2-notice"]),
     ("GPL-2.0-or-later", ["gpl2-free", "gpl-hope"]),
+    ("GPL-2.0-only", ["gpl2-only-free"]),
+    ("GPL-2.0", ["gpl2-text"]),
+    ("GPL-3.0", ["gpl3-text"]),
     ("LGPL", ["lgpl-notice"]),
+    ("LGPL-2.1-or-later", ["lgpl21-free"]),
+    ("LGPL-2.1", ["lgpl21-text"]),
+    ("LGPL-3.0-or-later", ["lgpl3-free"]),
+    ("LGPL-3.0", ["lgpl3-text"]),
+    ("AGPL-3.0-or-later", ["agpl-free"]),
+    ("AGPL-3.0", ["agpl-text"]),
     ("AGPL-3.0", ["agpl-notice"]),
     ("MPL-2.0", ["mpl-notice"]),
+    ("MPL-2.0", ["mpl-text"]),
     ("Unlicense", ["unlicense-domain"]),
     ("CC0-1.0", ["cc0-notice"]),
+    ("CC0-1.0", ["cc0-text"]),
+    *[(f"CC-{key.upper()}-4.0", [f"cc-{key}-text"]) for key in CC],
     ("CC-BY-4.0", ["cc-by-notice"]),
     ("CC-BY-SA-4.0", ["cc-by-sa-notice"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-notice"]),
     ("CC-BY-ND-4.0", ["cc-by-nd-notice"]),
     ("Zlib", ["zlib-as-is", "zlib-grant"]),
-    *[(name, [f"spdx-{name.lower()}"]) for name in SPDX],
 ]
 #: A rule's licence gives way to these if they match too.
 GIVES_WAY = {"BSD-2-Clause": ["BSD-3-Clause"]}
@@ -97,7 +127,11 @@ MAY = r"(?i)licen[cs]e|permission|redistribut|warrant|public domain|spdx|free so
 MARKS = r"(?m)^[ \t]*(?:#+|//+|/\*+|\*+/?|--|;+|%+|\(\*)[ \t]?"
 BREAKS = r"(?<=[.!?])(?<!\bv\.)\s+|(?<=:)[ \t]*\n|\n[ \t]*\n|(?i)(?<=licen[cs]e)[ \t]*\n|(?i)(?<=\(mit\))[ \t]*\n"
 COPYRIGHT = r"(?im)^[ \t]*(?:copyright\b(?![ \t]+(?:notices?|holders?|owners?|and related)\b)|\(c\)|all rights reserved)[^\n]*$"
-SPDX_TAG = r"(?i)SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)"
+#: An expression: identifiers, in any parentheses, with operators between them. What follows a small
+#: operator must look like an identifier, since the tag may stand in prose.
+_OPEN, _ID, _CLOSE = r"(?:\([ \t]*)*", r"[A-Za-z0-9.:+-]+", r"(?:[ \t]*\))*"
+SPDX_TAG = rf"(?i:SPDX-License-Identifier):[ \t]*({_OPEN}{_ID}{_CLOSE}(?:[ \t]+(?:AND|OR|WITH|(?:and|or|with)(?=[ \t(]+(?:[A-Za-z]*[0-9]|[A-Za-z]+-[A-Za-z0-9]|(?:MIT|ISC|Zlib|Unlicense)\b)))[ \t]+{_OPEN}{_ID}{_CLOSE})*)"
+SPDX_MARK = "spdx license identifier "
 
 HOLDER = r"(?is)neither\s+the\s+name\s+of\s.{1,100}?\snor\s+the\s+names\s+of"
 
@@ -116,13 +150,26 @@ def _normalised(s: Column) -> Column:
 
 
 def _table() -> dict[str, str]:
-    table = {normalise(s): key for key, texts in SENTENCES.items() for s in texts}
-    return table | {f"spdx license identifier {normalise(n)}": f"spdx-{n.lower()}" for n in SPDX}
+    return {normalise(s): key for key, texts in SENTENCES.items() for s in texts}
+
+
+def _listed(name: Column) -> Column:
+    """An identifier of the SPDX list as the list writes it, one of LicenseRef-... as it stands, else null."""
+    at = F.array_position(literals([n.lower() for n in LICENSES]), F.lower(name))
+    return F.when(at > 0, F.get(literals(LICENSES), (at - 1).cast("int"))).when(F.lower(name).rlike(r"^(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+$"), name)
+
+
+def spdx_names(expression: Column) -> Column:
+    """The licences of an SPDX expression; exceptions (after WITH) are none, and what is not listed is left out."""
+    plain = F.regexp_replace(expression, r"(?i)\bwith[ \t(]+[^ \t()]+", "")
+    words = F.transform(F.split(plain, r"[\s()]+"), lambda w: F.rtrim(w, F.lit(".:")))
+    # A plus (or later) stands for its licence where the list has no name with it.
+    return F.array_compact(F.transform(words, lambda w: F.coalesce(_listed(w), F.when(_listed(F.rtrim(w, F.lit("+"))).isNotNull(), F.concat(_listed(F.rtrim(w, F.lit("+"))), F.lit("+"))))))
 
 
 def sentences_of(text: Column) -> Column:
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), MARKS, ""), COPYRIGHT, "\n")
-    return F.split(F.regexp_replace(plain, SPDX_TAG, "\n\nspdx license identifier $1\n\n"), BREAKS)
+    return F.split(F.regexp_replace(plain, SPDX_TAG, f"\n\n{SPDX_MARK}$1\n\n"), BREAKS)
 
 
 def known_sentences(text: Column, table: Column) -> Column:
@@ -137,7 +184,8 @@ def known_sentences(text: Column, table: Column) -> Column:
             two = F.concat(piece["plain"], F.lit(" "), after[0])
             joined = F.when(look(after[0]).isNull(), F.coalesce(look(two), look(F.concat(two, F.lit(" "), after[1]))))
             lines = F.transform(F.split(piece["raw"], "\n"), lambda x: look(_normalised(x)))
-            return let(F.coalesce(look(piece["plain"]), joined), lambda known: F.when(known.isNotNull(), F.array(known)).otherwise(lines))
+            tags = F.transform(spdx_names(F.substring(piece["raw"], len(SPDX_MARK) + 1, 1 << 20)), lambda n: F.concat(F.lit("spdx-"), n))
+            return F.when(piece["raw"].startswith(SPDX_MARK), tags).otherwise(let(F.coalesce(look(piece["plain"]), joined), lambda known: F.when(known.isNotNull(), F.array(known)).otherwise(lines)))
 
         return F.transform(pieces, one)
 
@@ -160,6 +208,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         hit = F.col("line").rlike(".*".join(f",{re.escape(k)}," for k in keys))
         hits[name] = hits[name] | hit if name in hits else hit
     kept = {n: reduce(lambda a, b: a & ~hits[b], GIVES_WAY.get(n, []), h) for n, h in hits.items()}
-    names = F.array_compact(F.array(*[F.when(kept[n], F.lit(n)) for n in sorted(kept)]))
+    tags = F.transform(F.filter("ids", lambda k: k.startswith("spdx-")), lambda k: F.substring(k, 6, 1 << 20))
+    names = F.array_sort(F.array_union(F.array_compact(F.array(*[F.when(kept[n], F.lit(n)) for n in sorted(kept)])), tags))
     none = F.array().cast("array<string>")
     return out.select("doc_id", F.array_join(F.when(F.size("ids") > 0, names).otherwise(none), ",").alias("licenses"), F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"))

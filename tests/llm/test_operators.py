@@ -373,6 +373,29 @@ def test_license_layouts(spark):
     assert rows[4]["sentence_ids"] == "apache-may-not,apache-copy,apache-as-is"
 
 
+def test_license_expressions_and_texts(spark):
+    from precioscope.llm.licenses import scan_licenses
+
+    tag = "SPDX-License-Identifier: "
+    gpl = "                    GNU GENERAL PUBLIC LICENSE\n                       Version {}\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n"
+    want = [(f"# {tag}{n}\nx", n) for n in ("GPL-2.0", "GPL-2.0+", "GPL-3.0", "LGPL-2.1", "LGPL-2.1-or-later", "AGPL-3.0", "0BSD", "BSL-1.0", "EPL-2.0", "MIT", "LicenseRef-own.1")]
+    want += [
+        (f"// {tag}MIT OR Apache-2.0\ncode", "Apache-2.0,MIT"), (f"/* {tag}(MIT OR Apache-2.0) */", "Apache-2.0,MIT"), (f"{tag}(mit and (BSD-2-Clause OR BSD-3-Clause)) AND ISC.", "BSD-2-Clause,BSD-3-Clause,ISC,MIT"),
+        (f"{tag}GPL-2.0-only WITH Classpath-exception-2.0 OR MIT", "GPL-2.0-only,MIT"), (f"{tag}MIT or Apache-2.0", "Apache-2.0,MIT"), (f"{tag}MIT and this is prose about isc", "MIT"), (f"{tag}Apache-1.1+", "Apache-1.1+"),
+        (f"{tag}see LICENSE", ""), (f"{tag}NOASSERTION", ""), (f"{tag}Apache-2.0 {tag}Zlib", "Apache-2.0,Zlib"),
+        (gpl.format("3, 29 June 2007"), "GPL-3.0"), (gpl.format("2, June 1991"), "GPL-2.0"), (gpl.replace("GENERAL", "LESSER GENERAL").format("3, 29 June 2007"), "LGPL-3.0"), (gpl.replace("GENERAL", "AFFERO GENERAL").format("3, 19 November 2007"), "AGPL-3.0"),
+        ("  The GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works.\n", "GPL-3.0"),
+        (GPL3_HEADER.replace("GNU General", "GNU Affero General"), "AGPL-3.0-or-later"), (GPL3_HEADER.replace("GNU General", "GNU Lesser General"), "LGPL-3.0-or-later"),
+        ('Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n', "MPL-2.0"),
+        ('1.4. "Covered Software"\n    means Source Code Form to which the initial Contributor has attached\n    the notice in Exhibit A, the Executable Form of such Source Code\n    Form, and Modifications of such Source Code Form, in each case\n    including portions thereof.\n\nThis license', "MPL-2.0"),
+        ("Creative Commons Legal Code\n\nCC0 1.0 Universal\n\n    LICENSE", "CC0-1.0"),
+        ('Creative Commons Attribution-ShareAlike 4.0 International Public\nLicense\n\nBy exercising the Licensed Rights (defined below), You accept', "CC-BY-SA-4.0"),
+        ('By exercising the Licensed Rights (defined below), You accept and agree\nto be bound by the terms and conditions of this Creative Commons\nAttribution-NonCommercial-NoDerivatives 4.0 International Public License\n("Public License"). To the extent', "CC-BY-NC-ND-4.0"),
+    ]
+    rows = {r["doc_id"]: r for r in scan_licenses(docs_of(spark, [t for t, _ in want])).collect()}
+    assert [(t, n, rows[i]["licenses"]) for i, (t, n) in enumerate(want) if rows[i]["licenses"] != n] == []
+
+
 # --- 8
 
 
