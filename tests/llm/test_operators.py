@@ -571,6 +571,17 @@ def test_oracle(spark, sf_dir, name):
     assert sorted(theirs.columns) == cols and norm(ours) == norm(theirs)
 
 
+def test_near_duplicate_stage_rows(spark):
+    """Repeated rows, a doc_id with two texts and rows without doc_id."""
+    from corpus_pipeline import near_duplicate_stage
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(5, a), (5, a), (5, b), (2, a + " end"), (None, b), (None, c), (None, c), (7, d), (7, d), (None, None), (None, None), (8, ""), (8, "")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    got = sorted(((r["doc_id"], r["text"]) for r in near_duplicate_stage(spark, docs, "").collect()), key=repr)
+    assert got == sorted([(2, a + " end"), (5, b), (None, c), (7, d), (None, None), (None, None), (8, ""), (8, "")], key=repr)
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as P
 
