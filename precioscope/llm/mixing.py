@@ -2,7 +2,7 @@
 
 Every source's words are packed into fixed-length blocks by distributed prefix sums (the source is
 split into hashed buckets, so a source that holds a third of all rows is spread like the others).
-A source's slots are drawn to the output shards by a multinomial, a slot is mapped to a block by the
+A source's slots are labelled with shards by a multinomial draw (no result reads the label), a slot is mapped to a block by the
 source's own pseudorandom permutation of block indexes (a Feistel network, one per pass over the
 source), and slots are joined to blocks by index.  The last slot of a source is cut to the words
 still due, so the words taken meet the target to the word.
