@@ -32,33 +32,38 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find inside a partition: its edges become stars around least nodes."""
-    parent: dict[int, int] = {}
+    parent: dict = {}
+    kind: pa.DataType | None = None
 
-    def find(x: int) -> int:
+    def find(x):
         while parent.setdefault(x, x) != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
     for batch in batches:
+        kind = batch.column(0).type
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             x, y = find(a), find(b)
             if x != y:
                 parent[max(x, y)] = min(x, y)
     rows = [(x, find(x)) for x in parent]
     rows = [r for r in rows if r[0] != r[1]]
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["u", "v"])
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k in (0, 1)], names=["u", "v"])
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component) of every node that an edge (a, b) touches; component is its least node.
 
+    Nodes are of any type that has an order.
     Each partition first contracts its own edges; star rounds join what is left between partitions,
     and there are none where one partition held all.  Loops and repeated edges do not matter; no
     edges give no rows.
     """
-    pairs = edges.filter("a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct()
-    now = scratch.cut(pairs.mapInArrow(_local, "u long, v long").distinct(), "edges")
+    kind = edges.schema["a"].dataType.simpleString()
+    pairs = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    now = scratch.cut(pairs.mapInArrow(_local, f"u {kind}, v {kind}").distinct(), "edges")
     while True:
         # Done when it is a forest of stars: no centre has a lesser neighbour and no leaf two.
         ends = now.select(F.col("u").alias("x"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).unionByName(now.select(F.col("v").alias("x"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))

@@ -1,19 +1,23 @@
 """Op 5: fuzzy line deduplication by MinHash.
 
-Lines are compared as sets of character shingles.  Equal lines are one representative.  A signature
-is one permutation in BINS bins (empty bins borrow), cut into bands of ROWS values; representatives
-that agree in a band meet in a tile, are bounded by parity bitmaps, verified by exact Jaccard and
-merged by distributed union-find (linking.py).  Of a component only its first line is kept, in the
-order of (doc_id, line number).
-
-With 12 bands of 4 values two lines of similarity 0.8 meet with probability 0.998, of 0.9 with more
-than 0.9999.
+Equal lines are one representative, told by a 128-bit BLAKE2 hash of the normalised line.  Others are
+compared as sets of character shingles: a signature of minima over bins of a permutation (empty bins
+borrow) is cut into bands of ROWS values, lines that agree in a band meet in a tile, are bounded by
+parity bitmaps, verified by exact Jaccard and merged by distributed union-find (linking.py).  Of a
+component only its first line is kept, in the order of (doc_id, line number).
+
+Lines of fewer than FEW shingles would borrow most of the bins of one permutation and meet by chance,
+so each of their bands has a permutation of its own; lines of at least FEW * percent shingles have
+the bands of one permutation (as well), so similar lines always have a scheme in common.  With 12
+bands of 5 values two lines of similarity 0.8 meet with probability 0.991, of 0.9 with more than
+0.9999.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -21,236 +25,275 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from precioscope.llm.arrowtext import chunked, mix
-from precioscope.llm.linking import bitmap_bits, link_components, parity_bitmap
+from precioscope.llm.linking import hot_keys, link_small_sets, shared_tiles
 from precioscope.llm.scratch import Scratch
 
-SHINGLE = 8
-#: Of the query and the pipeline: one changed character inside a line leaves 0.8 from 49 characters on, with 8 from 79 on.
-CORPUS_SHINGLE = 5
+SHINGLE = CORPUS_SHINGLE = 5
 PERCENT = 80
 LEAST_CHARS = 20
-BANDS, ROWS = 12, 4
+BANDS, ROWS = 12, 5
 BINS = BANDS * ROWS
-NEWLINE = 10
-SEEN_LINES = 500_000
-LINE_SCHEMA = "doc_id long, tie long, line_no int, h1 long, h2 long, keys array<long>"
-ELEMENT_SCHEMA = "id long, n long, bitmap binary, elements binary"
+FEW = 100
+#: FEW different shingles leave 11 of 60 bins empty on average, and fewer than this in one of 300 lines.
+SUSPECT = 5
+SEEN_LINES = 200_000
+FLUSH_LINES = 50_000
+LINE_SCHEMA = "doc_id long, tie long, line_no int, id binary, name long, keys array<long>, hot array<long>"
+MEMBER_SCHEMA = "name long, id binary, elements binary"
 _ODD = 0x9E3779B97F4A7C15
-_TABLE: list[np.ndarray] = []
-_WORDS: list[np.ndarray] = []
-_SEED = np.uint64(0xC2B2AE3D27D4EB4F)
+_NONE = np.iinfo(np.uint64).max
+_TABLES: list[np.ndarray] = []
+#: A-Z count as a-z, white space as a space; line ends stay.
+_SAME = bytes(c + 32 if 65 <= c <= 90 else 32 if c in (9, 11, 12, 13) else c for c in range(256))
 
 
-def _symbols() -> np.ndarray:
-    """A random 64-bit value of each character; A-Z count as a-z, white space as a space."""
-    if not _TABLE:
-        code = np.arange(0x110000, dtype=np.uint64)
-        code[65:91] += np.uint64(32)
-        code[9:14] = 32
-        _TABLE.append(mix(code + np.uint64(1)))
-    return _TABLE[0]
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Of each character: a random 64-bit value; is it a letter or digit of any script?"""
+    if not _TABLES:
+        _TABLES.append(mix(np.arange(1, 0x110001, dtype=np.uint64)))
+        _TABLES.append(np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000))
+    return _TABLES[0], _TABLES[1]
 
 
-def _in_words() -> np.ndarray:
-    """Which characters are letters or digits of any script."""
-    if not _WORDS:
-        _WORDS.append(np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000))
-    return _WORDS[0]
-
-
-def _characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(code points, text bounds in code points); bytes count as characters if they are not UTF-8."""
+def _characters(data: bytes, bounds: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, place of each byte among them) of texts one after another; in a text that is not
+    UTF-8 bytes count as characters."""
+    raw = np.frombuffer(data, np.uint8)
     try:
-        chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        chars = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
+        first = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
     except UnicodeDecodeError:
-        return data.astype(np.uint32), offsets
-    first = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    return chars, first[offsets]
-
-
-def lines_of(chars: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, line number, start, end) of every line, line ends excluded; a text of n line ends has n + 1."""
-    n = len(bounds) - 1
-    ends = np.flatnonzero(chars == NEWLINE)
-    doc = np.searchsorted(bounds, ends, "right") - 1
-    text = np.concatenate([doc, np.arange(n)])
-    stop = np.concatenate([ends, bounds[1:]])
-    order = np.lexsort((stop, text))
-    text, stop = text[order], stop[order]
-    first = np.concatenate([[True], text[1:] != text[:-1]]) if len(text) else np.zeros(0, bool)
-    start = np.where(first, bounds[text], np.concatenate([[0], stop[:-1] + 1]))
-    at = np.flatnonzero(first)
-    number = np.arange(len(text)) - np.repeat(at, np.diff(np.append(at, len(text))))
-    return text, number, start, stop
+        if len(bounds) == 2:
+            return raw.astype(np.uint32), np.arange(len(raw) + 1)
+        parts = [_characters(data[a:b], [0, b - a]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        chars = np.concatenate([p[0] for p in parts])
+        ends = np.cumsum([0, *(len(p[0]) for p in parts)])
+        first = np.concatenate([*(p[1][:-1] + e for p, e in zip(parts, ends[:-1], strict=True)), ends[-1:]])
+    return chars, first
 
 
 def shingle_hashes(chars: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """Hash of the ``size`` characters from each place on (of fewer at the end)."""
-    value = _symbols()[chars]
-    out = np.zeros(len(chars), np.uint64)
-    for k in range(min(size, len(chars))):
-        out[: len(chars) - k] += value[k:] * np.uint64(pow(_ODD, k + 1, 1 << 64))
+    value = _tables()[0][chars]
+    out = value.copy()
+    for k in range(1, min(size, len(chars))):
+        out *= np.uint64(_ODD)
+        out[: len(chars) - k] += value[k:]
     return mix(out)
 
 
-def _sketch(chars: np.ndarray, bounds: np.ndarray, least: int, size: int = SHINGLE, short: bool = False) -> Iterator[tuple]:
-    """(text, line number, h1, h2, minima) of each line of ``least`` characters or more; with ``short`` also
-    of the shorter lines that have a letter or digit, whose minima are None."""
-    text, number, start, stop = lines_of(chars, bounds)
-    long = stop - start >= max(least, size)
-    keep = long
-    if short:
-        before = np.concatenate([[0], np.cumsum(_in_words()[chars])])
-        keep = long | (before[stop] > before[start])
-    text, number, start, stop, long = text[keep], number[keep], start[keep], stop[keep], long[keep]
-    if not len(text):
-        return
-    minima = iter(_minima(chars, start[long], stop[long], size))
-    # The whole line: a polynomial over all of its characters, twice.
-    place = np.arange(len(chars), dtype=np.uint64)
-    value = _symbols()[chars]
-    sums = []
-    for seed in (np.uint64(0), _SEED):
-        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(value + seed) * (place * np.uint64(2) + np.uint64(1)))])
-        flat = np.concatenate([[np.uint64(0)], np.cumsum(mix(value + seed))])
-        own, at = flat[stop] - flat[start], start.astype(np.uint64) * np.uint64(2)
-        sums.append(mix(total[stop] - total[start] - own * at + own * _SEED + (stop - start).astype(np.uint64)))
-    for i in range(len(text)):
-        yield int(text[i]), int(number[i]), sums[0][i], sums[1][i], next(minima) if long[i] else None
-
-
-def _minima(chars: np.ndarray, start: np.ndarray, stop: np.ndarray, size: int) -> np.ndarray:
-    """BINS minima of each line's shingle hashes."""
-    if not len(start):
-        return np.zeros((0, BINS), np.uint64)
-    h = shingle_hashes(chars, size)
-    count = stop - start - size + 1
-    ends = np.cumsum(count)
-    line = np.repeat(np.arange(len(start)), count)
-    x = h[np.arange(ends[-1]) - np.repeat(ends - count - start, count)]
-    low = np.full(len(start) * BINS, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(low, line * BINS + (((x >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)).astype(np.int64), mix(x))
-    low = low.reshape(-1, BINS)
-    none = low == np.iinfo(np.uint64).max
-    for shift in range(1, BINS):  # an empty bin takes the next full bin's value, marked by the distance
+def line_set(line: bytes, size: int = SHINGLE) -> np.ndarray:
+    """The sorted shingle hashes of a line given as its normalised bytes."""
+    chars, _ = _characters(line, [0, len(line)])
+    return np.unique(shingle_hashes(chars, size)[: max(1, len(chars) - size + 1)])
+
+
+def _minima(x: np.ndarray, line: np.ndarray, lines: int, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """Minima of each line's hashes in each bin (an empty bin takes the next full one's, marked by the
+    distance), and the number of empty bins."""
+    low = np.full(lines * bins, _NONE, np.uint64)
+    np.minimum.at(low, line * bins + (((x >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64), x)
+    low = low.reshape(-1, bins)
+    none = low == _NONE
+    empty = none.sum(axis=1)
+    for shift in range(1, bins):
         if not none.any():
             break
         take = none & ~np.roll(none, -shift, axis=1)
         low = np.where(take, np.roll(low, -shift, axis=1) + np.uint64(shift * 0x51ED270B), low)
-        none = none & ~take
-    return low
+        none &= ~take
+    return low, empty
 
 
-def _signed(docs: DataFrame, least: int, size: int, short: bool) -> DataFrame:
+def _banded(low: np.ndarray, seed: int) -> np.ndarray:
+    """A key of each ROWS neighbouring minima; they are evenly spread numbers, so sums of odd multiples are."""
+    bands = low.shape[1] // ROWS
+    key = mix(np.arange(1, bands + 1, dtype=np.uint64) + np.uint64(seed << 32))[None, :].repeat(len(low), 0)
+    for r in range(ROWS):
+        key = mix(key + low[:, r::ROWS])
+    return key
+
+
+def line_keys(h: np.ndarray, start: np.ndarray, stop: np.ndarray, size: int = SHINGLE, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """(keys line by line, number of each line's) from the shingle hashes of characters; stop excludes the line's end."""
+    count = stop - start - size + 1
+    lines = len(count)
+    line = np.repeat(np.arange(lines), count)
+    ends = np.cumsum(count)
+    x = h[np.arange(ends[-1] if lines else 0) + np.repeat(start - ends + count, count)]
+    few, many = count < FEW, count * 100 >= FEW * percent
+    keys = np.zeros((lines, 2 * BANDS), np.uint64)
+    if many.any():
+        own = np.cumsum(many) - 1
+        at = many[line]
+        low, empty = _minima(x[at], own[line[at]], int(many.sum()), BINS)
+        keys[many, BANDS:] = _banded(low, 99)
+        # A long line of few different shingles is similar to short ones: enough empty bins make it suspect.
+        suspect = np.zeros(lines, bool)
+        suspect[many] = empty >= SUSPECT
+        suspect &= ~few
+        if suspect.any():
+            at = suspect[line]
+            order = np.lexsort((x[at], line[at]))
+            xs, ls = x[at][order], line[at][order]
+            fresh = np.concatenate([[True], (xs[1:] != xs[:-1]) | (ls[1:] != ls[:-1])])
+            few |= suspect & (np.bincount(ls[fresh], minlength=lines) < FEW)
+    if few.any():
+        own = np.cumsum(few) - 1
+        at = few[line]
+        xs, ls = x[at], own[line[at]]
+        for band in range(BANDS):
+            low, _ = _minima(mix(xs + np.uint64((band + 1) * _ODD & (1 << 64) - 1)), ls, int(few.sum()), ROWS)
+            keys[few, band] = _banded(low, band + 1)[:, 0]
+    has = np.concatenate([few[:, None].repeat(BANDS, 1), many[:, None].repeat(BANDS, 1)], axis=1)
+    return keys[has], has.sum(axis=1)
+
+
+def _signed(docs: DataFrame, least: int, size: int, percent: int, short: bool) -> DataFrame:
+    """The lines of ``least`` characters, with ``short`` also those that have a letter or digit; once a task
+    also the keys of a line."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in LINE_SCHEMA.split(", ")]
-        band = np.arange(1, BANDS + 1, dtype=np.uint64) * _SEED
-        seen: set[tuple[int, int]] = set()  # a line's keys are given once a task, however often it stands there
+        seen: set[bytes] = set()  # bounded; a line's keys are given again if it was forgotten
+        recent: list[np.ndarray] = []
+        signed = 0
+
+        def hot(least_lines: int) -> np.ndarray | None:
+            nonlocal recent, signed
+            if signed < least_lines or not recent:
+                return None
+            out, recent, signed = hot_keys(np.concatenate(recent), signed), [], 0
+            return out if len(out) else None
+
+        def hot_row(keys: np.ndarray) -> pa.RecordBatch:
+            null = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays([*null, pa.array([keys.view(np.int64).tolist()], pa.list_(pa.int64()))], names=names)
+
         for batch in batches:
-            ids, ties = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            for i, _, offsets, data in chunked(batch.column(2)):
-                rows = list(_sketch(*_characters(data, offsets), least, size, short))
+            ids, ties = (batch.column(c).to_pylist() for c in (0, 1))
+            for i, j, offsets, data in chunked(batch.column(2)):
+                text = data.tobytes().translate(_SAME)
+                chars, place = _characters(text, offsets.tolist())
+                words = np.concatenate([[0], np.cumsum(_tables()[1][chars])])
+                rows, digests, start, stop = [], [], [], []
+                for k in range(i, j):
+                    at = int(offsets[k - i])
+                    for number, line in enumerate(text[at : int(offsets[k - i + 1])].split(b"\n")):
+                        end = at + len(line)
+                        if line:
+                            a, b = int(place[at]), int(place[end])
+                            if b - a >= least or short and words[b] > words[a]:
+                                rows.append((ids[k], ties[k], number))
+                                digests.append(blake2b(line, digest_size=16).digest())
+                                start.append(a)
+                                stop.append(b)
+                        at = end + 1
                 if not rows:
                     continue
-                at = np.array([r[0] for r in rows]) + i
-                long = [r for r in rows if r[4] is not None]
-                minima = np.array([r[4] for r in long], np.uint64).reshape(-1, BANDS, ROWS)
-                mixed = band[None, :].repeat(len(long), 0)
-                for r in range(ROWS):
-                    mixed = mix(mixed + minima[:, :, r])
-                keys, owns = [], iter(mixed.view(np.int64).tolist())
-                for r in rows:
-                    if r[4] is None:  # only equal lines meet
-                        keys.append(None)
-                        continue
-                    own, mark = next(owns), (int(r[2]), int(r[3]))
-                    keys.append(None if mark in seen else own)
-                    if len(seen) < SEEN_LINES:
-                        seen.add(mark)
-                arrays = [pa.array(ids[at]), pa.array(ties[at]), pa.array([r[1] for r in rows], pa.int32()), *(pa.array(np.array([r[c] for r in rows], np.uint64).view(np.int64)) for c in (2, 3)), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                fresh = np.zeros(len(rows), bool)
+                for n, (d, a, b) in enumerate(zip(digests, start, stop, strict=True)):
+                    if b - a >= max(least, size) and d not in seen:
+                        if len(seen) >= SEEN_LINES:
+                            seen.clear()
+                        seen.add(d)
+                        fresh[n] = True
+                keys, counts = line_keys(shingle_hashes(chars, size), np.array(start)[fresh], np.array(stop)[fresh], size, percent)
+                recent.append(keys)
+                signed += int(fresh.sum())
+                sizes = np.zeros(len(rows), np.int64)
+                sizes[fresh] = counts
+                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)]
+                keyed = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64)), mask=pa.array(~fresh))
+                name = np.frombuffer(b"".join(digests), np.int64)[::2]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(digests, pa.binary()), pa.array(name), keyed, pa.nulls(len(rows), pa.list_(pa.int64()))], names=names)
+                if (found := hot(FLUSH_LINES)) is not None:
+                    yield hot_row(found)
+        if (found := hot(0)) is not None:
+            yield hot_row(found)
 
     return docs.select("doc_id", "tie", "text").mapInArrow(run, LINE_SCHEMA)
 
 
-def line_set(line: bytes, size: int = SHINGLE) -> np.ndarray:
-    """The sorted shingle hashes of a line given as its code points."""
-    chars = np.frombuffer(line, np.uint32)
-    return np.unique(shingle_hashes(chars, size)[: len(chars) - size + 1])
-
-
-def _elements(docs: DataFrame, size: int) -> DataFrame:
-    """(id, n, bitmap, elements) of the wanted lines (line_no and id) of each document; a line's elements
-    are kept as its text, which is smaller than its shingles."""
+def _members(docs: DataFrame) -> DataFrame:
+    """(name, id, elements) of the wanted lines (numbers) of each document; elements are the line itself,
+    which is smaller than its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in ELEMENT_SCHEMA.split(", ")]
+        names = [c.split()[0] for c in MEMBER_SCHEMA.split(", ")]
         for batch in batches:
             wanted = batch.column(1).to_pylist()
             for i, j, offsets, data in chunked(batch.column(0)):
-                chars, bounds = _characters(data, offsets)
-                rows = []
-                text, _, start, stop = lines_of(chars, bounds)
-                first = np.searchsorted(text, np.arange(j - i))
+                text, lines = data.tobytes().translate(_SAME), []
                 for k in range(i, j):
-                    for w in wanted[k]:
-                        at = first[k - i] + w["line_no"]
-                        line = chars[start[at] : stop[at]].tobytes()
-                        u = line_set(line, size)
-                        rows.append((w["id"], len(u), parity_bitmap(u, bitmap_bits(len(u), PERCENT)), line))
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=names)
+                    own = text[int(offsets[k - i]) : int(offsets[k - i + 1])].split(b"\n")
+                    lines += [own[w] for w in wanted[k]]
+                ids = [blake2b(line, digest_size=16).digest() for line in lines]
+                short = np.frombuffer(b"".join(ids), np.int64)[::2]
+                yield pa.RecordBatch.from_arrays([pa.array(short), pa.array(ids, pa.binary()), pa.array(lines, pa.binary())], names=names)
 
-    return docs.select("text", "wanted").mapInArrow(run, ELEMENT_SCHEMA)
+    return docs.select("text", "wanted").mapInArrow(run, MEMBER_SCHEMA)
 
 
-def removed_lines(docs: DataFrame, scratch: Scratch, least: int = LEAST_CHARS, percent: int = PERCENT, size: int = SHINGLE, short: bool = False) -> DataFrame:
+def removed_lines(docs: DataFrame, scratch: Scratch, least: int = LEAST_CHARS, percent: int = PERCENT, size: int = SHINGLE, short: bool = True) -> DataFrame:
     """(doc_id, tie, gone: line numbers from 0) of the documents (doc_id, tie, text) that lose lines.
 
-    Lines are told apart by 128 bits, and named by the first 64 of them.
+    Rows that agree in doc_id and tie have the same text.
     """
-    wide = scratch.cut(_signed(docs, least, size, short), "keys")
-    lines = scratch.cut(wide.drop("keys"), "lines")
-    repeated = lines.count() > lines.select("doc_id", "tie", "line_no").distinct().count()
-    reps = scratch.cut(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "tie", "line_no")).alias("first"), F.count(F.lit(1)).alias("copies")), "reps")
-    tiles = wide.filter("keys is not null").select(F.explode(F.array_distinct("keys")).alias("key"), F.col("h1").alias("id"))
-
-    def arrays_of(ids: DataFrame) -> DataFrame:
-        own = reps.join(ids, reps["h1"] == ids["id"]).select("id", "first.*")
-        own = scratch.cut(own.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("line_no", "id")).alias("wanted")), "wanted")
-        out = _elements(docs.join(own, ["doc_id", "tie"]), size)
-        return out.dropDuplicates(["id"]) if repeated else out
-
-    near = link_components(tiles, arrays_of, percent, scratch, partial(line_set, size=size))
-    scratch.drop(wide)
-    joined = reps.join(near, reps["h1"] == near["id"], "left").withColumn("component", F.coalesce("component", "h1"))
+    wide = scratch.cut(_signed(docs, least, size, percent, short), "lines")
+    lines = wide.filter("id is not null").select("doc_id", "tie", "line_no", "id", "name")
+    shared = shared_tiles(wide.select("name", "keys", "hot"), scratch)
+    reps = lines.groupBy("id", "name").agg(F.min(F.struct("doc_id", "tie", "line_no")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    reps = scratch.cut(reps, "reps")
+    # 64 bits name a line where tiles are found; lines that agree in them but not in all 128 both come along.
+    own = reps.select("first.*", "name").join(shared.select("name").distinct(), "name", "left_semi")
+    own = own.groupBy("doc_id", "tie").agg(F.collect_list("line_no").alias("wanted"))
+    asked = docs.join(own.hint("merge"), ["doc_id", "tie"]).select("text", "wanted")
+    members = scratch.cut(_members(asked), "members")
+    scratch.release()
+    near = link_small_sets(shared, members.dropDuplicates(["id"]), percent, scratch, partial(line_set, size=size))
+    scratch.drop(members, shared)
+    scratch.release()
+    joined = reps.join(near, "id", "left").withColumn("component", F.coalesce("component", "id"))
     best = joined.groupBy("component").agg(F.min("first").alias("winner"), F.sum("copies").alias("lines")).filter("lines > 1")
-    losing = scratch.cut(joined.join(best, "component").select("h1", "h2", "winner"), "losing")
-    gone = lines.join(losing, ["h1", "h2"])
-    gone = gone.filter(F.struct("doc_id", "tie", "line_no") != F.col("winner"))
-    return gone.groupBy("doc_id", "tie").agg(F.collect_set("line_no").alias("gone"))
+    losing = scratch.cut(joined.join(best, "component").select("id", "winner"), "losing")
+    gone = lines.drop("name").join(losing, "id").filter(F.struct("doc_id", "tie", "line_no") != F.col("winner"))
+    gone = scratch.cut(gone.groupBy("doc_id", "tie").agg(F.collect_set("line_no").alias("gone")), "gone")
+    scratch.drop(wide, reps, near, losing)
+    scratch.release()
+    return gone
 
 
-def dedup_lines(docs: DataFrame, least: int = LEAST_CHARS, percent: int = PERCENT, size: int = SHINGLE, short: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = LEAST_CHARS, percent: int = PERCENT, size: int = SHINGLE, short: bool = True) -> DataFrame:
     """``docs`` with repeated lines taken out of text, and columns n_lines and n_removed.
 
-    Lines are similar if ``percent`` of their shingles of ``size`` characters are the same.
-
-    Lines of fewer than ``least`` characters stay as they are, but with ``short`` those with a letter or
-    digit lose their equals, of any document, too.  Letter case and kinds of white space make no difference.  A null or empty text stays.
-    Rows that repeat a (doc_id, text) are one document and lose the same lines.  Extra columns pass
-    through; an empty table gives no row.
+    Lines of ``least`` characters or more are repeated if ``percent`` of their shingles of ``size``
+    characters are the same; shorter ones that have a letter or digit if they are equal (not at all
+    without ``short``); blank lines and rules such as ``---`` stay.  Letter case of A-Z and kinds of white space make no difference.
+    The line that stays is the first by (doc_id, hash of the text, line number); a null doc_id comes
+    first.  A null or empty text stays and has no lines.  Rows that repeat a (doc_id, text) are one
+    document and lose the same lines.  Other columns pass through whatever their names; columns of
+    docs named n_lines or n_removed are replaced.  An empty table gives no row.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    names = docs.columns
-    keyed = docs.withColumn("_tie", F.xxhash64("text")).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")))
-    texts = keyed.select(F.col("_id").alias("doc_id"), F.col("_tie").alias("tie"), "text")
-    gone = removed_lines(texts, scratch, least, percent, size, short).select(F.col("doc_id").alias("_gone_id"), F.col("tie").alias("_gone_tie"), "gone")
-    gone = scratch.cut(gone, "gone")
-    out = keyed.join(gone, (F.col("_id") == F.col("_gone_id")) & (F.col("_tie") == F.col("_gone_tie")), "left")
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in others]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Rows without doc_id are told apart from all others by the hash.
+    rows = rows.withColumn("tie", F.xxhash64("text", F.col("doc_id").isNull())).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
+    texts = rows.select("doc_id", "tie", "text")
+    single = texts.filter("text is not null").dropDuplicates(["doc_id", "tie"]) if _repeats(texts) else texts
+    gone = removed_lines(single, scratch, least, percent, size, short)
+    out = rows.join(gone.hint("merge"), ["doc_id", "tie"], "left")
     lines = F.split("text", "\n", -1)
     rest = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone", i)), "\n")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(rest)
-    n_removed = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
-    n_lines = F.when(F.col("text").isNull() | (F.col("text") == ""), F.lit(0)).otherwise(F.size(lines)).cast("long")
-    return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in names], n_lines.alias("n_lines"), F.when(F.col("gone").isNull(), F.lit(0)).otherwise(n_removed).cast("long").alias("n_removed"))
+    cols = {c: F.col("row").getField(c) if c in others else None for c in docs.columns}
+    cols["text"] = F.when(F.col("gone").isNull(), F.col("text")).otherwise(rest)
+    cols["n_lines"] = F.when(F.col("text").isNull() | (F.col("text") == ""), F.lit(0)).otherwise(F.size(lines)).cast("long")
+    cols["n_removed"] = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long")
+    return out.select(*[v.alias(k) for k, v in cols.items()])
+
+
+def _repeats(texts: DataFrame) -> bool:
+    """Does any (doc_id, tie) stand in several rows?"""
+    return bool(texts.groupBy("doc_id", "tie").count().filter("count > 1").limit(1).count())

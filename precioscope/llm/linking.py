@@ -1,31 +1,35 @@
 """Exact components of a set-similarity join, without a pair per link.
 
-Members meet in tiles: rows (key, id) that any two similar members share by construction.  Inside a
-tile only members of different components are compared, first by parity bitmaps: each bit in which
-two bitmaps differ needs an element that only one of the sets has, so their bit counts bound the
-overlap from above.  Every component passes on its few best pairs of a tile, these are verified by exact
-sorted-array intersection, true links merge components, and the rounds go on with more partners each
-until no tile holds an unverified pair of different components that the bound admits.  So groups of
-copies shrink to one component in the first rounds and their further pairs are never made, yet no
-link that joins two components is missed.  A tile of many members is cut into blocks that meet
-pairwise, so no key is one task's.
+Members meet in tiles: keys that any two similar members share by construction (or with high
+probability).  A tile gives its links as a spanning forest: members are compared by parity bitmaps,
+whose bit counts bound the overlap from above, and the admitted pairs by exact sorted-array
+intersection, except where both already are one component.  So a tile of n members gives at most
+n - 1 links, however many pairs of it are similar, and yet every pair of a tile is either in one
+component or decided.
+
+A tile of many members is cut into blocks.  First each block links its own members; components grow
+by distributed union-find.  Then only tiles with more than one component go on, and in these the
+members of the largest component meet the others only, never each other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from precioscope.llm.components import components
 from precioscope.llm.scratch import Scratch
 
 BLOCK_MEMBERS = 256
-FIRST_KEYS = 8
 SMALL_TILE = 6
+#: A key that more than one in so many members of a flush have is hot; its members need no shuffle to find each other.
+HOT_SHARE = 500
+LEAST_HOT = 64
+MOST_HOT_SENT = 50_000
 
 
 def parity_bitmap(hashes: np.ndarray, bits: int) -> bytes:
@@ -51,201 +55,351 @@ def most_apart(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return (100 - percent) * (n + m) // (100 + percent)
 
 
-def _tile_pairs(ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, bitmaps: list[bytes], sides: np.ndarray, percent: int, best: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Admitted pairs between members of different components, the ``best`` of each component; more left?
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Is 100 * meet >= percent * union for two sorted sets?"""
+    if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def hot_keys(keys: np.ndarray, members: int) -> np.ndarray:
+    """Keys of a flush that more than one in HOT_SHARE of its members have."""
+    if not len(keys):
+        return keys
+    u, n = np.unique(keys, return_counts=True)
+    return u[n > max(LEAST_HOT, members // HOT_SHARE)]
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (key, name): those whose key has several names, once each; nothing is buffered."""
+
+    def out(rows: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1])], names=["key", "name"])
+
+    last: tuple[np.ndarray, np.ndarray] | None = None  # the last row so far
+    waits = False  # it is given once another name of its key comes
+    for batch in batches:
+        key, name = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:2])
+        if last is not None:
+            key, name = np.concatenate([last[0], key]), np.concatenate([last[1], name])
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+        key, name = key[fresh], name[fresh]
+        if not len(key):
+            continue
+        same = key[1:] == key[:-1]
+        keep = np.zeros(len(key), bool)
+        keep[1:] = same
+        keep[:-1] |= same
+        given = last is not None and not waits
+        if given:
+            keep[0] = False
+        if keep.any():
+            yield out((key[keep], name[keep]))
+        waits = not keep[-1] and not (given and len(key) == 1)
+        last = (key[-1:], name[-1:])
+
+
+def shared_tiles(wide: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, name, count) of the keys that several names have; of keys with the same names, one.
+
+    wide: (name long, keys array<long>, hot array<long>), a table.  Hot keys, found by the tasks that
+    made the table, are known to be shared, so their rows are not brought together for that.
+    """
+    hot = scratch.cut(wide.select(F.explode("hot").alias("key")).distinct(), "hot")
+    n_hot = hot.count()
+    rows = wide.select(F.explode("keys").alias("key"), "name")
+    few = F.broadcast(hot) if n_hot <= MOST_HOT_SENT else hot
+    plain = rows.join(few, "key", "left_anti") if n_hot else rows
+    met = plain.repartition("key").sortWithinPartitions("key", "name").mapInArrow(_met, "key long, name long")
+    if n_hot:
+        met = met.unionByName(rows.join(few, "key", "left_semi").distinct())
+    shared = scratch.cut(met, "tiles")
+    scratch.release()
+    marks = [F.bit_xor(F.xxhash64("name", F.lit(i))).alias(c) for i, c in enumerate("fg")]
+    prints = shared.groupBy("key").agg(F.count(F.lit(1)).alias("count"), *marks).filter("count > 1")
+    prints = prints.groupBy("count", "f", "g").agg(F.min("key").alias("key")).select("key", "count")
+    out = scratch.cut(shared.join(prints, "key"), "kinds")
+    scratch.drop(shared)
+    return out
+
+
+def forest(sets: list[np.ndarray], percent: int, labels: list | None = None) -> list[tuple[int, int]]:
+    """Links that join what the pairwise links of ``sets`` join, members of one label being joined already."""
+    n = len(sets)
+    parent = list(range(n))
+    if labels is not None:
+        first: dict = {}
+        parent = [first.setdefault(c, i) for i, c in enumerate(labels)]
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    links = []
+
+    def compare(a: int, b: int) -> None:
+        x, y = find(a), find(b)
+        if x != y and similar(sets[a], sets[b], percent):
+            parent[max(x, y)] = min(x, y)
+            links.append((a, b))
+
+    if n <= SMALL_TILE:
+        for a in range(n):
+            for b in range(a):
+                compare(a, b)
+        return links
+    sizes = np.array([len(s) for s in sets])
+    bits = bitmap_bits(int(np.median(sizes)), percent)
+    spot = np.concatenate(sets) & np.uint64(bits - 1)
+    odd = np.bincount(np.repeat(np.arange(n), sizes) * bits + spot.astype(np.int64), minlength=n * bits) & 1
+    grid = np.packbits(odd.astype(bool), bitorder="little").view(np.uint64).reshape(n, bits // 64)
+    root = np.array([find(i) for i in range(n)])
+    found = []
+    for i0 in range(0, n, 64):
+        r = np.arange(i0, min(i0 + 64, n))
+        c = np.arange(r[-1] + 1)
+        apart = np.zeros((len(r), len(c)), np.int64)
+        for w in range(grid.shape[1]):
+            apart += np.bitwise_count(grid[r, w][:, None] ^ grid[c, w][None, :])
+        np.maximum(apart, np.abs(sizes[r][:, None] - sizes[c][None, :]), out=apart)
+        ok = (apart <= most_apart(sizes[r][:, None], sizes[c][None, :], percent)) & (c[None, :] < r[:, None]) & (root[r][:, None] != root[c][None, :])
+        x, y = np.nonzero(ok)
+        found.append((r[x], c[y], apart[x, y]))
+    a, b, d = (np.concatenate(z) for z in zip(*found, strict=True))
+    order = np.argsort(d, kind="stable")
+    for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True):
+        compare(i, j)
+    return links
+
+
+def _tile_links(members: DataFrame, percent: int, set_of: Callable[[bytes], np.ndarray]) -> DataFrame:
+    """(a, b): the links of each tile's forest; members (tile, id, component, elements) sorted by tile."""
 
-    sides: 0 and 1 for two blocks that meet, all 0 for a block that meets itself.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[bytes] = []
+        comps: list[bytes | None] = []
+        sets: list[np.ndarray] = []
+        tile, a, b = None, [], []
+        held: set[bytes] = set()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+        for batch in batches:
+            for t, i, c, e in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if t != tile:
+                    for x, y in forest(sets, percent, comps if any(comps) else None) if len(ids) > 1 else ():
+                        a.append(ids[x])
+                        b.append(ids[y])
+                    ids, comps, sets, held, tile = [], [], [], set(), t
+                if i not in held:
+                    held.add(i)
+                    ids.append(i)
+                    comps.append(c)
+                    sets.append(set_of(e))
+            if len(a) > 20_000:
+                yield out()
+                a, b = [], []
+        for x, y in forest(sets, percent, comps if any(comps) else None) if len(ids) > 1 else ():
+            a.append(ids[x])
+            b.append(ids[y])
+        yield out()
+
+    return members.select("tile", "id", "component", "elements").mapInArrow(run, "a binary, b binary")
+
+
+def _in_blocks(shared: DataFrame) -> DataFrame:
+    """Rows (key, name, count) with tile: a block of their key."""
+    block = F.pmod(F.xxhash64("name", "key"), F.ceil(F.col("count") / BLOCK_MEMBERS))
+    return shared.withColumn("tile", F.when(F.col("count") > BLOCK_MEMBERS, F.xxhash64("key", block)).otherwise(F.col("key")))
+
+
+def open_tiles(members: DataFrame) -> DataFrame:
+    """Rows of the keys that hold several components, once per tile in which they have to meet others.
+
+    members: (key, id, component, ...).  The largest component of a key and the others are cut into
+    blocks apart: blocks of others meet each other and each block of the largest, so what is sent
+    grows with the others, not with the square of the key's members.
     """
+    counts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    keys = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("giant"), F.max("n").alias("own"), F.sum("n").alias("all")).filter("own < all")
+    blocks = lambda n: F.ceil(n / BLOCK_MEMBERS).cast("long")
+    keys = keys.select("key", "giant", blocks(F.col("own")).alias("giants"), blocks(F.col("all") - F.col("own")).alias("others"))
+    rows = members.join(keys, "key").withColumn("in_giant", F.col("component") == F.col("giant"))
+    own = F.pmod(F.xxhash64("id", "key"), F.when(F.col("in_giant"), F.col("giants")).otherwise(F.col("others")))
+    rows = rows.withColumn("own", own)
+    count = F.when(F.col("in_giant"), F.col("others")).otherwise(F.col("others") + F.col("giants"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+    # Blocks of others are 0, 1, ...; those of the largest component come after them.
+    place = F.when(F.col("in_giant"), F.col("others") + F.col("own")).otherwise(F.col("own"))
+    tile = F.xxhash64("key", F.least(place, "other"), F.greatest(place, "other"))
+    return rows.withColumn("tile", tile).drop("giant", "giants", "others", "in_giant", "own", "other")
+
+
+def _sorted_by_tile(members: DataFrame) -> DataFrame:
+    return members.repartition("tile").sortWithinPartitions("tile")
+
+
+def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return members.withColumn("component", F.col("id"))
+    return members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _no_component() -> F.Column:
+    return F.lit(None).cast("binary").alias("component")
+
+
+def _grown(links: DataFrame, labels: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """Labels (id, component) after further links (a, b)."""
+    if labels is not None:
+        links = links.unionByName(labels.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")))
+    out = scratch.cut(components(links, scratch), "labels")
+    scratch.drop(labels)
+    return out
+
+
+def link_small_sets(shared: DataFrame, members: DataFrame, percent: int, scratch: Scratch, set_of: Callable[[bytes], np.ndarray]) -> DataFrame:
+    """(id, component) of the members that are linked with another, where elements are short.
+
+    shared (key, name, count); members (name, id, elements), tables; several ids may share a name.
+    Every tile is decided exactly where its members meet: blocks of keys first, then what is left
+    between the blocks of large keys.
+    """
+    rows = _in_blocks(shared).join(members, "name").select("tile", "id", _no_component(), "elements")
+    links = scratch.cut(_tile_links(_sorted_by_tile(rows), percent, set_of), "links")
+    labels = _grown(links, None, scratch)
+    large = shared.filter(F.col("count") > BLOCK_MEMBERS).join(members.select("name", "id"), "name").select("key", "id")
+    rest = scratch.cut(open_tiles(_labelled(large, labels)), "open")
+    if rest.limit(1).count():
+        rows = rest.join(members.select("id", "elements"), "id").select("tile", "id", "component", "elements")
+        links = scratch.cut(_tile_links(_sorted_by_tile(rows), percent, set_of), "links")
+        labels = _grown(links, labels, scratch)
+    scratch.drop(rest)
+    return labels
+
+
+def sorted_hashes(elements: bytes) -> np.ndarray:
+    return np.frombuffer(elements, np.uint64)
+
+
+def admitted(ids: list[bytes], comps: list[bytes], sizes: np.ndarray, bitmaps: list[bytes], percent: int, best: int) -> tuple[list[tuple[bytes, bytes]], bool]:
+    """Pairs of different components that the bit counts admit, the ``best`` of each two components; more left?"""
     least = min(map(len, bitmaps))
     grid = np.stack([_fold(np.frombuffer(b, np.uint64), least // 8) for b in bitmaps])
-    rows = np.flatnonzero(sides == 0)
-    alone = not sides.any()
-    cols = rows if alone else np.flatnonzero(sides == 1)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for i0 in range(0, len(rows), 64):
-        r = rows[i0 : i0 + 64]
-        c = cols[: i0 + 64] if alone else cols
+    number: dict = {}
+    comp = np.array([number.setdefault(c, len(number)) for c in comps])
+    found = []
+    for i0 in range(0, len(ids), 64):
+        r = np.arange(i0, min(i0 + 64, len(ids)))
+        c = np.arange(r[-1] + 1)
         apart = np.zeros((len(r), len(c)), np.int64)
         for w in range(grid.shape[1]):
             apart += np.bitwise_count(grid[r, w][:, None] ^ grid[c, w][None, :])
-        limit = most_apart(sizes[r][:, None], sizes[c][None, :], percent)
-        gap = np.abs(sizes[r][:, None] - sizes[c][None, :])
-        ok = (np.maximum(apart, gap) <= limit) & (comps[r][:, None] != comps[c][None, :])
-        if alone:
-            ok &= c[None, :] < r[:, None]
+        np.maximum(apart, np.abs(sizes[r][:, None] - sizes[c][None, :]), out=apart)
+        ok = (apart <= most_apart(sizes[r][:, None], sizes[c][None, :], percent)) & (comp[r][:, None] != comp[c][None, :]) & (c[None, :] < r[:, None])
         x, y = np.nonzero(ok)
         found.append((r[x], c[y], apart[x, y]))
-    x, y, d = (np.concatenate(z) for z in zip(*found, strict=True))
-    if not len(x):
-        return ids[:0], ids[:0], False
-    # The best pairs of each component, from either side of a pair.
-    keep = np.zeros(len(x), bool)
-    for side in (x, y):
-        order = np.lexsort((ids[x], ids[y], d, comps[side]))
-        c = comps[side][order]
-        first = np.concatenate([[0], np.flatnonzero(c[1:] != c[:-1]) + 1])
-        place = np.arange(len(c)) - np.repeat(first, np.diff(np.append(first, len(c))))
-        keep[order[place < best]] = True
-    a, b = ids[x[keep]], ids[y[keep]]
-    return np.minimum(a, b), np.maximum(a, b), not keep.all()
-
-
-def _few_pairs(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
-    """The admitted pairs of a small tile: whole-number bit operations without array overhead."""
-    out = []
-    for k, (_, a, comp_a, n, bits_a, _) in enumerate(rows):
-        for _, b, comp_b, m, bits_b, _ in rows[:k]:
-            limit = (100 - percent) * (n + m) // (100 + percent)
-            if comp_a == comp_b or abs(n - m) > limit:
-                continue
-            x, y, size, other = int.from_bytes(bits_a, "little"), int.from_bytes(bits_b, "little"), len(bits_a), len(bits_b)
-            while size > other:
-                size //= 2
-                x = (x & (1 << 8 * size) - 1) ^ (x >> 8 * size)
-            while other > size:
-                other //= 2
-                y = (y & (1 << 8 * other) - 1) ^ (y >> 8 * other)
-            if (x ^ y).bit_count() <= limit:
-                out.append((min(a, b), max(a, b)))
-    return out
+    a, b, d = (np.concatenate(z) for z in zip(*found, strict=True))
+    if not len(a):
+        return [], False
+    low, high = np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])
+    name = [int.from_bytes(i[:8], "little") for i in ids]
+    order = np.lexsort((np.array(name, np.uint64)[a], d, high, low))
+    a, b, both = a[order], b[order], low[order] * len(number) + high[order]
+    start = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+    keep = np.arange(len(both)) - np.repeat(start, np.diff(np.append(start, len(both)))) < best
+    pairs = [(min(ids[x], ids[y]), max(ids[x], ids[y])) for x, y in zip(a[keep].tolist(), b[keep].tolist(), strict=True)]
+    return pairs, not keep.all()
 
 
 def _candidates(members: DataFrame, percent: int, best: int) -> DataFrame:
-    """(a, b, more): candidate pairs of sorted (tile, id, component, n, bitmap, side) partitions."""
-
-    def flush(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, bool]:
-        cols = list(zip(*held, strict=True))
-        return _tile_pairs(np.array(cols[1]), np.array(cols[2]), np.array(cols[3]), list(cols[4]), np.array(cols[5]), percent, best)
+    """(a, b): admitted pairs of sorted (tile, id, component, n, bitmap); a row of nulls if a tile had more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, tile = [], None
-        found_a, found_b, seen, more = [], [], set(), False
+        rows: dict[bytes, tuple] = {}
+        tile, more = None, False
+        found: set[tuple[bytes, bytes]] = set()  # of this task; given and forgotten when it grows
 
         def take() -> None:
             nonlocal more
-            if len(held) < 2:
-                return
-            if len(held) <= SMALL_TILE:
-                pairs = _few_pairs(held, percent)
-            else:
-                a, b, rest = flush(held)
+            if len(rows) > 1:
+                _, ids, comps, sizes, bitmaps = zip(*rows.values(), strict=True)
+                pairs, rest = admitted(list(ids), list(comps), np.array(sizes), list(bitmaps), percent, best)
+                found.update(pairs)
                 more |= rest
-                pairs = zip(a.tolist(), b.tolist(), strict=True)
-            for pair in pairs:
-                if pair not in seen:
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    seen.add(pair)
-                    found_a.append(pair[0])
-                    found_b.append(pair[1])
+
+        def out() -> pa.RecordBatch:
+            given = [*found, (None, None)] if more else list(found)
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in given], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if row[0] != tile:
                     take()
-                    held, tile = [], row[0]
-                held.append(row)
-            if len(found_a) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64()), pa.array([False] * len(found_a))], names=["a", "b", "more"])
-                found_a, found_b = [], []
+                    rows, tile = {}, row[0]
+                rows[row[1]] = row
+            if len(found) > 100_000:
+                yield out()
+                found.clear()
         take()
-        if more:  # a mark for the driver: this task had more partners to give
-            found_a.append(None)
-            found_b.append(None)
-        yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64()), pa.array([x is None for x in found_a], pa.bool_())], names=["a", "b", "more"])
+        yield out()
 
-    return members.mapInArrow(run, "a long, b long, more boolean")
+    return members.select("tile", "id", "component", "n", "bitmap").mapInArrow(run, "a binary, b binary")
 
 
-def sorted_hashes(elements: bytes) -> np.ndarray:
-    return np.frombuffer(elements, np.uint64)
-
-
-def _verified(pairs: DataFrame, arrays: DataFrame, percent: int, set_of) -> DataFrame:
+def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     """(a, b, linked) by exact intersection of the sorted element arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            ok, known = [], {}
-            for pair in zip(left, right, strict=True):
-                for e in pair:
-                    if e not in known:
-                        if len(known) > 2000:
-                            known.clear()
-                        known[e] = set_of(e)
-                x, y = (known[e] if e in known else set_of(e) for e in pair)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+            ok = [similar(sorted_hashes(x), sorted_hashes(y), percent) for x, y in zip(left, right, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
 
-    # Only sets that a pair asks for move; a short list of them is sent to the sets.
-    x = arrays.select(F.col("id").alias("a"), F.col("elements").alias("x")).join(pairs.select("a").distinct(), "a", "left_semi")
-    y = arrays.select(F.col("id").alias("b"), F.col("elements").alias("y")).join(pairs.select("b").distinct(), "b", "left_semi")
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
+    x = arrays.select(F.col("id").alias("a"), F.col("elements").alias("x"))
+    y = arrays.select(F.col("id").alias("b"), F.col("elements").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, linked boolean")
 
 
-def link_components(tiles: DataFrame, arrays_of, percent: int, scratch: Scratch, set_of=sorted_hashes) -> DataFrame:
-    """(id, component) of the members that are linked with another.
+def link_large_sets(shared: DataFrame, arrays: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(id, component) of the members that are linked with another, where sets are large and share many tiles.
 
-    tiles (key, id); arrays_of(ids) gives (id, n, bitmap, elements) of a table of ids, and
-    set_of(elements) the sorted 64-bit hashes of a set.
+    shared (key, name, count); arrays (name, id, n, bitmap, elements), tables.  Each member's elements
+    go to one tile, the one with most members, which is decided exactly.  All other tiles compare
+    bitmaps between the components so far; the best pair of each two components is verified, true
+    links merge components, and rounds go on with more pairs until every admitted pair is decided.
     """
-    per_key = Window.partitionBy("key")
-    shared = tiles.withColumn("low", F.min("id").over(per_key)).withColumn("high", F.max("id").over(per_key)).filter("low <> high")
-    shared = scratch.cut(shared.select("key", "id").distinct(), "tiles")
-    # Tiles of the same members give the same pairs: one of each member set is enough.
-    prints = shared.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("f"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(20,0)")).alias("g"))
-    prints = prints.groupBy("count", "f", "g").agg(F.min("key").alias("key")).select("key", "count")
-    every, shared = shared, scratch.cut(shared.join(prints, "key"), "kinds")
-    scratch.drop(every)
-    arrays = scratch.cut(arrays_of(shared.select("id").distinct()), "arrays")
+    names = arrays.select("name", "id")
+    home = shared.groupBy("name").agg(F.max_by("key", F.struct("count", "key")).alias("key"))
+    sizes = home.groupBy("key").agg(F.count(F.lit(1)).alias("count")).filter("count > 1")
+    rows = _in_blocks(home.join(sizes, "key")).join(arrays, "name").select("tile", "id", _no_component(), "elements")
+    links = scratch.cut(_tile_links(_sorted_by_tile(rows), percent, sorted_hashes), "links")
+    labels = _grown(links, None, scratch)
+    scratch.release()
     meta = arrays.select("id", "n", "bitmap")
-    # A small tile gives all its admitted pairs at once, so it takes part in the first round only.
-    # Large ones are asked by a sample of keys until those find no more links, then all that are open.
-    small, large = F.col("count") <= SMALL_TILE, F.col("count") > SMALL_TILE
-    sampled = F.pmod(F.xxhash64("key"), F.lit(FIRST_KEYS)) == 0
-    links, checked, labels, best, wide = None, None, None, 2, False
-    now = scratch.cut(shared.filter(small | sampled), "open")
+    now, checked, best = scratch.cut(shared.select("key", "name").join(names, "name").select("key", "id"), "members"), None, 1
     while True:
-        if labels is None:
-            members = now.withColumn("component", F.col("id"))
-        else:
-            members = now.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        members = members.join(meta, "id").withColumn("blocks", F.ceil(F.col("count") / BLOCK_MEMBERS).cast("int"))
-        members = members.withColumn("own", F.pmod(F.xxhash64("id", "key"), "blocks").cast("int"))
-        members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        tile = F.concat_ws(":", F.col("key"), F.least("own", "other"), F.greatest("own", "other"))
-        spread = members.select(tile.alias("tile"), "id", "component", "n", "bitmap", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
-        found = scratch.cut(_candidates(spread.repartition("tile").sortWithinPartitions("tile"), percent, best), "candidates")
-        pairs = found.filter("not more").select("a", "b").distinct()
+        tiles = scratch.cut(open_tiles(_labelled(now, labels)), "open")
+        found = scratch.cut(_candidates(_sorted_by_tile(tiles.join(meta, "id")), percent, best), "candidates")
+        pairs = found.filter("a is not null").distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = scratch.cut(pairs, "pairs")
-        result = scratch.cut(_verified(pairs, arrays, percent, set_of), "verified")
-        linked = result.filter("linked").count()
-        more = found.filter("more").limit(1).count()
-        scratch.drop(found)
+        result = scratch.cut(_verified(pairs, arrays, percent), "verified")
+        linked = result.filter("linked").limit(1).count()
+        more = found.filter("a is null").limit(1).count()
         bad = result.filter("not linked").select("a", "b")
         checked = bad if checked is None else checked.unionByName(bad)
+        old, now = now, scratch.cut(tiles.select("key", "id").distinct(), "members")
+        scratch.drop(old, tiles, found)
+        scratch.release()
         if linked:
-            new = result.filter("linked").select("a", "b")
-            old = labels
-            labels = scratch.cut(components(new if links is None else links.unionByName(new), scratch), "labels")
-            links = labels.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-            scratch.drop(old)
-        elif wide and more:
+            labels = _grown(result.filter("linked").select("a", "b"), labels, scratch)
+        elif more:
             best *= 16
-        elif wide:
-            break
-        first, wide, old = not wide and not linked, wide or not linked, now
-        # Components only grow: a tile of one component is done for good.
-        now = shared.filter(large) if first else now.filter(large)
-        if labels is not None:
-            named = now.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            open_ = named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key")
-            now = now.join(open_, "key", "left_semi")
-        now = scratch.cut(now, "open")
-        scratch.drop(old)
-    scratch.drop(shared, arrays, now)
-    return labels if labels is not None else scratch.spark.createDataFrame([], "id long, component long")
+        else:
+            return labels

@@ -11,6 +11,7 @@ No shingle is a key by itself, so a passage that many documents share makes no l
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from precioscope.llm.arrowtext import chunked, mix, word_shingles
-from precioscope.llm.linking import bitmap_bits, link_components, most_apart, parity_bitmap
+from precioscope.llm.linking import bitmap_bits, hot_keys, link_large_sets, most_apart, parity_bitmap, shared_tiles
 from precioscope.llm.scratch import Scratch
 
 #: Parts beyond the least number, so that this many empty parts of a set need no key.
 SPARE_PARTS = 3
+SEEN_SETS = 100_000
+FLUSH_SETS = 20_000
 _PART, _BAND, _SUM = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
-SIGN_SCHEMA = "id long, n long, h1 long, h2 long, keys array<long>"
-ELEMENT_SCHEMA = "id long, n long, bitmap binary, elements binary"
+SIGN_SCHEMA = "doc long, id binary, name long, n long, keys array<long>, hot array<long>"
+ELEMENT_SCHEMA = "name long, id binary, n long, bitmap binary, elements binary"
 
 
 def bands(percent: int, most: int = 1 << 40) -> list[int]:
@@ -63,54 +66,78 @@ def set_keys(u: np.ndarray, edges: list[int], percent: int) -> np.ndarray:
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[int, np.ndarray]]:
     for batch in batches:
-        ids = batch.column(0).cast(pa.int64()).to_pylist()
+        docs = batch.column(0).cast(pa.int64()).to_pylist()
         for i, j, offsets, data in chunked(batch.column(1)):
             hashes, bounds = word_shingles(data, offsets, words)
             for k in range(i, j):
-                yield ids[k], np.unique(hashes[bounds[k - i] : bounds[k - i + 1]])
+                yield docs[k], np.unique(hashes[bounds[k - i] : bounds[k - i + 1]])
+
+
+def _set_id(u: np.ndarray) -> bytes:
+    return blake2b(u.tobytes(), digest_size=16).digest()
 
 
 def signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Per document: set size, two hashes of the whole set, and tile keys."""
+    """Per document: its set's size, 128-bit hash and the first 64 bits of that as a name; once a task the
+    set's tile keys; and rows of hot keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges, held, size = bands(percent), [], 0
+        names = [x.split()[0] for x in SIGN_SCHEMA.split(", ")]
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        edges, seen = bands(percent), set()
+        held: list[tuple] = []
+        recent: list[np.ndarray] = []
+        size = members = 0
 
         def out() -> pa.RecordBatch:
-            cols = list(zip(*held, strict=True))
-            flat = np.concatenate(cols[4]) if cols[4] else np.zeros(0, np.uint64)
-            ends = np.concatenate([[0], np.cumsum([len(k) for k in cols[4]])]).astype(np.int32)
-            arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols[2:4]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))]
-            return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in SIGN_SCHEMA.split(", ")])
-
-        for key, u in _sets(batches, words):
-            keys = set_keys(u, edges, percent)
-            held.append((key, len(u), u.sum() if len(u) else np.uint64(0), mix(u ^ _BAND).sum() if len(u) else np.uint64(0), keys))
-            size += len(keys)
+            return pa.RecordBatch.from_arrays([pa.array([h[c] for h in held], k) for c, k in enumerate(kinds)], names=names)
+
+        def with_hot() -> None:
+            nonlocal recent, members
+            hot = hot_keys(np.concatenate(recent), members) if recent else ()
+            if len(hot):
+                held.append((None, None, None, None, None, hot.view(np.int64)))
+            recent, members = [], 0
+
+        for doc, u in _sets(batches, words):
+            own = _set_id(u)
+            keys = None
+            if own not in seen and len(u):
+                if len(seen) >= SEEN_SETS:
+                    seen.clear()
+                seen.add(own)
+                keys = set_keys(u, edges, percent).view(np.int64)
+                recent.append(keys.view(np.uint64))
+                members += 1
+                size += len(keys)
+            held.append((doc, own, int.from_bytes(own[:8], "little", signed=True), len(u), keys, None))
+            if members >= FLUSH_SETS:
+                with_hot()
             if len(held) >= 1000 or size > 200_000:
                 yield out()
                 held, size = [], 0
-        if held:
-            yield out()
+        with_hot()
+        yield out()
 
-    return docs.select("id", "text").mapInArrow(run, SIGN_SCHEMA)
+    return docs.select("doc", "text").mapInArrow(run, SIGN_SCHEMA)
 
 
 def _elements(docs: DataFrame, words: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([h[c] for h in held], k) for c, k in enumerate(kinds)], names=[x.split()[0] for x in ELEMENT_SCHEMA.split(", ")])
 
         held: list[tuple] = []
-        for key, u in _sets(batches, words):
-            held.append((key, len(u), parity_bitmap(u, bitmap_bits(len(u), percent)), u.tobytes()))
+        for _, u in _sets(batches, words):
+            own = _set_id(u)
+            held.append((int.from_bytes(own[:8], "little", signed=True), own, len(u), parity_bitmap(u, bitmap_bits(len(u), percent)), u.tobytes()))
             if len(held) >= 500:
                 yield out()
                 held = []
         yield out()
 
-    return docs.select("id", "text").mapInArrow(run, ELEMENT_SCHEMA)
+    return docs.select("doc", "text").mapInArrow(run, ELEMENT_SCHEMA)
 
 
 def ngram_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
@@ -119,39 +146,29 @@ def ngram_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Data
     Two documents link when 100 * |meet| >= percent * |union| of their sets of ``words``-word
     shingles, A-Z lower-cased; fewer words are one shingle.  Null and empty texts and texts without
     words have no shingles and link with nothing.  component_id is the least doc_id that links
-    reach.  Rows that repeat a doc_id count as one document if their texts are equal; rows of one
-    doc_id with different texts are told apart inside and share the id's component.  A null doc_id
-    stays null and links with nothing.  An empty table gives no row.
+    reach.  Repeated rows have equal results; rows of one doc_id with different texts have a set
+    and a component each, since members are named by their sets.  A null doc_id stays null and links
+    with nothing.  An empty table gives no row.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "ngrams")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    known = texts.filter("id is not null")
+    scratch = Scratch(docs.sparkSession, "ngrams")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
+    known = texts.filter("doc is not null")
     wide = scratch.cut(signed(known, words, percent), "signs")
-    signs = scratch.cut(wide.select("id", "n", "h1", "h2"), "sets-of")
-    sets = signs.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    sets = scratch.cut(sets, "sets")
-    # Of equal sets all but one stay out.  The list of those is the small side, not that of the others.
-    copies = signs.join(sets.filter("copies > 1").select("h1", "h2", "n", "rep"), ["h1", "h2", "n"]).filter("id <> rep").select("id", "h1", "h2").distinct()
-    repeated = signs.count() > signs.select("id").distinct().count()
-    if repeated:  # each counts once, and an id may have several sets
-        first = wide.join(scratch.cut(copies, "copies"), ["id", "h1", "h2"], "left_anti").dropDuplicates(["id", "h1", "h2"])
-    else:
-        first = wide.join(scratch.cut(copies.select("id"), "copies"), "id", "left_anti")
-    tiles = first.select("id", F.explode("keys").alias("key")).select("key", "id")
-
-    def arrays_of(ids: DataFrame) -> DataFrame:
-        # Candidates grow with the corpus: the same plan at every size, never a list sent to all tasks.
-        out = _elements(known.join(scratch.cut(ids, "ids").hint("merge"), "id", "left_semi"), words, percent)
-        return out.dropDuplicates(["id"]) if repeated else out
-
-    near = link_components(tiles, arrays_of, percent, scratch)
-    scratch.drop(wide)
-    groups = sets.join(near.select(F.col("id").alias("rep"), F.col("component").alias("near")), "rep", "left")
-    groups = groups.select("h1", "h2", "n", F.coalesce("near", "rep").alias("component"))
-    # Copies of one set may be a third of all rows: only rows of sets that have copies or links ask.
-    out = signs.select("id", "n", "h1", "h2").join(groups, ["h1", "h2", "n"], "left")
-    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-    lost = texts.filter("id is null")
-    blank = lost.select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id"))
+    signs = wide.filter("id is not null").select("doc", "id", "name", "n")
+    shared = shared_tiles(wide.select("name", "keys", "hot"), scratch)
+    sets = scratch.cut(signs.filter("n > 0").groupBy("id", "name").agg(F.min("doc").alias("rep")), "sets")
+    wanted = sets.join(shared.select("name").distinct(), "name", "left_semi").select(F.col("rep").alias("doc")).distinct()
+    arrays = _elements(known.join(wanted.hint("merge"), "doc", "left_semi"), words, percent)
+    if signs.count() > signs.select("doc").distinct().count():  # a doc_id may bring a set twice
+        arrays = arrays.dropDuplicates(["id"])
+    arrays = scratch.cut(arrays, "arrays")
+    scratch.release()
+    near = link_large_sets(shared, arrays, percent, scratch)
+    scratch.drop(arrays, shared)
+    least = near.join(sets, "id").groupBy("component").agg(F.min("rep").alias("least"))
+    linked = near.join(least, "component").select("id", "least")
+    groups = sets.join(linked, "id", "left").select("id", F.coalesce("least", "rep").alias("least"))
+    out = signs.join(groups, "id", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "doc").alias("component_id"))
+    lost = texts.filter("doc is null")
+    blank = lost.select(F.col("doc").alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"), F.col("doc").alias("component_id"))
     return out.unionByName(blank)

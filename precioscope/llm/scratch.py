@@ -1,13 +1,15 @@
 """Intermediate tables in the folder that driver and executors share.
 
 Lineage is cut by writing Parquet under ``spark.checkpoint.dir`` and reading it again, so a lost
-executor costs at most the stage that was running.  Where the session names no such folder (local
-tests), one temporary folder per process is used.
+executor costs at most the stage that was running.  Where the session names no such folder, one
+temporary folder per process is used in local mode; on a cluster that is an error, since executors
+would each write to a disk of their own.
 """
 
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -22,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="precioscope-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
@@ -56,6 +60,12 @@ class Scratch:
     def drop_all(self) -> None:
         self._delete(self.root)
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of finished steps: it does so when the driver has collected
+        what refers to them, which otherwise may take until long after the disks are full."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)

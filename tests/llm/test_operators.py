@@ -192,10 +192,10 @@ def test_media(spark):
 # --- 5
 
 
-def brute_lines(texts, least=20, size=8, percent=80):
+def brute_lines(texts, least=20, size=5, percent=80):
     fold = lambda s: "".join(" " if "\t" <= c <= "\r" else c for c in lower(s))
-    occ = [(i, k, fold(x)) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n")) if len(x) >= least]
-    sets = [{x[j : j + size] for j in range(len(x) - size + 1)} for *_, x in occ]
+    occ = [(i, k, fold(x)) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n")) if len(x) >= least or any(map(str.isalnum, x))]
+    sets = [{x[j : j + size] for j in range(len(x) - size + 1)} if len(x) >= least else {("short", x)} for *_, x in occ]
     up = list(range(len(occ)))
 
     def find(x):
@@ -246,8 +246,8 @@ def test_line_dedup_short_lines(spark, tmp_path):
         words = x.split()
         words[rng.randrange(len(words))] = "no"
         texts += [x, x[:at] + "#" + x[at + 1 :], " ".join(words), x[:-1] + "#"]
-    want = brute_lines(texts, size=5)
-    assert want[4 * 40 + 1] == "" != brute_lines(texts)[4 * 40 + 1]  # 60 characters, one changed
+    want = brute_lines(texts)
+    assert want[4 * 40 + 1] == "" != brute_lines(texts, size=8)[4 * 40 + 1]  # 60 characters, one changed
     docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["text"] for r in QUERIES["op5_line_dedup"](spark, str(tmp_path)).collect()}
     assert [i for i, w in enumerate(want) if got[i] != w] == []
@@ -268,6 +268,94 @@ def test_line_dedup_shortest_lines(spark, tmp_path):
     assert {r["doc_id"]: r["text"] for r in line_stage(spark, docs, "").collect()} == {k: v for k, v in want.items() if k not in (5, 7)}
 
 
+def test_line_dedup_tells_lines_apart(spark):
+    """Lines of equal character sums, few shingles, invalid bytes, clashing columns, repeated and null ids."""
+    from precioscope.llm.linededup import dedup_lines
+
+    pairs = [("Order number 1221 shipped to you", "Order number 2112 shipped to you"), ("abba " * 8, "baab " * 8), ("Subscribe now!", "Subscribe now!")]
+    texts = [x for p in pairs for x in p] + ["ab" * 500, "ab" * 40 + "a", "---\n\nonce", "---\n\nONCE"]
+    docs = docs_of(spark, texts).selectExpr("*", "1 as gone", "2 as n_lines", "3 as _id", "4 as tie", "5 as n_removed", "6 as row")
+    got = dedup_lines(docs)
+    assert got.columns == docs.columns
+    rows = {r["doc_id"]: r for r in got.collect()}
+    want = brute_lines(texts)
+    assert [rows[i]["text"] for i in range(len(texts))] == want and want[1] == texts[1] and want[3] == texts[3] and want[5] == "" and want[7] == ""
+    assert {(r["gone"], r["_id"], r["tie"], r["row"]) for r in rows.values()} == {(1, 3, 4, 6)}
+    assert rows[9]["n_lines"] == 3 and rows[9]["n_removed"] == 1
+    twice = spark.createDataFrame([(None, "a line of several words"), (-1, "a line of several words"), (5, "b"), (5, "b"), (5, "other"), (None, None)], "doc_id long, text string")
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "-") for r in dedup_lines(twice).collect()) == [(False, -1, "-"), (False, 5, "b"), (False, 5, "b"), (False, 5, "other"), (True, 0, "-"), (True, 0, "a line of several words")]
+    broken = spark.sql("select 1L as doc_id, cast(concat(cast('a rather long line, broken ' as binary), X'FFFE') as string) as text union all select 2L, 'a rather long line, whole'")
+    assert dedup_lines(broken).count() == 2
+
+
+def test_line_recall(spark, sf_dir):
+    """Measured recall of the bands: similar lines of the test table that meet in a key."""
+    from precioscope.llm.linededup import _SAME, _characters, line_keys, line_set, shingle_hashes
+    from precioscope.llm.linking import similar
+
+    texts = [r["text"] for r in spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet").select("text").collect()]
+    lines = sorted({x for t in texts if t for x in t.encode().translate(_SAME).split(b"\n") if len(x) >= 24})
+    rng = random.Random(4)
+    pairs = []
+    for x in rng.sample(lines, 1500):  # variants of every length: characters changed until the similarity is just above 0.8
+        s, y = line_set(x), bytearray(x)
+        while True:
+            z = bytearray(y)
+            z[rng.randrange(len(z))] = rng.choice(b"abcdefghijklmnopqrstuvwxyz")
+            if not similar(s, line_set(bytes(z)), 80):
+                break
+            y = z
+            if rng.random() < 0.05:
+                break
+        pairs.append((x, bytes(y)))
+
+    def keys(x):
+        chars, _ = _characters(x, [0, len(x)])
+        return set(line_keys(shingle_hashes(chars), np.array([0]), np.array([len(chars)]))[0].tolist())
+
+    met = [bool(keys(x) & keys(y)) for x, y in pairs if x != y]
+    assert len(met) > 500 and np.mean(met) > 0.97
+
+
+@pytest.mark.parametrize("members", [5, 6, 7, 255, 256, 257, 700])
+def test_tiles_of_any_size(spark, members):
+    """Chains and groups in one tile, on either side of the limits: components equal those of all pairs."""
+    from precioscope.llm.linking import bitmap_bits, forest, link_large_sets, link_small_sets, parity_bitmap, sorted_hashes
+    from precioscope.llm.scratch import Scratch
+
+    rng = np.random.default_rng(members)
+    sets, now = [], np.unique(rng.integers(0, 1 << 60, 60, dtype=np.uint64))
+    for _ in range(members):
+        sets.append(now)
+        keep = rng.random(len(now)) > (0.04 if rng.random() < 0.97 else 0.7)
+        now = np.unique(np.concatenate([now[keep], rng.integers(0, 1 << 60, max(1, 60 - int(keep.sum())), dtype=np.uint64)]))
+    sets = [sets[i] for i in rng.permutation(members)]
+    ids = [b"%016d" % i for i in range(members)]
+
+    def parts(links):
+        up = {i: i for i in ids}
+
+        def find(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in links:
+            x, y = find(a), find(b)
+            up[max(x, y)] = min(x, y)
+        return {i: find(i) for i in ids}
+
+    want = parts([(ids[a], ids[b]) for a in range(members) for b in range(a) if 10 * len(np.intersect1d(sets[a], sets[b])) >= 8 * len(np.union1d(sets[a], sets[b]))])
+    assert parts([(ids[a], ids[b]) for a, b in forest(sets, 80)]) == want
+    rows = [(i, ids[i], len(s), parity_bitmap(s, bitmap_bits(len(s), 80)), s.tobytes()) for i, s in enumerate(sets)]
+    arrays = spark.createDataFrame(rows, "name long, id binary, n long, bitmap binary, elements binary")
+    shared = spark.range(members).selectExpr("7L as key", "id as name", f"{members}L as count")
+    more = spark.range(0, members, 3).selectExpr("9L as key", "id as name", f"{-(-members // 3)}L as count")
+    for got in (link_small_sets(shared, arrays, 80, Scratch(spark, "t"), sorted_hashes), link_large_sets(shared.unionByName(more), arrays, 80, Scratch(spark, "t"))):
+        found = {bytes(r["id"]): bytes(r["component"]) for r in got.collect()}
+        assert {i: found.get(i, i) for i in ids} == want
+
+
 # --- 6
 
 
