@@ -36,23 +36,25 @@ BINS = BANDS * ROWS
 FEW = 100
 #: FEW different shingles leave 11 of 60 bins empty on average, and fewer than this in one of 300 lines.
 SUSPECT = 5
+SPOTS = 1024
 SEEN_LINES = 200_000
 FLUSH_LINES = 50_000
-LINE_SCHEMA = "doc_id long, tie long, line_no int, id binary, name long, keys array<long>, hot array<long>"
-MEMBER_SCHEMA = "name long, id binary, elements binary"
+LINE_SCHEMA = "doc_id long, tie long, line_no int, id binary, keys array<long>, hot array<long>"
+MEMBER_SCHEMA = "id binary, elements binary"
 _ODD = 0x9E3779B97F4A7C15
 _NONE = np.iinfo(np.uint64).max
+#: Bytes of text at a time: their arrays stay in a core's cache.
+TEXT_BYTES = 1 << 19
 _TABLES: list[np.ndarray] = []
 #: A-Z count as a-z, white space as a space; line ends stay.
 _SAME = bytes(c + 32 if 65 <= c <= 90 else 32 if c in (9, 11, 12, 13) else c for c in range(256))
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Of each character: a random 64-bit value; is it a letter or digit of any script?"""
+def _values() -> np.ndarray:
+    """A random 64-bit value of each character."""
     if not _TABLES:
         _TABLES.append(mix(np.arange(1, 0x110001, dtype=np.uint64)))
-        _TABLES.append(np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000))
-    return _TABLES[0], _TABLES[1]
+    return _TABLES[0]
 
 
 def _characters(data: bytes, bounds: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +76,7 @@ def _characters(data: bytes, bounds: list[int]) -> tuple[np.ndarray, np.ndarray]
 
 def shingle_hashes(chars: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """Hash of the ``size`` characters from each place on (of fewer at the end)."""
-    value = _tables()[0][chars]
+    value = _values()[chars]
     out = value.copy()
     for k in range(1, min(size, len(chars))):
         out *= np.uint64(_ODD)
@@ -118,30 +120,32 @@ def line_keys(h: np.ndarray, start: np.ndarray, stop: np.ndarray, size: int = SH
     """(keys line by line, number of each line's) from the shingle hashes of characters; stop excludes the line's end."""
     count = stop - start - size + 1
     lines = len(count)
-    line = np.repeat(np.arange(lines), count)
+    if not lines:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     ends = np.cumsum(count)
-    x = h[np.arange(ends[-1] if lines else 0) + np.repeat(start - ends + count, count)]
+    x = h[np.arange(ends[-1]) + np.repeat(start - ends + count, count)]
     few, many = count < FEW, count * 100 >= FEW * percent
     keys = np.zeros((lines, 2 * BANDS), np.uint64)
     if many.any():
-        own = np.cumsum(many) - 1
-        at = many[line]
-        low, empty = _minima(x[at], own[line[at]], int(many.sum()), BINS)
-        keys[many, BANDS:] = _banded(low, 99)
-        # A long line of few different shingles is similar to short ones: enough empty bins make it suspect.
+        n = int(many.sum())
+        # Lines that are not meant share a last row, which is left out.
+        low, empty = _minima(x, np.repeat(np.where(many, np.cumsum(many) - 1, n), count), n + 1, BINS)
+        keys[many, BANDS:] = _banded(low[:n], 99)
+        # A long line of few different shingles is similar to short ones. Enough empty bins make it
+        # suspect; its hashes taken modulo SPOTS are no more than it has, so it is never overlooked.
         suspect = np.zeros(lines, bool)
-        suspect[many] = empty >= SUSPECT
+        suspect[many] = empty[:n] >= SUSPECT
         suspect &= ~few
         if suspect.any():
-            at = suspect[line]
-            order = np.lexsort((x[at], line[at]))
-            xs, ls = x[at][order], line[at][order]
-            fresh = np.concatenate([[True], (xs[1:] != xs[:-1]) | (ls[1:] != ls[:-1])])
-            few |= suspect & (np.bincount(ls[fresh], minlength=lines) < FEW)
+            own = np.repeat(np.where(suspect, np.cumsum(suspect) - 1, -1), count)
+            at = own >= 0
+            spots = np.zeros(int(suspect.sum()) * SPOTS, bool)
+            spots[own[at] * SPOTS + (x[at] & np.uint64(SPOTS - 1)).astype(np.int64)] = True
+            few[suspect] = spots.reshape(-1, SPOTS).sum(axis=1) < FEW
     if few.any():
-        own = np.cumsum(few) - 1
-        at = few[line]
-        xs, ls = x[at], own[line[at]]
+        own = np.repeat(np.where(few, np.cumsum(few) - 1, -1), count)
+        at = own >= 0
+        xs, ls = x[at], own[at]
         for band in range(BANDS):
             low, _ = _minima(mix(xs + np.uint64((band + 1) * _ODD & (1 << 64) - 1)), ls, int(few.sum()), ROWS)
             keys[few, band] = _banded(low, band + 1)[:, 0]
@@ -157,7 +161,7 @@ def _signed(docs: DataFrame, least: int, size: int, percent: int, short: bool) -
         names = [c.split()[0] for c in LINE_SCHEMA.split(", ")]
         seen: set[bytes] = set()  # bounded; a line's keys are given again if it was forgotten
         recent: list[np.ndarray] = []
-        signed = 0
+        signed, most = 0, max(least, size)
 
         def hot(least_lines: int) -> np.ndarray | None:
             nonlocal recent, signed
@@ -167,47 +171,46 @@ def _signed(docs: DataFrame, least: int, size: int, percent: int, short: bool) -
             return out if len(out) else None
 
         def hot_row(keys: np.ndarray) -> pa.RecordBatch:
-            null = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64()))]
+            null = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))]
             return pa.RecordBatch.from_arrays([*null, pa.array([keys.view(np.int64).tolist()], pa.list_(pa.int64()))], names=names)
 
         for batch in batches:
-            ids, ties = (batch.column(c).to_pylist() for c in (0, 1))
-            for i, j, offsets, data in chunked(batch.column(2)):
+            for i, j, offsets, data in chunked(batch.column(2), TEXT_BYTES):
                 text = data.tobytes().translate(_SAME)
                 chars, place = _characters(text, offsets.tolist())
-                words = np.concatenate([[0], np.cumsum(_tables()[1][chars])])
-                rows, digests, start, stop = [], [], [], []
+                rows, numbers, digests, fresh, start, stop = [], [], [], [], [], []
                 for k in range(i, j):
                     at = int(offsets[k - i])
                     for number, line in enumerate(text[at : int(offsets[k - i + 1])].split(b"\n")):
                         end = at + len(line)
                         if line:
                             a, b = int(place[at]), int(place[end])
-                            if b - a >= least or short and words[b] > words[a]:
-                                rows.append((ids[k], ties[k], number))
-                                digests.append(blake2b(line, digest_size=16).digest())
-                                start.append(a)
-                                stop.append(b)
+                            if b - a >= least or short and any(map(str.isalnum, map(chr, chars[a:b].tolist()))):
+                                own = blake2b(line, digest_size=16).digest()
+                                rows.append(k)
+                                numbers.append(number)
+                                digests.append(own)
+                                fresh.append(b - a >= most and own not in seen)
+                                if fresh[-1]:
+                                    if len(seen) >= SEEN_LINES:
+                                        seen.clear()
+                                    seen.add(own)
+                                    start.append(a)
+                                    stop.append(b)
                         at = end + 1
                 if not rows:
                     continue
-                fresh = np.zeros(len(rows), bool)
-                for n, (d, a, b) in enumerate(zip(digests, start, stop, strict=True)):
-                    if b - a >= max(least, size) and d not in seen:
-                        if len(seen) >= SEEN_LINES:
-                            seen.clear()
-                        seen.add(d)
-                        fresh[n] = True
-                keys, counts = line_keys(shingle_hashes(chars, size), np.array(start)[fresh], np.array(stop)[fresh], size, percent)
+                keys, counts = line_keys(shingle_hashes(chars, size), np.array(start, np.int64), np.array(stop, np.int64), size, percent)
                 recent.append(keys)
-                signed += int(fresh.sum())
+                signed += len(start)
+                given = np.array(fresh)
                 sizes = np.zeros(len(rows), np.int64)
-                sizes[fresh] = counts
+                sizes[given] = counts
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)]
-                keyed = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64)), mask=pa.array(~fresh))
-                name = np.frombuffer(b"".join(digests), np.int64)[::2]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(digests, pa.binary()), pa.array(name), keyed, pa.nulls(len(rows), pa.list_(pa.int64()))], names=names)
+                keyed = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64)), mask=pa.array(~given))
+                hashes = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, 16 * len(rows) + 1, 16, np.int32)), pa.py_buffer(b"".join(digests))])
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), hashes, keyed, pa.nulls(len(rows), pa.list_(pa.int64()))], names=names)
                 if (found := hot(FLUSH_LINES)) is not None:
                     yield hot_row(found)
         if (found := hot(0)) is not None:
@@ -217,7 +220,7 @@ def _signed(docs: DataFrame, least: int, size: int, percent: int, short: bool) -
 
 
 def _members(docs: DataFrame) -> DataFrame:
-    """(name, id, elements) of the wanted lines (numbers) of each document; elements are the line itself,
+    """(id, elements) of the wanted lines (numbers) of each document; elements are the line itself,
     which is smaller than its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,8 +233,7 @@ def _members(docs: DataFrame) -> DataFrame:
                     own = text[int(offsets[k - i]) : int(offsets[k - i + 1])].split(b"\n")
                     lines += [own[w] for w in wanted[k]]
                 ids = [blake2b(line, digest_size=16).digest() for line in lines]
-                short = np.frombuffer(b"".join(ids), np.int64)[::2]
-                yield pa.RecordBatch.from_arrays([pa.array(short), pa.array(ids, pa.binary()), pa.array(lines, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(lines, pa.binary())], names=names)
 
     return docs.select("text", "wanted").mapInArrow(run, MEMBER_SCHEMA)
 
@@ -242,26 +244,23 @@ def removed_lines(docs: DataFrame, scratch: Scratch, least: int = LEAST_CHARS, p
     Rows that agree in doc_id and tie have the same text.
     """
     wide = scratch.cut(_signed(docs, least, size, percent, short), "lines")
-    lines = wide.filter("id is not null").select("doc_id", "tie", "line_no", "id", "name")
-    shared = shared_tiles(wide.select("name", "keys", "hot"), scratch)
-    reps = lines.groupBy("id", "name").agg(F.min(F.struct("doc_id", "tie", "line_no")).alias("first"), F.count(F.lit(1)).alias("copies"))
-    reps = scratch.cut(reps, "reps")
+    lines = wide.filter("id is not null").select("doc_id", "tie", "line_no", "id")
     # 64 bits name a line where tiles are found; lines that agree in them but not in all 128 both come along.
-    own = reps.select("first.*", "name").join(shared.select("name").distinct(), "name", "left_semi")
-    own = own.groupBy("doc_id", "tie").agg(F.collect_list("line_no").alias("wanted"))
-    asked = docs.join(own.hint("merge"), ["doc_id", "tie"]).select("text", "wanted")
-    members = scratch.cut(_members(asked), "members")
-    scratch.release()
-    near = link_small_sets(shared, members.dropDuplicates(["id"]), percent, scratch, partial(line_set, size=size))
-    scratch.drop(members, shared)
-    scratch.release()
+    name = F.xxhash64("id").alias("name")
+    shared = shared_tiles(wide.select(name, "keys", "hot"), scratch)
+    reps = lines.groupBy("id").agg(F.min(F.struct("doc_id", "tie", "line_no")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    reps = scratch.cut(reps, "reps")
+    own = reps.select("first.*", name).join(shared.select("name").distinct(), "name", "left_semi")
+    own = scratch.cut(own.groupBy("doc_id", "tie").agg(F.collect_list("line_no").alias("wanted")), "wanted")
+    members = scratch.cut(_members(docs.join(own.hint("merge"), ["doc_id", "tie"]).select("text", "wanted")), "members")
+    near = link_small_sets(shared, members.select("id", "elements", name), percent, scratch, partial(line_set, size=size))
+    scratch.drop(members, shared, own)
     joined = reps.join(near, "id", "left").withColumn("component", F.coalesce("component", "id"))
     best = joined.groupBy("component").agg(F.min("first").alias("winner"), F.sum("copies").alias("lines")).filter("lines > 1")
     losing = scratch.cut(joined.join(best, "component").select("id", "winner"), "losing")
-    gone = lines.drop("name").join(losing, "id").filter(F.struct("doc_id", "tie", "line_no") != F.col("winner"))
+    gone = lines.join(losing, "id").filter(F.struct("doc_id", "tie", "line_no") != F.col("winner"))
     gone = scratch.cut(gone.groupBy("doc_id", "tie").agg(F.collect_set("line_no").alias("gone")), "gone")
     scratch.drop(wide, reps, near, losing)
-    scratch.release()
     return gone
 
 

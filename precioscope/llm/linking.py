@@ -30,6 +30,10 @@ SMALL_TILE = 6
 HOT_SHARE = 500
 LEAST_HOT = 64
 MOST_HOT_SENT = 50_000
+MET_ROWS = 1_000_000
+#: Of 16 bytes each, as are those of the hot keys of 8.
+MOST_ASKED_SENT = 500_000
+BATCH_ROWS = 50_000
 
 
 def parity_bitmap(hashes: np.ndarray, bits: int) -> bytes:
@@ -72,33 +76,23 @@ def hot_keys(keys: np.ndarray, members: int) -> np.ndarray:
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, name): those whose key has several names, once each; nothing is buffered."""
-
-    def out(rows: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1])], names=["key", "name"])
-
-    last: tuple[np.ndarray, np.ndarray] | None = None  # the last row so far
-    waits = False  # it is given once another name of its key comes
-    for batch in batches:
-        key, name = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:2])
-        if last is not None:
-            key, name = np.concatenate([last[0], key]), np.concatenate([last[1], name])
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
-        key, name = key[fresh], name[fresh]
-        if not len(key):
-            continue
-        same = key[1:] == key[:-1]
-        keep = np.zeros(len(key), bool)
-        keep[1:] = same
-        keep[:-1] |= same
-        given = last is not None and not waits
-        if given:
-            keep[0] = False
-        if keep.any():
-            yield out((key[keep], name[keep]))
-        waits = not keep[-1] and not (given and len(key) == 1)
-        last = (key[-1:], name[-1:])
+    """The (key, name) of a partition whose key has several names, once each."""
+    parts = [[c.to_numpy(zero_copy_only=False) for c in batch.columns[:2]] for batch in batches]
+    if not parts:
+        return
+    key, name = (np.concatenate(c) for c in zip(*parts, strict=True))
+    del parts
+    order = np.lexsort((name, key))
+    key, name = key[order], name[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+    key, name = key[fresh], name[fresh]
+    keep = np.zeros(len(key), bool)
+    keep[1:] = key[1:] == key[:-1]
+    keep[:-1] |= keep[1:]
+    key, name = key[keep], name[keep]
+    for i in range(0, len(key), BATCH_ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(key[i : i + BATCH_ROWS]), pa.array(name[i : i + BATCH_ROWS])], names=["key", "name"])
 
 
 def shared_tiles(wide: DataFrame, scratch: Scratch) -> DataFrame:
@@ -112,11 +106,12 @@ def shared_tiles(wide: DataFrame, scratch: Scratch) -> DataFrame:
     rows = wide.select(F.explode("keys").alias("key"), "name")
     few = F.broadcast(hot) if n_hot <= MOST_HOT_SENT else hot
     plain = rows.join(few, "key", "left_anti") if n_hot else rows
-    met = plain.repartition("key").sortWithinPartitions("key", "name").mapInArrow(_met, "key long, name long")
+    # Without the hot keys rows spread evenly, so a partition has about MET_ROWS rows of 16 bytes.
+    total = wide.agg(F.sum(F.size("keys").cast("long")).alias("n")).first()["n"] or 0
+    met = plain.repartition(total // MET_ROWS + 1, "key").mapInArrow(_met, "key long, name long")
     if n_hot:
         met = met.unionByName(rows.join(few, "key", "left_semi").distinct())
     shared = scratch.cut(met, "tiles")
-    scratch.release()
     marks = [F.bit_xor(F.xxhash64("name", F.lit(i))).alias(c) for i, c in enumerate("fg")]
     prints = shared.groupBy("key").agg(F.count(F.lit(1)).alias("count"), *marks).filter("count > 1")
     prints = prints.groupBy("count", "f", "g").agg(F.min("key").alias("key")).select("key", "count")
@@ -352,8 +347,8 @@ def _candidates(members: DataFrame, percent: int, best: int) -> DataFrame:
     return members.select("tile", "id", "component", "n", "bitmap").mapInArrow(run, "a binary, b binary")
 
 
-def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked) by exact intersection of the sorted element arrays."""
+def _verified(pairs: DataFrame, arrays: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b, linked) by exact intersection of the sorted element arrays; pairs is a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -361,8 +356,11 @@ def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
             ok = [similar(sorted_hashes(x), sorted_hashes(y), percent) for x, y in zip(left, right, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
 
-    x = arrays.select(F.col("id").alias("a"), F.col("elements").alias("x"))
-    y = arrays.select(F.col("id").alias("b"), F.col("elements").alias("y"))
+    # Only sets that a pair asks for move.
+    asked = scratch.cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b"))).distinct(), "asked")
+    own = arrays.select("id", "elements").join(F.broadcast(asked) if asked.count() <= MOST_ASKED_SENT else asked, "id", "left_semi")
+    own = scratch.cut(own, "own")
+    x, y = own.select(F.col("id").alias("a"), F.col("elements").alias("x")), own.select(F.col("id").alias("b"), F.col("elements").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, linked boolean")
 
 
@@ -380,7 +378,6 @@ def link_large_sets(shared: DataFrame, arrays: DataFrame, percent: int, scratch:
     rows = _in_blocks(home.join(sizes, "key")).join(arrays, "name").select("tile", "id", _no_component(), "elements")
     links = scratch.cut(_tile_links(_sorted_by_tile(rows), percent, sorted_hashes), "links")
     labels = _grown(links, None, scratch)
-    scratch.release()
     meta = arrays.select("id", "n", "bitmap")
     now, checked, best = scratch.cut(shared.select("key", "name").join(names, "name").select("key", "id"), "members"), None, 1
     while True:
@@ -389,14 +386,14 @@ def link_large_sets(shared: DataFrame, arrays: DataFrame, percent: int, scratch:
         pairs = found.filter("a is not null").distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        result = scratch.cut(_verified(pairs, arrays, percent), "verified")
+        pairs = scratch.cut(pairs, "pairs")
+        result = scratch.cut(_verified(pairs, arrays, percent, scratch), "verified")
         linked = result.filter("linked").limit(1).count()
         more = found.filter("a is null").limit(1).count()
         bad = result.filter("not linked").select("a", "b")
         checked = bad if checked is None else checked.unionByName(bad)
         old, now = now, scratch.cut(tiles.select("key", "id").distinct(), "members")
         scratch.drop(old, tiles, found)
-        scratch.release()
         if linked:
             labels = _grown(result.filter("linked").select("a", "b"), labels, scratch)
         elif more:

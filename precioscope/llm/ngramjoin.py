@@ -162,7 +162,6 @@ def ngram_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Data
     if signs.count() > signs.select("doc").distinct().count():  # a doc_id may bring a set twice
         arrays = arrays.dropDuplicates(["id"])
     arrays = scratch.cut(arrays, "arrays")
-    scratch.release()
     near = link_large_sets(shared, arrays, percent, scratch)
     scratch.drop(arrays, shared)
     least = near.join(sets, "id").groupBy("component").agg(F.min("rep").alias("least"))

@@ -9,13 +9,13 @@ would each write to a disk of their own.
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN: list[str] = []
 
 
@@ -47,7 +47,14 @@ class Scratch:
     def cut(self, df: DataFrame, name: str, dictionary: bool = False) -> DataFrame:
         """Write ``df`` and read it back; the path is kept as ``scratch_path`` on the result."""
         path = self.new_path(name)
-        df.write.option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
+        # What was shuffled for the table is not needed once it is written; by default Spark keeps it
+        # until the driver happens to collect its garbage, which may be long after the disks are full.
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
@@ -60,12 +67,6 @@ class Scratch:
     def drop_all(self) -> None:
         self._delete(self.root)
 
-    def release(self) -> None:
-        """Let Spark delete the shuffle files of finished steps: it does so when the driver has collected
-        what refers to them, which otherwise may take until long after the disks are full."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
