@@ -1,7 +1,8 @@
 """Op 4: PNG media columns.
 
-Texts become 8-bit greyscale PNG files held in a binary column: zlib-compressed IDAT, a CRC on every
-chunk, scanline filters chosen per row.  Reading tests the signature and each checksum, inflates,
+Texts become 8-bit greyscale PNG files in the binary column of a stored table: zlib-compressed IDAT, a
+CRC on every chunk, scanline filters chosen per row.  The table is read again for all that follows:
+reading tests the signature and each checksum, inflates,
 undoes all five filters with numpy and describes the picture by the signs of its low-frequency
 cosine coefficients.  Each row is handled alone, so nothing is shuffled and no group can be hot.
 """
@@ -11,12 +12,14 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from precioscope.llm.scratch import Scratch
+
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 192
 HASH_SIDE = 8
@@ -136,32 +139,64 @@ def cosine_hash(image: np.ndarray) -> str:
     return np.packbits(np.round(low, 6) > np.median(np.round(low, 6))).tobytes().hex()
 
 
+MEDIA_SCHEMA = "doc_id long, n_bytes long, media binary"
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+#: Bytes of rows of a result batch, so that long texts do not gather in memory.
+BATCH_BYTES = 4 << 20
 
 
-def media_features(docs: DataFrame, keep_media: bool = False) -> DataFrame:
-    """One row per document: its text stored as PNG, read back and described.
+def _batched(rows: Iterator[tuple], schema: str, size: Callable[[tuple], int]) -> Iterator[pa.RecordBatch]:
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    held, held_bytes = [], 0
 
-    ``docs`` needs doc_id and text; other columns are ignored.  Null and empty text give one row of
-    192 spaces.  Equal texts give equal values, repeated rows stay, an empty table gives none.
-    ``keep_media`` adds the PNG bytes as binary column ``media``.
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in held], kinds[k]) for c, (_, k) in enumerate(fields)], names=[n for n, _ in fields])
+
+    for row in rows:
+        held.append(row)
+        held_bytes += size(row)
+        if held_bytes > BATCH_BYTES or len(held) >= 1024:
+            yield out()
+            held, held_bytes = [], 0
+    yield out()
+
+
+def media_table(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes (of the text) and the text as PNG in the binary column ``media``."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            ids = batch.column(0).cast(pa.int64()).to_pylist()
+            for i, text in enumerate(batch.column(1)):
+                payload, n = payload_of(text.as_py())
+                yield ids[i], n, encode_png(payload)
+
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: _batched(rows(batches), MEDIA_SCHEMA, lambda r: len(r[2])), MEDIA_SCHEMA)
+
+
+def read_media(media: DataFrame) -> DataFrame:
+    """Of a table (doc_id, n_bytes, media): each picture read, its checksums tested, and described.
+
+    A picture that fails a checksum ends the job: nothing is described that was not read back whole.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                rows = []
-                for text in part.column(1).to_pylist():
-                    payload, n = payload_of(text)
-                    media = encode_png(payload)
-                    image = decode_png(media)
-                    back = image.tobytes()
-                    row = (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), cosine_hash(image))
-                    rows.append((*row, media) if keep_media else row)
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False))], names=names)
-
-    schema = SCHEMA + ", media binary" * keep_media
-    names = [x.split()[0] for x in schema.split(", ")]
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+            ids, sizes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, picture in enumerate(batch.column(2)):
+                data = picture.as_py()
+                image = decode_png(data)
+                back = image.tobytes()
+                yield ids[i], sizes[i], len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(data), hashlib.sha256(data).hexdigest(), cosine_hash(image)
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(lambda batches: _batched(rows(batches), SCHEMA, lambda r: 256), SCHEMA)
+
+
+def media_features(docs: DataFrame) -> DataFrame:
+    """One row per document: its text stored as PNG in a table's binary column, read back and described.
+
+    ``docs`` needs doc_id and text; other columns are ignored.  Null and empty text give one row of
+    192 spaces.  Equal texts give equal values, repeated rows stay, an empty table gives none.
+    """
+    return read_media(Scratch(docs.sparkSession, "media").cut(media_table(docs), "media"))
