@@ -36,8 +36,11 @@ FITS = 4
 RANK_BLOCK = 4096
 BUCKET_ROWS = 50_000
 LEAST_BUCKETS = 64
-CACHE_WORDS = 500_000
-CACHE_PARTS = 100_000
+#: Bounds of a task's memory: words and parts whose ids are kept, ids of all kept words, bytes of text at a time.
+CACHE_WORDS = 150_000
+CACHE_PARTS = 40_000
+CACHE_IDS = 2_000_000
+TEXT_BYTES = 1 << 20
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _LOADED: dict[str, WordEncoder] = {}
 
@@ -85,7 +88,7 @@ class WordEncoder:
         self.parts: dict[str, list[int]] = {}
         self.plain = _is_word_bpe(path)
         self.words = pa.array([], pa.large_string())
-        self.counts = np.zeros(0, np.int64)
+        self.counts = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
     @staticmethod
@@ -116,7 +119,7 @@ class WordEncoder:
                 lists.append(found.get(parts[0]) or known[parts[0]])
             else:
                 lists.append([i for p in parts for i in found.get(p) or known[p]])
-        return np.fromiter(map(len, lists), np.int64, len(lists)), np.fromiter(itertools.chain.from_iterable(lists), np.uint32)
+        return np.fromiter(map(len, lists), np.int32, len(lists)), np.fromiter(itertools.chain.from_iterable(lists), np.uint32)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each)."""
@@ -133,18 +136,39 @@ class WordEncoder:
         at = np.where(miss, 0, place).astype(np.int64)
         at[miss] = len(self.words) + np.arange(int(miss.sum()))
         all_counts, all_ids = np.concatenate([self.counts, counts]), np.concatenate([self.ids, ids])
-        if len(all_counts) <= CACHE_WORDS:
+        if len(all_counts) <= CACHE_WORDS and len(all_ids) <= CACHE_IDS:
             self.words, self.counts, self.ids = pa.concat_arrays([self.words, fresh]), all_counts, all_ids
-        starts = np.cumsum(all_counts) - all_counts
+        starts = np.cumsum(all_counts, dtype=np.int64) - all_counts
         word = at[codes]
         n = all_counts[word]
-        ends = np.cumsum(n)
+        ends = np.cumsum(n, dtype=np.int64)
         flat = all_ids[np.repeat(starts[word] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
         bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         total = np.concatenate([[0], ends])
         return flat, total[bounds[1:]] - total[bounds[:-1]]
 
 
+    def documents(self, texts: pa.Array, end_id: int) -> Iterator[np.ndarray]:
+        """Of each text its ids and the end id; a text of many times TEXT_BYTES is encoded run of words by run of words."""
+        if len(texts) == 1 and texts.nbytes > 4 * TEXT_BYTES:
+            words = pc.ascii_split_whitespace(texts).flatten()
+            at, parts = 0, []
+            ends = np.cumsum(pc.binary_length(words).to_numpy() + 1)
+            while at < len(words):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TEXT_BYTES)))
+                parts.append(self.encode(pa.array([" ".join(words.slice(at, to - at).to_pylist())], pa.large_string()))[0])
+                at = to
+            yield np.concatenate([*parts, [end_id]]).astype("<u4")
+            return
+        flat, counts = self.encode(texts)
+        at = 0
+        for n in counts.tolist():
+            ids = np.empty(n + 1, "<u4")
+            ids[:n], ids[n] = flat[at : at + n], end_id
+            at += n
+            yield ids
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
 
@@ -153,13 +177,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
         for batch in batches:
             doc_ids = batch.column(0).cast(pa.int64())
             texts = pc.fill_null(batch.column(1).cast(pa.large_string()), pa.scalar("", pa.large_string()))
-            for i, j, _, _ in chunked(texts, 8 << 20):
-                flat, counts = encoder.encode(texts.slice(i, j - i))
-                rows, at = [], 0
-                for k, n in enumerate(counts.tolist()):
-                    ids = np.empty(n + 1, "<u4")
-                    ids[:n], ids[n] = flat[at : at + n], end_id
-                    at += n
+            for i, j, _, _ in chunked(texts, TEXT_BYTES):
+                rows = []
+                for k, ids in enumerate(encoder.documents(texts.slice(i, j - i), end_id)):
+                    n = len(ids) - 1
                     rows += [(k, p, s, min(capacity, n + 1 - s), zlib.crc32(ids[s : s + capacity])) for p, s in enumerate(range(0, n + 1, capacity))]
                 cols = np.array(rows, np.int64).reshape(-1, 5).T
                 yield pa.RecordBatch.from_arrays([doc_ids.slice(i, j - i).take(pa.array(cols[0])), pa.array(cols[1].astype(np.int32)), *map(pa.array, cols[2:])], names=[x.split()[0] for x in PIECE_SCHEMA.split(", ")])
