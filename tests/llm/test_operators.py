@@ -141,7 +141,30 @@ def test_personal_data_bootstrap(spark):
     texts = [f"hello please call customer {i} at number +1 (555) 010-{1000 + i} thanks" for i in range(12)] + ["so then at number 555-0199-77 ok", "a clean text with 12345 things"]
     got = {r["doc_id"]: r for r in find_personal(docs_of(spark, texts)).collect()}
     assert got[12]["spans"] == "phone:18:29" and got[12]["n_phone"] == 0 and got[13]["spans"] == ""
-    assert got[0]["spans"] == base_spans(texts[0])
+    assert got[0]["spans"] == base_spans(texts[0]) and got[12]["n_spans"] == 1
+    # One word before, or only a word after; what the first round finds makes a pattern for the next.
+    texts = [f"Fax: +1 (555) 010-{1000 + i} evenings" for i in range(30)] + [f"Fax: 555-0101-2{i} urgently" for i in range(6)] + ["555-0101-99 urgently", "x 123-4567"]
+    got = {r["doc_id"]: r["spans"] for r in find_personal(docs_of(spark, texts)).collect()}
+    assert got[30] == "phone:5:16" and got[36] == "phone:0:11" and got[37] == ""
+
+
+def test_personal_data_secrets(spark):
+    from precioscope.llm.pii import find_personal
+
+    key = "AKIA" + "ABCDEFGH12345678"
+    texts = [f"word password=e3b3ed3cc854892{i:03x} next" for i in range(6)] + [f"see {key}.", "my password=hunter2hunter", 'api_key = "someplainvalue"', "Licensed under the Apache License, Version 2.0.", None, ""]
+    rows = find_personal(docs_of(spark, texts)).collect()
+    got = {r["doc_id"]: r["spans"] for r in rows}
+    assert got[0] == "secret:14:32" and got[6] == "secret:4:25" and got[7] == "secret:12:25" and {got[i] for i in (8, 9, 10, 11)} == {""}
+
+
+def test_personal_data_many_matches(spark):
+    """Places stay right and the time near linear for texts of many thousand identifiers."""
+    from precioscope.llm.pii import find_personal
+
+    text = " ".join(f"é user{i}@mail{i % 7}.org +1 (555) 010-{1000 + i % 9000}" for i in range(20_000))
+    row = find_personal(docs_of(spark, [text, "plain"])).filter("doc_id = 0").first()
+    assert (row["n_email"], row["n_phone"]) == (20_000, 20_000) and row["base_sha256"] == hashlib.sha256(base_spans(text).encode()).hexdigest()
 
 
 # --- 4
@@ -176,17 +199,44 @@ def test_png():
 
 
 def test_media(spark):
-    from precioscope.llm.media import decode_png, media_features
+    from precioscope.llm.media import decode_png, media_features, media_table, read_media
 
-    rows = media_features(docs_of(spark, EDGE), keep_media=True).collect()
+    docs = docs_of(spark, EDGE)
+    stored = {r["doc_id"]: bytes(r["media"]) for r in media_table(docs).collect()}
+    rows = media_features(docs).collect()
     for r in rows:
         raw = (EDGE[r["doc_id"]] or "").encode()
         payload = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
-        assert decode_png(bytes(r["media"])).tobytes() == payload and r["n_bytes"] == len(raw) and r["payload_bytes"] == len(payload)
+        assert decode_png(stored[r["doc_id"]]).tobytes() == payload and r["n_bytes"] == len(raw) and r["payload_bytes"] == len(payload)
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-16:])
-        assert r["media_sha256"] == hashlib.sha256(bytes(r["media"])).hexdigest() and r["media_bytes"] == len(r["media"])
+        assert r["media_sha256"] == hashlib.sha256(stored[r["doc_id"]]).hexdigest() and r["media_bytes"] == len(stored[r["doc_id"]])
     one, two = (r for r in rows if r["doc_id"] in (4, 5))
     assert one["feature"] == two["feature"] and len(one["feature"]) == 16
+    twice = docs.union(docs)
+    assert media_features(twice).count() == 2 * len(EDGE) and media_features(docs.filter("false")).count() == 0
+    # Features come from what is stored: another picture in the column is what is described.
+    other = spark.createDataFrame([(1, 5, bytearray(stored[4]))], "doc_id long, n_bytes long, media binary")
+    assert read_media(other).first()["payload_sha256"] == one["payload_sha256"]
+    broken = bytearray(stored[4])
+    broken[len(broken) // 2] ^= 1
+    with pytest.raises(Exception, match="checksum|zlib"):
+        read_media(spark.createDataFrame([(1, 5, broken)], "doc_id long, n_bytes long, media binary")).collect()
+
+
+def test_cosine_hash():
+    """Against the plain sums of cosines over the averaged picture."""
+    from precioscope.llm.media import cosine_hash
+
+    rng = np.random.default_rng(8)
+    for rows in (1, 5, 32, 77):
+        image = rng.integers(0, 256, (rows, 192), dtype=np.uint8)
+        edges = lambda n: [min(i * n // 32, n - 1) for i in range(32)]
+        ys, xs = edges(rows), edges(192)
+        until = lambda e, i, n: min([x for x in e if x > e[i]], default=n)
+        grid = [[image[ys[i] : until(ys, i, rows), xs[j] : until(xs, j, 192)].mean() for j in range(32)] for i in range(32)]
+        low = [sum(grid[y][x] * np.cos(np.pi * v * (2 * y + 1) / 64) * np.cos(np.pi * u * (2 * x + 1) / 64) for y in range(32) for x in range(32)) for v in range(1, 9) for u in range(1, 9)]
+        bits = "".join(str(int(round(c, 6) > np.median(np.round(low, 6)))) for c in low)
+        assert cosine_hash(image) == f"{int(bits, 2):016x}"
 
 
 # --- 5
@@ -553,6 +603,28 @@ def test_mixing(spark, sources):
     assert mix_documents(docs).columns == docs.columns and mix_report(docs.filter("false")).count() == 0
 
 
+def test_mixing_shards(spark):
+    """The shards' counts decide the slots: another draw moves words between shards, none takes a word away."""
+    from precioscope.llm.mixing import Mix, mix_documents, mix_report
+
+    docs = docs_of(spark, [" ".join(f"w{i}-{j}" for j in range(3 + i % 50)) for i in range(300)])
+    a, b = Mix(docs, block_words=16, shards=7), Mix(docs, block_words=16, shards=7, seed=5)
+    counts = {(r["source_no"], r["shard"]): (r["first"], r["n"]) for r in a.counts.collect()}
+    slots = a.slots.collect()
+    assert len({s for _, s in counts}) == 7 and len(slots) == sum(n for _, n in counts.values())
+    assert all(counts[r["source_no"], r["shard"]][0] <= r["slot"] < sum(counts[r["source_no"], r["shard"]]) for r in slots)
+    assert {tuple(r) for r in a.counts.collect()} != {tuple(r) for r in b.counts.collect()}
+    report = mix_report(docs, 16, shards=7).collect()
+    want = {r["source"]: int(r["target"] + 0.5) for r in a.sources.collect()}
+    assert sum(r["taken"] for r in report) == sum(want.values()) and len({r["first_shard"] for r in report}) > 2
+    assert all(r["taken"] <= 3 * r["size"] for r in report)
+    clash = docs.selectExpr("*", "1 as n", "2 as runs", "3 as tie", "4 as shard", "5 as row")
+    mixed = mix_documents(clash, 16, shards=7)
+    rows = mixed.collect()
+    assert mixed.columns == clash.columns and {(r["n"], r["runs"], r["tie"], r["shard"], r["row"]) for r in rows} == {(1, 2, 3, 4, 5)}
+    assert sum(len(r["text"].split()) for r in rows) == sum(want.values()) and mix_documents(docs.filter("false")).count() == 0
+
+
 def test_permutation():
     from precioscope.llm.mixing import permute
 
