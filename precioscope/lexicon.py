@@ -112,3 +112,6 @@ PROCESSOR = r"\b(ryzen\s*[3579]|core\s*i[3579]|core\s*ultra\s*[579]|celeron|athl
 # Company-like and empty brand fields.
 COMPANY = r"(?i)(ltda|s\.?a\.?$|eireli|mei\b|comercio|comércio|industria|indústria|distribuidora|importacao|importação|servicos|serviços|intermedia|negocios|negócios|me\b|epp\b)"
 NO_BRAND = r"(?i)^(n[ãa]o informad[oa]|sem marca|generic[oa]?|outros?|diversos?|marca)$"
+#: Short names of the months; words that a family's title neither begins nor ends with.
+SHORT_MONTHS = ["jan", "fev", "mar", "abr", "mai", "jun", "jul", "ago", "set", "out", "nov", "dez"]
+TITLE_EDGE_WORDS = ["de", "da", "do", "com", "para", "e", "a", "o", "em", "the", "chip", "processador", "polegadas", "pol", "modelo", "novo", "nova"]
