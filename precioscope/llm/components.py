@@ -22,9 +22,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        out = edges.join(least, edges["v"] == least["node"]).select("u", F.col("m").alias("v"))
-        own = edges.join(least, edges["u"] == least["node"]).select("u", "v", "m").filter("v <> m").select(F.col("u"), F.col("m").alias("v"))
-        return out.unionByName(own).distinct()
+        return edges.join(least, edges["v"] == least["node"]).select("u", F.col("m").alias("v")).distinct()
     least = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
     out = edges.join(least, edges["u"] == least["node"])
     return out.select("u", F.col("m").alias("v")).unionByName(out.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
@@ -62,7 +60,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     edges give no rows.
     """
     kind = edges.schema["a"].dataType.simpleString()
-    pairs = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    pairs = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    # Contracted where the edges are: dealing them out by a node would bring a hub's to one task.
     now = scratch.cut(pairs.mapInArrow(_local, f"u {kind}, v {kind}").distinct(), "edges")
     while True:
         # Done when it is a forest of stars: no centre has a lesser neighbour and no leaf two.

@@ -90,6 +90,19 @@ def line_set(line: bytes, size: int = SHINGLE) -> np.ndarray:
     return np.unique(shingle_hashes(chars, size)[: max(1, len(chars) - size + 1)])
 
 
+def line_sets(lines: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
+    """The sets of many lines, whose characters are hashed together."""
+    bounds = np.concatenate([[0], np.cumsum(list(map(len, lines)))])
+    chars, place = _characters(b"".join(lines), bounds.tolist())
+    h, out = shingle_hashes(chars, size), []
+    start = place[bounds].tolist()
+    for a, b in zip(start[:-1], start[1:], strict=True):
+        u = np.sort(h[a : max(a + 1, b - size + 1)])
+        again = u[1:] == u[:-1]
+        out.append(np.concatenate([u[:1], u[1:][~again]]) if again.any() else u)
+    return out
+
+
 def _minima(x: np.ndarray, line: np.ndarray, lines: int, bins: int) -> tuple[np.ndarray, np.ndarray]:
     """Minima of each line's hashes in each bin (an empty bin takes the next full one's, marked by the
     distance), and the number of empty bins."""
@@ -253,7 +266,7 @@ def removed_lines(docs: DataFrame, scratch: Scratch, least: int = LEAST_CHARS, p
     own = reps.select("first.*", name).join(shared.select("name").distinct(), "name", "left_semi")
     own = scratch.cut(own.groupBy("doc_id", "tie").agg(F.collect_list("line_no").alias("wanted")), "wanted")
     members = scratch.cut(_members(docs.join(own.hint("merge"), ["doc_id", "tie"]).select("text", "wanted")), "members")
-    near = link_small_sets(shared, members.select("id", "elements", name), percent, scratch, partial(line_set, size=size))
+    near = link_small_sets(shared, members.select("id", "elements", name), percent, scratch, partial(line_sets, size=size))
     scratch.drop(members, shared, own)
     joined = reps.join(near, "id", "left").withColumn("component", F.coalesce("component", "id"))
     best = joined.groupBy("component").agg(F.min("first").alias("winner"), F.sum("copies").alias("lines")).filter("lines > 1")

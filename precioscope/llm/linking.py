@@ -63,7 +63,9 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Is 100 * meet >= percent * union for two sorted sets?"""
     if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
         return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
+    every = np.concatenate([x, y])
+    every.sort()
+    both = int(np.count_nonzero(every[1:] == every[:-1]))
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
@@ -121,7 +123,10 @@ def shared_tiles(wide: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def forest(sets: list[np.ndarray], percent: int, labels: list | None = None) -> list[tuple[int, int]]:
-    """Links that join what the pairwise links of ``sets`` join, members of one label being joined already."""
+    """Links that join what the pairwise links of ``sets`` join, members of one label being joined already.
+
+    They are stars: each member that was joined here is linked to the first of its component.
+    """
     n = len(sets)
     parent = list(range(n))
     if labels is not None:
@@ -134,19 +139,19 @@ def forest(sets: list[np.ndarray], percent: int, labels: list | None = None) ->
             x = parent[x]
         return x
 
-    links = []
+    joined = []
 
     def compare(a: int, b: int) -> None:
         x, y = find(a), find(b)
         if x != y and similar(sets[a], sets[b], percent):
             parent[max(x, y)] = min(x, y)
-            links.append((a, b))
+            joined.append(max(x, y))
 
     if n <= SMALL_TILE:
         for a in range(n):
             for b in range(a):
                 compare(a, b)
-        return links
+        return [(find(x), x) for x in joined]
     sizes = np.array([len(s) for s in sets])
     bits = bitmap_bits(int(np.median(sizes)), percent)
     spot = np.concatenate(sets) & np.uint64(bits - 1)
@@ -168,10 +173,10 @@ def forest(sets: list[np.ndarray], percent: int, labels: list | None = None) ->
     order = np.argsort(d, kind="stable")
     for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True):
         compare(i, j)
-    return links
+    return [(find(x), x) for x in joined]
 
 
-def _tile_links(members: DataFrame, percent: int, set_of: Callable[[bytes], np.ndarray]) -> DataFrame:
+def _tile_links(members: DataFrame, percent: int, sets_of: Callable[[list[bytes]], list[np.ndarray]]) -> DataFrame:
     """(a, b): the links of each tile's forest; members (tile, id, component, elements) sorted by tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +190,8 @@ def _tile_links(members: DataFrame, percent: int, set_of: Callable[[bytes], np.n
             return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
         for batch in batches:
-            for t, i, c, e in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            columns = [x.to_pylist() for x in batch.columns]
+            for t, i, c, s in zip(*columns[:3], sets_of(columns[3]), strict=True):
                 if t != tile:
                     for x, y in forest(sets, percent, comps if any(comps) else None) if len(ids) > 1 else ():
                         a.append(ids[x])
@@ -195,7 +201,7 @@ def _tile_links(members: DataFrame, percent: int, set_of: Callable[[bytes], np.n
                     held.add(i)
                     ids.append(i)
                     comps.append(c)
-                    sets.append(set_of(e))
+                    sets.append(s)
             if len(a) > 20_000:
                 yield out()
                 a, b = [], []
@@ -258,7 +264,7 @@ def _grown(links: DataFrame, labels: DataFrame | None, scratch: Scratch) -> Data
     return out
 
 
-def link_small_sets(shared: DataFrame, members: DataFrame, percent: int, scratch: Scratch, set_of: Callable[[bytes], np.ndarray]) -> DataFrame:
+def link_small_sets(shared: DataFrame, members: DataFrame, percent: int, scratch: Scratch, sets_of: Callable[[list[bytes]], list[np.ndarray]]) -> DataFrame:
     """(id, component) of the members that are linked with another, where elements are short.
 
     shared (key, name, count); members (name, id, elements), tables; several ids may share a name.
@@ -266,13 +272,13 @@ def link_small_sets(shared: DataFrame, members: DataFrame, percent: int, scratch
     between the blocks of large keys.
     """
     rows = _in_blocks(shared).join(members, "name").select("tile", "id", _no_component(), "elements")
-    links = scratch.cut(_tile_links(_sorted_by_tile(rows), percent, set_of), "links")
+    links = scratch.cut(_tile_links(_sorted_by_tile(rows), percent, sets_of), "links")
     labels = _grown(links, None, scratch)
     large = shared.filter(F.col("count") > BLOCK_MEMBERS).join(members.select("name", "id"), "name").select("key", "id")
     rest = scratch.cut(open_tiles(_labelled(large, labels)), "open")
     if rest.limit(1).count():
         rows = rest.join(members.select("id", "elements"), "id").select("tile", "id", "component", "elements")
-        links = scratch.cut(_tile_links(_sorted_by_tile(rows), percent, set_of), "links")
+        links = scratch.cut(_tile_links(_sorted_by_tile(rows), percent, sets_of), "links")
         labels = _grown(links, labels, scratch)
     scratch.drop(rest)
     return labels
@@ -376,7 +382,7 @@ def link_large_sets(shared: DataFrame, arrays: DataFrame, percent: int, scratch:
     home = shared.groupBy("name").agg(F.max_by("key", F.struct("count", "key")).alias("key"))
     sizes = home.groupBy("key").agg(F.count(F.lit(1)).alias("count")).filter("count > 1")
     rows = _in_blocks(home.join(sizes, "key")).join(arrays, "name").select("tile", "id", _no_component(), "elements")
-    links = scratch.cut(_tile_links(_sorted_by_tile(rows), percent, sorted_hashes), "links")
+    links = scratch.cut(_tile_links(_sorted_by_tile(rows), percent, lambda es: list(map(sorted_hashes, es))), "links")
     labels = _grown(links, None, scratch)
     meta = arrays.select("id", "n", "bitmap")
     now, checked, best = scratch.cut(shared.select("key", "name").join(names, "name").select("key", "id"), "members"), None, 1

@@ -340,7 +340,7 @@ def test_line_dedup_tells_lines_apart(spark):
 
 def test_line_recall(spark, sf_dir):
     """Measured recall of the bands: similar lines of the test table that meet in a key."""
-    from precioscope.llm.linededup import _SAME, _characters, line_keys, line_set, shingle_hashes
+    from precioscope.llm.linededup import _SAME, _characters, line_keys, line_set, line_sets, shingle_hashes
     from precioscope.llm.linking import similar
 
     texts = [r["text"] for r in spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet").select("text").collect()]
@@ -363,6 +363,7 @@ def test_line_recall(spark, sf_dir):
         chars, _ = _characters(x, [0, len(x)])
         return set(line_keys(shingle_hashes(chars), np.array([0]), np.array([len(chars)]))[0].tolist())
 
+    assert all((a == line_set(x)).all() for a, x in zip(line_sets(lines[:300]), lines[:300], strict=True))
     met = [bool(keys(x) & keys(y)) for x, y in pairs if x != y]
     assert len(met) > 500 and np.mean(met) > 0.97
 
@@ -401,7 +402,7 @@ def test_tiles_of_any_size(spark, members):
     arrays = spark.createDataFrame(rows, "name long, id binary, n long, bitmap binary, elements binary")
     shared = spark.range(members).selectExpr("7L as key", "id as name", f"{members}L as count")
     more = spark.range(0, members, 3).selectExpr("9L as key", "id as name", f"{-(-members // 3)}L as count")
-    for got in (link_small_sets(shared, arrays, 80, Scratch(spark, "t"), sorted_hashes), link_large_sets(shared.unionByName(more), arrays, 80, Scratch(spark, "t"))):
+    for got in (link_small_sets(shared, arrays, 80, Scratch(spark, "t"), lambda es: list(map(sorted_hashes, es))), link_large_sets(shared.unionByName(more), arrays, 80, Scratch(spark, "t"))):
         found = {bytes(r["id"]): bytes(r["component"]) for r in got.collect()}
         assert {i: found.get(i, i) for i in ids} == want
 
