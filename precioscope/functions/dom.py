@@ -15,16 +15,23 @@ FENCES = {"li": {"ul", "ol"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "attrs", "children", "parent", "_text", "_below")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
+        self._text: str | None = None
+        self._below: list[Node] | None = None
 
     def get(self, name: str) -> str:
         return self.attrs.get(name, "")
 
-    def walk(self) -> Iterator[Node]:
-        """Elements below, in document order."""
+    def walk(self) -> list[Node]:
+        """Elements below, in document order; kept, so a finished tree is walked once."""
+        if self._below is None:
+            self._below = list(self._walk())
+        return self._below
+
+    def _walk(self) -> Iterator[Node]:
         stack = [c for c in reversed(self.children) if isinstance(c, Node)]
         while stack:
             node = stack.pop()
@@ -38,6 +45,11 @@ class Node:
         return squeeze(" ".join(c for c in self.children if isinstance(c, str)))
 
     def text(self) -> str:
+        if self._text is None:
+            self._text = self._read()
+        return self._text
+
+    def _read(self) -> str:
         parts: list[str] = []
         stack: list = list(reversed(self.children))
         while stack:

@@ -133,21 +133,28 @@ def pacing(requests: DataFrame, gap_ms: int = 700) -> DataFrame:
     return requests.withColumn("start_ms", (F.row_number().over(Window.partitionBy("host").orderBy("ordinal")) - 1) * gap_ms)
 
 
-def backoff(responses: DataFrame, first_ms: int = 6000, most_ms: int = 90_000, gap_ms: int = 700) -> DataFrame:
+def backoff(responses: DataFrame, first_ms: int = 6000, most_ms: int = 90_000, gap_ms: int = 700, longest_s: int = 120, least_age_ms: int = 60_000) -> DataFrame:
     """(host, ordinal, wait_ms): what each response leaves as the host's gap.
 
     A 429 or 503 takes its Retry-After (120 s at most) or doubles from ``first_ms``; a success halves,
-    down to none.  A fold over a host's few responses, in order.
+    down to none.  With a column at_ms a gap is forgotten once the refusal that set it is older than
+    four times that gap, and than a minute.  A fold over a host's responses, in order.
     """
+    timed = "at_ms" in responses.columns
+    rows = responses.select("host", "ordinal", "status", F.col("retry_after").cast("double").alias("retry_after"), (F.col("at_ms") if timed else F.lit(0)).cast("long").alias("at_ms"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        wait, out = 0, []
-        for status, retry in frame.sort_values("ordinal")[["status", "retry_after"]].itertuples(index=False):
+        frame = frame.sort_values("ordinal")
+        wait, until, out = 0, 0, []
+        for status, retry, at in frame[["status", "retry_after", "at_ms"]].itertuples(index=False):
+            if timed and wait and at >= until:
+                wait = 0
             if status in (429, 503):
-                wait = int(min(retry, 120) * 1000) if retry == retry and retry else min(most_ms, max(first_ms, wait * 2))
+                wait = int(min(retry, longest_s) * 1000) if retry == retry and retry else min(most_ms, wait * 2 or first_ms)
+                until = at + max(4 * wait, least_age_ms)
             elif wait:
                 wait = wait // 2 if wait // 2 > gap_ms else 0
             out.append(wait)
-        return pd.DataFrame({"host": frame["host"].iloc[0], "ordinal": sorted(frame["ordinal"]), "wait_ms": out})
+        return pd.DataFrame({"host": frame["host"].iloc[0], "ordinal": frame["ordinal"].to_numpy(), "wait_ms": out})
 
-    return responses.groupBy("host").applyInPandas(run, "host string, ordinal long, wait_ms long")
+    return rows.groupBy("host").applyInPandas(run, "host string, ordinal long, wait_ms long")

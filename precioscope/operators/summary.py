@@ -20,7 +20,8 @@ def best_offer(offers: DataFrame) -> DataFrame:
 
 
 def price_assessment(history: DataFrame, best: DataFrame, as_of: Column | str) -> DataFrame:
-    """How good the current price is: the share of the base that is strictly dearer.
+    """How good the current price is: the share of the base that is strictly dearer, the base's mean and
+    the distance to it in percent.
 
     The base is the last 90 days if they hold 3 readings, else everything; fewer than 3 give no row.
     """
@@ -28,12 +29,13 @@ def price_assessment(history: DataFrame, best: DataFrame, as_of: Column | str) -
     recent = F.col("ts") >= _at(as_of) - F.make_interval(days=F.lit(90))
     dearer = F.col("price") > F.col("current_price")
     one = lambda c: F.when(c, 1).otherwise(0)
-    per = priced.groupBy("product_id", "current_price").agg(F.sum(one(recent)).alias("n90"), F.sum(one(recent & dearer)).alias("d90"), F.count(F.lit(1)).alias("n"), F.sum(one(dearer)).alias("d"))
+    per = priced.groupBy("product_id", "current_price").agg(F.sum(one(recent)).alias("n90"), F.sum(one(recent & dearer)).alias("d90"), F.count(F.lit(1)).alias("n"), F.sum(one(dearer)).alias("d"), F.sum(F.when(recent, _cents("price"))).alias("c90"), F.sum(_cents("price")).alias("c"))
     wide = F.col("n90") < 3
     per = per.withColumn("base", F.when(wide, F.col("n")).otherwise(F.col("n90"))).withColumn("dearer", F.when(wide, F.col("d")).otherwise(F.col("d90"))).filter("base >= 3")
+    per = per.withColumn("mean", F.when(wide, F.col("c")).otherwise(F.col("c90")) / F.col("base") / 100)
     share = F.col("dearer") / F.col("base")
     rank = F.when(share >= 0.9, "great").when(share >= 0.6, "good").when(share >= 0.3, "normal").otherwise("poor")
-    return per.select("product_id", "current_price", "base", "dearer", share.alias("share_dearer"), rank.alias("rating"))
+    return per.select("product_id", "current_price", "base", "dearer", share.alias("share_dearer"), rank.alias("rating"), "mean", ((F.col("current_price") - F.col("mean")) / F.col("mean") * 100).alias("from_mean_percent"))
 
 
 def variation_24h(history: DataFrame, best: DataFrame, as_of: Column | str) -> DataFrame:
@@ -62,20 +64,34 @@ def product_summary(history: DataFrame, offers: DataFrame, as_of: Column | str)
     out = history.select("product_id").distinct()
     for part in (best, lowest_ever(history), points, day, last, grade):
         out = out.join(part, "product_id", "left")
-    return out.withColumn("above_lowest", F.col("current_price") - F.col("lowest_price")).withColumn("points", F.coalesce("points", F.lit(0)))
+    out = out.withColumn("above_lowest", F.col("current_price") - F.col("lowest_price")).withColumn("points", F.coalesce("points", F.lit(0)))
+    change = lambda c: (F.col("current_price") - F.col(c)) / F.col(c) * 100
+    return out.withColumns({"above_lowest_percent": change("lowest_price"), "percent_24h": change("price_24h"), "percent_last": change("earlier_price")})
 
 
-def global_summary(summary: DataFrame, history: DataFrame, opened: DataFrame, as_of: Column | str) -> DataFrame:
-    """One row of counts: products, falling, at a new low, readings today, open opportunities, stores."""
+def global_summary(summary: DataFrame, history: DataFrame, opened: DataFrame, as_of: Column | str, queries: DataFrame | None = None, stores: DataFrame | None = None) -> DataFrame:
+    """One row of counts: products watched, falling, at a new low, readings today, open opportunities, and
+    active ones and all of the queries and stores (``active``; by default the stores of the history)."""
     change = F.coalesce(F.col("current_price") - F.col("price_24h"), F.col("current_price") - F.col("earlier_price"))
     products = summary.agg(F.count(F.lit(1)).alias("products"), F.count_if(change < 0).alias("falling"), F.count_if((F.col("above_lowest") == 0) & (F.col("points") > 1)).alias("new_lows"))
-    today = history.agg(F.count_if(F.to_date("ts") == F.to_date(_at(as_of))).alias("readings_today"), F.count_distinct("store_id").alias("stores"))
+    today = history.agg(F.count_if(F.to_date("ts") == F.to_date(_at(as_of))).alias("readings_today"))
     open_ = opened.agg(F.count(F.lit(1)).alias("open_opportunities"))
-    return products.join(today).join(open_)  # three one-row aggregates
+    out = products.join(today).join(open_)  # aggregates of one row each
+    for name, kept in (("queries", queries), ("stores", history.select("store_id").distinct().withColumn("active", F.lit(True)) if stores is None else stores)):
+        if kept is not None:
+            out = out.join(kept.agg(F.count_if("active").alias(f"{name}_active"), F.count(F.lit(1)).alias(name)))
+    return out
+
+
+def _cents(price: str) -> Column:
+    """Whole cents, whose sums do not depend on the order of rows."""
+    return F.round(F.col(price) * 100).cast("long")
 
 
 def average_price(offers: DataFrame) -> DataFrame:
-    return offers.filter(has_price()).groupBy("product_id").agg(F.avg("price").alias("average_price"))
+    """Mean price of each product's priced offers and their number."""
+    per = offers.filter(has_price()).groupBy("product_id").agg(F.sum(_cents("price")).alias("cents"), F.count(F.lit(1)).alias("offers"))
+    return per.select("product_id", (F.col("cents") / F.col("offers") / 100).alias("average_price"), "offers")
 
 
 def upper_median(prices: str | Column) -> Column:

@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from precioscope.functions import text as X
+from precioscope.operators import crawl as W
 from precioscope.operators import history as H
 from precioscope.operators import opportunity as O
 from precioscope.operators import score as S
 from precioscope.operators import summary as M
+from precioscope.operators import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,10 +131,10 @@ def lowest_ever(spark, sf_dir):
 
 @query(
     "price_assessment",
-    f"""WITH {BEST}, x AS (SELECT r.product_id, current_price, r.price > current_price AS dearer, r.ts >= TIMESTAMP '{AS_OF}' - INTERVAL 10 DAY - INTERVAL 80 DAY AS recent FROM r JOIN b USING (product_id) WHERE coalesce(r.price, 0) <> 0),
-    g AS (SELECT product_id, current_price, count(*) FILTER (recent) AS n90, count(*) FILTER (recent AND dearer) AS d90, count(*) AS n, count(*) FILTER (dearer) AS d FROM x GROUP BY ALL),
-    h AS (SELECT product_id, current_price, CASE WHEN n90 < 3 THEN n ELSE n90 END AS base, CASE WHEN n90 < 3 THEN d ELSE d90 END AS dearer FROM g)
-    SELECT *, dearer / base AS share_dearer, CASE WHEN dearer / base >= 0.9 THEN 'great' WHEN dearer / base >= 0.6 THEN 'good' WHEN dearer / base >= 0.3 THEN 'normal' ELSE 'poor' END AS rating FROM h WHERE base >= 3""",
+    f"""WITH {BEST}, x AS (SELECT r.product_id, current_price, CAST(round(r.price * 100) AS BIGINT) AS cents, r.price > current_price AS dearer, r.ts >= TIMESTAMP '{AS_OF}' - INTERVAL 10 DAY - INTERVAL 80 DAY AS recent FROM r JOIN b USING (product_id) WHERE coalesce(r.price, 0) <> 0),
+    g AS (SELECT product_id, current_price, count(*) FILTER (recent) AS n90, count(*) FILTER (recent AND dearer) AS d90, count(*) AS n, count(*) FILTER (dearer) AS d, sum(cents) FILTER (recent) AS c90, sum(cents) AS c FROM x GROUP BY ALL),
+    h AS (SELECT product_id, current_price, CASE WHEN n90 < 3 THEN n ELSE n90 END AS base, CASE WHEN n90 < 3 THEN d ELSE d90 END AS dearer, CASE WHEN n90 < 3 THEN c ELSE c90 END / CASE WHEN n90 < 3 THEN n ELSE n90 END / 100 AS mean FROM g)
+    SELECT *, (current_price - mean) / mean * 100 AS from_mean_percent, dearer / base AS share_dearer, CASE WHEN dearer / base >= 0.9 THEN 'great' WHEN dearer / base >= 0.6 THEN 'good' WHEN dearer / base >= 0.3 THEN 'normal' ELSE 'poor' END AS rating FROM h WHERE base >= 3""",
 )
 def price_assessment(spark, sf_dir):
     r = readings(spark, sf_dir)
@@ -151,7 +153,8 @@ SUMMARY = f"""{BEST}, pr AS (SELECT * FROM r WHERE coalesce(price, 0) <> 0),
     la AS (SELECT pr.product_id, pr.price AS earlier_price FROM pr JOIN b ON pr.product_id = b.product_id AND store_id = best_store QUALIFY row_number() OVER (PARTITION BY pr.product_id ORDER BY seq DESC) = 2),
     gx AS (SELECT pr.product_id, count(*) AS base, count(*) FILTER (pr.price > current_price) AS dearer FROM pr JOIN b USING (product_id) GROUP BY pr.product_id HAVING count(*) >= 3),
     ra AS (SELECT product_id, dearer / base AS share_dearer, CASE WHEN dearer / base >= 0.9 THEN 'great' WHEN dearer / base >= 0.6 THEN 'good' WHEN dearer / base >= 0.3 THEN 'normal' ELSE 'poor' END AS rating FROM gx),
-    ps AS (SELECT i.product_id, current_price, best_store, stores, lowest_price, lowest_at, lowest_store, coalesce(points, 0) AS points, price_24h, earlier_price, rating, share_dearer, current_price - lowest_price AS above_lowest
+    ps AS (SELECT i.product_id, current_price, best_store, stores, lowest_price, lowest_at, lowest_store, coalesce(points, 0) AS points, price_24h, earlier_price, rating, share_dearer, current_price - lowest_price AS above_lowest,
+    (current_price - lowest_price) / lowest_price * 100 AS above_lowest_percent, (current_price - price_24h) / price_24h * 100 AS percent_24h, (current_price - earlier_price) / earlier_price * 100 AS percent_last
     FROM (SELECT DISTINCT product_id FROM r) i LEFT JOIN b USING (product_id) LEFT JOIN lo USING (product_id) LEFT JOIN d1 USING (product_id) LEFT JOIN la USING (product_id) LEFT JOIN ra USING (product_id))"""
 
 
@@ -165,12 +168,14 @@ def product_summary(spark, sf_dir):
     "global_summary",
     f"""WITH {SUMMARY}, wx AS (SELECT *, last_value(CASE WHEN coalesce(price, 0) <> 0 THEN price END IGNORE NULLS) OVER (PARTITION BY product_id, store_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_price FROM r)
     SELECT count(*) AS products, count(*) FILTER (coalesce(current_price - price_24h, current_price - earlier_price) < 0) AS falling, count(*) FILTER (above_lowest = 0 AND points > 1) AS new_lows,
-    (SELECT count(*) FROM r WHERE CAST(ts AS DATE) = CAST(TIMESTAMP '{AS_OF}' AS DATE)) AS readings_today, (SELECT count(DISTINCT store_id) FROM r) AS stores,
+    (SELECT count(*) FROM r WHERE CAST(ts AS DATE) = CAST(TIMESTAMP '{AS_OF}' AS DATE)) AS readings_today, (SELECT count(DISTINCT store_id) FROM r) AS stores, (SELECT count(DISTINCT store_id) FROM r WHERE store_id <> 'error') AS stores_active, (SELECT count(DISTINCT p_brand) FROM part) AS queries, (SELECT count(DISTINCT p_brand) FROM part WHERE p_brand NOT IN ('Brand#1', 'Brand#2')) AS queries_active,
     (SELECT count(*) FROM wx WHERE coalesce(price, 0) <> 0 AND coalesce(previous_price, 0) <> 0 AND price < previous_price AND (previous_price - price) / previous_price * 100 >= 5) AS open_opportunities FROM ps""",
 )
 def global_summary(spark, sf_dir):
     r = readings(spark, sf_dir)
-    return M.global_summary(M.product_summary(r, H.current_offers(r), AS_OF), r, O.price_drops(H.with_running(r)), AS_OF)
+    asked = table(spark, sf_dir, "part").select("p_brand", (~F.col("p_brand").isin("Brand#1", "Brand#2")).alias("active")).distinct()
+    stores = r.select("store_id", (F.col("store_id") != "error").alias("active")).distinct()
+    return M.global_summary(M.product_summary(r, H.current_offers(r), AS_OF), r, O.price_drops(H.with_running(r)), AS_OF, asked, stores)
 
 
 @query("price_sanity_band", "WITH p AS (SELECT l_partkey AS product_id, l_extendedprice AS price FROM lineitem), s AS (SELECT product_id, count(*) AS n, list_sort(list(price))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS median FROM p WHERE coalesce(price, 0) <> 0 GROUP BY product_id HAVING count(*) >= 3) SELECT p.product_id, median, count(*) FILTER (NOT (price < median * 0.35::DOUBLE OR price > median * 2.6::DOUBLE)) AS kept, count(*) FILTER (price < median * 0.35::DOUBLE OR price > median * 2.6::DOUBLE) AS dropped FROM p JOIN s USING (product_id) WHERE coalesce(price, 0) <> 0 GROUP BY ALL")
@@ -197,10 +202,9 @@ def opportunities_feed(spark, sf_dir):
     return O.latest_opportunities(O.opportunities(readings(spark, sf_dir)))
 
 
-@query("average_offer_price", f"WITH {CURRENT} SELECT product_id, CAST(sum(CAST(round(price * 100) AS BIGINT)) AS BIGINT) AS price_cents, count(*) AS offers FROM o WHERE coalesce(price, 0) <> 0 GROUP BY product_id")
+@query("average_offer_price", f"WITH {CURRENT} SELECT product_id, CAST(sum(CAST(round(price * 100) AS BIGINT)) AS BIGINT) / count(*) / 100 AS average_price, count(*) AS offers FROM o WHERE coalesce(price, 0) <> 0 GROUP BY product_id")
 def average_offer_price(spark, sf_dir):
-    o = H.current_offers(readings(spark, sf_dir)).filter(H.has_price())
-    return o.groupBy("product_id").agg(F.sum(F.round(F.col("price") * 100).cast("long")).alias("price_cents"), F.count(F.lit(1)).alias("offers"))
+    return M.average_price(H.current_offers(readings(spark, sf_dir)))
 
 
 @query("comparison_bars", f"WITH {CURRENT}, l AS (SELECT *, min(price) OVER (PARTITION BY product_id) AS low FROM o WHERE price > 0) SELECT product_id, store_id, price, greatest(100 * low / price, 4.0::DOUBLE) AS width FROM l")
@@ -252,7 +256,8 @@ def median_name(spark, sf_dir):
 
 @query("family_position", "SELECT p_brand AS query_id, min(p_partkey) AS position, count(*) AS members, min(p_retailprice) AS from_price FROM part GROUP BY p_brand")
 def family_position(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("query_id")).agg(F.min("p_partkey").alias("position"), F.count(F.lit(1)).alias("members"), F.min("p_retailprice").alias("from_price"))
+    listed = table(spark, sf_dir, "part").select(F.col("p_brand").alias("query_id"), F.col("p_partkey").alias("position"), F.col("p_partkey").alias("product_id"), F.col("p_retailprice").alias("current_price"), F.lit(0.0).alias("lowest_price"))
+    return V.family_cards(listed).select("query_id", "position", "members", "from_price")
 
 
 FACET_ITEMS = "i AS (SELECT p_partkey AS ordinal, p_brand AS brand, p_type AS type, CAST(p_size AS VARCHAR) AS size FROM part)"
@@ -280,8 +285,8 @@ def facet_filters(spark, sf_dir):
     from precioscope.functions.facets import apply_filters
 
     part = table(spark, sf_dir, "part")
-    brands = [r[0] for r in part.filter("p_partkey <= 2").select("p_brand").distinct().collect()]
-    return apply_filters(part, {"p_brand": brands, "p_size": [1, 5, 10, 20, 30], "p_type": []}).select("p_partkey", "p_brand", "p_size")
+    some = apply_filters(part, {"p_size": [1, 5, 10, 20, 30], "p_type": []})
+    return some.join(part.filter("p_partkey <= 2").select("p_brand"), "p_brand", "left_semi").select("p_partkey", "p_brand", "p_size")
 
 
 # --- text
@@ -342,30 +347,69 @@ def one_edit_names(spark, sf_dir):
 @query("relevance_share", "WITH x AS (SELECT lang, regexp_replace(" + NORMAL + r", '[\s.-]+', '', 'g') AS c FROM documents) SELECT lang, count(*) AS items, count(*) FILTER (contains(c, 'erbleen') OR contains(c, 'thonation')) AS related, count(*) FILTER (contains(c, 'erbleen') OR contains(c, 'thonation')) / count(*) AS relevance FROM x GROUP BY lang")
 def relevance_share(spark, sf_dir):
     words = F.array(*[F.lit(w) for w in QUERY_WORDS if len(w) > 3])
-    x = table(spark, sf_dir, "documents").select("lang", X.compact(F.col("text")).alias("c"))
-    hit = F.exists(words, lambda w: F.contains(F.col("c"), w))
-    return x.groupBy("lang").agg(F.count(F.lit(1)).alias("items"), F.count_if(hit).alias("related")).withColumn("relevance", F.col("related") / F.col("items"))
+    return W.relevance(table(spark, sf_dir, "documents"), ["lang"], words, F.col("text"))
+
+
+# Titles and queries below are put together from part columns, so that SQL can tell what must come out.
 
+INTERPRETED = "p AS (SELECT p_partkey, p_size, list_filter(string_split(p_name, ' '), lambda w: length(w) > 2) AS w FROM part)"
 
-@query("query_interpretation")
+
+@query("query_interpretation", f"WITH {INTERPRETED} SELECT p_partkey, true AS accepted, CASE WHEN p_size % 3 = 0 THEN 'product' ELSE 'product+brand' END AS kind, 'dell' AS brand, 'notebook' AS category, CASE WHEN p_size % 3 = 0 THEN 'zk' || (100 + p_size) ELSE '' END AS models, CASE WHEN p_size % 2 = 0 THEN p_size || 'gb' ELSE '' END AS specs, array_to_string(w, ' ') AS keywords, least(100, 40 + CASE WHEN p_size % 3 = 0 THEN 22 ELSE 0 END + CASE WHEN p_size % 2 = 0 THEN 8 ELSE 0 END + 2 * least(6, 2 + len(w) + (p_size % 2 = 0)::INT + (p_size % 3 = 0)::INT) + 14 * least(2, len(w))) AS specificity FROM p")
 def query_interpretation(spark, sf_dir):
     from precioscope.operators.interpret import interpret
 
-    return interpret(table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", F.concat(F.col("p_size"), F.lit("gb"))).alias("text")))
+    n = F.col("p_size")
+    text = F.concat_ws(" ", F.lit("Notebook  DELL"), "p_name", F.when(n % 3 == 0, F.concat(F.lit("ZK"), (100 + n).cast("string"))), F.when(n % 2 == 0, F.concat(n.cast("string"), F.lit(" GB"))))
+    q = interpret(table(spark, sf_dir, "part").select("p_partkey", text.alias("text")))
+    joined = lambda c: F.array_join(c, " ").alias(c)
+    return q.select("p_partkey", "accepted", "kind", "brand", "category", joined("models"), joined("specs"), joined("keywords"), "specificity")
 
 
-@query("listing_scores")
+@query("listing_scores", "SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 86 WHEN 4 THEN 70 ELSE 0 END AS score, 62 AS threshold, p_size % 5 IN (0, 4) AS accepted, p_size % 5 NOT IN (0, 4) AS eliminated, CASE p_size % 5 WHEN 1 THEN 'used: usado' WHEN 2 THEN 'accessory: capa' WHEN 3 THEN 'word missing' END AS reason FROM part")
 def listing_scores(spark, sf_dir):
     from precioscope.operators.interpret import interpret
 
-    part = table(spark, sf_dir, "part")
-    asked = interpret(part.select(F.col("p_brand").alias("query_id"), F.split("p_name", " ")[0].alias("text"), "p_partkey").groupBy("query_id").agg(F.min_by("text", "p_partkey").alias("text")))
-    return S.score(part.select(F.col("p_brand").alias("query_id"), "p_partkey", F.col("p_name").alias("name")).join(asked, "query_id")).select("query_id", "p_partkey", "score", "threshold", "accepted", "ambiguous", "eliminated", "reason")
+    asked = interpret(spark.createDataFrame([("q", "notebook dell zorkian")], "query_id string, text string"))
+    names = F.array(*map(F.lit, ("Notebook Dell Zorkian prata", "Notebook Dell Zorkian usado", "Capa de couro zorkian", "Notebook Dell outro", "Dell Zorkian prata")))
+    part = table(spark, sf_dir, "part").select(F.lit("q").alias("query_id"), "p_partkey", F.get(names, F.col("p_size") % 5).alias("name"))
+    return S.score(part.join(asked, "query_id")).select("p_partkey", "score", "threshold", "accepted", "eliminated", "reason")
 
 
-@query("title_attributes")
+@query("price_sanity", "WITH p AS (SELECT l_suppkey, l_partkey, l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_extendedprice END AS price, CAST(l_partkey % 3 * 30 AS INTEGER) AS spec FROM lineitem WHERE l_suppkey < 40), g AS (SELECT l_suppkey, spec, count(*) AS n, count(price) AS priced, list_sort(list(price) FILTER (price IS NOT NULL)) AS l FROM p GROUP BY ALL), m AS (SELECT *, l[CAST(floor(len(l) / 2) AS BIGINT) + 1] AS median FROM g), b AS (SELECT *, median * CASE WHEN priced < 5 THEN 0.3::DOUBLE WHEN spec < 55 THEN 0.22::DOUBLE ELSE 0.35::DOUBLE END AS low, median * CASE WHEN priced < 5 THEN 3.6::DOUBLE WHEN spec < 55 THEN 3.4::DOUBLE ELSE 2.6::DOUBLE END AS high, spec >= 30 AND n >= CASE WHEN spec >= 55 THEN 3 ELSE 6 END AND priced >= CASE WHEN spec >= 55 THEN 3 ELSE 6 END AS judged FROM m) SELECT id, NOT coalesce(judged AND (price < low OR price > high), false) AS kept FROM p JOIN b USING (l_suppkey, spec)")
+def price_sanity(spark, sf_dir):
+    none = F.array().cast("array<string>")
+    i = table(spark, sf_dir, "lineitem").filter("l_suppkey < 40").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.when(F.col("l_linenumber") != 7, F.col("l_extendedprice")).alias("price"), (F.col("l_partkey") % 3 * 30).cast("int").alias("specificity"), none.alias("keywords"))
+    return S.price_sanity(i.withColumn("spec", F.col("specificity")), "l_suppkey", "spec").select("id", "kept")
+
+
+@query("title_attributes", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'corei5' WHEN 1 THEN 'ryzen7' ELSE 'm2' END AS processor, CASE WHEN p_size % 3 = 2 THEN 'm2pro' END AS generation, 4 * (1 + p_size % 4) || 'gb' AS memory, 128 * (1 + p_size % 4) || 'gb' AS storage, 10 + p_size % 8 || 'pol' AS screen, CASE WHEN p_size % 2 = 0 THEN '127v' ELSE 'bivolt' END AS voltage, CASE p_size % 2 WHEN 0 THEN 'preto' ELSE 'azul' END AS colour, CASE WHEN p_size % 4 = 0 THEN 'a' || 2000 + p_size END AS model, CASE WHEN p_size % 5 = 0 THEN '1.5l' END AS capacity FROM part")
 def title_attributes(spark, sf_dir):
     from precioscope.functions.facets import attributes
 
-    title = F.concat_ws(" ", "p_name", F.concat(F.col("p_size"), F.lit(" gb ram")), F.concat((F.col("p_size") % 4 + 1) * 128, F.lit("gb ssd")), F.lit("preto"))
+    n = F.col("p_size")
+    text = lambda c: c.cast("string")
+    title = F.concat_ws(
+        " ",
+        F.when(n % 3 == 0, "Notebook Core i5").when(n % 3 == 1, "Notebook Ryzen 7").otherwise("MacBook M2 Pro"),
+        F.when(n % 2 == 0, "branco").otherwise("verde"),
+        F.concat(text(4 * (1 + n % 4)), F.lit(" GB de RAM")),
+        F.concat(text(128 * (1 + n % 4)), F.lit("GB SSD")),
+        F.concat(text(10 + n % 8), F.lit(" polegadas")),
+        F.when(n % 2 == 0, "110 V").otherwise("bivolt"),
+        F.when(n % 4 == 0, F.concat(F.lit("A"), text(2000 + n))),
+        F.when(n % 5 == 0, "1,5 litros"),
+        F.when(n % 2 == 0, "preto").otherwise("azul"),
+    )
     return table(spark, sf_dir, "part").select("p_partkey", attributes(title).alias("a")).select("p_partkey", "a.*")
+
+
+@query("facet_labels", "SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'M4 Pro' WHEN 1 THEN p_size || ' GB' WHEN 2 THEN p_size || ' polegadas' WHEN 3 THEN '127V' ELSE '1.5 L' END AS label, 'M4 ou M4 Pro · 16 GB' AS filters FROM part")
+def facet_labels(spark, sf_dir):
+    from precioscope.functions.facets import describe_filters, label
+
+    n = F.col("p_size")
+    field = F.get(F.array(*map(F.lit, ("processor", "memory", "screen", "voltage", "capacity"))), n % 5)
+    value = F.get(F.array(F.lit("m4pro"), F.concat(n.cast("string"), F.lit("gb")), F.concat(n.cast("string"), F.lit("pol")), F.lit("127v"), F.lit("1.5l")), n % 5)
+    told = describe_filters({"memory": ["16gb"], "processor": ["m4", "m4pro"], "colour": []})
+    return table(spark, sf_dir, "part").select("p_partkey", label(field, value).alias("label"), told.alias("filters"))

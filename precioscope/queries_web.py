@@ -12,26 +12,76 @@ from precioscope.queries import READINGS, query, readings, table
 from precioscope.sources import tables as T
 
 
-@query("page_outline", r"""SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g')) AS title, trim(regexp_replace(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1), '\s+', ' ', 'g')) AS heading FROM pages WHERE regexp_matches(html, '<title>[^<&]*</title>') AND regexp_matches(html, '<h1[^>]*>[^<&]*</h1>')""")
+def _told(tag: str) -> str:
+    inner = rf"regexp_extract(html, '<{tag}[^>]*>(.*?)</{tag}>', 1)"
+    plain = rf"regexp_replace({inner}, '<[^>]*>', '', 'g')"
+    for entity, char in (("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        plain = f"replace({plain}, '{entity}', '{char}')"
+    return rf"trim(regexp_replace({plain}, '\s+', ' ', 'g'))"
+
+
+@query("page_outline", f"SELECT page_id, nullif({_told('title')}, '') AS title, nullif({_told('h1')}, '') AS heading FROM pages")
 def page_outline(spark, sf_dir):
     from precioscope.functions.extract import read_pages
 
-    pages = table(spark, sf_dir, "pages").filter(F.col("html").rlike("<title>[^<&]*</title>") & F.col("html").rlike("<h1[^>]*>[^<&]*</h1>"))
-    return read_pages(pages).select("page_id", "title", "heading")
+    p = read_pages(table(spark, sf_dir, "pages"), ("title", "heading"))
+    return p.select("page_id", F.nullif("title", F.lit("")).alias("title"), F.nullif("heading", F.lit("")).alias("heading"))
 
 
-@query("page_products")
-def page_products(spark, sf_dir):
-    from precioscope.functions.extract import read_pages
+# Pages below are built from part, so that SQL can tell what reading them must give.
 
-    return read_pages(table(spark, sf_dir, "pages")).select("page_id", "name", "price", "links", "text_length", "gtin", F.size("coupons").alias("coupons"), "next_url")
 
+def _reais(price):
+    return F.concat(F.lit("R$ "), F.translate(F.format_number(price, 2), ",.", ".,"))
 
-@query("page_listings")
+
+@query(
+    "page_products",
+    """SELECT p_partkey AS page_id, 'Notebook ' || p_name || ' n' || p_partkey AS name, CASE WHEN p_size % 3 < 2 THEN p_retailprice END AS price, CASE p_size % 3 WHEN 0 THEN 'Dell' WHEN 1 THEN p_brand ELSE '' END AS brand, CASE WHEN p_size % 3 = 0 THEN '789' || (10000000000 + p_partkey) WHEN p_size % 3 = 1 THEN '' ELSE '' || (70000000 + p_partkey) END AS gtin,
+    CASE WHEN p_size % 3 < 2 THEN p_size % 2 = 0 END AS available, CASE WHEN p_size % 4 = 0 THEN 'percent:' || p_size || ':false' ELSE '' END AS coupons, CASE WHEN p_size % 5 = 0 THEN 'pix:5' END AS cash, 'https://loja.example.com/p?page=2' AS next_url, 1 AS links FROM part WHERE p_size < 49""",
+)
+def page_products(spark, sf_dir):
+    from precioscope.functions.extract import read_pages
+
+    n, key = F.col("p_size"), F.col("p_partkey").cast("string")
+    name = F.concat(F.lit("Notebook "), F.col("p_name"), F.lit(" n"), key)
+    stock = F.when(n % 2 == 0, "https://schema.org/InStock").otherwise("https://schema.org/OutOfStock")
+    price = F.format_string("%.2f", "p_retailprice")
+    linked = F.concat(F.lit('<script type="application/ld+json">{"@graph":[{"@type":"Product","name":"'), name, F.lit('","brand":{"name":"Dell"},"gtin13":"789'), (F.col("p_partkey") + 10_000_000_000).cast("string"), F.lit('","offers":{"price":"'), price, F.lit('","availability":"'), stock, F.lit('"}}]}</script><h1>other</h1>'))
+    micro = F.concat(F.lit('<div itemscope itemtype="https://schema.org/Product"><h1 itemprop="name">'), name, F.lit('</h1><meta itemprop="price" content="'), price, F.lit('"><link itemprop="availability" href="'), stock, F.lit('"><span itemprop="brand">'), F.col("p_brand"), F.lit("</span></div>"))
+    plain = F.concat(F.lit("<h1> "), name, F.lit(" </h1><table><tr><td>Cor:</td><td>azul</td></tr></table><p>EAN: "), (F.col("p_partkey") + 70_000_000).cast("string"), F.lit("</p>"))
+    body = F.when(n % 3 == 0, linked).when(n % 3 == 1, micro).otherwise(plain)
+    coupon = F.when(n % 4 == 0, F.concat(F.lit("<div>Cupom de "), n.cast("string"), F.lit("% de desconto</div>"))).otherwise("")
+    cash = F.when(n % 5 == 0, "<div>5% off no pix</div>").otherwise("")
+    html = F.concat(F.lit("<html><head><title>t</title></head><body>"), body, coupon, cash, F.lit('<a rel="next" href="?page=2">mais</a></body></html>'))
+    pages = table(spark, sf_dir, "part").filter("p_size < 49").select(F.col("p_partkey").alias("page_id"), F.lit("https://loja.example.com/p").alias("url"), html.alias("html"))
+    told = read_pages(pages, ("name", "price", "brand", "gtin", "available", "coupons", "cash", "next_url", "links"))
+    coupons = F.array_join(F.transform("coupons", lambda c: F.concat_ws(":", c["kind"], c["value"].cast("int").cast("string"), c["applied"].cast("string"))), ",")
+    return told.select("page_id", "name", "price", "brand", "gtin", "available", coupons.alias("coupons"), F.concat_ws(":", "cash.form", F.col("cash.percent").cast("int").cast("string")).alias("cash"), "next_url", "links").withColumn("cash", F.nullif("cash", F.lit("")))
+
+
+def _shop_pages(spark, sf_dir, name):
+    """A page for each brand with a listing for each of its parts: cards of a layout, linked data, or embedded state."""
+    part = table(spark, sf_dir, "part")
+    key, n = F.col("p_partkey").cast("string"), F.substring_index("p_brand", "#", -1).cast("int")
+    number = F.format_string("%.2f", "p_retailprice")
+    card = F.concat(F.lit('<li class="card shelf-item"><a href="/p/'), key, F.lit('"><h3>'), name, F.lit('</h3></a><del class="old">R$ 9.999,00</del><span class="price">'), _reais(F.col("p_retailprice")), F.lit("</span></li>"))
+    linked = F.concat(F.lit('{"@type":"ListItem","item":{"@type":"Product","name":"'), name, F.lit('","url":"/p/'), key, F.lit('","offers":{"lowPrice":"'), number, F.lit('","@type":"AggregateOffer"}}}'))
+    state = F.concat(F.lit('{"productName":"'), name, F.lit('","price":'), number, F.lit(',"link":"/p/'), key, F.lit('"}'))
+    one = F.when(n % 3 == 0, card).when(n % 3 == 1, linked).otherwise(state)
+    per = part.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", one.alias("one")))).alias("l"))
+    text = lambda sep: F.array_join(F.transform("l", lambda x: x["one"]), sep)
+    n = F.substring_index("p_brand", "#", -1).cast("int")
+    body = F.when(n % 3 == 0, F.concat(F.lit("<ul>"), text(""), F.lit("</ul>"))).when(n % 3 == 1, F.concat(F.lit('<script type="application/ld+json">{"@type":"ItemList","itemListElement":['), text(","), F.lit("]}</script>"))).otherwise(F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">{"props":{"list":['), text(","), F.lit("]}}</script>")))
+    return per.select(n.cast("long").alias("page_id"), F.lit("https://loja.example.com/busca").alias("url"), F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("html"))
+
+
+@query("page_listings", "SELECT CAST(string_split(p_brand, '#')[2] AS BIGINT) AS page_id, ['blocks', 'jsonld', 'state'][1 + CAST(string_split(p_brand, '#')[2] AS INT) % 3] AS strategy, 'Produto ' || p_name || ' n' || p_partkey AS name, p_retailprice AS price, 'https://loja.example.com/p/' || p_partkey AS url FROM part")
 def page_listings(spark, sf_dir):
     from precioscope.functions.extract import extract_listings
 
-    return L.chosen_listings(extract_listings(table(spark, sf_dir, "pages")))
+    name = F.concat(F.lit("Produto "), F.col("p_name"), F.lit(" n"), F.col("p_partkey").cast("string"))
+    return L.chosen_listings(extract_listings(_shop_pages(spark, sf_dir, name))).select("page_id", "strategy", "name", "price", "url")
 
 
 @query("refusal_classes", "WITH p AS (SELECT page_id, CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 7 = 0 THEN 503 WHEN page_id % 5 = 0 THEN 404 ELSE 200 END AS status, html FROM pages) SELECT page_id, CASE WHEN status IS NULL THEN 'none' WHEN status IN (403, 429, 503) OR regexp_matches(lower(substring(coalesce(html, ''), 1, 6000)), 'captcha|are you a robot|não é um robô|nao e um robo|cf-browser-verification|cf_chl|checking your browser|verificando seu navegador|access denied|acesso negado|request blocked|perimeterx|px-captcha|incapsula|unusual traffic|tráfego incomum|bot detection|akamai reference') THEN 'blocked' WHEN status BETWEEN 200 AND 299 AND length(coalesce(html, '')) < 8000 THEN 'shell' WHEN status NOT BETWEEN 200 AND 299 THEN 'failed' ELSE 'served' END AS refusal FROM p")
@@ -90,19 +140,26 @@ def strategy_choice(spark, sf_dir):
     return L.choose_strategy(L.strategy_points(_stand_in(spark, sf_dir)))
 
 
-@query("discounted_prices", "WITH b AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS p, floor(l_discount * 100) AS pc, l_quantity AS am, floor(l_tax * 100) AS cash FROM lineitem), c AS (SELECT *, least(greatest(p * (1 - pc / 100), 0.0::DOUBLE), greatest(p - am, 0.0::DOUBLE)) AS best FROM b) SELECT l_orderkey, l_linenumber, CAST(round(CASE WHEN cash > 0 THEN best * (1 - cash / 100) ELSE best END) AS BIGINT) AS effective FROM c")
-def discounted_prices(spark, sf_dir):
+# Prices in tens of reais and whole percents: two discounts in a row then stay whole cents in any engine.
+COUPONS = "b AS (SELECT l_orderkey, l_linenumber, floor(l_extendedprice / 10) * 10 AS p, floor(l_discount * 100) AS pc, l_quantity AS am, CASE WHEN l_tax > 0.04 THEN 10 ELSE 0 END AS cash FROM lineitem)"
+
+
+def _discounts(spark, sf_dir):
     coupons = F.array(F.struct(F.lit("percent").alias("kind"), F.floor(F.col("l_discount") * 100).cast("double").alias("value")), F.struct(F.lit("amount").alias("kind"), F.col("l_quantity").alias("value")))
-    # Compared in whole reais: cents of doubles round differently from engine to engine.
-    best = F.array_min(F.transform(coupons, lambda c: F.greatest(F.when(c["kind"] == "percent", F.col("l_extendedprice") * (1 - c["value"] / 100)).otherwise(F.col("l_extendedprice") - c["value"]), F.lit(0.0))))
-    cash = F.floor(F.col("l_tax") * 100)
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.when(cash > 0, best * (1 - cash / 100)).otherwise(best)).cast("long").alias("effective"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.floor(F.col("l_extendedprice") / 10) * 10.0).alias("price"), coupons.alias("coupons"), F.when(F.col("l_tax") > 0.04, 10.0).otherwise(0.0).alias("cash"))
+
 
+@query("discounted_prices", f"WITH {COUPONS} SELECT l_orderkey, l_linenumber, CAST(round(greatest(p * (1 - pc / 100), 0) * 100) AS BIGINT) AS after_percent, CAST(round(greatest(p - am, 0) * 100) AS BIGINT) AS after_amount FROM b")
+def discounted_prices(spark, sf_dir):
+    d = _discounts(spark, sf_dir)
+    after = lambda i: F.round(C.with_coupon(F.col("price"), F.col("coupons")[i]["kind"], F.col("coupons")[i]["value"]) * 100).cast("long")
+    return d.select("l_orderkey", "l_linenumber", after(0).alias("after_percent"), after(1).alias("after_amount"))
 
-@query("effective_prices")
+
+@query("effective_prices", f"WITH {COUPONS}, c AS (SELECT *, least(greatest(round(p * (1 - pc / 100) * 100), 0), greatest(round((p - am) * 100), 0)) AS best FROM b) SELECT l_orderkey, l_linenumber, CAST(round(best * (100 - cash) / 100) AS BIGINT) AS effective, pc AS kept_coupon FROM c")
 def effective_prices(spark, sf_dir):
-    coupons = F.array(F.struct(F.lit("percent").alias("kind"), F.floor(F.col("l_discount") * 100).cast("double").alias("value")), F.struct(F.lit("amount").alias("kind"), F.col("l_quantity").alias("value")))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", C.effective_price(F.col("l_extendedprice"), coupons, F.floor(F.col("l_tax") * 100).cast("double")).alias("effective"), C.tracked_coupon(coupons)["value"].alias("kept_coupon"))
+    d = _discounts(spark, sf_dir)
+    return d.select("l_orderkey", "l_linenumber", F.round(C.effective_price(F.col("price"), F.col("coupons"), F.col("cash")) * 100).cast("long").alias("effective"), C.tracked_coupon(F.col("coupons"))["value"].alias("kept_coupon"))
 
 
 @query("written_prices", "SELECT p_partkey, p_retailprice AS price FROM part")
@@ -125,10 +182,19 @@ def request_pacing(spark, sf_dir):
     return P.pacing(r).select("page_id", "host", F.col("start_ms").cast("long").alias("start_ms"))
 
 
-@query("host_backoff")
+@query(
+    "host_backoff",
+    f"""WITH RECURSIVE {READINGS}, e AS (SELECT store_id || (product_id % 40) AS host, seq, seq % 5 < 2 AS refused, CASE WHEN seq % 10 = 0 THEN 30000 WHEN seq % 35 = 1 THEN 120000 END AS asked, seq * 20000 AS at_ms, row_number() OVER (PARTITION BY store_id || (product_id % 40) ORDER BY seq) AS n FROM r),
+    f AS (SELECT host, seq, n, CAST(CASE WHEN refused THEN coalesce(asked, 6000) ELSE 0 END AS BIGINT) AS wait_ms, CAST(at_ms + greatest(4 * coalesce(asked, 6000), 60000) AS BIGINT) AS until_ms FROM e WHERE n = 1
+    UNION ALL SELECT host, seq, n, CAST(w AS BIGINT), CAST(CASE WHEN refused THEN at_ms + greatest(4 * w, 60000) ELSE until_ms END AS BIGINT)
+    FROM (SELECT *, CASE WHEN refused THEN coalesce(asked, least(90000, CASE WHEN left_ms > 0 THEN 2 * left_ms ELSE 6000 END)) WHEN left_ms // 2 > 700 THEN left_ms // 2 ELSE 0 END AS w
+    FROM (SELECT e.*, g.until_ms, CASE WHEN e.at_ms >= g.until_ms THEN 0 ELSE g.wait_ms END AS left_ms FROM f g JOIN e ON e.host = g.host AND e.n = g.n + 1)))
+    SELECT host, seq AS ordinal, wait_ms FROM f""",
+)
 def host_backoff(spark, sf_dir):
-    e = readings(spark, sf_dir).select(F.col("store_id").alias("host"), F.col("seq").alias("ordinal"), F.when(F.col("seq") % 5 < 2, 429).otherwise(200).alias("status"), F.when(F.col("seq") % 10 == 0, 30.0).alias("retry_after"))
-    return P.backoff(e.filter("ordinal < 2000"))
+    retry = F.when(F.col("seq") % 10 == 0, 30.0).when(F.col("seq") % 35 == 1, 600.0)
+    e = readings(spark, sf_dir).select(F.concat("store_id", (F.col("product_id") % 40).cast("string")).alias("host"), F.col("seq").alias("ordinal"), F.when(F.col("seq") % 5 < 2, 429).otherwise(200).alias("status"), retry.alias("retry_after"), (F.col("seq") * 20_000).alias("at_ms"))
+    return P.backoff(e)
 
 
 @query("upserted_offers", "WITH c AS (SELECT o_custkey, o_orderkey, o_totalprice, o_orderdate FROM orders) SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM c GROUP BY o_custkey")
@@ -137,15 +203,31 @@ def upserted_offers(spark, sf_dir):
     return T.upsert(o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 2 = 1"), ["o_custkey"], "o_orderkey").select("o_custkey", "o_orderkey", "o_totalprice")
 
 
-@query("entity_assignment")
-def entity_assignment(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select(F.col("p_brand").alias("query_id"), F.col("p_partkey").alias("listing_id"), F.concat_ws(" ", "p_name", "p_type").alias("name"), F.col("p_retailprice").alias("price"), (100 - F.col("p_size")).alias("score"), F.col("p_partkey").alias("ordinal"), F.lit(False).alias("specific"))
-    return R.assign_products(part)
+NAMED = "p AS (SELECT p_partkey, p_brand, p_size, p_retailprice, CAST(floor(p_partkey / 4) AS BIGINT) AS m FROM part)"
+
+
+def _named(spark, sf_dir):
+    """Listings of which four neighbours are one model, in different words."""
+    n = F.col("p_partkey")
+    tail = F.get(F.array(*map(F.lit, (" frost", " inverse frost", " frost com garantia", " FROST"))), n % 4)
+    name = F.concat(F.lit("Geladeira Samsung RF"), (1000 + F.floor(n / 4)).cast("string"), tail, F.lit(" "), (F.floor(n / 4) % 50 + 300).cast("string"), F.lit(" L"))
+    return table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice", name.alias("name"))
 
 
-@query("listing_identity")
+@query("listing_identity", f"WITH {NAMED} SELECT p_partkey AS listing_id, 'mod:samsung:rf' || (1000 + m) || ':' || (m % 50 + 300) || 'l:' || CASE p_partkey % 4 WHEN 1 THEN 'inverse' ELSE 'frost' END || ':' AS identity_key, true AS strong, 'samsung' AS brand, 'rf' || (1000 + m) AS models, (m % 50 + 300) || 'l' AS specs FROM p")
 def listing_identity(spark, sf_dir):
-    return R.identity_columns(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("listing_id"), F.concat_ws(" ", "p_name", "p_type", F.concat(F.col("p_size"), F.lit("gb"))).alias("name")))
+    ids = R.identity_columns(_named(spark, sf_dir).select(F.col("p_partkey").alias("listing_id"), "name"))
+    return ids.select("listing_id", "identity_key", "strong", "brand", F.array_join("models", " ").alias("models"), F.array_join("specs", " ").alias("specs"))
+
+
+@query("entity_assignment", f"""WITH {NAMED}, q AS (SELECT 'q' || (m % 50) AS query_id, p_partkey AS listing_id, m, p_partkey % 4 = 1 AS inverse, 100 - p_size AS score FROM p),
+    g AS (SELECT query_id, m, inverse, arg_min(listing_id, struct_pack(s := -score, o := listing_id)) AS first FROM q GROUP BY ALL),
+    o AS (SELECT g.*, row_number() OVER (PARTITION BY g.query_id ORDER BY q.score DESC, first) - 1 AS place FROM g JOIN q ON q.listing_id = first)
+    SELECT q.query_id, listing_id, q.query_id || '-' || place AS product_id, listing_id = first AS is_new FROM q JOIN o ON o.query_id = q.query_id AND o.m = q.m AND o.inverse = q.inverse WHERE place < 40""")
+def entity_assignment(spark, sf_dir):
+    n = F.col("p_partkey")
+    listings = _named(spark, sf_dir).select(F.concat(F.lit("q"), (F.floor(n / 4) % 50).cast("string")).alias("query_id"), n.alias("listing_id"), "name", F.col("p_retailprice").alias("price"), (100 - F.col("p_size")).alias("score"), n.alias("ordinal"), F.lit(False).alias("specific"))
+    return R.assign_products(listings).select("query_id", "listing_id", "product_id", "is_new")
 
 
 @query(
@@ -170,11 +252,104 @@ def streamed_opportunities(spark, sf_dir):
     return spark.table(name).filter("kind <> 'change_point'").select("product_id", "kind", "store_id", "seq", "price", "reference_price")
 
 
-@query("full_round")
+@query("full_round", "WITH l AS (SELECT 'zk' || (1000 + p_partkey % 7) AS model, 'loja' || (CAST(string_split(p_brand, '#')[2] AS INT) % 4) AS store_id, p_retailprice FROM part) SELECT model, store_id, min(p_retailprice) AS price FROM l GROUP BY ALL")
 def full_round(spark, sf_dir):
+    """Two queries over captured shop pages: every listing is read, scored, given to its product and store."""
     from precioscope.plans.round import run_round
 
-    asked = spark.createDataFrame([(1, "cafeteira oster maxima"), (2, "notebook dell inspiron 16gb")], "query_id long, text string")
-    pages = table(spark, sf_dir, "pages")
-    captures = pages.select(F.lit(1).cast("long").alias("query_id"), P.host_of(F.col("url")).alias("store_id"), "page_id", "url", "html", F.lit("2024-01-31 00:00:00").cast("timestamp").alias("ts"))
-    return run_round(asked, captures).offers
+    asked = spark.createDataFrame([(1, "notebook dell zorkian"), (2, "dell")], "query_id long, text string")
+    name = F.concat(F.lit("Notebook Dell Zorkian ZK"), (1000 + F.col("p_partkey") % 7).cast("string"))
+    pages = _shop_pages(spark, sf_dir, name)
+    captures = pages.select(F.lit(1).cast("long").alias("query_id"), F.concat(F.lit("loja"), (F.col("page_id") % 4).cast("string")).alias("store_id"), "page_id", "url", "html", F.lit("2024-01-31 00:00:00").cast("timestamp").alias("ts"))
+    done = run_round(asked, captures)
+    model = F.regexp_extract("identity_key", "^mod:dell:([a-z0-9]+):", 1)
+    return done.offers.join(done.assigned.select("product_id", model.alias("model")).distinct(), "product_id").select("model", "store_id", "price")
+
+
+# --- addresses and rules of stores
+
+
+@query("robots_parsed", "WITH h AS (SELECT p_partkey AS host, p_size FROM part) SELECT host, 'disallow' AS kind, '/s' || p_size AS path FROM h UNION ALL SELECT host, 'allow', '/open' FROM h WHERE p_size % 2 = 0 UNION ALL SELECT host, 'crawl-delay', '5' FROM h")
+def robots_parsed(spark, sf_dir):
+    n = F.col("p_size")
+    body = F.concat(F.lit("User-agent: Other\r\nDisallow: /no\n\nUSER-AGENT: *\nDisallow: /S"), n.cast("string"), F.lit("\nDisallow:\n"), F.when(n % 2 == 0, "Allow:  /open \n").otherwise(""), F.lit("Crawl-delay: 5\nsitemap: x\nUser-agent: Third\nDisallow: /"))
+    return P.robots_rules(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("host"), body.alias("body")))
+
+
+@query("sitemap_addresses", "WITH x AS (SELECT page_id, list_transform(range(1, CAST(page_id % 4 AS BIGINT) + 1), lambda i: url || '/' || i) AS l FROM pages) SELECT page_id, array_to_string(l, ' ') AS urls FROM x")
+def sitemap_addresses(spark, sf_dir):
+    items = F.transform(F.sequence(F.lit(0), (F.col("page_id") % 4).cast("int")), lambda i: F.when(i > 0, F.concat(F.lit("<url><loc>\n "), F.col("url"), F.lit("/"), i.cast("string"), F.lit(" </loc></url>"))).otherwise("<urlset>"))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(P.sitemap_urls(F.array_join(items, "")), " ").alias("urls"))
+
+
+@query("search_addresses", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'https://a.example/s?k=' || replace(p_name, ' ', '%20') || '%20%C3%A7!' ELSE 'https://b.example/busca?q=' || replace(p_name, ' ', '%20') || '%20%C3%A7!' END AS address FROM part")
+def search_addresses(spark, sf_dir):
+    template = F.when(F.col("p_size") % 2 == 0, "https://a.example/s?k={q}").otherwise("")
+    return table(spark, sf_dir, "part").select("p_partkey", P.search_url(template, F.lit("https://b.example/"), F.concat("p_name", F.lit(" ç!"))).alias("address"))
+
+
+@query("affiliate_parameters", "SELECT p_partkey, 'https://www.shop.example/p/' || p_partkey || '?' || CASE p_size % 3 WHEN 0 THEN 'a=1&tag=mine' WHEN 1 THEN 'tag=mine&b=2' ELSE 'tag=mine' END || '#x' AS link FROM part")
+def affiliate_parameters(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    a = F.struct(F.lit("parameter").alias("kind"), F.lit("tag").alias("key"), F.lit("mine").alias("value"), none.alias("template"), none.alias("merchant"), none.alias("affiliate"), none.alias("ref"))
+    asked = F.get(F.array(*map(F.lit, ("?a=1", "?tag=other&b=2&tag=again", ""))), F.col("p_size") % 3)
+    url = F.concat(F.lit("https://www.shop.example/p/"), F.col("p_partkey").cast("string"), asked, F.lit("#x"))
+    return table(spark, sf_dir, "part").select("p_partkey", P.affiliate_url(url, a).alias("link"))
+
+
+@query("distinct_scans", "SELECT DISTINCT l_suppkey AS store_id, 't' || l_partkey % 10 AS term, l_linenumber % 2 AS pages FROM lineitem")
+def distinct_scans(spark, sf_dir):
+    asked = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("store_id"), F.concat(F.lit("t"), (F.col("l_partkey") % 10).cast("string")).alias("term"), (F.col("l_linenumber") % 2).alias("pages"))
+    return T.distinct_scans(asked)
+
+
+@query("page_corrections", "SELECT p_partkey AS product_id, CASE WHEN p_size % 4 = 0 THEN p_retailprice * 0.5 ELSE p_retailprice * 2 END AS price FROM part WHERE p_size % 4 < 2")
+def page_corrections(spark, sf_dir):
+    part = table(spark, sf_dir, "part").withColumn("product_id", F.col("p_partkey")).withColumn("store_id", F.lit("s"))
+    n, told = F.col("p_size") % 4, F.col("p_retailprice")
+    pages = part.select("product_id", "store_id", F.when(n == 0, told * 0.5).when(n == 1, told * 2).when(n == 2, told * 1.004).otherwise(told).alias("price"))
+    return R.page_corrections(part.select("product_id", "store_id", told.alias("price")), pages).select("product_id", "price")
+
+
+@query("revalidated_products", "SELECT p_partkey AS product_id, p_size % 7 = 0 OR p_size % 3 = 0 AS archived, CASE WHEN p_size % 3 = 0 THEN 'used: usado' END AS archive_reason FROM part")
+def revalidated_products(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), (F.col("p_size") % 7 == 0).alias("archived"), "p_size")
+    scored = part.select("product_id", (F.col("p_size") % 3 == 0).alias("eliminated"), F.when(F.col("p_size") % 3 == 0, "used: usado").alias("reason"))
+    return R.revalidate(part.select("product_id", "archived"), scored).select("product_id", "archived", "archive_reason")
+
+
+@query("enriched_products", "SELECT p_partkey AS product_id, CASE WHEN p_size % 2 = 0 THEN '7890000' || (100000 + p_partkey) END AS gtin, CASE WHEN p_size % 2 = 0 THEN 'gtin:7890000' || (100000 + p_partkey) ELSE 'txt:' || p_partkey END AS identity_key, CASE WHEN p_size % 2 = 0 THEN 'page' ELSE 'list' END AS image FROM part")
+def enriched_products(spark, sf_dir):
+    key = F.col("p_partkey").cast("string")
+    part = table(spark, sf_dir, "part")
+    products = part.select(F.col("p_partkey").alias("product_id"), F.lit("").alias("gtin"), F.lit(None).cast("string").alias("mpn"), F.lit("list").alias("image"), F.concat(F.lit("txt:"), key).alias("identity_key"))
+    pages = part.filter("p_size % 2 = 0").select(F.col("p_partkey").alias("product_id"), F.concat(F.lit("7890000"), (100_000 + F.col("p_partkey")).cast("string")).alias("gtin"), F.lit(None).cast("string").alias("mpn"), F.lit("page").alias("image"))
+    return R.enrich(products, pages).select("product_id", "gtin", "identity_key", "image")
+
+
+# --- streams drained once
+
+
+def _drained(spark, sf_dir, make):
+    import uuid
+
+    name = f"drained_{uuid.uuid4().hex}"
+    src = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    r = src.select(F.col("user_id").alias("product_id"), F.col("event_type").alias("store_id"), F.col("event_id").alias("seq"), "ts", F.col("value").alias("price"))
+    q = make(r).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+@query("streamed_days", "WITH d AS (SELECT user_id AS product_id, CAST(ts AS DATE) AS day, min(value) AS low, max(value) AS high, count(*) AS readings FROM events WHERE coalesce(value, 0) <> 0 GROUP BY ALL) SELECT product_id, CAST(day AS VARCHAR) AS day, low, high, readings FROM d WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
+def streamed_days(spark, sf_dir):
+    from precioscope.streaming.alerts import daily_stream
+
+    return _drained(spark, sf_dir, daily_stream).withColumn("day", F.col("day").cast("string"))
+
+
+@query("streamed_distinct", "SELECT event_id AS seq, user_id AS product_id, event_type AS store_id FROM events")
+def streamed_distinct(spark, sf_dir):
+    from precioscope.streaming.alerts import distinct_readings
+
+    return _drained(spark, sf_dir, lambda r: distinct_readings(r.union(r))).select("seq", "product_id", "store_id")
