@@ -122,11 +122,11 @@ RULES: list[tuple[str, list[str]]] = [
 ]
 #: A rule's licence gives way to these if they match too.
 GIVES_WAY = {"BSD-2-Clause": ["BSD-3-Clause"]}
-MAY = r"(?i)licen[cs]e|permission|redistribut|warrant|public domain|spdx|free software|released under|\bcc0\b|waived all copyright|as[- ]is"
 #: Sentence ends: . ! ? before white space (not of v.), : at a line's end, blank lines, ends of titles.
 MARKS = r"(?m)^[ \t]*(?:#+|//+|/\*+|\*+/?|--|;+|%+|\(\*)[ \t]?"
 BREAKS = r"(?<=[.!?])(?<!\bv\.)\s+|(?<=:)[ \t]*\n|\n[ \t]*\n|(?i)(?<=licen[cs]e)[ \t]*\n|(?i)(?<=\(mit\))[ \t]*\n"
-COPYRIGHT = r"(?im)^[ \t]*(?:copyright\b(?![ \t]+(?:notices?|holders?|owners?|and related)\b)|\(c\)|all rights reserved)[^\n]*$"
+#: A copyright line up to its end or to the next sentence on it.
+COPYRIGHT = r"(?m)^[ \t]*(?i:copyright\b(?![ \t]+(?:notices?|holders?|owners?|and related)\b)|\(c\)|all rights reserved)(?:[^\n.]|\.(?![ \t]+[\x22'(]?[A-Z]))*+\.?(?:[ \t]*(?i:all rights reserved)\.?)?"
 #: An expression: identifiers, in any parentheses, with operators between them. What follows a small
 #: operator must look like an identifier, since the tag may stand in prose.
 _OPEN, _ID, _CLOSE = r"(?:\([ \t]*)*", r"[A-Za-z0-9.:+-]+", r"(?:[ \t]*\))*"
@@ -153,6 +153,18 @@ def _table() -> dict[str, str]:
     return {normalise(s): key for key, texts in SENTENCES.items() for s in texts}
 
 
+def telling_words() -> list[str]:
+    """Words of which every known sentence has one, by repeated choice of the word that most of the
+    sentences left have: a text without any of them, and without an SPDX tag, has no known sentence."""
+    left = [{w for w in s.split() if len(w) >= 4 and w.isalpha()} or {s.split()[0]} for s in _table()]
+    out = []
+    while left:
+        words = sorted({w for s in left for w in s})
+        out.append(max(words, key=lambda w: sum(w in s for s in left)))
+        left = [s for s in left if out[-1] not in s]
+    return out
+
+
 def _listed(name: Column) -> Column:
     """An identifier of the SPDX list as the list writes it, one of LicenseRef-... as it stands, else null."""
     at = F.array_position(literals([n.lower() for n in LICENSES]), F.lower(name))
@@ -201,7 +213,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     Repeated rows stay, extra columns are ignored, an empty table gives no row.
     """
     table = F.create_map(*[F.lit(x) for pair in _table().items() for x in pair])
-    ids = F.when(F.coalesce(F.col("text").rlike(MAY), F.lit(False)), known_sentences(F.col("text"), table)).otherwise(F.array().cast("array<string>"))
+    may = "(?i)spdx|" + "|".join(map(re.escape, telling_words()))
+    ids = F.when(F.coalesce(F.col("text").rlike(may), F.lit(False)), known_sentences(F.col("text"), table)).otherwise(F.array().cast("array<string>"))
     out = docs.select("doc_id", ids.alias("ids")).withColumn("line", F.concat(F.lit(","), F.array_join("ids", ",,"), F.lit(",")))
     hits = {}
     for name, keys in RULES:

@@ -34,6 +34,7 @@ MET_ROWS = 1_000_000
 #: Of 16 bytes each, as are those of the hot keys of 8.
 MOST_ASKED_SENT = 500_000
 BATCH_ROWS = 50_000
+SETS_AT_ONCE = 512
 
 
 def parity_bitmap(hashes: np.ndarray, bits: int) -> bytes:
@@ -191,7 +192,8 @@ def _tile_links(members: DataFrame, percent: int, sets_of: Callable[[list[bytes]
 
         for batch in batches:
             columns = [x.to_pylist() for x in batch.columns]
-            for t, i, c, s in zip(*columns[:3], sets_of(columns[3]), strict=True):
+            sets_in_turn = (s for k in range(0, batch.num_rows, SETS_AT_ONCE) for s in sets_of(columns[3][k : k + SETS_AT_ONCE]))
+            for t, i, c, s in zip(*columns[:3], sets_in_turn, strict=True):
                 if t != tile:
                     for x, y in forest(sets, percent, comps if any(comps) else None) if len(ids) > 1 else ():
                         a.append(ids[x])

@@ -37,10 +37,10 @@ RANK_BLOCK = 4096
 BUCKET_ROWS = 50_000
 LEAST_BUCKETS = 64
 #: Bounds of a task's memory: words and parts whose ids are kept, ids of all kept words, bytes of text at a time.
-CACHE_WORDS = 150_000
-CACHE_PARTS = 40_000
-CACHE_IDS = 2_000_000
-TEXT_BYTES = 1 << 20
+CACHE_WORDS = 300_000
+CACHE_PARTS = 80_000
+CACHE_IDS = 4_000_000
+TEXT_BYTES = 4 << 20
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _LOADED: dict[str, WordEncoder] = {}
 

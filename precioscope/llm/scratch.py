@@ -15,7 +15,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of a session while it writes a table: shuffle files go with it, Arrow batches are bounded in bytes.
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 _OWN: list[str] = []
 
 
@@ -49,12 +50,14 @@ class Scratch:
         path = self.new_path(name)
         # What was shuffled for the table is not needed once it is written; by default Spark keeps it
         # until the driver happens to collect its garbage, which may be long after the disks are full.
-        before = self.spark.conf.get(CLEANUP, None)
-        self.spark.conf.set(CLEANUP, "true")
+        before = {k: self.spark.conf.get(k, None) for k in WHILE_WRITING}
+        for k, v in WHILE_WRITING.items():
+            self.spark.conf.set(k, v)
         try:
             df.write.option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
         finally:
-            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out

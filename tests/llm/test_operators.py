@@ -512,6 +512,38 @@ def test_license_layouts(spark):
     assert rows[4]["sentence_ids"] == "apache-may-not,apache-copy,apache-as-is"
 
 
+def test_license_rules_by_brute_force(spark):
+    """Random runs of known and unknown sentences against a plain loop over the rules; every known
+    sentence is found alone, and behind a copyright line."""
+    from precioscope.llm.licenses import GIVES_WAY, RULES, SENTENCES, scan_licenses
+
+    rng = random.Random(6)
+    known = [(key, s) for key, texts in SENTENCES.items() for s in texts if not re.search(r"[.!?:](?!$)\s", s.replace("v. 2.0", "v 2.0")) and "://" not in s]
+    other = ["Some words that mean nothing here", "Please read on", "12 cats sat on 3 mats"]
+    texts, want = [], []
+    for key, s in known:
+        texts += [s, f"Copyright (c) 2020 Foo Inc. {s[0].upper() + s[1:]}.", f"Copyright 2021 Foo. All rights reserved.\n{s}"]
+        want += [[key]] * 3
+    for _ in range(150):
+        run = [rng.choice(known) if rng.random() < 0.7 else (None, rng.choice(other)) for _ in range(rng.randint(0, 9))]
+        texts.append("".join(s + ("\n" if s.endswith(":") else "." + rng.choice([" ", "\n", "\n\n"])) for _, s in run))
+        want.append([k for k, _ in run if k])
+
+    def within(rule, keys):
+        rest = iter(keys)
+        return all(k in rest for k in rule)
+
+    def licences(keys):
+        hit = {name for name, rule in RULES if within(rule, keys)}
+        return ",".join(sorted(n for n in hit if not hit & set(GIVES_WAY.get(n, []))))
+
+    rows = {r["doc_id"]: r for r in scan_licenses(docs_of(spark, texts)).collect()}
+    assert [(t, w, rows[i]["sentence_ids"]) for i, (t, w) in enumerate(zip(texts, want, strict=True)) if rows[i]["sentence_ids"].split(",") != (w or [""])][:3] == []
+    assert [(t, rows[i]["licenses"]) for i, (t, w) in enumerate(zip(texts, want, strict=True)) if rows[i]["licenses"] != licences(w)][:3] == []
+    docs = docs_of(spark, texts[:5])
+    assert scan_licenses(docs.union(docs)).count() == 10 and scan_licenses(docs.filter("false")).count() == 0
+
+
 def test_license_expressions_and_texts(spark):
     from precioscope.llm.licenses import scan_licenses
 
