@@ -54,6 +54,17 @@ def robots_allows(path: Column, disallow: Column, allow: Column) -> Column:
     return most(disallow) <= most(allow)
 
 
+def forbids_search(rules: DataFrame) -> DataFrame:
+    """(host, forbids_search) of robots rules (host, kind, path): is everything, or a search path, disallowed?"""
+    hit = (F.col("kind") == "disallow") & ((F.col("path") == "/") | F.col("path").rlike(r"^/(?:busca|search|s\b|pesquisa)"))
+    return rules.groupBy("host").agg(F.bool_or(hit).alias("forbids_search"))
+
+
+def sitemap_children(xml: Column, most: int = 5) -> Column:
+    """The sitemaps that an index names, the first ``most``; none if it is no index."""
+    return F.when(F.contains(F.lower(xml), F.lit("<sitemapindex")), F.slice(sitemap_urls(xml), 1, most)).otherwise(F.array().cast("array<string>"))
+
+
 def sitemap_urls(xml: Column) -> Column:
     return F.regexp_extract_all(xml, F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1))
 

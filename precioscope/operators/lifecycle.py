@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from precioscope.config import DEFAULTS
+from precioscope.functions.money import tracked_coupon, with_coupon
 from precioscope.functions.policy import host_of
 from precioscope.operators.history import PAIR, has_price, vanished
 from precioscope.operators.score import quota
@@ -110,6 +111,19 @@ def manual_offers(links: DataFrame, stores: DataFrame, pages: DataFrame) -> Data
     return out.select("product_id", "url", "result", F.when(ok, F.col("store_id")).alias("store_id"), F.when(ok, F.col("price")).alias("price"), F.when(ok, F.col("available")).alias("available"), F.when(ok, 100).alias("score"), ok.alias("manual"))
 
 
+def keep_discounts(offers: DataFrame, pages: DataFrame) -> DataFrame:
+    """Offers with what their page tells of discounts: the coupon kept (functions.money.tracked_coupon), the
+    cash discount, and discounted: the price with both, null unless it is below the price.
+
+    ``pages``: product_id, store_id, coupons, cash_percent, condition.  An offer without a page loses what it had.
+    """
+    told = pages.select(*PAIR, tracked_coupon(F.col("coupons")).alias("coupon"), already_cash(F.col("condition"), F.col("cash_percent")).alias("cash_percent"))
+    both = offers.drop("coupon", "cash_percent", "discounted").join(told, list(PAIR), "left")
+    less = F.when(F.col("coupon").isNotNull(), with_coupon(F.col("price"), F.col("coupon.kind"), F.col("coupon.value"))).otherwise(F.col("price"))
+    less = F.round(F.when(F.col("cash_percent") > 0, less * (1 - F.col("cash_percent") / 100)).otherwise(less), 2)
+    return both.withColumn("discounted", F.when(less < F.col("price"), less))
+
+
 def already_cash(condition: Column, percent: Column) -> Column:
     """The cash discount that still applies: none where the price told is the cash price already."""
     return F.when(~F.coalesce(condition.isin("pix", "à vista"), F.lit(False)), percent)

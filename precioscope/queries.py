@@ -360,20 +360,20 @@ def query_interpretation(spark, sf_dir):
     from precioscope.operators.interpret import interpret
 
     n = F.col("p_size")
-    text = F.concat_ws(" ", F.lit("Notebook  DELL"), "p_name", F.when(n % 3 == 0, F.concat(F.lit("ZK"), (100 + n).cast("string"))), F.when(n % 2 == 0, F.concat(n.cast("string"), F.lit(" GB"))))
+    text = F.concat_ws(" ", F.lit("Notebook  DELL"), "p_name", F.when(n % 3 == 0, F.concat(F.lit("ZK"), (100 + n).cast("string"))), F.when(n % 2 == 0, F.concat(n.cast("string"), F.lit("GB"))))
     q = interpret(table(spark, sf_dir, "part").select("p_partkey", text.alias("text")))
     joined = lambda c: F.array_join(c, " ").alias(c)
     return q.select("p_partkey", "accepted", "kind", "brand", "category", joined("models"), joined("specs"), joined("keywords"), "specificity")
 
 
-@query("listing_scores", "SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 86 WHEN 4 THEN 70 ELSE 0 END AS score, 62 AS threshold, p_size % 5 IN (0, 4) AS accepted, p_size % 5 NOT IN (0, 4) AS eliminated, CASE p_size % 5 WHEN 1 THEN 'used: usado' WHEN 2 THEN 'accessory: capa' WHEN 3 THEN 'word missing' END AS reason FROM part")
+@query("listing_scores", "SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 86 WHEN 4 THEN 59 ELSE 0 END AS score, 62 AS threshold, p_size % 5 = 0 AS accepted, p_size % 5 = 4 AS ambiguous, p_size % 5 NOT IN (0, 4) AS eliminated, CASE p_size % 5 WHEN 1 THEN 'used: usado' WHEN 2 THEN 'accessory: capa' WHEN 3 THEN 'word missing' END AS reason FROM part")
 def listing_scores(spark, sf_dir):
     from precioscope.operators.interpret import interpret
 
     asked = interpret(spark.createDataFrame([("q", "notebook dell zorkian")], "query_id string, text string"))
     names = F.array(*map(F.lit, ("Notebook Dell Zorkian prata", "Notebook Dell Zorkian usado", "Capa de couro zorkian", "Notebook Dell outro", "Dell Zorkian prata")))
     part = table(spark, sf_dir, "part").select(F.lit("q").alias("query_id"), "p_partkey", F.get(names, F.col("p_size") % 5).alias("name"))
-    return S.score(part.join(asked, "query_id")).select("p_partkey", "score", "threshold", "accepted", "eliminated", "reason")
+    return S.score(part.join(asked, "query_id")).select("p_partkey", "score", "threshold", "accepted", "ambiguous", "eliminated", "reason")
 
 
 @query("price_sanity", "WITH p AS (SELECT l_suppkey, l_partkey, l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_extendedprice END AS price, CAST(l_partkey % 3 * 30 AS INTEGER) AS spec FROM lineitem WHERE l_suppkey < 40), g AS (SELECT l_suppkey, spec, count(*) AS n, count(price) AS priced, list_sort(list(price) FILTER (price IS NOT NULL)) AS l FROM p GROUP BY ALL), m AS (SELECT *, l[CAST(floor(len(l) / 2) AS BIGINT) + 1] AS median FROM g), b AS (SELECT *, median * CASE WHEN priced < 5 THEN 0.3::DOUBLE WHEN spec < 55 THEN 0.22::DOUBLE ELSE 0.35::DOUBLE END AS low, median * CASE WHEN priced < 5 THEN 3.6::DOUBLE WHEN spec < 55 THEN 3.4::DOUBLE ELSE 2.6::DOUBLE END AS high, spec >= 30 AND n >= CASE WHEN spec >= 55 THEN 3 ELSE 6 END AND priced >= CASE WHEN spec >= 55 THEN 3 ELSE 6 END AS judged FROM m) SELECT id, NOT coalesce(judged AND (price < low OR price > high), false) AS kept FROM p JOIN b USING (l_suppkey, spec)")

@@ -418,3 +418,38 @@ def written_numbers(spark, sf_dir):
     n = F.col("p_size")
     text = F.when(n % 4 == 0, "0").when(n % 4 == 1, F.concat(n.cast("string"), F.lit(",5 %"))).when(n % 4 == 2, F.concat(n.cast("string"), F.lit(".000"))).otherwise(F.lit("CNPJ: a definir"))
     return table(spark, sf_dir, "part").select("p_partkey", C.read_number(text).alias("number"), C.is_document(text).alias("is_document"))
+
+
+@query("kept_discounts", "WITH b AS (SELECT p_partkey AS product_id, floor(p_retailprice / 10) * 10 AS p, p_size % 10 AS pc, CASE WHEN p_size % 3 = 0 AND p_size % 5 > 0 THEN 10 ELSE 0 END AS cash, p_size % 4 > 0 AS page FROM part), c AS (SELECT *, CASE WHEN page THEN round(p * (1 - pc / 100) * 100) * (100 - cash) / 100 END AS cents FROM b) SELECT product_id, CASE WHEN page THEN pc END AS coupon, CAST(CASE WHEN round(cents) < p * 100 THEN round(cents) END AS BIGINT) AS discounted_cents FROM c")
+def kept_discounts(spark, sf_dir):
+    n = F.col("p_size")
+    part = table(spark, sf_dir, "part").withColumn("product_id", F.col("p_partkey")).withColumn("store_id", F.lit("s"))
+    offers = part.select("product_id", "store_id", (F.floor(F.col("p_retailprice") / 10) * 10.0).alias("price"))
+    coupons = F.array(F.struct(F.lit("percent").alias("kind"), (n % 10).cast("double").alias("value")), F.struct(F.lit("amount").alias("kind"), F.lit(5.0).alias("value")))
+    pages = part.filter("p_size % 4 > 0").select("product_id", "store_id", coupons.alias("coupons"), F.when(n % 3 == 0, 10.0).alias("cash_percent"), F.when(n % 5 == 0, "pix").alias("condition"))
+    return Y.keep_discounts(offers, pages).select("product_id", F.col("coupon.value").cast("int").alias("coupon"), F.round(F.col("discounted") * 100).cast("long").alias("discounted_cents"))
+
+
+@query("robots_search", "SELECT p_partkey AS host, p_size % 5 < 3 AS forbids_search FROM part")
+def robots_search(spark, sf_dir):
+    path = F.get(F.array(*map(F.lit, ("/", "/search?q=", "/s", "/sale", "/x"))), F.col("p_size") % 5)
+    rules = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("host"), F.lit("disallow").alias("kind"), path.alias("path"))
+    return P.forbids_search(rules.unionByName(rules.select("host", F.lit("allow").alias("kind"), F.lit("/").alias("path"))))
+
+
+@query("sitemap_indexes", "WITH x AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN list_transform(range(1, least(5, page_id % 9) + 1), lambda i: url || '/' || i) ELSE [] END AS l FROM pages) SELECT page_id, array_to_string(l, ' ') AS children FROM x")
+def sitemap_indexes(spark, sf_dir):
+    items = F.transform(F.sequence(F.lit(0), (F.col("page_id") % 9).cast("int")), lambda i: F.when(i > 0, F.concat(F.lit("<loc>"), F.col("url"), F.lit("/"), i.cast("string"), F.lit("</loc>"))).otherwise(F.when(F.col("page_id") % 2 == 0, "<sitemapIndex>").otherwise("<urlset>")))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(P.sitemap_children(F.array_join(items, "")), " ").alias("children"))
+
+
+@query("sql_functions", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 50.0::DOUBLE ELSE 90.0::DOUBLE END AS with_coupon, greatest(100 * 900.0::DOUBLE / p_retailprice, 4.0::DOUBLE) AS width, CASE WHEN p_size % 2 = 0 THEN 'great' ELSE 'poor' END AS rating, 'mod:samsung:rf' || (1000 + p_partkey) || ':::' AS identity_key, p_size % 2 = 0 AS same FROM part")
+def sql_functions(spark, sf_dir):
+    from precioscope.functions.registry import register
+
+    register(spark)
+    view = f"sql_functions_part_{abs(hash(sf_dir))}"
+    table(spark, sf_dir, "part").createOrReplaceTempView(view)
+    return spark.sql(f"""SELECT p_partkey, watch_with_coupon(100D, CASE WHEN p_size % 2 = 0 THEN 'amount' ELSE 'percent' END, CASE WHEN p_size % 2 = 0 THEN 50D ELSE 10D END) AS with_coupon,
+        watch_bar_width(900D, p_retailprice) AS width, watch_rating(CASE WHEN p_size % 2 = 0 THEN 0.95D ELSE 0.1D END) AS rating, watch_identity_key(concat('Geladeira Samsung RF', 1000 + p_partkey)) AS identity_key,
+        watch_same_product(concat('Geladeira Samsung RF', 1000 + p_partkey), concat('geladeira samsung rf ', 1000 + p_partkey + p_size % 2)) AS same FROM {view}""")

@@ -37,7 +37,7 @@ def _reais(price):
 
 @query(
     "page_products",
-    """SELECT p_partkey AS page_id, 'Notebook ' || p_name || ' n' || p_partkey AS name, CASE WHEN p_size % 3 < 2 THEN p_retailprice END AS price, CASE p_size % 3 WHEN 0 THEN 'Dell' WHEN 1 THEN p_brand ELSE '' END AS brand, CASE WHEN p_size % 3 = 0 THEN '789' || (10000000000 + p_partkey) WHEN p_size % 3 = 1 THEN '' ELSE '' || (70000000 + p_partkey) END AS gtin,
+    """SELECT p_partkey AS page_id, 'Notebook ' || p_name || ' n' || p_partkey AS name, p_retailprice AS price, CASE p_size % 3 WHEN 0 THEN 'Dell' WHEN 1 THEN p_brand ELSE '' END AS brand, CASE WHEN p_size % 3 = 0 THEN '789' || (10000000000 + p_partkey) WHEN p_size % 3 = 1 THEN '' ELSE '' || (70000000 + p_partkey) END AS gtin,
     CASE WHEN p_size % 3 < 2 THEN p_size % 2 = 0 END AS available, CASE WHEN p_size % 4 = 0 THEN 'percent:' || p_size || ':false' ELSE '' END AS coupons, CASE WHEN p_size % 5 = 0 THEN 'pix:5' END AS cash, 'https://loja.example.com/p?page=2' AS next_url, 1 AS links FROM part WHERE p_size < 49""",
 )
 def page_products(spark, sf_dir):
@@ -49,7 +49,7 @@ def page_products(spark, sf_dir):
     price = F.format_string("%.2f", "p_retailprice")
     linked = F.concat(F.lit('<script type="application/ld+json">{"@graph":[{"@type":"Product","name":"'), name, F.lit('","brand":{"name":"Dell"},"gtin13":"789'), (F.col("p_partkey") + 10_000_000_000).cast("string"), F.lit('","offers":{"price":"'), price, F.lit('","availability":"'), stock, F.lit('"}}]}</script><h1>other</h1>'))
     micro = F.concat(F.lit('<div itemscope itemtype="https://schema.org/Product"><h1 itemprop="name">'), name, F.lit('</h1><meta itemprop="price" content="'), price, F.lit('"><link itemprop="availability" href="'), stock, F.lit('"><span itemprop="brand">'), F.col("p_brand"), F.lit("</span></div>"))
-    plain = F.concat(F.lit("<h1> "), name, F.lit(" </h1><table><tr><td>Cor:</td><td>azul</td></tr></table><p>EAN: "), (F.col("p_partkey") + 70_000_000).cast("string"), F.lit("</p>"))
+    plain = F.concat(F.lit("<h1> "), name, F.lit(" </h1><table><tr><td>Cor:</td><td>azul</td></tr></table><div><del>R$ 9.999,00</del><b class=\"now\">"), _reais(F.col("p_retailprice")), F.lit("</b></div><p>EAN: "), (F.col("p_partkey") + 70_000_000).cast("string"), F.lit("</p>"))
     body = F.when(n % 3 == 0, linked).when(n % 3 == 1, micro).otherwise(plain)
     coupon = F.when(n % 4 == 0, F.concat(F.lit("<div>Cupom de "), n.cast("string"), F.lit("% de desconto</div>"))).otherwise("")
     cash = F.when(n % 5 == 0, "<div>5% off no pix</div>").otherwise("")
@@ -210,7 +210,7 @@ def _named(spark, sf_dir):
     """Listings of which four neighbours are one model, in different words."""
     n = F.col("p_partkey")
     tail = F.get(F.array(*map(F.lit, (" frost", " inverse frost", " frost com garantia", " FROST"))), n % 4)
-    name = F.concat(F.lit("Geladeira Samsung RF"), (1000 + F.floor(n / 4)).cast("string"), tail, F.lit(" "), (F.floor(n / 4) % 50 + 300).cast("string"), F.lit(" L"))
+    name = F.concat(F.lit("Geladeira Samsung RF"), (1000 + F.floor(n / 4)).cast("string"), F.lit(" "), (F.floor(n / 4) % 50 + 300).cast("string"), F.lit("L"), tail)
     return table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice", name.alias("name"))
 
 

@@ -26,6 +26,20 @@ def write_state(df: DataFrame, path: str, replace: bool = False) -> None:
     df.write.mode("overwrite" if replace else "errorifexists").json(path)
 
 
+def import_state(collections: dict[str, DataFrame], path: str, replace: bool = False) -> None:
+    """Writes every collection as a table under ``path``; refuses, before writing any, if one of them
+    exists with rows and ``replace`` is not set.  Tables of ``path`` that are not given stay."""
+    spark = next(iter(collections.values())).sparkSession
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = lambda name: fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"))
+    if not replace:
+        full = [n for n, df in collections.items() if there(n) and spark.read.schema(df.schema).json(f"{path}/{n}").limit(1).count()]
+        if full:
+            raise ValueError(f"not empty, and not to be replaced: {', '.join(sorted(full))}")
+    for name, df in collections.items():
+        df.write.mode("overwrite").json(f"{path}/{name}")
+
+
 def append_history(points: DataFrame, path: str) -> None:
     """Change points by month, sorted by product and time inside files, as look-ups read them."""
     points.withColumn("month", F.date_format("ts", "yyyy-MM")).repartition("month", "product_id").sortWithinPartitions("product_id", "ts").write.mode("append").partitionBy("month").parquet(path)

@@ -12,7 +12,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
@@ -48,7 +48,8 @@ def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
 def live_events(readings: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Change points and opportunities of a stream of readings, appended as they happen."""
     timed = readings.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
-    return timed.groupBy("product_id").applyInPandasWithState(_step, EVENTS, "held string", "append", "NoTimeout")
+    # With event time as its clock Spark leaves out rows behind the watermark before they reach the state.
+    return timed.groupBy("product_id").applyInPandasWithState(_step, EVENTS, "held string", "append", "EventTimeTimeout")
 
 
 def daily_stream(readings: DataFrame, lateness: str = "1 day") -> DataFrame:
@@ -58,6 +59,21 @@ def daily_stream(readings: DataFrame, lateness: str = "1 day") -> DataFrame:
     return out.select("product_id", F.to_date("window.start").alias("day"), "low", "high", "readings")
 
 
+def event_sink(events: DataFrame, path: str, checkpoint: str):
+    """Writes each micro-batch of events as JSON lines in a folder of its own, so a batch that is tried
+    again replaces itself; returns the stream's writer, to be started."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").json(f"{path}/batch={number}")
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def running(spark: SparkSession, name: str):
+    """The active stream of that name, or None: a round starts one only where there is none."""
+    return next((q for q in spark.streams.active if q.name == name), None)
+
+
 def distinct_readings(readings: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Each reading once, whatever is delivered again within the watermark."""
     timed = readings.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
