@@ -168,7 +168,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     picked = [own.filter(F.col("quality") == q).orderBy(*order).limit(per_class) for q in (0, 1)]
     sample = picked[0].unionByName(picked[1]).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     # At most 2 * per_class rows by construction.
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # Of several texts of a doc_id the one that sorts first, at every run.
+    texts = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
                 rows = term_rows(data, offsets).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), batch.column(1).slice(i, j - i).cast(pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "quality", "terms"])
 
-    found = texts.mapInArrow(run, "doc_id long, quality int, terms binary").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
+    found = texts.mapInArrow(run, "doc_id long, quality int, terms binary").orderBy("doc_id").toPandas()
     y = found["quality"].to_numpy()
     if len(y) == 0 or y.min() == y.max():
         return prior if len(y) == 0 else float(y[0])
@@ -202,9 +204,11 @@ def classify(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLA
     """doc_id, held_out, score, predicted for every row of ``docs``.
 
     Null and empty texts are scored like any text (by their statistics); repeated rows stay; rows
-    with a null doc_id are scored and not held out.  Without usable labels of both kinds every score
-    is the labels' share of ones (0.5 if there are none).  Other columns are ignored; an empty table
-    gives no row.
+    with a null doc_id are scored and not held out.  Of labelled vectors that are equally near the
+    one earlier by doc_id may vote, so equal texts have equal scores.  A labelled doc_id with several
+    texts counts once, with the text that sorts first.  Without usable labels of both kinds every
+    score is the labels' share of ones (0.5 if there are none).  Other columns are ignored; an empty
+    table gives no row.
     """
     return scored(docs, fit(docs, labels, per_class)).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -101,15 +101,21 @@ def write_archives(resolved: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> D
     return resolved.select(*cols).mapInArrow(run, "segment string, records long, archive binary")
 
 
+STEP_BYTES = 1 << 14
+
+
 def parse_archive(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record; ValueError if lengths or digests do not hold."""
-    rest = archive
-    while rest:
-        unpacker = zlib.decompressobj(31)
-        data = unpacker.decompress(rest)
+    view, at = memoryview(archive), 0
+    while at < len(view):
+        unpacker, parts = zlib.decompressobj(31), []
+        while not unpacker.eof and at < len(view):  # in steps, so that what is left is never copied whole
+            parts.append(unpacker.decompress(view[at : at + STEP_BYTES]))
+            at += len(view[at : at + STEP_BYTES])
         if not unpacker.eof:
             raise ValueError("cut-off gzip member")
-        rest = unpacker.unused_data if len(unpacker.unused_data) < len(rest) else b""
+        at -= len(unpacker.unused_data)
+        data = b"".join(parts)
         head, sep, block = data.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if not sep or not lines[0].startswith("WARC/1."):

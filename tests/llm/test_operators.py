@@ -45,6 +45,23 @@ def test_quality(spark, sf_dir):
     assert kept.join(labels.filter("quality = 1"), "doc_id", "left_semi").count() > 0.97 * clean
 
 
+def test_quality_votes_by_brute_force():
+    """Blocked products and partial selection against a plain loop over all labelled vectors."""
+    from precioscope.llm.quality import NEIGHBOURS, SHARPNESS, VoteModel
+
+    rng = np.random.default_rng(5)
+    rows, labels = rng.random((400, 80)).astype(np.float32), rng.integers(0, 2, 400)
+    model = VoteModel(rows, labels, 0.3)
+    asked = rng.random((300, 80)).astype(np.float32)
+    got = model.score(asked)
+    for i in range(0, 300, 7):
+        v = (asked[i] * model.weight - model.mean) @ model.axes
+        v = v / np.linalg.norm(v)
+        cos = sorted(((float(v @ u), k) for k, u in enumerate(model.vectors)), reverse=True)[:NEIGHBOURS]
+        w = [np.exp(SHARPNESS * (c - 1)) * model.votes[k] for c, k in cos]
+        assert abs(sum(x * labels[k] for x, (_, k) in zip(w, cos, strict=True)) / sum(w) - got[i]) < 1e-4
+
+
 def test_quality_edges(spark):
     from precioscope.llm.quality import classify
 
@@ -52,6 +69,8 @@ def test_quality_edges(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in classify(docs, none).collect()} == {0.5}
     some = spark.createDataFrame([(i, i % 2, None) for i in range(10)] + [(3, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    got = classify(docs.union(docs.limit(3)), some).collect()
+    assert len(got) == len(EDGE) + 3 and len({(r["doc_id"], r["score"]) for r in got}) == len(EDGE)
     got = classify(docs, some).collect()
     assert len(got) == len(EDGE) and all(0 <= r["score"] <= 1 for r in got)
     assert classify(docs.filter("false"), some).count() == 0
