@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from precioscope.llm.arrowtext import chunked, mix
-from precioscope.llm.linking import hot_keys, link_small_sets, shared_tiles
+from precioscope.llm.linking import NAME_MASK, hot_keys, link_small_sets, shared_tiles, size_bits
 from precioscope.llm.scratch import Scratch
 
 SHINGLE = CORPUS_SHINGLE = 5
@@ -34,12 +34,10 @@ LEAST_CHARS = 20
 BANDS, ROWS = 12, 5
 BINS = BANDS * ROWS
 FEW = 100
-#: FEW different shingles leave 11 of 60 bins empty on average, and fewer than this in one of 300 lines.
-SUSPECT = 5
 SPOTS = 1024
 SEEN_LINES = 200_000
 FLUSH_LINES = 50_000
-LINE_SCHEMA = "doc_id long, tie long, line_no int, id binary, keys array<long>, hot array<long>"
+LINE_SCHEMA = "doc_id long, tie long, line_no int, id binary, sizes int, keys array<long>, hot array<long>"
 MEMBER_SCHEMA = "id binary, elements binary"
 _ODD = 0x9E3779B97F4A7C15
 _NONE = np.iinfo(np.uint64).max
@@ -103,21 +101,19 @@ def line_sets(lines: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def _minima(x: np.ndarray, line: np.ndarray, lines: int, bins: int) -> tuple[np.ndarray, np.ndarray]:
-    """Minima of each line's hashes in each bin (an empty bin takes the next full one's, marked by the
-    distance), and the number of empty bins."""
+def _minima(x: np.ndarray, line: np.ndarray, lines: int, bins: int) -> np.ndarray:
+    """Minima of each line's hashes in each bin; an empty bin takes the next full one's, marked by the distance."""
     low = np.full(lines * bins, _NONE, np.uint64)
     np.minimum.at(low, line * bins + (((x >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64), x)
     low = low.reshape(-1, bins)
     none = low == _NONE
-    empty = none.sum(axis=1)
     for shift in range(1, bins):
         if not none.any():
             break
         take = none & ~np.roll(none, -shift, axis=1)
         low = np.where(take, np.roll(low, -shift, axis=1) + np.uint64(shift * 0x51ED270B), low)
         none &= ~take
-    return low, empty
+    return low
 
 
 def _banded(low: np.ndarray, seed: int) -> np.ndarray:
@@ -129,41 +125,35 @@ def _banded(low: np.ndarray, seed: int) -> np.ndarray:
     return key
 
 
-def line_keys(h: np.ndarray, start: np.ndarray, stop: np.ndarray, size: int = SHINGLE, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """(keys line by line, number of each line's) from the shingle hashes of characters; stop excludes the line's end."""
+def line_keys(h: np.ndarray, start: np.ndarray, stop: np.ndarray, size: int = SHINGLE, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys line by line, number of each line's, size_bits of each) from the shingle hashes of characters;
+    stop excludes the line's end."""
     count = stop - start - size + 1
     lines = len(count)
     if not lines:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     ends = np.cumsum(count)
     x = h[np.arange(ends[-1]) + np.repeat(start - ends + count, count)]
-    few, many = count < FEW, count * 100 >= FEW * percent
+    # A line has at least as many different shingles as they have remainders modulo SPOTS.
+    spots = np.zeros(lines * SPOTS, bool)
+    spots[np.repeat(np.arange(0, lines * SPOTS, SPOTS), count) + (x & np.uint64(SPOTS - 1)).astype(np.int64)] = True
+    least = spots.reshape(-1, SPOTS).sum(axis=1)
+    few, many = least < FEW, count * 100 >= FEW * percent
     keys = np.zeros((lines, 2 * BANDS), np.uint64)
     if many.any():
         n = int(many.sum())
         # Lines that are not meant share a last row, which is left out.
-        low, empty = _minima(x, np.repeat(np.where(many, np.cumsum(many) - 1, n), count), n + 1, BINS)
+        low = _minima(x, np.repeat(np.where(many, np.cumsum(many) - 1, n), count), n + 1, BINS)
         keys[many, BANDS:] = _banded(low[:n], 99)
-        # A long line of few different shingles is similar to short ones. Enough empty bins make it
-        # suspect; its hashes taken modulo SPOTS are no more than it has, so it is never overlooked.
-        suspect = np.zeros(lines, bool)
-        suspect[many] = empty[:n] >= SUSPECT
-        suspect &= ~few
-        if suspect.any():
-            own = np.repeat(np.where(suspect, np.cumsum(suspect) - 1, -1), count)
-            at = own >= 0
-            spots = np.zeros(int(suspect.sum()) * SPOTS, bool)
-            spots[own[at] * SPOTS + (x[at] & np.uint64(SPOTS - 1)).astype(np.int64)] = True
-            few[suspect] = spots.reshape(-1, SPOTS).sum(axis=1) < FEW
     if few.any():
         own = np.repeat(np.where(few, np.cumsum(few) - 1, -1), count)
         at = own >= 0
         xs, ls = x[at], own[at]
         for band in range(BANDS):
-            low, _ = _minima(mix(xs + np.uint64((band + 1) * _ODD & (1 << 64) - 1)), ls, int(few.sum()), ROWS)
+            low = _minima(mix(xs + np.uint64((band + 1) * _ODD & (1 << 64) - 1)), ls, int(few.sum()), ROWS)
             keys[few, band] = _banded(low, band + 1)[:, 0]
     has = np.concatenate([few[:, None].repeat(BANDS, 1), many[:, None].repeat(BANDS, 1)], axis=1)
-    return keys[has], has.sum(axis=1)
+    return keys[has], has.sum(axis=1), size_bits(least, count)
 
 
 def _signed(docs: DataFrame, least: int, size: int, percent: int, short: bool) -> DataFrame:
@@ -184,7 +174,7 @@ def _signed(docs: DataFrame, least: int, size: int, percent: int, short: bool) -
             return out if len(out) else None
 
         def hot_row(keys: np.ndarray) -> pa.RecordBatch:
-            null = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))]
+            null = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int64()))]
             return pa.RecordBatch.from_arrays([*null, pa.array([keys.view(np.int64).tolist()], pa.list_(pa.int64()))], names=names)
 
         for batch in batches:
@@ -213,17 +203,19 @@ def _signed(docs: DataFrame, least: int, size: int, percent: int, short: bool) -
                         at = end + 1
                 if not rows:
                     continue
-                keys, counts = line_keys(shingle_hashes(chars, size), np.array(start, np.int64), np.array(stop, np.int64), size, percent)
+                keys, counts, bits = line_keys(shingle_hashes(chars, size), np.array(start, np.int64), np.array(stop, np.int64), size, percent)
                 recent.append(keys)
                 signed += len(start)
                 given = np.array(fresh)
                 sizes = np.zeros(len(rows), np.int64)
                 sizes[given] = counts
+                told = np.zeros(len(rows), np.int32)
+                told[given] = bits
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 keyed = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64)), mask=pa.array(~given))
                 hashes = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, 16 * len(rows) + 1, 16, np.int32)), pa.py_buffer(b"".join(digests))])
                 at = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), hashes, keyed, pa.nulls(len(rows), pa.list_(pa.int64()))], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), hashes, pa.array(told), keyed, pa.nulls(len(rows), pa.list_(pa.int64()))], names=names)
                 if (found := hot(FLUSH_LINES)) is not None:
                     yield hot_row(found)
         if (found := hot(0)) is not None:
@@ -258,9 +250,10 @@ def removed_lines(docs: DataFrame, scratch: Scratch, least: int = LEAST_CHARS, p
     """
     wide = scratch.cut(_signed(docs, least, size, percent, short), "lines")
     lines = wide.filter("id is not null").select("doc_id", "tie", "line_no", "id")
-    # 64 bits name a line where tiles are found; lines that agree in them but not in all 128 both come along.
-    name = F.xxhash64("id").alias("name")
-    shared = shared_tiles(wide.select(name, "keys", "hot"), scratch)
+    # 48 bits name a line where tiles are found; lines that agree in them but not in all 128 both come along.
+    short = F.xxhash64("id").bitwiseAND(F.lit(NAME_MASK))
+    name = short.alias("name")
+    shared = shared_tiles(wide.select(short.bitwiseOR(F.col("sizes").cast("long")).alias("name"), "keys", "hot"), scratch, percent)
     reps = lines.groupBy("id").agg(F.min(F.struct("doc_id", "tie", "line_no")).alias("first"), F.count(F.lit(1)).alias("copies"))
     reps = scratch.cut(reps, "reps")
     own = reps.select("first.*", name).join(shared.select("name").distinct(), "name", "left_semi")

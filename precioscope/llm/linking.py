@@ -31,6 +31,8 @@ HOT_SHARE = 500
 LEAST_HOT = 64
 MOST_HOT_SENT = 50_000
 MET_ROWS = 1_000_000
+SIZE_STEP = 1.065
+NAME_MASK = ~0xFFFF
 #: Of 16 bytes each, as are those of the hot keys of 8.
 MOST_ASKED_SENT = 500_000
 BATCH_ROWS = 50_000
@@ -78,8 +80,22 @@ def hot_keys(keys: np.ndarray, members: int) -> np.ndarray:
     return u[n > max(LEAST_HOT, members // HOT_SHARE)]
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The (key, name) of a partition whose key has several names, once each."""
+def size_bits(least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """16 bits for the low end of a name: bounds of a set's size, in steps of SIZE_STEP."""
+    step = lambda x: np.clip(np.floor(np.log(np.maximum(x, 1)) / np.log(SIZE_STEP)), 0, 255).astype(np.int64)
+    return step(least) << 8 | step(most)
+
+
+def _apart(name: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
+    """Are the sizes that two names tell too different for similar sets?"""
+    low = lambda x: SIZE_STEP ** ((x >> 8) & 255).astype(float)
+    high = lambda x: np.where(x & 255 == 255, np.inf, SIZE_STEP ** ((x & 255) + 1).astype(float))
+    return (high(name) * 100 < percent * low(other)) | (high(other) * 100 < percent * low(name))
+
+
+def _met(batches: Iterator[pa.RecordBatch], percent: int | None) -> Iterator[pa.RecordBatch]:
+    """The (key, name) of a partition whose key has several names, once each; with ``percent`` not those
+    of two names whose sizes are too different."""
     parts = [[c.to_numpy(zero_copy_only=False) for c in batch.columns[:2]] for batch in batches]
     if not parts:
         return
@@ -92,16 +108,25 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, name = key[fresh], name[fresh]
     keep = np.zeros(len(key), bool)
     keep[1:] = key[1:] == key[:-1]
+    pair = keep.copy()  # the second of a key's two names
+    pair[1:] &= ~keep[:-1]
+    pair[:-1] &= ~keep[1:]
     keep[:-1] |= keep[1:]
+    if percent is not None:
+        at = np.flatnonzero(pair)
+        at = at[_apart(name[at - 1], name[at], percent)]
+        keep[at] = keep[at - 1] = False
+        name = name & NAME_MASK
     key, name = key[keep], name[keep]
     for i in range(0, len(key), BATCH_ROWS):
         yield pa.RecordBatch.from_arrays([pa.array(key[i : i + BATCH_ROWS]), pa.array(name[i : i + BATCH_ROWS])], names=["key", "name"])
 
 
-def shared_tiles(wide: DataFrame, scratch: Scratch) -> DataFrame:
+def shared_tiles(wide: DataFrame, scratch: Scratch, percent: int | None = None) -> DataFrame:
     """(key, name, count) of the keys that several names have; of keys with the same names, one.
 
-    wide: (name long, keys array<long>, hot array<long>), a table.  Hot keys, found by the tasks that
+    wide: (name long, keys array<long>, hot array<long>), a table.  With ``percent`` the low 16 bits of
+    a name are size_bits, which the result's names do not have any more.  Hot keys, found by the tasks that
     made the table, are known to be shared, so their rows are not brought together for that.
     """
     hot = scratch.cut(wide.select(F.explode("hot").alias("key")).distinct(), "hot")
@@ -111,9 +136,10 @@ def shared_tiles(wide: DataFrame, scratch: Scratch) -> DataFrame:
     plain = rows.join(few, "key", "left_anti") if n_hot else rows
     # Without the hot keys rows spread evenly, so a partition has about MET_ROWS rows of 16 bytes.
     total = wide.agg(F.sum(F.size("keys").cast("long")).alias("n")).first()["n"] or 0
-    met = plain.repartition(total // MET_ROWS + 1, "key").mapInArrow(_met, "key long, name long")
+    met = plain.repartition(total // MET_ROWS + 1, "key").mapInArrow(lambda batches: _met(batches, percent), "key long, name long")
     if n_hot:
-        met = met.unionByName(rows.join(few, "key", "left_semi").distinct())
+        own = F.col("name") if percent is None else F.col("name").bitwiseAND(F.lit(NAME_MASK))
+        met = met.unionByName(rows.join(few, "key", "left_semi").select("key", own.alias("name")).distinct())
     shared = scratch.cut(met, "tiles")
     marks = [F.bit_xor(F.xxhash64("name", F.lit(i))).alias(c) for i, c in enumerate("fg")]
     prints = shared.groupBy("key").agg(F.count(F.lit(1)).alias("count"), *marks).filter("count > 1")
