@@ -300,5 +300,6 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_CHARS, percent: int = PERCEN
 
 
 def _repeats(texts: DataFrame) -> bool:
-    """Does any (doc_id, tie) stand in several rows?"""
-    return bool(texts.groupBy("doc_id", "tie").count().filter("count > 1").limit(1).count())
+    """Does any (doc_id, tie) stand in several rows?  Texts are read only if a doc_id does."""
+    several = lambda *keys: bool(texts.groupBy(*keys).count().filter("count > 1").limit(1).count())
+    return several("doc_id") and several("doc_id", "tie")

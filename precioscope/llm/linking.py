@@ -96,11 +96,17 @@ def _apart(name: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
 def _met(batches: Iterator[pa.RecordBatch], percent: int | None) -> Iterator[pa.RecordBatch]:
     """The (key, name) of a partition whose key has several names, once each; with ``percent`` not those
     of two names whose sizes are too different."""
-    parts = [[c.to_numpy(zero_copy_only=False) for c in batch.columns[:2]] for batch in batches]
+    parts = [[c.to_numpy(zero_copy_only=False) for c in batch.columns[:2]] for batch in batches if batch.num_rows]
     if not parts:
         return
     key, name = (np.concatenate(c) for c in zip(*parts, strict=True))
     del parts
+    order = np.argsort(key)
+    key, name = key[order], name[order]
+    # Most keys stand alone; only the rows of the others are put in order of names.
+    same = np.concatenate([[False], key[1:] == key[:-1]])
+    same[:-1] |= same[1:]
+    key, name = key[same], name[same]
     order = np.lexsort((name, key))
     key, name = key[order], name[order]
     fresh = np.ones(len(key), bool)

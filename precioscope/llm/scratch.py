@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Settings of a session while it writes a table: shuffle files go with it, Arrow batches are bounded in bytes.
 WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 _OWN: list[str] = []
+_OPEN: list = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,12 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one operator run; ``drop`` frees those that nothing reads any more."""
+    """Tables of one operator run; ``drop`` frees those that nothing reads any more.
+
+    Tables that the operator's lazy result reads stay in the shared folder; who has written that result
+    frees them by drop_since.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        _OPEN.append(self)
 
     def new_path(self, name: str) -> str:
         self.n += 1
@@ -70,6 +76,18 @@ class Scratch:
     def drop_all(self) -> None:
         self._delete(self.root)
 
+    @staticmethod
+    def opened() -> int:
+        """A mark of now for drop_since."""
+        return len(_OPEN)
+
+    @staticmethod
+    def drop_since(mark: int) -> None:
+        """Drop all tables of the runs begun since the mark, once what they gave is written elsewhere."""
+        for other in _OPEN[mark:]:
+            other.drop_all()
+        del _OPEN[mark:]
+
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
