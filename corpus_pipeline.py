@@ -19,13 +19,21 @@ from precioscope.llm.scratch import Scratch
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is at least 0.5."""
+    """Documents whose quality score is at least 0.5.
+
+    Null and empty texts are scored by their statistics, repeated rows stay together, and without usable
+    labels of both kinds the labels' share of ones decides for all.  An empty table stays empty.
+    """
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier document (or line) has; a document that loses its
-    last line with any word goes."""
+    last line with any word goes.
+
+    Null and empty texts stay; rows that repeat a (doc_id, text) lose the same lines; rows without doc_id
+    come first in the order.  An empty table stays empty.
+    """
     out = dedup_lines(docs)
     left = (F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return out.filter(left).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
@@ -53,12 +61,17 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as their source's target takes them, in part where a pass ends."""
+    """The documents as often as their source's target takes them, in part where a pass ends.
+
+    A null source is a source; texts without words are never taken, so they go; rows that repeat a
+    document are one text of it, taken as often as their words are.  An empty table stays empty.
+    """
     return mix_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 tokens: one row per piece."""
+    """Sequences of at most 4096 tokens: one row per piece; every row is packed, repeated ones too, and a
+    null text is the end id alone.  An empty table gives no row."""
     return pack_documents(docs, word_bpe_path())
 
 
@@ -79,5 +92,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark, "pipeline")
     for name, stage in STAGES:
-        docs = scratch.cut(stage(spark, docs, sf_dir), name, dictionary=True)
+        before, mark = docs, Scratch.opened()
+        docs = scratch.cut(stage(spark, before, sf_dir), name, dictionary=True)
+        Scratch.drop_since(mark)
+        scratch.drop(before)  # of the pipeline's own tables; the input is none
     return docs
