@@ -78,6 +78,24 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from precioscope.llm.sharding import shard_documents
+
+    return shard_documents(_table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from precioscope.llm.filtering import compress
+
+    return compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from precioscope.llm.ranking import rank_documents
+
+    return rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -95,9 +113,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_source_mixing": op9_source_mixing,
     "op10_ngram_join": op10_ngram_join,
+    "op11_balanced_shards": op11_balanced_shards,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_ranked_search": op13_ranked_search,
     "pipeline": pipeline,
 }
 
+def _codes_sql(rounds: int = 2, parts: int = 16, entries: int = 64) -> str:
+    """SQL of the vector codes, every round a full assignment."""
+    near = lambda book: f"""SELECT p.row, p.pos, min({{'d': list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'e': b.entry}}) AS best FROM p JOIN {book} b ON b.pos = p.pos GROUP BY p.row, p.pos"""
+    sql = f"""
+        WITH v AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS row, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS (SELECT row, pos, list_slice(e, pos * len(e) // {parts} + 1, (pos + 1) * len(e) // {parts}) AS x FROM v, (SELECT unnest(range({parts})) AS pos)),
+        b0 AS (SELECT pos, row - 1 AS entry, x FROM p WHERE row <= {entries})"""
+    for r in range(rounds):
+        sql += f""",
+        a{r} AS ({near(f"b{r}")}),
+        s{r} AS (SELECT p.pos, best.e AS entry, i, sum(x[i]) AS s, count(*) AS c FROM p JOIN a{r} ON a{r}.row = p.row AND a{r}.pos = p.pos, (SELECT unnest(range(1, 257)) AS i) WHERE i <= len(x) GROUP BY ALL),
+        m{r} AS (SELECT pos, entry, list(((s - (((s % c) + c) % c)) // c)::BIGINT ORDER BY i) AS x FROM s{r} GROUP BY pos, entry),
+        b{r + 1} AS (SELECT b.pos, b.entry, coalesce(m.x, b.x) AS x FROM b{r} b LEFT JOIN m{r} m ON m.pos = b.pos AND m.entry = b.entry)"""
+    return sql + f""",
+        f AS ({near(f"b{rounds}")}),
+        c AS (SELECT row, string_agg(lpad(lower(to_hex(best.e)), 2, '0'), '' ORDER BY pos) AS code, sum(best.d)::BIGINT AS error FROM f GROUP BY row),
+        h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY pos, entry)) AS codebooks_sha256 FROM b{rounds})
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM v JOIN c USING (row), h"""
+
+
 ORACLES: dict[str, str] = {
     "op6_warc_revisits": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
@@ -113,4 +155,16 @@ ORACLES: dict[str, str] = {
               FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op12_vector_codes": _codes_sql(),
+    "op13_ranked_search": r"""
+        WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+        i AS (SELECT item_id, text, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+        t AS (SELECT count(*)::BIGINT AS N, sum(len(terms))::BIGINT AS L FROM d WHERE len(terms) > 0),
+        p AS (SELECT row, term, count(*)::BIGINT AS tf FROM (SELECT row, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+        w AS (SELECT term, floor(1000 * ln((2 * any_value(N) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, t GROUP BY term),
+        q AS (SELECT item_id, text, term, count(*)::BIGINT AS times FROM i GROUP BY ALL),
+        s AS (SELECT item_id, text, row, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(terms)::BIGINT * N) // L))))::BIGINT AS score
+              FROM q JOIN p USING (term) JOIN w USING (term) JOIN d USING (row), t GROUP BY ALL),
+        r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM s JOIN d USING (row) WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20""",
 }
