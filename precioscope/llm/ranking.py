@@ -23,6 +23,12 @@ TOP = 20
 SLICE = 1 << 17
 #: Entries of one part of a list.
 LIST_ROWS = 1 << 16
+#: Terms of items that one pass over the lists adds up, and rows of a look-up that are sent to all tasks; more items take
+#: more passes, longer look-ups a shuffle.
+NEED_ROWS = 1 << 17
+SENT_ROWS = 1 << 17
+#: Hits and sums that a task holds at a time.
+HITS = 1 << 21
 #: Bytes that are in no term: ASCII without letters and digits.
 BREAK = np.zeros(256, bool)
 BREAK[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
@@ -41,7 +47,7 @@ def _terms_of(text: str) -> dict[str, int]:
     return found
 
 
-def item_terms(items: DataFrame) -> DataFrame:
+def item_terms(items: DataFrame, scratch: Scratch) -> DataFrame:
     """(item_id, iid, term, times): the terms of each item; rows that repeat an item are one item."""
     kind = items.schema["item_id"].dataType.simpleString()
 
@@ -52,7 +58,8 @@ def item_terms(items: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column(k)[i].as_py()] * len(found), batch.schema.field(k).type) for k in (0, 1)] + [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["item_id", "iid", "term", "times"])
 
     once = items.select("item_id", F.col("text").cast("string").alias("text")).distinct()
-    return once.select("item_id", F.unhex(F.md5(F.to_json(F.struct("item_id", "text")).cast("binary"))).alias("iid"), "text").mapInArrow(run, f"item_id {kind}, iid binary, term string, times long")
+    once = scratch.cut(once.select("item_id", F.monotonically_increasing_id().alias("iid"), "text"), "items")
+    return scratch.cut(once.mapInArrow(run, f"item_id {kind}, iid long, term string, times long"), "asked")
 
 
 def _matcher(terms: list[str]):
@@ -89,8 +96,8 @@ def _matcher(terms: list[str]):
 
 
 def _postings(docs: DataFrame, terms: list[str], first: int) -> DataFrame:
-    """(term, uid, doc_id, tf, n) of every document and listed term; rows of term -1 hold the number of
-    documents with terms (tf) and of their terms (n) of a run of texts."""
+    """(term, uid, doc_id, tf, n): listed terms of each document with their number and its length, and one
+    row of term -1, alone with the doc_id, of each document that has terms."""
     kind, match = docs.schema["doc_id"].dataType.simpleString(), _matcher(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,41 +107,106 @@ def _postings(docs: DataFrame, terms: list[str], first: int) -> DataFrame:
                 n = np.bincount(doc, minlength=j - i)
                 number = match(data, start, end)
                 pair, tf = np.unique(doc[number >= 0] * len(terms) + number[number >= 0], return_counts=True)
-                row, term = i + pair // len(terms), first + pair % len(terms)
-                take = pa.array(np.append(row, i))
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(term, -1)), batch.column(0).take(take), batch.column(1).take(take), pa.array(np.append(tf, (n > 0).sum())), pa.array(np.append(n[row - i], n.sum()))], names=["term", "uid", "doc_id", "tf", "n"])
+                row, term, full = pair // len(terms), first + pair % len(terms), np.flatnonzero(n)
+                own = pa.array(np.concatenate([i + row, i + full]))
+                named = pa.array(np.concatenate([i + row, i + full]), mask=np.arange(len(row) + len(full)) < len(row))
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(term, np.full(len(full), -1))), batch.column(0).take(own), batch.column(1).take(named), pa.array(np.append(tf, np.zeros(len(full), np.int64))), pa.array(n[np.concatenate([row, full])])], names=["term", "uid", "doc_id", "tf", "n"])
 
     return docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"term long, uid long, doc_id {kind}, tf long, n long")
 
 
-def _lists(docs: DataFrame, asked: DataFrame, scratch: Scratch, slice_: int) -> tuple[DataFrame, DataFrame]:
-    """The impact lists (term, uid, doc_id, impact) of all asked terms, and (name, term) of these.
+def _lists(docs: DataFrame, asked: DataFrame, scratch: Scratch, slice_: int) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """The impact lists (term, uid, impact) of all asked terms, (name, term) of these, and (uid, doc_id).
 
     Lists are dealt out by term, those of more than LIST_ROWS entries in several parts.
     """
     spark = docs.sparkSession
     vocabulary = scratch.cut(asked.select("term").distinct(), "vocabulary")
     slices = max(1, -(-vocabulary.count() // slice_))
-    lists, names = None, None
+    lists, names, ids = None, None, None
     for s in range(slices):
         terms = sorted(r["term"] for r in vocabulary.filter(F.pmod(F.xxhash64("term"), F.lit(slices)) == s).collect())  # about SLICE
         if not terms:
             continue
         raw = scratch.cut(_postings(docs, terms, s << 32), "postings", dictionary=True)
-        total = raw.filter("term = -1").agg(F.sum("tf").alias("docs"), F.sum("n").alias("words")).first()
-        N, L = total["docs"] or 0, max(total["words"] or 0, 1)
+        if ids is None:
+            ids = scratch.cut(raw.filter("term = -1").select("uid", "doc_id", "n"), "documents")
+            total = ids.agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("words")).first()
+            N, L = total["docs"], max(total["words"] or 0, 1)
         df = raw.filter("term >= 0").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         weight = F.floor(1000 * F.log((2 * F.lit(N) + 2).cast("double") / (2 * F.col("df") + 1).cast("double"))).cast("long")
         weighed = df.select("term", weight.alias("w"), F.ceil(F.col("df") / LIST_ROWS).cast("long").alias("lots"))
         m = F.expr(f"100 - 25 + ((25 * n * {N}L) div {L}L)")
         entries = raw.filter("term >= 0").join(F.broadcast(weighed), "term").withColumn("m", m)  # a row a term of the slice
-        impact = entries.select("term", "uid", "doc_id", F.expr("w * ((1000000000 * tf) div (1000 * tf + 12 * m))").alias("impact"), "lots").filter("impact > 0")
+        impact = entries.select("term", "uid", F.expr("w * ((1000000000 * tf) div (1000 * tf + 12 * m))").alias("impact"), "lots").filter("impact > 0")
         dealt = impact.repartition("term", F.pmod(F.xxhash64("uid"), F.col("lots"))).drop("lots").sortWithinPartitions("term", F.col("impact").desc())
         own = scratch.cut(dealt, "lists", dictionary=True)
         scratch.drop(raw)
         named = spark.createDataFrame([(t, (s << 32) + i) for i, t in enumerate(terms)], "name string, term long")
         lists, names = (own, named) if lists is None else (lists.unionByName(own), names.unionByName(named))
-    return lists, names
+    return None if lists is None else (lists, names, ids)
+
+
+def _summed(reach: DataFrame, need: list, k: int) -> DataFrame:
+    """(iid, uid, score, upper): what the entries (term, uid, impact) of each document, which lie together,
+    give each item, and what it can reach at most; only where that is no less than the k-th best so far.
+
+    ``need`` is a block of items: rows of iid, term, times, least, rest, bound.
+    """
+    items = np.array(sorted({r["iid"] for r in need}), np.int64)
+    rows = sorted(need, key=lambda r: r["term"])
+    terms, first = np.unique(np.array([r["term"] for r in rows], np.int64), return_index=True)
+    ends = np.append(first[1:], len(rows))
+    column = np.searchsorted(items, [r["iid"] for r in rows])
+    least, times, rest = (np.array([r[c] for r in rows], np.int64) for c in ("least", "times", "rest"))
+    floor_, open_ = np.zeros(len(items), np.int64), np.zeros(len(items), np.int64)
+    floor_[column] = [r["bound"] for r in rows]
+    np.add.at(open_, column, rest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, bound = np.zeros((k, len(items)), np.int64), floor_.copy()
+
+        def some(doc: np.ndarray, uids: np.ndarray, t: np.ndarray, impact: np.ndarray) -> pa.RecordBatch:
+            nonlocal best, bound
+            many = ends[t] - first[t]
+            spot = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - first[t], many)
+            value = np.repeat(impact, many)
+            hit = value >= least[spot]
+            spot, value, at_ = spot[hit], value[hit], np.repeat(doc, many)[hit]
+            cell = at_ * len(items) + column[spot]
+            score, found = np.zeros(len(uids) * len(items), np.int64), np.zeros(len(uids) * len(items), np.int64)
+            np.add.at(score, cell, value * times[spot])
+            np.add.at(found, cell, rest[spot])
+            score = score.reshape(len(uids), len(items))
+            best = np.partition(np.vstack([best, score]), len(uids), axis=0)[len(uids) :]
+            np.maximum(bound, best.min(0), out=bound)
+            upper = score + open_ - found.reshape(score.shape)
+            d, i = np.nonzero((score > 0) & (upper >= bound))
+            return pa.RecordBatch.from_arrays([pa.array(items[i]), pa.array(uids[d]), pa.array(score[d, i]), pa.array(upper[d, i])], names=["iid", "uid", "score", "upper"])
+
+        def whole(uid: np.ndarray, term: np.ndarray, impact: np.ndarray) -> Iterator[pa.RecordBatch]:
+            place = np.minimum(np.searchsorted(terms, term), len(terms) - 1)
+            asked = terms[place] == term
+            uid, t, impact = uid[asked], place[asked], impact[asked]
+            start = np.flatnonzero(np.concatenate([[True], uid[1:] != uid[:-1]])) if len(uid) else np.zeros(0, int)
+            hits = np.add.reduceat(ends[t] - first[t], start) if len(uid) else start
+            edges, a, most = np.append(start, len(uid)), 0, max(1, HITS // len(items))
+            while a < len(start):  # runs of documents whose hits and sums are bounded
+                b = a + max(1, min(most, int(np.searchsorted(np.cumsum(hits[a : a + most]), HITS, "right"))))
+                b = min(b, len(start))
+                lo, hi = edges[a], edges[b]
+                yield some(np.repeat(np.arange(b - a), np.diff(edges[a : b + 1])), uid[start[a:b]], t[lo:hi], impact[lo:hi])
+                a = b
+
+        held = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            now = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns, strict=True)]
+            cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0  # the last document may go on
+            yield from whole(*(c[:cut] for c in now))
+            held = [c[cut:] for c in now]
+        yield from whole(*held)
+
+    return reach.select("uid", "term", "impact").repartition("uid").sortWithinPartitions("uid").mapInArrow(run, "iid long, uid long, score long, upper long")
 
 
 def _best(scores: DataFrame, k: int, *order) -> DataFrame:
@@ -146,7 +218,7 @@ def _bound(scores: DataFrame, k: int) -> DataFrame:
     return _best(scores, k, F.col("score").desc()).groupBy("iid").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(F.lit(0)).alias("bound"))
 
 
-def rank_documents(docs: DataFrame, items: DataFrame, k: int = TOP, slice_: int = SLICE) -> DataFrame:
+def rank_documents(docs: DataFrame, items: DataFrame, k: int = TOP, slice_: int = SLICE, need_rows: int = NEED_ROWS) -> DataFrame:
     """(item_id, rank, doc_id, score): the k best documents of each item by the whole-number score.
 
     Of equal scores the smaller doc_id comes first, null last.  Null and empty texts have no terms: as a
@@ -156,36 +228,43 @@ def rank_documents(docs: DataFrame, items: DataFrame, k: int = TOP, slice_: int
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ranks")
-    asked = scratch.cut(item_terms(items), "asked")
-    kinds = {"item_id": items.schema["item_id"].dataType.simpleString(), "doc_id": docs.schema["doc_id"].dataType.simpleString()}
-    lists, names = _lists(docs, asked, scratch, slice_)
-    if lists is None:
-        return spark.createDataFrame([], f"item_id {kinds['item_id']}, rank int, doc_id {kinds['doc_id']}, score long")
+    asked = item_terms(items, scratch)
+    found = _lists(docs, asked, scratch, slice_)
+    if found is None:
+        return spark.createDataFrame([], f"item_id {items.schema['item_id'].dataType.simpleString()}, rank int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, score long")
+    lists, names, ids = found
 
     # 1: list heads.  The partial sums of k documents bound the k-th score from below.
     inside = Window.partitionBy("term").orderBy(F.col("impact").desc(), "uid")
-    heads = scratch.cut(lists.select("term", "uid", "impact").withColumn("place", F.row_number().over(inside)).filter(F.col("place") <= k), "heads")
+    heads = scratch.cut(lists.withColumn("place", F.row_number().over(inside)).filter(F.col("place") <= k), "heads")
     known = heads.groupBy("term").agg(F.max("impact").alias("top"))
-    need = asked.withColumnRenamed("term", "name").join(names, "name").join(known, "term").select("item_id", "iid", "term", "times", "top")
+    need = asked.withColumnRenamed("term", "name").join(names, "name").join(known, "term").select("iid", "term", "times", "top")
     need = scratch.cut(need.join(need.groupBy("iid").agg(F.count(F.lit(1)).alias("width")), "iid"), "need")
     partial = heads.join(need.select("iid", "term", "times"), "term").groupBy("iid", "uid").agg(F.sum(F.col("impact") * F.col("times")).alias("score"))
-    first = _bound(partial, k)
 
-    # 2: every list gives the entries that reach an equal share of the bound.
+    # 2: every list gives the entries that reach an equal share of the bound; they are added up by document.
     share = F.expr("greatest(1, (bound + width * times - 1) div (width * times))")
-    need = scratch.cut(need.join(first, "iid").withColumn("least", share).withColumn("rest", F.least(F.col("least") - 1, "top") * F.col("times")).drop("bound"), "shares")
-    lowest = need.groupBy("term").agg(F.min("least").alias("lowest"))
-    reach = lists.join(lowest, "term").filter("impact >= lowest").select("term", "uid", "doc_id", "impact")
-    hits = reach.join(need, "term").filter("impact >= least")
-    seen = hits.groupBy("iid", "uid").agg(F.first("doc_id").alias("doc_id"), F.sum(F.col("impact") * F.col("times")).alias("score"), F.sum("rest").alias("found"))
-    seen = scratch.cut(seen, "seen")
-
-    # 3: what the candidates still miss.
-    rest = need.groupBy("iid").agg(F.sum("rest").alias("rest"))
-    able = seen.join(_bound(seen.select("iid", "score"), k), "iid").join(rest, "iid").filter("score + rest - found >= bound")
-    able = scratch.cut(able.select("iid", "uid", "doc_id", "score"), "candidates")
-    wanted = able.select("iid", "uid").join(need.filter("rest > 0").select("iid", "term", "times", "least"), "iid")
-    looked = wanted.join(lists.select("term", "uid", "impact"), ["term", "uid"]).filter("impact < least").groupBy("iid", "uid").agg(F.sum(F.col("impact") * F.col("times")).alias("more"))
-    exact = able.join(looked, ["iid", "uid"], "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0)))
+    need = need.join(_bound(partial, k), "iid").withColumn("least", share).withColumn("rest", F.least(F.col("least") - 1, "top") * F.col("times"))
+    need = scratch.cut(need, "shares")
+    blocks = max(1, -(-need.count() // need_rows))
+    seen = None
+    for b in range(blocks):
+        block = need.filter(F.pmod(F.xxhash64("iid"), F.lit(blocks)) == b)
+        rows = block.collect()  # about NEED_ROWS
+        if not rows:
+            continue
+        lowest = block.groupBy("term").agg(F.min("least").alias("lowest"))
+        own = scratch.cut(_summed(lists.join(F.broadcast(lowest), "term").filter("impact >= lowest"), rows, k), "seen")
+        seen = own if seen is None else seen.unionByName(own)
+    if seen is None:  # no term of the items is in any document
+        seen = spark.createDataFrame([], "iid long, uid long, score long, upper long")
+
+    # 3: what the candidates that can reach the k-th score still miss is looked up.
+    able = scratch.cut(seen.join(_bound(seen.select("iid", "score"), k), "iid").filter("upper >= bound").drop("bound"), "candidates")
+    wanted = able.filter("upper > score").select("iid", "uid").join(need.filter("rest > 0").select("iid", "term", "times", "least"), "iid")
+    wanted = scratch.cut(wanted, "wanted")
+    few = F.broadcast(wanted) if wanted.count() <= SENT_ROWS else wanted
+    looked = lists.join(few, ["term", "uid"]).filter("impact < least").groupBy("iid", "uid").agg(F.sum(F.col("impact") * F.col("times")).alias("more"))
+    exact = able.join(looked, ["iid", "uid"], "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0))).join(ids.select("uid", "doc_id"), "uid")
     best = _best(exact, k, F.col("score").desc(), F.col("doc_id").asc_nulls_last(), "uid")
-    return best.join(need.select("iid", "item_id").distinct(), "iid").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+    return best.join(asked.select("iid", "item_id").distinct(), "iid").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")

@@ -164,17 +164,20 @@ def plain_ranks(docs: list, items: list, k: int) -> Counter:
     return out
 
 
-@pytest.mark.parametrize("slice_", [1 << 17, 7])
-def test_ranks_equal_plain_scores(spark, slice_):
+@pytest.mark.parametrize(("slice_", "need_rows"), [(1 << 17, 1 << 17), (30, 25)])
+def test_ranks_equal_plain_scores(spark, slice_, need_rows, monkeypatch):
+    from precioscope.llm import ranking
     from precioscope.llm.ranking import rank_documents
 
+    monkeypatch.setattr(ranking, "HITS", need_rows)
+
     r = random.Random(2)
     words = [f"w{i}" for i in range(60)] + ["Ärger", "ärger", "ÑX", "ñx", "a\U0001f600b"]
     some = lambda n: r.choice([" ", "-", "\t", "\x00"]).join(r.choices(words, [1 / (i + 1) for i in range(len(words))], k=n))
     docs = [(i, some(r.choice([1, 3, 20, 90])), "x") for i in range(300)] + [(i, "W1 w1 w2", "x") for i in range(300, 420)] + [(900, None, None), (901, "", None), (902, "...", None), (None, "w3 w3 w4", None), (5, "w9 w1", None), (5, "w9 w1", None), (903, "w7 " * 30000, None)]
     items = [(i, some(r.choice([1, 2, 5, 12]))) for i in range(30)] + [(50, None), (51, "--"), (52, "w1 W1 w1 w5"), (52, "w1 W1 w1 w5"), (52, "w2"), (53, "unheard of"), (None, "w11 w12"), (54, "w3 " * 5000)]
     df, asked = spark.createDataFrame(docs, DOCS).withColumnRenamed("lang", "rank"), spark.createDataFrame(items, "item_id long, text string")
-    got = Counter(map(tuple, rank_documents(df.repartition(5), asked, 10, slice_).collect()))
+    got = Counter(map(tuple, rank_documents(df.repartition(5), asked, 10, slice_, need_rows).collect()))
     assert got == plain_ranks(docs, items, 10)
 
 
