@@ -7,13 +7,13 @@ import pandas as pd
 import pytest
 
 from precioscope import queries as core
-from precioscope import queries_state, queries_web  # noqa: F401
+from precioscope import queries_entities, queries_state, queries_web  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def rows(frame: pd.DataFrame, cols: list[str]) -> list[str]:
-    plain = lambda v: None if v is None or (not isinstance(v, (list, dict)) and v != v) else v.item() if hasattr(v, "item") else v
+    plain = lambda v: None if v is None or (pd.api.types.is_scalar(v) and pd.isna(v)) else v.item() if hasattr(v, "item") else v
     return sorted(repr([plain(v) for v in r]) for r in frame[cols].astype(object).values.tolist())
 
 
