@@ -57,6 +57,13 @@ def write_round(candidates: DataFrame, products: DataFrame, offers: DataFrame, c
     made = fresh.select("query_id", "identity_key", F.concat_ws("/", "query_id", "identity_key").alias("product_id"), "name", F.lit(False).alias("archived"), F.col("ts").alias("created_at"))
     everything = products.unionByName(made, allowMissingColumns=True)
     taken = matched.join(made.select("query_id", "identity_key", F.col("product_id").alias("_made")), ["query_id", "identity_key"], "left").withColumn("product_id", F.coalesce("product_id", "_made")).filter("product_id is not null")
+    updated, readings = offers_after(taken, offers)
+    return Written(everything, updated, readings)
+
+
+def offers_after(taken: DataFrame, offers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Offers and readings after a round's ``taken`` listings (product_id, store_id, price, seq, ts, name,
+    ordinal): the lowest price of each product and store counts, the price before is kept."""
     lowest = F.min_by(F.struct("price", "seq", "ts", "name"), F.struct(F.when(has_price(), F.col("price")).otherwise(float("inf")), "ordinal"))
     readings = taken.groupBy(*PAIR).agg(lowest.alias("r")).select(*PAIR, F.col("r.seq").alias("seq"), F.col("r.ts").alias("ts"), F.col("r.price").alias("price"), F.lit(True).alias("available"), F.col("r.name").alias("title"))
     before = offers.select(*PAIR, F.col("price").alias("_price"), F.coalesce("previous_price", F.lit(None).cast("double")).alias("_previous"), F.col("seq").alias("_seq"), F.col("ts").alias("_ts"), F.col("title").alias("_title"), F.col("available").alias("_available"), F.col("absent_rounds").alias("_absent"))
@@ -73,7 +80,7 @@ def write_round(candidates: DataFrame, products: DataFrame, offers: DataFrame, c
         pick(F.col("available"), F.col("_available")).alias("available"),
         pick(F.lit(0), F.col("_absent")).alias("absent_rounds"),
     )
-    return Written(everything, updated, readings.drop("title"))
+    return updated, readings.drop("title")
 
 
 def settle_vanished(offers: DataFrame, seen: DataFrame, pages: DataFrame, seq: Column, ts: Column | str) -> DataFrame:

@@ -376,10 +376,10 @@ def listing_scores(spark, sf_dir):
     return S.score(part.join(asked, "query_id")).select("p_partkey", "score", "threshold", "accepted", "ambiguous", "eliminated", "reason")
 
 
-@query("price_sanity", "WITH p AS (SELECT l_suppkey, l_partkey, l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_extendedprice END AS price, CAST(l_partkey % 3 * 30 AS INTEGER) AS spec FROM lineitem WHERE l_suppkey < 40), g AS (SELECT l_suppkey, spec, count(*) AS n, count(price) AS priced, list_sort(list(price) FILTER (price IS NOT NULL)) AS l FROM p GROUP BY ALL), m AS (SELECT *, l[CAST(floor(len(l) / 2) AS BIGINT) + 1] AS median FROM g), b AS (SELECT *, median * CASE WHEN priced < 5 THEN 0.3::DOUBLE WHEN spec < 55 THEN 0.22::DOUBLE ELSE 0.35::DOUBLE END AS low, median * CASE WHEN priced < 5 THEN 3.6::DOUBLE WHEN spec < 55 THEN 3.4::DOUBLE ELSE 2.6::DOUBLE END AS high, spec >= 30 AND n >= CASE WHEN spec >= 55 THEN 3 ELSE 6 END AND priced >= CASE WHEN spec >= 55 THEN 3 ELSE 6 END AS judged FROM m) SELECT id, NOT coalesce(judged AND (price < low OR price > high), false) AS kept FROM p JOIN b USING (l_suppkey, spec)")
+@query("price_sanity", "WITH p AS (SELECT l_suppkey, l_partkey, l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_extendedprice END AS price, CAST(l_partkey % 3 * 30 AS INTEGER) AS spec FROM lineitem), g AS (SELECT l_suppkey, spec, count(*) AS n, count(price) AS priced, list_sort(list(price) FILTER (price IS NOT NULL)) AS l FROM p GROUP BY ALL), m AS (SELECT *, l[CAST(floor(len(l) / 2) AS BIGINT) + 1] AS median FROM g), b AS (SELECT *, median * CASE WHEN priced < 5 THEN 0.3::DOUBLE WHEN spec < 55 THEN 0.22::DOUBLE ELSE 0.35::DOUBLE END AS low, median * CASE WHEN priced < 5 THEN 3.6::DOUBLE WHEN spec < 55 THEN 3.4::DOUBLE ELSE 2.6::DOUBLE END AS high, spec >= 30 AND n >= CASE WHEN spec >= 55 THEN 3 ELSE 6 END AND priced >= CASE WHEN spec >= 55 THEN 3 ELSE 6 END AS judged FROM m) SELECT id, NOT coalesce(judged AND (price < low OR price > high), false) AS kept FROM p JOIN b USING (l_suppkey, spec)")
 def price_sanity(spark, sf_dir):
     none = F.array().cast("array<string>")
-    i = table(spark, sf_dir, "lineitem").filter("l_suppkey < 40").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.when(F.col("l_linenumber") != 7, F.col("l_extendedprice")).alias("price"), (F.col("l_partkey") % 3 * 30).cast("int").alias("specificity"), none.alias("keywords"))
+    i = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.when(F.col("l_linenumber") != 7, F.col("l_extendedprice")).alias("price"), (F.col("l_partkey") % 3 * 30).cast("int").alias("specificity"), none.alias("keywords"))
     return S.price_sanity(i.withColumn("spec", F.col("specificity")), "l_suppkey", "spec").select("id", "kept")
 
 

@@ -38,7 +38,7 @@ def _reais(price):
 @query(
     "page_products",
     """SELECT p_partkey AS page_id, 'Notebook ' || p_name || ' n' || p_partkey AS name, p_retailprice AS price, CASE p_size % 3 WHEN 0 THEN 'Dell' WHEN 1 THEN p_brand ELSE '' END AS brand, CASE WHEN p_size % 3 = 0 THEN '789' || (10000000000 + p_partkey) WHEN p_size % 3 = 1 THEN '' ELSE '' || (70000000 + p_partkey) END AS gtin,
-    CASE WHEN p_size % 3 < 2 THEN p_size % 2 = 0 END AS available, CASE WHEN p_size % 4 = 0 THEN 'percent:' || p_size || ':false' ELSE '' END AS coupons, CASE WHEN p_size % 5 = 0 THEN 'pix:5' END AS cash, 'https://loja.example.com/p?page=2' AS next_url, 1 AS links FROM part WHERE p_size < 49""",
+    CASE WHEN p_size % 3 < 2 THEN p_size % 2 = 0 END AS available, CASE WHEN p_size % 4 = 0 THEN 'percent:' || p_size || ':false' ELSE '' END AS coupons, CASE WHEN p_size % 5 = 0 THEN 'pix:5' END AS cash, 'https://loja.example.com/p?page=2' AS next_url, 1 AS links FROM part""",
 )
 def page_products(spark, sf_dir):
     from precioscope.functions.extract import read_pages
@@ -54,15 +54,15 @@ def page_products(spark, sf_dir):
     coupon = F.when(n % 4 == 0, F.concat(F.lit("<div>Cupom de "), n.cast("string"), F.lit("% de desconto</div>"))).otherwise("")
     cash = F.when(n % 5 == 0, "<div>5% off no pix</div>").otherwise("")
     html = F.concat(F.lit("<html><head><title>t</title></head><body>"), body, coupon, cash, F.lit('<a rel="next" href="?page=2">mais</a></body></html>'))
-    pages = table(spark, sf_dir, "part").filter("p_size < 49").select(F.col("p_partkey").alias("page_id"), F.lit("https://loja.example.com/p").alias("url"), html.alias("html"))
+    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.lit("https://loja.example.com/p").alias("url"), html.alias("html"))
     told = read_pages(pages, ("name", "price", "brand", "gtin", "available", "coupons", "cash", "next_url", "links"))
     coupons = F.array_join(F.transform("coupons", lambda c: F.concat_ws(":", c["kind"], c["value"].cast("int").cast("string"), c["applied"].cast("string"))), ",")
     return told.select("page_id", "name", "price", "brand", "gtin", "available", coupons.alias("coupons"), F.concat_ws(":", "cash.form", F.col("cash.percent").cast("int").cast("string")).alias("cash"), "next_url", "links").withColumn("cash", F.nullif("cash", F.lit("")))
 
 
-def _shop_pages(spark, sf_dir, name):
+def _shop_pages(spark, sf_dir, name, part=None):
     """A page for each brand with a listing for each of its parts: cards of a layout, linked data, or embedded state."""
-    part = table(spark, sf_dir, "part")
+    part = table(spark, sf_dir, "part") if part is None else part
     key, n = F.col("p_partkey").cast("string"), F.substring_index("p_brand", "#", -1).cast("int")
     number = F.format_string("%.2f", "p_retailprice")
     card = F.concat(F.lit('<li class="card shelf-item"><a href="/p/'), key, F.lit('"><h3>'), name, F.lit('</h3></a><del class="old">R$ 9.999,00</del><span class="price">'), _reais(F.col("p_retailprice")), F.lit("</span></li>"))
@@ -266,6 +266,36 @@ def full_round(spark, sf_dir):
     return done.offers.join(done.assigned.select("product_id", model.alias("model")).distinct(), "product_id").select("model", "store_id", "price")
 
 
+@query(
+    "second_round",
+    """WITH l AS (SELECT p_partkey % 7 AS m, CAST(string_split(p_brand, '#')[2] AS INT) % 4 AS s, min(p_retailprice) AS price, min(CASE WHEN p_partkey % 7 <> 6 THEN round(p_retailprice * 0.875, 2) END) AS later FROM part GROUP BY ALL)
+    SELECT 'zk' || (1000 + m) AS model, 'loja' || s AS store_id, CASE WHEN s = 3 OR m IN (3, 6) THEN price ELSE later END AS price, CASE WHEN s <> 3 AND m NOT IN (3, 6) THEN price END AS previous_price,
+    NOT (s = 3 OR m IN (3, 6)) AS available, CASE WHEN s = 3 OR m IN (3, 6) THEN 1 ELSE 0 END AS absent_rounds FROM l""",
+)
+def second_round(spark, sf_dir):
+    """Two rounds: in the second other words and lower prices for the same models, one model archived, one
+    gone, and a store that shows nothing; no product is made anew."""
+    from dataclasses import replace
+
+    from precioscope.plans.watch import empty_state, run_watch
+    from precioscope.sources.staging import staged
+
+    asked = spark.createDataFrame([("1", "notebook dell zorkian"), ("2", "dell")], "query_id string, text string")
+    model = F.concat(F.lit("ZK"), (1000 + F.col("p_partkey") % 7).cast("string"))
+
+    def captures(pages, day):
+        return pages.select(F.lit("1").alias("query_id"), F.concat(F.lit("loja"), (F.col("page_id") % 4).cast("string")).alias("store_id"), "page_id", "url", "html", F.lit(f"2024-01-{day} 00:00:00").cast("timestamp").alias("ts"))
+
+    one = run_watch(empty_state(spark), asked, captures(_shop_pages(spark, sf_dir, F.concat(F.lit("Notebook Dell Zorkian "), model)), 30))
+    state = replace(one.state, products=staged(one.state.products.withColumn("archived", F.col("identity_key").contains("zk1003")), "products"), offers=staged(one.state.offers, "offers"), readings=staged(one.state.readings, "history"))
+    part = table(spark, sf_dir, "part").filter(F.col("p_partkey") % 7 != 6).withColumn("p_retailprice", F.round(F.col("p_retailprice") * 0.875, 2))
+    later = _shop_pages(spark, sf_dir, F.concat(F.lit("Dell Notebook Zorkian "), model, F.lit(" prata")), part)
+    pages = later.withColumn("html", F.when(F.col("page_id") % 4 == 3, F.lit("<html><body></body></html>")).otherwise(F.col("html")))
+    two = run_watch(state, asked, captures(pages, 31))
+    named = two.state.products.select("product_id", F.regexp_extract("identity_key", "^mod:dell:([a-z0-9]+):", 1).alias("model"))
+    return two.state.offers.join(named, "product_id").select("model", "store_id", "price", "previous_price", "available", "absent_rounds")
+
+
 # --- addresses and rules of stores
 
 
