@@ -239,17 +239,42 @@ def entity_assignment(spark, sf_dir):
 )
 def streamed_opportunities(spark, sf_dir):
     """The readings as a stream drained once; its table is what the alerts wrote."""
-    import uuid
-
     from precioscope.streaming.alerts import live_events
+    from precioscope.streaming.notices import drained
+
+    return drained(live_events(_stream(spark, sf_dir)), "alerts").filter("kind <> 'change_point'").select("product_id", "kind", "store_id", "seq", "price", "reference_price")
+
 
-    name = f"alerts_{uuid.uuid4().hex}"
+def _stream(spark, sf_dir):
     src = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
     k = F.get_json_object("props", "$.k").cast("long")
-    r = src.select(F.col("user_id").alias("product_id"), F.col("event_type").alias("store_id"), F.col("event_id").alias("seq"), "ts", F.col("value").alias("price"), (k % 10 != 0).alias("available"))
-    q = live_events(r).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).filter("kind <> 'change_point'").select("product_id", "kind", "store_id", "seq", "price", "reference_price")
+    return src.select(F.col("user_id").alias("product_id"), F.col("event_type").alias("store_id"), F.col("event_id").alias("seq"), "ts", F.col("value").alias("price"), (k % 10 != 0).alias("available"))
+
+
+@query(
+    "streamed_notices",
+    f"""WITH RECURSIVE {READINGS}, t AS (SELECT *, 20.0::DOUBLE + product_id % 30 AS target, last_value(price) OVER (PARTITION BY product_id, store_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known,
+        min(price) OVER (PARTITION BY product_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low, sum(CASE WHEN seq % 37 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY product_id ORDER BY seq) AS epoch FROM r),
+    h AS (SELECT *, row_number() OVER (PARTITION BY product_id, epoch ORDER BY seq) AS n FROM t WHERE price <= target),
+    o AS (SELECT t.product_id, t.seq, any_value(t.epoch) AS epoch, p.store_id, arg_max(p.price, p.seq) AS price, arg_max(p.available, p.seq) AS available, max(p.seq) AS latest FROM t JOIN t p ON p.product_id = t.product_id AND p.seq <= t.seq GROUP BY ALL),
+    c AS (SELECT product_id, seq, any_value(epoch) AS epoch, min(struct_pack(p := price, q := latest, s := store_id)) AS cheap, max(price) AS dear FROM o WHERE coalesce(available, true) GROUP BY product_id, seq HAVING count(*) >= 2 AND (max(price) - min(price)) / max(price) >= 0.05::DOUBLE),
+    f AS (SELECT product_id, epoch, seq, cheap.s AS store_id, cheap.p AS price, dear, row_number() OVER (PARTITION BY product_id, epoch ORDER BY seq) AS n FROM c),
+    k AS (SELECT product_id, epoch, n, seq, store_id, price, dear, true AS told, [struct_pack(s := store_id, p := price)] AS held FROM f WHERE n = 1
+        UNION ALL SELECT f.product_id, f.epoch, f.n, f.seq, f.store_id, f.price, f.dear, len(list_filter(held, lambda x: x.s = f.store_id AND abs(x.p - f.price) < 0.01::DOUBLE)) = 0,
+            CASE WHEN len(list_filter(held, lambda x: x.s = f.store_id AND abs(x.p - f.price) < 0.01::DOUBLE)) = 0 THEN list_append(held, struct_pack(s := f.store_id, p := f.price)) ELSE held END FROM k JOIN f ON f.product_id = k.product_id AND f.epoch = k.epoch AND f.n = k.n + 1)
+    SELECT product_id, 'price_drop' AS kind, store_id, seq, price, known AS reference_price FROM t WHERE price < known AND (known - price) / known * 100 >= 5
+    UNION ALL SELECT product_id, 'all_time_low', store_id, seq, price, low FROM t WHERE price < low
+    UNION ALL SELECT product_id, 'below_target', store_id, seq, price, target FROM h WHERE n = 1
+    UNION ALL SELECT product_id, 'best_between_stores', store_id, seq, price, dear FROM k WHERE told""",
+)
+def streamed_notices(spark, sf_dir):
+    """All four kinds of notices; the user reads a product's notices at every 37th reading."""
+    from precioscope.streaming.notices import drained, live_notices
+
+    src = _stream(spark, sf_dir)
+    targets = table(spark, sf_dir, "events").select(F.col("user_id").alias("product_id"), (20.0 + F.col("user_id") % 30).alias("target")).distinct()
+    reads = _stream(spark, sf_dir).filter("seq % 37 = 0").select("product_id", "seq", "ts")
+    return drained(live_notices(src, reads, targets), "notices").select("product_id", "kind", "store_id", "seq", "price", "reference_price")
 
 
 @query("full_round", "WITH l AS (SELECT 'zk' || (1000 + p_partkey % 7) AS model, 'loja' || (CAST(string_split(p_brand, '#')[2] AS INT) % 4) AS store_id, p_retailprice FROM part) SELECT model, store_id, min(p_retailprice) AS price FROM l GROUP BY ALL")
@@ -361,14 +386,9 @@ def enriched_products(spark, sf_dir):
 
 
 def _drained(spark, sf_dir, make):
-    import uuid
+    from precioscope.streaming.notices import drained
 
-    name = f"drained_{uuid.uuid4().hex}"
-    src = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
-    r = src.select(F.col("user_id").alias("product_id"), F.col("event_type").alias("store_id"), F.col("event_id").alias("seq"), "ts", F.col("value").alias("price"))
-    q = make(r).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    return drained(make(_stream(spark, sf_dir).drop("available")), "drained")
 
 
 @query("streamed_days", "WITH d AS (SELECT user_id AS product_id, CAST(ts AS DATE) AS day, min(value) AS low, max(value) AS high, count(*) AS readings FROM events WHERE coalesce(value, 0) <> 0 GROUP BY ALL) SELECT product_id, CAST(day AS VARCHAR) AS day, low, high, readings FROM d WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
