@@ -11,7 +11,7 @@ DOTTED_THOUSANDS = r"(\d{1,3}(?:\.\d{3})+)(?!\d)"
 PLAIN = r"(\d+(?:\.\d{1,2})?)"
 PLAIN_ANY = r"(\d+(?:[.,]\d{1,2})?)"
 DOCUMENT = r"(?i)\d{2}\.\d{3}\.\d{3}/\d{4}|\d{3}\.\d{3}\.\d{3}-\d{2}|\b\d{5}-\d{3}\b|\(\d{2}\)\s*\d{4,5}-?\d{4}|\b(?:cnpj|cpf|cep|telefone|whatsapp)\b"
-INSTALMENT = r"(?i)(\d{1,2})\s*x\s*(?:de\s*)?R\$\s*([\d.,]+)(\s*(?:sem\s+juros))?"
+INSTALMENT = r"(?i)(?:(?<=(sem juros).{0,21})|)(\d{1,2})\s*x\s*(?:de\s*)?(?:R\$\s*)?(\d{1,3}(?:\.\d{3})*(?:,\d{2})?|\d+,\d{2})(?=(?:.{0,21}?(sem juros))?)"
 
 
 def _first(x: Column, pattern: str) -> Column:
@@ -44,7 +44,7 @@ def price_condition(after: Column) -> Column:
     """How the price must be paid, from the 60 characters after it; a percentage off says nothing."""
     s = F.lower(F.substring(after, 1, 60))
     return (
-        F.when(s.rlike(r"\d+\s*%[^.]{0,30}pix"), F.lit(None).cast("string"))
+        F.when(s.rlike(r"\d+\s*%[^.]{0,30}(?:pix|[àa] vista)"), F.lit(None).cast("string"))
         .when(s.rlike(r"\bpix\b"), "pix")
         .when(s.rlike(r"(?:à|a) vista"), "à vista")
         .when(s.rlike(r"\bboleto\b"), "boleto")
@@ -53,13 +53,14 @@ def price_condition(after: Column) -> Column:
 
 
 def best_instalments(text: Column, price: Column) -> Column:
-    """struct(times, amount, no_interest, total): no interest first, then the most instalments; totals
-    must lie within 0.9 to 1.8 of the price."""
-    parts = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(INSTALMENT), F.lit(i)).alias(c) for i, c in ((1, "t"), (2, "a"), (3, "f"))])
+    """struct(times, amount, no_interest, total): no interest (said within 30 characters) first, then the most
+    instalments; totals must lie within 0.9 to 1.8 of the price."""
+    parts = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(INSTALMENT), F.lit(i)).alias(c) for i, c in enumerate("btaf", 1)])
 
     def row(p: Column) -> Column:
         times, amount = p["t"].cast("int"), read_number(p["a"])
-        return F.struct((F.coalesce(p["f"], F.lit("")) != "").alias("no_interest"), times.alias("times"), amount.alias("amount"), (times * amount).alias("total"))
+        free = (F.coalesce(p["b"], F.lit("")) != "") | (F.coalesce(p["f"], F.lit("")) != "")
+        return F.struct(free.alias("no_interest"), times.alias("times"), amount.alias("amount"), (times * amount).alias("total"))
 
     good = F.filter(F.transform(parts, row), lambda r: (r["times"] >= 2) & r["total"].between(price * 0.9, price * 1.8))
     return F.array_max(good)

@@ -403,12 +403,12 @@ def price_conditions(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 6 == 4, C.price_condition(F.lit(" por transferência"))).otherwise(C.price_condition(after)).alias("condition"))
 
 
-@query("instalment_plans", "WITH p AS (SELECT p_partkey, p_size, floor(p_retailprice / 10) * 10 AS price FROM part) SELECT p_partkey, CASE WHEN p_size % 4 < 2 THEN 10 WHEN p_size % 4 = 2 THEN 12 END AS times, CASE WHEN p_size % 4 < 2 THEN price / 10 WHEN p_size % 4 = 2 THEN price / 10 END AS amount, CASE WHEN p_size % 4 < 2 THEN true WHEN p_size % 4 = 2 THEN false END AS no_interest FROM p")
+@query("instalment_plans", "WITH p AS (SELECT p_partkey, p_size, floor(p_retailprice / 10) * 10 AS price FROM part) SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 10 WHEN p_size % 4 < 3 THEN 12 END AS times, CASE WHEN p_size % 4 < 2 THEN price / 10 WHEN p_size % 4 = 2 THEN price / 10 END AS amount, CASE WHEN p_size % 4 < 2 THEN true WHEN p_size % 4 = 2 THEN false END AS no_interest FROM p")
 def instalment_plans(spark, sf_dir):
     price = F.floor(F.col("p_retailprice") / 10) * 10.0
-    tenth = F.concat(F.format_number(price / 10, 0), F.lit(",00"))
-    tenth = F.replace(tenth, F.lit(",00"), F.lit("")) if False else F.concat((price / 10).cast("int").cast("string"), F.lit(",00"))
-    text = F.when(F.col("p_size") % 4 < 2, F.concat(F.lit("ou 12x de R$ "), tenth, F.lit(" ou 10x de R$ "), tenth, F.lit(" sem juros"))).when(F.col("p_size") % 4 == 2, F.concat(F.lit("12 x R$ "), tenth, F.lit(" com juros, 2x de R$ 1,00"))).otherwise(F.lit("1x de R$ 10,00 ou 99x de R$ 0,01"))
+    tenth = F.concat((price / 10).cast("int").cast("string"), F.lit(",00"))
+    apart = F.when(F.col("p_size") % 4 == 0, " no cartão da loja ou").otherwise(" ou")  # "sem juros" counts within 30 characters
+    text = F.when(F.col("p_size") % 4 < 2, F.concat(F.lit("ou 12x de R$ "), tenth, apart, F.lit(" 10x de "), tenth, F.lit(" sem juros"))).when(F.col("p_size") % 4 == 2, F.concat(F.lit("12 x R$ "), tenth, F.lit(" com juros, 2x de R$ 1,00"))).otherwise(F.lit("1x de R$ 10,00 ou 99x de R$ 0,01"))
     best = table(spark, sf_dir, "part").select("p_partkey", C.best_instalments(text, price).alias("b"))
     return best.select("p_partkey", "b.times", "b.amount", "b.no_interest")
 

@@ -38,7 +38,7 @@ def _reais(price):
 @query(
     "page_products",
     """SELECT p_partkey AS page_id, 'Notebook ' || p_name || ' n' || p_partkey AS name, p_retailprice AS price, CASE p_size % 3 WHEN 0 THEN 'Dell' WHEN 1 THEN p_brand ELSE '' END AS brand, CASE WHEN p_size % 3 = 0 THEN '789' || (10000000000 + p_partkey) WHEN p_size % 3 = 1 THEN '' ELSE '' || (70000000 + p_partkey) END AS gtin,
-    CASE WHEN p_size % 3 < 2 THEN p_size % 2 = 0 END AS available, CASE WHEN p_size % 4 = 0 THEN 'percent:' || p_size || ':false' ELSE '' END AS coupons, CASE WHEN p_size % 5 = 0 THEN 'pix:5' END AS cash, 'https://loja.example.com/p?page=2' AS next_url, 1 AS links FROM part""",
+    CASE WHEN p_size % 3 < 2 THEN p_size % 2 = 0 END AS available, CASE WHEN p_size % 4 = 0 THEN 'percent:' || p_size || ':false' ELSE '' END AS coupons, CASE WHEN p_size % 5 = 0 AND NOT (p_size % 7 = 0 AND p_size % 3 = 2) THEN 'pix:5' END AS cash, CASE WHEN p_size % 7 = 0 AND p_size % 3 = 2 THEN 'pix' END AS condition, CASE WHEN p_size % 8 = 0 THEN '10x ' || printf('%.2f', round(p_retailprice / 10, 2)) || CASE WHEN p_size % 16 = 0 THEN ' true' ELSE ' false' END END AS instalments, CASE WHEN p_size % 3 = 2 THEN 9999.0::DOUBLE END AS list_price, 'https://loja.example.com/p?page=2' AS next_url, 1 AS links FROM part""",
 )
 def page_products(spark, sf_dir):
     from precioscope.functions.extract import read_pages
@@ -49,15 +49,17 @@ def page_products(spark, sf_dir):
     price = F.format_string("%.2f", "p_retailprice")
     linked = F.concat(F.lit('<script type="application/ld+json">{"@graph":[{"@type":"Product","name":"'), name, F.lit('","brand":{"name":"Dell"},"gtin13":"789'), (F.col("p_partkey") + 10_000_000_000).cast("string"), F.lit('","offers":{"price":"'), price, F.lit('","availability":"'), stock, F.lit('"}}]}</script><h1>other</h1>'))
     micro = F.concat(F.lit('<div itemscope itemtype="https://schema.org/Product"><h1 itemprop="name">'), name, F.lit('</h1><meta itemprop="price" content="'), price, F.lit('"><link itemprop="availability" href="'), stock, F.lit('"><span itemprop="brand">'), F.col("p_brand"), F.lit("</span></div>"))
-    plain = F.concat(F.lit("<h1> "), name, F.lit(" </h1><table><tr><td>Cor:</td><td>azul</td></tr></table><div><del>R$ 9.999,00</del><b class=\"now\">"), _reais(F.col("p_retailprice")), F.lit("</b></div><p>EAN: "), (F.col("p_partkey") + 70_000_000).cast("string"), F.lit("</p>"))
+    plain = F.concat(F.lit("<h1> "), name, F.lit(" </h1><table><tr><td>Cor:</td><td>azul</td></tr></table><div><del>R$ 9.999,00</del><b class=\"now\">"), _reais(F.col("p_retailprice")), F.lit("</b>"), F.when(n % 7 == 0, "<i>no pix</i>").otherwise(""), F.lit("</div><p>EAN: "), (F.col("p_partkey") + 70_000_000).cast("string"), F.lit("</p>"))
     body = F.when(n % 3 == 0, linked).when(n % 3 == 1, micro).otherwise(plain)
     coupon = F.when(n % 4 == 0, F.concat(F.lit("<div>Cupom de "), n.cast("string"), F.lit("% de desconto</div>"))).otherwise("")
+    parts = F.concat(F.lit("<div>ou 10x de "), F.when(n % 16 == 0, "").otherwise("R$ "), F.translate(F.format_number(F.round(F.col("p_retailprice") / 10, 2), 2), ".", ","), F.when(n % 16 == 0, " sem juros").otherwise(""), F.lit("</div>"))
+    plain_text = F.lit("<p>Produto original com nota fiscal e garantia de doze meses do fabricante</p>")
     cash = F.when(n % 5 == 0, "<div>5% off no pix</div>").otherwise("")
-    html = F.concat(F.lit("<html><head><title>t</title></head><body>"), body, coupon, cash, F.lit('<a rel="next" href="?page=2">mais</a></body></html>'))
+    html = F.concat(F.lit("<html><head><title>t</title></head><body>"), body, plain_text, F.when(n % 8 == 0, parts).otherwise(""), plain_text, coupon, cash, F.lit('<a rel="next" href="?page=2">mais</a></body></html>'))
     pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.lit("https://loja.example.com/p").alias("url"), html.alias("html"))
-    told = read_pages(pages, ("name", "price", "brand", "gtin", "available", "coupons", "cash", "next_url", "links"))
+    told = read_pages(pages, ("name", "price", "brand", "gtin", "available", "coupons", "cash", "next_url", "links", "condition", "instalments", "list_price"))
     coupons = F.array_join(F.transform("coupons", lambda c: F.concat_ws(":", c["kind"], c["value"].cast("int").cast("string"), c["applied"].cast("string"))), ",")
-    return told.select("page_id", "name", "price", "brand", "gtin", "available", coupons.alias("coupons"), F.concat_ws(":", "cash.form", F.col("cash.percent").cast("int").cast("string")).alias("cash"), "next_url", "links").withColumn("cash", F.nullif("cash", F.lit("")))
+    return told.select("page_id", "name", "price", "brand", "gtin", "available", coupons.alias("coupons"), F.concat_ws(":", "cash.form", F.col("cash.percent").cast("int").cast("string")).alias("cash"), "next_url", "links", "condition", F.when(F.col("instalments").isNotNull(), F.format_string("%dx %.2f %s", "instalments.times", "instalments.amount", F.col("instalments.no_interest").cast("string"))).alias("instalments"), "list_price").withColumn("cash", F.nullif("cash", F.lit("")))
 
 
 def _shop_pages(spark, sf_dir, name, part=None):
@@ -84,6 +86,26 @@ def page_listings(spark, sf_dir):
     return L.chosen_listings(extract_listings(_shop_pages(spark, sf_dir, name))).select("page_id", "strategy", "name", "price", "url")
 
 
+@query("quarantined_pages", "SELECT p_partkey AS page_id, CASE WHEN p_size % 3 = 0 THEN 'jsonld' ELSE 'state' END AS strategy, 'script ' || (p_size % 2) || ' is not JSON' AS error FROM part WHERE p_size % 3 < 2")
+def quarantined_pages(spark, sf_dir):
+    """Pages of which some carry data that breaks off: each leaves a row with strategy and reason."""
+    import uuid
+
+    from precioscope.plans.quarantine import quarantine_at, store_extraction
+    from precioscope.sources.staging import staging_root
+
+    n = F.col("p_size")
+    before = F.when(n % 2 == 1, "<script>var a = 1;</script>").otherwise("")
+    whole = F.concat(F.lit('{"@type":"Product","name":"Notebook '), F.col("p_name"), F.lit('","offers":{"price":"10.50"}}'))
+    kind = F.when(n % 3 == 1, "application/json").otherwise("application/ld+json")
+    data = F.when(n % 3 < 2, F.substring(whole, F.lit(1), F.length(whole) - 1 - n % 7)).otherwise(whole)
+    html = F.concat(F.lit("<html><body>"), before, F.lit('<script type="'), kind, F.lit('">'), data, F.lit("</script></body></html>"))
+    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.lit("https://loja.example.com/p").alias("url"), html.alias("html"))
+    path = f"{staging_root(spark)}/extraction-{uuid.uuid4().hex}"
+    store_extraction(pages, path)
+    return quarantine_at(spark, path)
+
+
 @query("refusal_classes", "WITH p AS (SELECT page_id, CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 7 = 0 THEN 503 WHEN page_id % 5 = 0 THEN 404 ELSE 200 END AS status, html FROM pages) SELECT page_id, CASE WHEN status IS NULL THEN 'none' WHEN status IN (403, 429, 503) OR regexp_matches(lower(substring(coalesce(html, ''), 1, 6000)), 'captcha|are you a robot|não é um robô|nao e um robo|cf-browser-verification|cf_chl|checking your browser|verificando seu navegador|access denied|acesso negado|request blocked|perimeterx|px-captcha|incapsula|unusual traffic|tráfego incomum|bot detection|akamai reference') THEN 'blocked' WHEN status BETWEEN 200 AND 299 AND length(coalesce(html, '')) < 8000 THEN 'shell' WHEN status NOT BETWEEN 200 AND 299 THEN 'failed' ELSE 'served' END AS refusal FROM p")
 def refusal_classes(spark, sf_dir):
     status = F.when(F.col("page_id") % 11 == 0, None).when(F.col("page_id") % 7 == 0, 503).when(F.col("page_id") % 5 == 0, 404).otherwise(200)

@@ -139,7 +139,7 @@ def test_money(spark):
         effective_price(F.lit(200.0), F.array(coupon("percent", 10.0)), F.lit(5.0)).alias("d"),
         best_instalments(F.lit("10x de R$ 50,00 sem juros ou 12x de R$ 45,00"), F.lit(500.0)).alias("e"),
     ).first()
-    assert (row["a"], row["b"], row["c"], row["d"], row["e"]["times"]) == (90.0, 70.0, 0.0, 171.0, 10)
+    assert (row["a"], row["b"], row["c"], row["d"], row["e"]["times"]) == (90.0, 70.0, 0.0, 171.0, 12)
 
 
 @pytest.mark.parametrize(

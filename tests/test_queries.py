@@ -12,8 +12,15 @@ from precioscope import queries_entities, queries_state, queries_web  # noqa: F4
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+def plain(v):
+    """One form of a value: missing is None, numbers are floats as long as they are exact."""
+    if v is None or (pd.api.types.is_scalar(v) and pd.isna(v)):
+        return None
+    v = v.item() if hasattr(v, "item") else v
+    return float(v) if isinstance(v, int) and not isinstance(v, bool) and abs(v) < 1 << 53 else v
+
+
 def rows(frame: pd.DataFrame, cols: list[str]) -> list[str]:
-    plain = lambda v: None if v is None or (pd.api.types.is_scalar(v) and pd.isna(v)) else v.item() if hasattr(v, "item") else v
     return sorted(repr([plain(v) for v in r]) for r in frame[cols].astype(object).values.tolist())
 
 
