@@ -31,6 +31,8 @@ HOT_SHARE = 500
 LEAST_HOT = 64
 MOST_HOT_SENT = 50_000
 MET_ROWS = 1_000_000
+#: A task that holds more than twice MET_ROWS gives away the rows of keys that have more than so many.
+MET_KEY_ROWS = 20_000
 SIZE_STEP = 1.065
 NAME_MASK = ~0xFFFF
 #: Of 16 bytes each, as are those of the hot keys of 8.
@@ -93,11 +95,39 @@ def _apart(name: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
     return (high(name) * 100 < percent * low(other)) | (high(other) * 100 < percent * low(name))
 
 
-def _met(batches: Iterator[pa.RecordBatch], percent: int | None) -> Iterator[pa.RecordBatch]:
-    """The (key, name) of a partition whose key has several names, once each; with ``percent`` not those
-    of two names whose sizes are too different."""
-    parts = [[c.to_numpy(zero_copy_only=False) for c in batch.columns[:2]] for batch in batches if batch.num_rows]
-    if not parts:
+def _rows_of(key: np.ndarray, name: np.ndarray, raw: bool) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(key), BATCH_ROWS):
+        k = key[i : i + BATCH_ROWS]
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(name[i : i + BATCH_ROWS]), pa.array(np.full(len(k), raw))], names=["key", "name", "raw"])
+
+
+def _met(batches: Iterator[pa.RecordBatch], percent: int | None, most: int = 2 * MET_ROWS, large: int = MET_KEY_ROWS) -> Iterator[pa.RecordBatch]:
+    """The (key, name, raw) of a partition whose key has several names, once each; with ``percent`` not those
+    of two names whose sizes are too different.
+
+    Once more than ``most`` rows are held, keys of more than ``large`` of them are given away as they come (raw: names
+    may repeat, and of one name only there may be), so what is held does not grow with a key.
+    """
+    parts, held, given = [], 0, np.zeros(0, np.int64)
+    plain = (lambda n: n) if percent is None else (lambda n: n & NAME_MASK)
+    for batch in batches:
+        key, name = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:2])
+        if len(given):
+            away = np.isin(key, given)
+            yield from _rows_of(key[away], plain(name[away]), True)
+            key, name = key[~away], name[~away]
+        if len(key):
+            parts.append((key, name))
+            held += len(key)
+        if held > most:
+            key, name = (np.concatenate(c) for c in zip(*parts, strict=True))
+            u, n = np.unique(key, return_counts=True)
+            given = np.concatenate([given, u[n > large]])
+            away = np.isin(key, given)
+            yield from _rows_of(key[away], plain(name[away]), True)
+            parts, held = [(key[~away], name[~away])], int((~away).sum())
+            most = max(most, 2 * held)
+    if not held:
         return
     key, name = (np.concatenate(c) for c in zip(*parts, strict=True))
     del parts
@@ -123,9 +153,13 @@ def _met(batches: Iterator[pa.RecordBatch], percent: int | None) -> Iterator[pa.
         at = at[_apart(name[at - 1], name[at], percent)]
         keep[at] = keep[at - 1] = False
         name = name & NAME_MASK
-    key, name = key[keep], name[keep]
-    for i in range(0, len(key), BATCH_ROWS):
-        yield pa.RecordBatch.from_arrays([pa.array(key[i : i + BATCH_ROWS]), pa.array(name[i : i + BATCH_ROWS])], names=["key", "name"])
+    yield from _rows_of(key[keep], name[keep], False)
+
+
+def _like(df: DataFrame, table: DataFrame) -> DataFrame:
+    """``df``, columns of ``table``, dropped when that is."""
+    df.scratch_path = table.scratch_path
+    return df
 
 
 def shared_tiles(wide: DataFrame, scratch: Scratch, percent: int | None = None) -> DataFrame:
@@ -142,11 +176,16 @@ def shared_tiles(wide: DataFrame, scratch: Scratch, percent: int | None = None)
     plain = rows.join(few, "key", "left_anti") if n_hot else rows
     # Without the hot keys rows spread evenly, so a partition has about MET_ROWS rows of 16 bytes.
     total = wide.agg(F.sum(F.size("keys").cast("long")).alias("n")).first()["n"] or 0
-    met = plain.repartition(total // MET_ROWS + 1, "key").mapInArrow(lambda batches: _met(batches, percent), "key long, name long")
+    met = plain.repartition(total // MET_ROWS + 1, "key").mapInArrow(lambda batches: _met(batches, percent), "key long, name long, raw boolean")
     if n_hot:
         own = F.col("name") if percent is None else F.col("name").bitwiseAND(F.lit(NAME_MASK))
-        met = met.unionByName(rows.join(few, "key", "left_semi").select("key", own.alias("name")).distinct())
+        met = met.unionByName(rows.join(few, "key", "left_semi").select("key", own.alias("name")).distinct().withColumn("raw", F.lit(False)))
     shared = scratch.cut(met, "tiles")
+    if shared.filter("raw").limit(1).count():
+        once = scratch.cut(shared.filter("not raw").unionByName(shared.filter("raw").distinct()), "once")
+        scratch.drop(shared)
+        shared = once
+    shared = _like(shared.select("key", "name"), shared)
     marks = [F.bit_xor(F.xxhash64("name", F.lit(i))).alias(c) for i, c in enumerate("fg")]
     prints = shared.groupBy("key").agg(F.count(F.lit(1)).alias("count"), *marks).filter("count > 1")
     prints = prints.groupBy("count", "f", "g").agg(F.min("key").alias("key")).select("key", "count")

@@ -26,7 +26,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
 BLOCK_WORDS = 256
 SHARD_SLOTS = 4096
-MOST_SHARDS = 4096
+#: Shards that one draw of counts takes; more are drawn for groups of so many first.
+DRAW_SHARDS = 4096
 BUCKET_WORDS = 20_000_000
 LEAST_BUCKETS = 64
 SEED = 20240601
@@ -119,6 +120,15 @@ def slots_needed(size: int, due: int, key: list[int], block_words: int) -> int:
     return passes * n + (last if short >= last else -(-(left + n * block_words - size) // block_words))
 
 
+def _drawn(slots: int, shards: int, key: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(first shard, counts) of groups of shards: one multinomial draw, made by groups where shards are many."""
+    rng, starts = np.random.default_rng(key), range(0, shards, DRAW_SHARDS)
+    sizes = np.array([min(DRAW_SHARDS, shards - a) for a in starts])
+    due = rng.multinomial(slots, sizes / shards) if len(sizes) > 1 else [slots]
+    for a, n, own in zip(starts, sizes, due, strict=True):
+        yield a, rng.multinomial(own, np.full(n, 1 / n))
+
+
 def draw_counts(sources: DataFrame, shards: int, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """(source_no, source, source_size, due, shard, first, n): the slots first .. first + n - 1 of a source
     belong to the shard.
@@ -132,11 +142,13 @@ def draw_counts(sources: DataFrame, shards: int, block_words: int = BLOCK_WORDS,
         for batch in batches:
             for no, name, size, due in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 key = _name_key(name, seed)
-                drawn = np.random.default_rng(key).multinomial(slots_needed(size, due, key, block_words), np.full(shards, 1 / shards))
-                first = np.cumsum(drawn) - drawn
-                shard = np.flatnonzero(drawn)
-                own = [np.full(len(shard), no), pa.array([name] * len(shard), pa.string()), np.full(len(shard), size), np.full(len(shard), due), shard, first[shard], drawn[shard]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in own], names=names)
+                at = 0
+                for low, drawn in _drawn(slots_needed(size, due, key, block_words), shards, key):
+                    first = at + np.cumsum(drawn) - drawn
+                    at += int(drawn.sum())
+                    shard = np.flatnonzero(drawn)
+                    own = [np.full(len(shard), no), pa.array([name] * len(shard), pa.string()), np.full(len(shard), size), np.full(len(shard), due), low + shard, first[shard], drawn[shard]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in own], names=names)
 
     due = F.round("target").cast("long")
     needs = sources.select("source_no", "source", "source_size", due.alias("due")).filter("due > 0 and source_size > 0")
@@ -197,7 +209,7 @@ class Mix:
         self.sources = scratch.cut(source_targets(self.sized), "sources")
         self.placed = scratch.cut(word_offsets(self.sized, self.sources), "placed")
         total = self.sources.agg(F.sum("target")).first()[0] or 0
-        self.shards = shards or int(max(1, min(MOST_SHARDS, total // (block_words * SHARD_SLOTS))))
+        self.shards = shards or int(max(1, total // (block_words * SHARD_SLOTS)))
         self.counts = scratch.cut(draw_counts(self.sources, self.shards, block_words, seed), "counts")
         # A table, so that its real size is known when the join is planned.
         self.slots = scratch.cut(draw_slots(self.counts, block_words, seed), "slots")

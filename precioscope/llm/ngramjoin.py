@@ -66,7 +66,7 @@ def set_keys(u: np.ndarray, edges: list[int], percent: int) -> np.ndarray:
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[int, np.ndarray]]:
     for batch in batches:
-        docs = batch.column(0).cast(pa.int64()).to_pylist()
+        docs = batch.column(0).to_pylist()
         for i, j, offsets, data in chunked(batch.column(1)):
             hashes, bounds = word_shingles(data, offsets, words)
             for k in range(i, j):
@@ -81,9 +81,12 @@ def signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Per document: its set's size, 128-bit hash and the first 64 bits of that as a name; once a task the
     set's tile keys; and rows of hot keys."""
 
+    kind = docs.schema["doc"].dataType.simpleString()
+    doc_type = pa.binary() if kind == "binary" else pa.int64()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SIGN_SCHEMA.split(", ")]
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        kinds = (doc_type, pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         edges, seen = bands(percent), set()
         held: list[tuple] = []
         recent: list[np.ndarray] = []
@@ -119,7 +122,7 @@ def signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
         with_hot()
         yield out()
 
-    return docs.select("doc", "text").mapInArrow(run, SIGN_SCHEMA)
+    return docs.select("doc", "text").mapInArrow(run, SIGN_SCHEMA.replace("doc long", f"doc {kind}"))
 
 
 def _elements(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -141,7 +144,7 @@ def _elements(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def ngram_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text; others are ignored).
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, a number or binary, text; others are ignored).
 
     Two documents link when 100 * |meet| >= percent * |union| of their sets of ``words``-word
     shingles, A-Z lower-cased; fewer words are one shingle.  Null and empty texts and texts without
@@ -151,11 +154,13 @@ def ngram_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Data
     with nothing.  An empty table gives no row.
     """
     scratch = Scratch(docs.sparkSession, "ngrams")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
+    kind = "binary" if docs.schema["doc_id"].dataType.simpleString() == "binary" else "long"
+    texts = docs.select(F.col("doc_id").cast(kind).alias("doc"), "text")
     known = texts.filter("doc is not null")
     wide = scratch.cut(signed(known, words, percent), "signs")
-    signs = wide.filter("id is not null").select("doc", "id", "name", "n")
-    shared = shared_tiles(wide.select("name", "keys", "hot"), scratch)
+    signs = scratch.cut(wide.filter("id is not null").select("doc", "id", "name", "n"), "documents")
+    shared = shared_tiles(wide.filter("keys is not null or hot is not null").select("name", "keys", "hot"), scratch)
+    scratch.drop(wide)  # keys need the most room
     sets = scratch.cut(signs.filter("n > 0").groupBy("id", "name").agg(F.min("doc").alias("rep")), "sets")
     wanted = sets.join(shared.select("name").distinct(), "name", "left_semi").select(F.col("rep").alias("doc")).distinct()
     arrays = _elements(known.join(wanted.hint("merge"), "doc", "left_semi"), words, percent)

@@ -37,10 +37,11 @@ def scaled(vectors: DataFrame, factor: float = 1024.0) -> DataFrame:
 
 
 def _pack(df: DataFrame, rows: int) -> DataFrame:
-    """Vectors of equal width packed into rows of at most ``rows`` vectors, by hash of their id."""
+    """Vectors of a part and of equal width packed into rows of at most ``rows``; parts come one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list] = {}
+        now = None
 
         def out(key: tuple[int, int], pairs: list) -> pa.RecordBatch:
             pairs.sort(key=lambda p: p[0])
@@ -53,6 +54,10 @@ def _pack(df: DataFrame, rows: int) -> DataFrame:
             parts, ids = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for i in range(batch.num_rows):
                 cells = batch.column(2)[i].values.to_numpy(zero_copy_only=False)
+                if parts[i] != now:
+                    for key, pairs in held.items():
+                        yield out(key, pairs)
+                    held, now = {}, parts[i]
                 own = held.setdefault((int(parts[i]), len(cells)), [])
                 own.append((int(ids[i]), cells))
                 if len(own) >= rows:
@@ -60,7 +65,7 @@ def _pack(df: DataFrame, rows: int) -> DataFrame:
         for key, pairs in held.items():
             yield out(key, pairs)
 
-    return df.mapInArrow(run, PACK_SCHEMA)
+    return df.sortWithinPartitions("part").mapInArrow(run, PACK_SCHEMA)
 
 
 def tile_best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, bound: float, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -114,7 +119,7 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 10, shard_rows: int = SHA
     ``vectors`` has vec_id and embedding (other columns do not matter), ``is_query`` is a condition
     on vec_id.  Vectors of different lengths are not compared.  Repeated ids all take part as
     candidates and are asked once; a query without candidates gives no row; fewer than k candidates
-    give all.
+    give all.  Scores past a long are held to its ends, as are components whose floor is.
     """
     scratch = Scratch(vectors.sparkSession, "topk")
     base = scratch.cut(scaled(vectors), "cells")
@@ -122,10 +127,10 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 10, shard_rows: int = SHA
     shards = max(1, -(-total // shard_rows))
     groups = max(1, -(-shards // FAN))
     hashed = base.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
-    cands = _pack(hashed.repartition(min(shards, 4096), "part").select("part", "vec_id", "cells"), shard_rows * 2)
+    cands = _pack(hashed.repartition(-(-shards // FAN), "part").select("part", "vec_id", "cells"), shard_rows * 2)
     asked = base.filter(is_query).dropDuplicates(["vec_id"])
     blocks = max(1, -(-asked.count() // block_rows))
-    queries = _pack(asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).repartition(min(blocks, 4096), "part").select("part", "vec_id", "cells"), block_rows * 2)
+    queries = _pack(asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).repartition(-(-blocks // FAN), "part").select("part", "vec_id", "cells"), block_rows * 2)
     # A block goes to every group of shards, not to every shard: the tile's shards come to it.
     spread = queries.select("width", F.col("part").alias("block"), F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"), F.col("top").alias("q_top"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
     sides = cands.withColumn("group", (F.col("part") % groups).cast("int"))

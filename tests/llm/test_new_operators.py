@@ -199,3 +199,39 @@ def test_a_shared_hash_does_not_hide_a_term(monkeypatch):
     text = np.frombuffer(b"ab cd ef xyz", np.uint8)
     found = _matcher(["ab", "cd", "xyw"])(text, np.array([0, 3, 6, 9]), np.array([2, 5, 8, 12]))
     assert found.tolist() == [0, 1, -1, -1]
+
+
+# --- bounds that others keep
+
+
+def test_hot_keys_are_given_away_and_nothing_is_lost():
+    import pyarrow as pa
+
+    from precioscope.llm.linking import _met
+
+    r = np.random.default_rng(1)
+    key = np.where(r.random(20_000) < 0.4, 7, r.integers(0, 6000, 20_000)).astype(np.int64)
+    name = r.integers(0, 3000, 20_000).astype(np.int64)
+    batches = lambda: (pa.RecordBatch.from_arrays([pa.array(key[i : i + 500]), pa.array(name[i : i + 500])], names=["key", "name"]) for i in range(0, 20_000, 500))
+    pairs = lambda out: {x for b in out for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    whole = pairs(_met(batches(), None))
+    out = list(_met(batches(), None, most=1500, large=100))
+    assert pairs(out) == whole and any(True in b.column(2).to_pylist() for b in out)
+    assert all(k == 7 for b in out for k, raw in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True) if raw)
+
+
+def test_draws_of_many_shards_by_groups(monkeypatch):
+    from precioscope.llm import mixing
+
+    monkeypatch.setattr(mixing, "DRAW_SHARDS", 8)
+    drawn = list(mixing._drawn(10_000, 21, [1, 2]))
+    counts = np.concatenate([n for _, n in drawn])
+    assert [a for a, _ in drawn] == [0, 8, 16] and len(counts) == 21 and counts.sum() == 10_000 and counts.min() > 300
+
+
+def test_packs_do_not_hold_earlier_parts(spark):
+    from precioscope.llm.topk import _pack
+
+    rows = [(i % 5, i, [float(i), 1.0]) for i in range(100)]
+    packed = _pack(spark.createDataFrame(rows, "part long, vec_id long, cells array<double>").coalesce(1), 1000).collect()
+    assert [p["part"] for p in packed] == [0, 1, 2, 3, 4] and sum(len(p["ids"]) for p in packed) == 800
