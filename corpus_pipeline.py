@@ -27,37 +27,51 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def _fields(df: DataFrame, columns: list[str], row: str = "row", **instead) -> DataFrame:
+    """``columns`` out of the struct ``row``, whatever their names, some of them replaced."""
+    return df.select(*[instead.get(c, F.col(row).getField(c)).alias(c) for c in columns])
+
+
+def _whole(docs: DataFrame) -> F.Column:
+    return F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+
+
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier document (or line) has; a document that loses its
     last line with any word goes.
 
     Null and empty texts stay; rows that repeat a (doc_id, text) lose the same lines; rows without doc_id
-    come first in the order.  An empty table stays empty.
+    come first in the order.  Other columns pass through whatever their names; an n_chars column is
+    counted anew.  An empty table stays empty.
     """
-    out = dedup_lines(docs)
-    left = (F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return out.filter(left).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    out = dedup_lines(docs.select(_whole(docs).alias("row"), "doc_id", "text"))
+    left = out.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    counted = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return _fields(left, docs.columns, text=F.col("text"), **counted)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, of the least doc_id (null last), of each component of similar documents.
 
-    Rows are told apart by doc_id and text, so of a doc_id with two texts each has its own component,
-    and those without doc_id take part.  Rows equal in both are one document; rows without words stay.
+    Rows are told apart by 128 bits of doc_id and text, so of a doc_id with two texts each has its own
+    component, and those without doc_id take part.  Rows equal in both are one document, of which the row
+    with the least JSON stays; rows without words stay.  Other columns pass through whatever their names.
+    An empty table stays empty.
     """
     scratch = Scratch(spark, "near")
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    groups = ngram_components(keyed.select(F.col("_row").alias("doc_id"), "text"), words=5, percent=80)
-    groups = scratch.cut(groups.filter("n_shingles > 0").groupBy(F.col("doc_id").alias("_row"), "component_id").agg(F.count(F.lit(1)).alias("copies")), "groups")
-    several = groups.filter("component_id <> _row").select("component_id").distinct()
+    said = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.when(F.col("text").isNull(), "|n").otherwise(F.concat(F.lit("|s"), "text")))
+    keyed = docs.select(_whole(docs).alias("row"), F.unhex(F.md5(said)).alias("key"), "doc_id", "text")
+    groups = ngram_components(keyed.select(F.col("key").alias("doc_id"), "text"), words=5, percent=80)
+    groups = scratch.cut(groups.filter("n_shingles > 0").groupBy(F.col("doc_id").alias("key"), "component_id").agg(F.count(F.lit(1)).alias("copies")), "groups")
+    several = groups.filter("component_id <> key").select("component_id").distinct()
     members = groups.join(several, "component_id", "left_semi")
-    named = keyed.select("_row", "doc_id").join(members, "_row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("winner"))
-    extra = scratch.cut(members.join(named, "component_id").filter("_row <> winner").select("_row"), "extra")
-    repeated = scratch.cut(groups.filter("copies > 1").select("_row"), "repeated")
-    kept = keyed.join(extra, "_row", "left_anti")
-    once = kept.join(repeated, "_row", "left_anti").select(*docs.columns)
-    first = kept.join(repeated, "_row", "left_semi").groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return once.unionByName(first.select(*docs.columns))
+    named = keyed.select("key", "doc_id").join(members, "key").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))["key"].alias("winner"))
+    extra = scratch.cut(members.join(named, "component_id").filter("key <> winner").select("key"), "extra")
+    repeated = scratch.cut(groups.filter("copies > 1").select("key"), "repeated")
+    kept = keyed.select("row", "key").join(extra, "key", "left_anti")
+    once = kept.join(repeated, "key", "left_anti").select("row")
+    first = kept.join(repeated, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+    return _fields(once.unionByName(first), docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
