@@ -12,6 +12,7 @@ from precioscope import lexicon as L
 from precioscope.functions.text import let, normalise
 
 FIELDS = ("processor", "generation", "memory", "storage", "screen", "voltage", "colour", "model", "capacity")
+#: Names of the fields as shown, and written sizes.
 LABELS = dict(zip(FIELDS, ("Processador", "Variação", "Memória", "Armazenamento", "Tela", "Voltagem", "Cor", "Modelo", "Capacidade"), strict=True))
 SIZE = r"(\d+(?:[.,]\d+)?)\s*(gb|tb|mb)\b"
 NEARBY = 18

@@ -33,7 +33,7 @@ def refusal(status: Column, html: Column) -> Column:
 
 def robots_rules(files: DataFrame) -> DataFrame:
     """(host, kind, path) rules for all agents of ``files`` (host, body); kind: allow, disallow, crawl-delay."""
-    lines = files.filter(F.length("body") < 200_000).select("host", F.posexplode(F.split("body", "\r?\n")).alias("place", "line"))
+    lines = files.select("host", F.posexplode(F.split("body", "\r?\n")).alias("place", "line"))
     lines = lines.withColumn("line", F.lower(F.trim("line"))).withColumn("kind", F.trim(F.substring_index("line", ":", 1))).withColumn("path", F.trim(F.regexp_replace("line", "^[^:]*:", "")))
     past = Window.partitionBy("host").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     agent = F.last(F.when((F.col("kind") == "user-agent") & F.contains("line", F.lit(":")), F.col("path")), ignorenulls=True).over(past)
