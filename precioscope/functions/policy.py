@@ -144,12 +144,22 @@ def pacing(requests: DataFrame, gap_ms: int = 700) -> DataFrame:
     return requests.withColumn("start_ms", (F.row_number().over(Window.partitionBy("host").orderBy("ordinal")) - 1) * gap_ms)
 
 
-def backoff(responses: DataFrame, first_ms: int = 6000, most_ms: int = 90_000, gap_ms: int = 700, longest_s: int = 120, least_age_ms: int = 60_000) -> DataFrame:
+def next_wait(wait: int, until: int, status: int, retry: float, at: int | None, first_ms: int = 6000, most_ms: int = 90_000, gap_ms: int = 700, longest_s: int = 120, least_age_ms: int = 60_000) -> tuple[int, int]:
+    """(gap, when it is forgotten) after a response with ``status`` at ``at`` (null: gaps are never forgotten)."""
+    if at is not None and wait and at >= until:
+        wait = 0
+    if status in (429, 503):
+        wait = int(min(retry, longest_s) * 1000) if retry == retry and retry else min(most_ms, wait * 2 or first_ms)
+        return wait, (at or 0) + max(4 * wait, least_age_ms)
+    return (wait // 2 if wait // 2 > gap_ms else 0), until
+
+
+def backoff(responses: DataFrame, **limits: int) -> DataFrame:
     """(host, ordinal, wait_ms): what each response leaves as the host's gap.
 
     A 429 or 503 takes its Retry-After (120 s at most) or doubles from ``first_ms``; a success halves,
     down to none.  With a column at_ms a gap is forgotten once the refusal that set it is older than
-    four times that gap, and than a minute.  A fold over a host's responses, in order.
+    four times that gap, and than a minute.  A fold over a host's responses, in order; ``limits`` as in ``next_wait``.
     """
     timed = "at_ms" in responses.columns
     rows = responses.select("host", "ordinal", "status", F.col("retry_after").cast("double").alias("retry_after"), (F.col("at_ms") if timed else F.lit(0)).cast("long").alias("at_ms"))
@@ -158,13 +168,7 @@ def backoff(responses: DataFrame, first_ms: int = 6000, most_ms: int = 90_000, g
         frame = frame.sort_values("ordinal")
         wait, until, out = 0, 0, []
         for status, retry, at in frame[["status", "retry_after", "at_ms"]].itertuples(index=False):
-            if timed and wait and at >= until:
-                wait = 0
-            if status in (429, 503):
-                wait = int(min(retry, longest_s) * 1000) if retry == retry and retry else min(most_ms, wait * 2 or first_ms)
-                until = at + max(4 * wait, least_age_ms)
-            elif wait:
-                wait = wait // 2 if wait // 2 > gap_ms else 0
+            wait, until = next_wait(wait, until, status, retry, at if timed else None, **limits)
             out.append(wait)
         return pd.DataFrame({"host": frame["host"].iloc[0], "ordinal": frame["ordinal"].to_numpy(), "wait_ms": out})
 

@@ -7,6 +7,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from precioscope.functions.identity import identify, same_product
+from precioscope.functions.tables import register_tables
 
 #: Name, parameters, type and body of the functions that SQL itself can express.
 SQL_FUNCTIONS = (
@@ -20,7 +21,7 @@ SQL_FUNCTIONS = (
 
 def register(spark: SparkSession) -> list[str]:
     """Registers the functions in the session and returns their names.  What needs the identity rules goes
-    in Arrow batches: watch_identity_key(title) and watch_same_product(title, title)."""
+    in Arrow batches: watch_identity_key(title) and watch_same_product(title, title).  Table functions are in ``functions.tables``."""
     for name, parameters, kind, body in SQL_FUNCTIONS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
 
@@ -34,4 +35,4 @@ def register(spark: SparkSession) -> list[str]:
 
     spark.udf.register("watch_identity_key", identity_key)
     spark.udf.register("watch_same_product", same)
-    return [*(f[0] for f in SQL_FUNCTIONS), "watch_identity_key", "watch_same_product"]
+    return [*(f[0] for f in SQL_FUNCTIONS), "watch_identity_key", "watch_same_product", *register_tables(spark)]

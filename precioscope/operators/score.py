@@ -136,17 +136,6 @@ def sane_prices(prices: DataFrame, key: str, low: float = 0.35, high: float = 2.
     return both.groupBy(key, "median").agg(F.count_if(~odd).alias("kept"), F.count_if(odd).alias("dropped"))
 
 
-def store_serves(queries: DataFrame, stores: DataFrame) -> DataFrame:
-    """Query and store pairs that the store's scope admits: an empty scope admits all, else a scope word
-    (over 2 letters) equals, holds or is held by a word of the query.
-
-    The store table is small by nature; a scope word index would only pay with many thousand stores.
-    """
-    scope = F.filter(F.col("scope_words"), lambda t: F.length(t) > 2)
-    touch = F.exists(scope, lambda s: F.exists("tokens", lambda t: (F.length(t) > 2) & ((s == t) | F.contains(s, t) | F.contains(t, s))))
-    return queries.join(stores, (F.size(scope) == 0) | touch)
-
-
 def admit(candidates: DataFrame, existing: DataFrame, cap: int = DEFAULTS.products_per_query) -> DataFrame:
     """New products a query may still take: the best by score while it has fewer than ``cap``."""
     have = existing.groupBy("query_id").agg(F.count(F.lit(1)).alias("have"))

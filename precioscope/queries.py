@@ -15,6 +15,7 @@ from precioscope.functions import text as X
 from precioscope.operators import crawl as W
 from precioscope.operators import history as H
 from precioscope.operators import opportunity as O
+from precioscope.operators import scope
 from precioscope.operators import score as S
 from precioscope.operators import summary as M
 from precioscope.operators import views as V
@@ -228,7 +229,7 @@ def scope_pairs(spark, sf_dir):
     place = n.join(r, n["n_regionkey"] == r["r_regionkey"])
     stores = table(spark, sf_dir, "supplier").join(place, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("store_id"), F.split(F.lower("r_name"), " ").alias("scope_words"))
     asked = table(spark, sf_dir, "customer").join(place, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("query_id"), F.split(F.lower(F.concat_ws(" ", "n_name", "r_name")), " ").alias("tokens"))
-    return S.store_serves(asked, stores).select("query_id", "store_id")
+    return scope.store_serves(asked, stores).select("query_id", "store_id")
 
 
 @query("admission_cap", "WITH e AS (SELECT o_custkey AS query_id, count(*) AS have FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), c AS (SELECT o_custkey AS query_id, o_orderkey AS ordinal, o_totalprice AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders WHERE o_orderstatus <> 'F') SELECT c.query_id, ordinal, score, CAST(place AS INTEGER) AS place FROM c LEFT JOIN e USING (query_id) WHERE place <= 10 - coalesce(have, 0)")
