@@ -19,6 +19,34 @@ from pyspark.sql import functions as F
 from precioscope.functions.text import let, literals
 from precioscope.llm.spdx import LICENSES
 
+#: Names under which licences are given, by the identifier of their notice, and versions. How the word
+#: license and a version are written makes no difference (``PLAIN_NAME``).
+NAMES: dict[str, tuple[list[str], list[str]]] = {
+    "mit-notice": (["MIT", "Expat", "MIT/X11", "MIT open source"], []),
+    "isc-notice": (["ISC", "Internet Systems Consortium"], []),
+    "bsd2-notice": (["BSD 2-Clause", "2-Clause BSD", "Simplified BSD", "FreeBSD", "BSD 2-Clause Simplified"], []),
+    "bsd3-notice": (["BSD 3-Clause", "3-Clause BSD", "New BSD", "Modified BSD", "Revised BSD", "BSD 3-Clause New or Revised"], []),
+    "apache-notice": (["Apache", "Apache Software", "ASL"], ["2.0"]),
+    "gpl2-notice": (["GNU General Public", "GNU GPL", "GPL", "GNU Public"], ["2"]),
+    "gpl3-notice": (["GNU General Public", "GNU GPL", "GPL", "GNU Public"], ["3"]),
+    "lgpl21-notice": (["GNU Lesser General Public", "GNU LGPL", "LGPL"], ["2.1"]),
+    "lgpl3-notice": (["GNU Lesser General Public", "GNU LGPL", "LGPL"], ["3"]),
+    "agpl-notice": (["GNU Affero General Public", "GNU AGPL", "AGPL", "Affero General Public"], ["3"]),
+    "mpl-notice": (["Mozilla Public", "MPL"], ["2.0"]),
+    "epl1-notice": (["Eclipse Public", "EPL"], ["1.0"]),
+    "epl-notice": (["Eclipse Public", "EPL"], ["2.0"]),
+    "boost-notice": (["Boost Software", "Boost"], ["1.0"]),
+    "cddl-notice": (["Common Development and Distribution", "CDDL"], ["1.0"]),
+    "artistic-notice": (["Artistic", "Perl Artistic"], ["2.0"]),
+    "ofl-notice": (["SIL Open Font", "Open Font", "OFL"], ["1.1"]),
+    "eupl-notice": (["European Union Public", "EUPL"], ["1.2"]),
+    "zlib-notice": (["zlib", "zlib/libpng"], []),
+    "wtfpl-notice": (["WTFPL", "Do What The Fuck You Want To Public"], []),
+    "unlicense-notice": (["The Unlicense", "Unlicense"], []),
+    "cc0-notice": (["CC0", "Creative Commons Zero", "Creative Commons CC0", "CC0 Universal"], ["1.0"]),
+}
+#: Notices of the GNU licences: identifier, licence, version.
+FREE = [("gpl-free", "General", "3"), ("gpl2-free", "General", "2"), ("lgpl21-free", "Lesser General", "2.1"), ("lgpl3-free", "Lesser General", "3"), ("lgpl2-free", "Library General", "2"), ("lgpl2-free", "Lesser General", "2"), ("agpl-free", "Affero General", "3")]
 CC = {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nc": "Attribution-NonCommercial", "by-nd": "Attribution-NoDerivatives", "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
 #: Sentences of public licence texts and notices by identifier.
 SENTENCES = {
@@ -50,7 +78,6 @@ SENTENCES = {
     "gpl3-text": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "The GNU General Public License is a free, copyleft license for software and other kinds of works"],
     "gpl2-text": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "This General Public License applies to most of the Free Software Foundation's software and to any other program whose authors commit to using it"],
     "gpl-hope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"],
-    "lgpl-notice": ["Licensed under the GNU Lesser General Public License, version 3", "Licensed under the GNU Lesser General Public License, version 2.1"],
     "lgpl21-free": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"],
     "lgpl3-free": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
     "lgpl21-text": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", "This license, the Lesser General Public License, applies to some specially designated software packages--typically libraries--of the Free Software Foundation and other authors who decide to use it"],
@@ -75,6 +102,20 @@ SENTENCES = {
         ]
         for key, name in CC.items()
     },
+    "bsd-advertising": ["All advertising materials mentioning features or use of this software must display the following acknowledgement:"],
+    "0bsd-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "boost-title": ["Boost Software License - Version 1.0 - August 17th, 2003"],
+    "boost-grant": ['Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:'],
+    "epl1-text": ["Eclipse Public License - v 1.0"],
+    "epl-text": ["Eclipse Public License - v 2.0"],
+    "epl-materials": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at http://www.eclipse.org/legal/epl-2.0"],
+    "epl1-materials": ["All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"],
+    "wtfpl-title": ["DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE"],
+    "wtfpl-just": ["You just DO WHAT THE FUCK YOU WANT TO"],
+    "cddl-text": ["COMMON DEVELOPMENT AND DISTRIBUTION LICENSE (CDDL) Version 1.0"],
+    "artistic-title": ["The Artistic License 2.0"],
+    "ofl-text": ["SIL OPEN FONT LICENSE Version 1.1 - 26 February 2007"],
+    "unlicense-anyone": ["Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"],
     "zlib-as-is": ["This software is provided 'as-is', without any express or implied warranty"],
     "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
 }
@@ -85,6 +126,11 @@ RULES: list[tuple[str, list[str]]] = [
     ("MIT", ["mit-notice"]),
     ("ISC", ["isc-grant", "isc-as-is"]),
     ("ISC", ["isc-title", "isc-grant"]),
+    ("ISC", ["isc-notice"]),
+    ("0BSD", ["0bsd-grant", "isc-as-is"]),
+    ("BSD-4-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-no-endorsement"]),
+    ("BSD-2-Clause", ["bsd2-notice"]),
+    ("BSD-3-Clause", ["bsd3-notice"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-no-endorsement"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("BSD", ["bsd-notice"]),
@@ -100,7 +146,14 @@ RULES: list[tuple[str, list[str]]] = [
     ("GPL-2.0-only", ["gpl2-only-free"]),
     ("GPL-2.0", ["gpl2-text"]),
     ("GPL-3.0", ["gpl3-text"]),
-    ("LGPL", ["lgpl-notice"]),
+    ("GPL-3.0-or-later", ["gpl3-later-notice"]),
+    ("GPL-2.0-or-later", ["gpl2-later-notice"]),
+    ("LGPL-2.1", ["lgpl21-notice"]),
+    ("LGPL-3.0", ["lgpl3-notice"]),
+    ("LGPL-2.1-or-later", ["lgpl21-later-notice"]),
+    ("LGPL-3.0-or-later", ["lgpl3-later-notice"]),
+    ("LGPL-2.0-or-later", ["lgpl2-free"]),
+    ("AGPL-3.0-or-later", ["agpl-later-notice"]),
     ("LGPL-2.1-or-later", ["lgpl21-free"]),
     ("LGPL-2.1", ["lgpl21-text"]),
     ("LGPL-3.0-or-later", ["lgpl3-free"]),
@@ -111,6 +164,28 @@ RULES: list[tuple[str, list[str]]] = [
     ("MPL-2.0", ["mpl-notice"]),
     ("MPL-2.0", ["mpl-text"]),
     ("Unlicense", ["unlicense-domain"]),
+    ("Unlicense", ["unlicense-anyone"]),
+    ("Unlicense", ["unlicense-notice"]),
+    ("EPL-1.0", ["epl1-text"]),
+    ("EPL-1.0", ["epl1-notice"]),
+    ("EPL-1.0", ["epl1-materials"]),
+    ("EPL-2.0", ["epl-text"]),
+    ("EPL-2.0", ["epl-notice"]),
+    ("EPL-2.0", ["epl-materials"]),
+    ("BSL-1.0", ["boost-title"]),
+    ("BSL-1.0", ["boost-grant"]),
+    ("BSL-1.0", ["boost-notice"]),
+    ("WTFPL", ["wtfpl-title"]),
+    ("WTFPL", ["wtfpl-just"]),
+    ("WTFPL", ["wtfpl-notice"]),
+    ("CDDL-1.0", ["cddl-text"]),
+    ("CDDL-1.0", ["cddl-notice"]),
+    ("Artistic-2.0", ["artistic-title"]),
+    ("Artistic-2.0", ["artistic-notice"]),
+    ("OFL-1.1", ["ofl-text"]),
+    ("OFL-1.1", ["ofl-notice"]),
+    ("EUPL-1.2", ["eupl-notice"]),
+    ("Zlib", ["zlib-notice"]),
     ("CC0-1.0", ["cc0-notice"]),
     ("CC0-1.0", ["cc0-text"]),
     *[(f"CC-{key.upper()}-4.0", [f"cc-{key}-text"]) for key in CC],
@@ -120,8 +195,37 @@ RULES: list[tuple[str, list[str]]] = [
     ("CC-BY-ND-4.0", ["cc-by-nd-notice"]),
     ("Zlib", ["zlib-as-is", "zlib-grant"]),
 ]
-#: A rule's licence gives way to these if they match too.
-GIVES_WAY = {"BSD-2-Clause": ["BSD-3-Clause"]}
+
+
+def names_of(families: list[str], versions: list[str]) -> list[str]:
+    return [f"{f} License, Version {v}" for f in families for v in versions] or families
+
+
+def _extended() -> dict[str, list[str]]:
+    """SENTENCES, the notices that NAMES make, and the free-software notices that FREE make."""
+    out = {k: list(v) for k, v in SENTENCES.items()}
+    for key, (families, versions) in NAMES.items():
+        named = names_of(families, versions)
+        out.setdefault(key, []).extend(f"Licensed under the {n}" for n in named)
+        if key.startswith(("gpl", "lgpl", "agpl")):
+            later = key.replace("-notice", "-later-notice")
+            out.setdefault(later, []).extend(f"Licensed under the {n} or later" for n in named)
+    for key, kind, v in FREE:
+        out.setdefault(key, []).extend(f"This program is free software; you can redistribute it and/or modify it under the terms of the GNU {kind} Public License as published by the Free Software Foundation; either version {v}{of} or (at your option) any later version" for of in ("", " of the License"))
+    return out
+
+
+SENTENCES = _extended()
+
+
+def contained(rule: list[str], other: list[str]) -> bool:
+    """Do the identifiers of ``rule`` occur in ``other``, in order, and not only they?"""
+    rest = iter(other)
+    return len(rule) < len(other) and all(k in rest for k in rule)
+
+
+#: A licence gives way to those of which a rule contains one of its own, if they match too.
+GIVES_WAY = {a: others for a in {n for n, _ in RULES} if (others := sorted({b for b, other in RULES if b != a and any(contained(rule, other) for n, rule in RULES if n == a)}))}
 #: Sentence ends: . ! ? before white space (not of v.), : at a line's end, blank lines, ends of titles.
 MARKS = r"(?m)^[ \t]*(?:#+|//+|/\*+|\*+/?|--|;+|%+|\(\*)[ \t]?"
 BREAKS = r"(?<=[.!?])(?<!\bv\.)\s+|(?<=:)[ \t]*\n|\n[ \t]*\n|(?i)(?<=licen[cs]e)[ \t]*\n|(?i)(?<=\(mit\))[ \t]*\n"
@@ -132,31 +236,57 @@ COPYRIGHT = r"(?m)^[ \t]*(?i:copyright\b(?![ \t]+(?:notices?|holders?|owners?|an
 _OPEN, _ID, _CLOSE = r"(?:\([ \t]*)*", r"[A-Za-z0-9.:+-]+", r"(?:[ \t]*\))*"
 SPDX_TAG = rf"(?i:SPDX-License-Identifier):[ \t]*({_OPEN}{_ID}{_CLOSE}(?:[ \t]+(?:AND|OR|WITH|(?:and|or|with)(?=[ \t(]+(?:[A-Za-z]*[0-9]|[A-Za-z]+-[A-Za-z0-9]|(?:MIT|ISC|Zlib|Unlicense)\b)))[ \t]+{_OPEN}{_ID}{_CLOSE})*)"
 SPDX_MARK = "spdx license identifier "
+_LONGEST = (1 << 31) - 1  # of a string
 
-HOLDER = r"(?is)neither\s+the\s+name\s+of\s.{1,100}?\snor\s+the\s+names\s+of"
+HOLDER = r"(?is)^[^a-z]*neither\s+the\s+name\s+of\s.+?\snor\s+the\s+names\s+of"
+#: On normalised sentences: whoever is free software or useful is "this program"; ways to say "licensed under",
+#: with or without a subject and "the terms of"; where to read on.
+SUBJECT = r"^(?:[a-z0-9+.]+ ){1,6}is (free software you can redistribute it|distributed in the hope that it will be useful)"
+VERBS = "licensed|released|distributed|available|published|provided|offered"
+LEAD = rf"^(?:(?:[a-z0-9+.]+ ){{1,6}}(?:is|are) )?(?:dual |made )?(?:{VERBS}) under (?:(?:the|a|an) )?(?:terms(?: and conditions)? of (?:(?:the|a|an) )?)?"
+TAIL = r"^(licensed under .+?) see(?: [a-z0-9+.]+){1,8} for (?:more |full |the )*(?:details|information|text)$"
+NOTICE = "licensed under "
+#: Of a name behind NOTICE: what is taken out or written in one way, in this order.
+PLAIN_NAME = ((r" license\b", ""), (r"(?<![0-9.]) ?(?:version |v )?v?([0-9])", r" \1"), (r"([0-9])\.0\b", r"\1"), (r" or (?:at your option )?(?:any )?(?:later|newer)(?: version)?", "+"))
 
 
 def normalise(sentence: str) -> str:
     """The Python twin of the column expression, used to build the table."""
     s = re.sub(HOLDER, "neither the name of holder nor the names of", sentence)
     s = re.sub(r"[^a-z0-9+.]+", " ", s.lower())
-    return re.sub(r"[. ]+$|^(?:[0-9]\.? )?[ ]*", "", s.strip()).strip()
+    s = re.sub(r"[. ]+$|^(?:[0-9]\.? )?[ ]*", "", s.strip()).strip().replace("licence", "license")
+    s = re.sub(LEAD, NOTICE, re.sub(SUBJECT, r"this program is \1", s))
+    s = re.sub(TAIL, r"\1", s)
+    return reduce(lambda t, r: re.sub(r[0], r[1], t), PLAIN_NAME, s) if s.startswith(NOTICE) else s
 
 
 def _normalised(s: Column) -> Column:
     s = F.regexp_replace(s, HOLDER, "neither the name of holder nor the names of")
     s = F.trim(F.regexp_replace(F.lower(s), r"[^a-z0-9+.]+", " "))
-    return F.trim(F.regexp_replace(s, r"[. ]+$|^(?:[0-9]\.? )?[ ]*", ""))
+    s = F.replace(F.trim(F.regexp_replace(s, r"[. ]+$|^(?:[0-9]\.? )?[ ]*", "")), F.lit("licence"), F.lit("license"))
+    s = F.regexp_replace(F.regexp_replace(s, SUBJECT, "this program is $1"), LEAD, NOTICE)
+    named = reduce(lambda t, r: F.regexp_replace(t, r[0], r[1].replace("\\", "$")), PLAIN_NAME, F.regexp_replace(s, TAIL, "$1"))
+    return F.when(s.startswith(NOTICE), named).otherwise(s)
 
 
 def _table() -> dict[str, str]:
-    return {normalise(s): key for key, texts in SENTENCES.items() for s in texts}
+    out: dict[str, str] = {}
+    for key, texts in SENTENCES.items():
+        for text in map(normalise, texts):
+            if out.setdefault(text, key) != key:
+                raise ValueError(f"{text} is both {out[text]} and {key}")
+    return out
+
+
+#: Words of known sentences that are no help: common ones, and those that normalising puts there.
+UNTELLING = {"this", "copy", "public", "version", "holder", "program"}
 
 
 def telling_words() -> list[str]:
-    """Words of which every known sentence has one, by repeated choice of the word that most of the
-    sentences left have: a text without any of them, and without an SPDX tag, has no known sentence."""
-    left = [{w for w in s.split() if len(w) >= 4 and w.isalpha()} or {s.split()[0]} for s in _table()]
+    """Words of which every known sentence but notices has one, by repeated choice of the word that most of the
+    sentences left have: a text without any of them, without an SPDX tag, and without a verb of notices before
+    "under", has no known sentence."""
+    left = [{w for w in s.split() if len(w) >= 4 and w.isalpha()} - UNTELLING or {s.split()[0]} for s in _table() if not s.startswith(NOTICE)]
     out = []
     while left:
         words = sorted({w for s in left for w in s})
@@ -196,7 +326,7 @@ def known_sentences(text: Column, table: Column) -> Column:
             two = F.concat(piece["plain"], F.lit(" "), after[0])
             joined = F.when(look(after[0]).isNull(), F.coalesce(look(two), look(F.concat(two, F.lit(" "), after[1]))))
             lines = F.transform(F.split(piece["raw"], "\n"), lambda x: look(_normalised(x)))
-            tags = F.transform(spdx_names(F.substring(piece["raw"], len(SPDX_MARK) + 1, 1 << 20)), lambda n: F.concat(F.lit("spdx-"), n))
+            tags = F.transform(spdx_names(F.substring(piece["raw"], len(SPDX_MARK) + 1, _LONGEST)), lambda n: F.concat(F.lit("spdx-"), n))
             return F.when(piece["raw"].startswith(SPDX_MARK), tags).otherwise(let(F.coalesce(look(piece["plain"]), joined), lambda known: F.when(known.isNotNull(), F.array(known)).otherwise(lines)))
 
         return F.transform(pieces, one)
@@ -213,7 +343,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     Repeated rows stay, extra columns are ignored, an empty table gives no row.
     """
     table = F.create_map(*[F.lit(x) for pair in _table().items() for x in pair])
-    may = "(?i)spdx|" + "|".join(map(re.escape, telling_words()))
+    may = "(?i)" + "|".join(["spdx", f"(?:{VERBS})[^a-z0-9+.]+under", *map(re.escape, telling_words())]).replace("license", "licen[cs]e")
     ids = F.when(F.coalesce(F.col("text").rlike(may), F.lit(False)), known_sentences(F.col("text"), table)).otherwise(F.array().cast("array<string>"))
     out = docs.select("doc_id", ids.alias("ids")).withColumn("line", F.concat(F.lit(","), F.array_join("ids", ",,"), F.lit(",")))
     hits = {}
@@ -221,7 +351,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         hit = F.col("line").rlike(".*".join(f",{re.escape(k)}," for k in keys))
         hits[name] = hits[name] | hit if name in hits else hit
     kept = {n: reduce(lambda a, b: a & ~hits[b], GIVES_WAY.get(n, []), h) for n, h in hits.items()}
-    tags = F.transform(F.filter("ids", lambda k: k.startswith("spdx-")), lambda k: F.substring(k, 6, 1 << 20))
+    tags = F.transform(F.filter("ids", lambda k: k.startswith("spdx-")), lambda k: F.substring(k, 6, _LONGEST))
     names = F.array_sort(F.array_union(F.array_compact(F.array(*[F.when(kept[n], F.lit(n)) for n in sorted(kept)])), tags))
     none = F.array().cast("array<string>")
     return out.select("doc_id", F.array_join(F.when(F.size("ids") > 0, names).otherwise(none), ",").alias("licenses"), F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"))

@@ -235,3 +235,48 @@ def test_packs_do_not_hold_earlier_parts(spark):
     rows = [(i % 5, i, [float(i), 1.0]) for i in range(100)]
     packed = _pack(spark.createDataFrame(rows, "part long, vec_id long, cells array<double>").coalesce(1), 1000).collect()
     assert [p["part"] for p in packed] == [0, 1, 2, 3, 4] and sum(len(p["ids"]) for p in packed) == 800
+
+
+NOTICES = [
+    ("This project is licensed under the terms of the MIT license.", "MIT"),
+    ("This project is licensed under the MIT License - see the [LICENSE.md](LICENSE.md) file for details.", "MIT"),
+    ("Licensed under the Apache License 2.0.", "Apache-2.0"),
+    ("Foo is released under\n// the Apache 2.0 licence.", "Apache-2.0"),
+    ("All code here is available under Apache License v2.0.", "Apache-2.0"),
+    ("Licensed under the terms of the BSD 3-Clause License.", "BSD-3-Clause"),
+    ("Published under the New BSD licence", "BSD-3-Clause"),
+    ("Distributed under the Simplified BSD License.", "BSD-2-Clause"),
+    ("Licensed under the GPLv3.", "GPL-3.0"),
+    ("Licensed under the GNU GPL v3 or later.", "GPL-3.0-or-later"),
+    ("Foo bar is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3, or (at your option)\nany later version.\n\nFoo bar is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.", "GPL-3.0-or-later"),
+    ("Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted, ...", "BSL-1.0"),
+    ("Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)", "BSL-1.0"),
+    ("Licensed under the Eclipse Public License 2.0", "EPL-2.0"),
+    ("Eclipse Public License - v 2.0\n\n    THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE", "EPL-2.0"),
+    ("            DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\n                    Version 2, December 2004\n\n  0. You just DO WHAT THE FUCK YOU WANT TO.\n", "WTFPL"),
+    ("Released under the LGPL 2.1.", "LGPL-2.1"),
+    ("This library is distributed under the terms of the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+    ("This Font Software is licensed under the SIL Open Font License, Version 1.1.", "OFL-1.1"),
+    ("Sold under the counter. Released under a new name. We are published under contract.", ""),
+    ("The terms of the MIT licence are short. Apache 2.0 is a licence.", ""),
+]
+
+
+def test_license_notices_in_many_words(spark):
+    from precioscope.llm.licenses import scan_licenses
+
+    got = {r["doc_id"]: r["licenses"] for r in scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(NOTICES)], "doc_id long, text string")).collect()}
+    assert [(t, n, got[i]) for i, (t, n) in enumerate(NOTICES) if got[i] != n] == []
+
+
+def test_license_holder_of_any_length_and_containment(spark):
+    from precioscope.llm.licenses import GIVES_WAY, scan_licenses
+
+    grant = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
+    ads = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement:\nThis product includes software.\n"
+    end = "4. Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+    long = end.format("the Institute " + "of many very long words " * 60)
+    texts = [grant, grant + long, grant + ads + long, "neither the name of " * 3000]
+    got = {r["doc_id"]: r["licenses"] for r in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: "BSD-2-Clause", 1: "BSD-3-Clause", 2: "BSD-4-Clause", 3: ""}
+    assert GIVES_WAY["BSD-2-Clause"] == ["BSD-3-Clause", "BSD-4-Clause"]
