@@ -91,13 +91,15 @@ def filled_series(readings: DataFrame, as_of: Column | str, days: int = 60) -> D
 def absence_streaks(seen: DataFrame, rounds: DataFrame) -> DataFrame:
     """(product_id, store_id, round_no, absent): rounds in a row without a reading of a known pair.
 
-    ``seen`` (product_id, store_id, round_no), ``rounds`` (round_no): only rounds that have any."""
-    first = seen.groupBy(*PAIR).agg(F.min("round_no").alias("first_round"))
-    grid = first.join(rounds, F.col("round_no") >= F.col("first_round")).select(*PAIR, "round_no")
-    marked = grid.join(seen.select(*PAIR, "round_no").distinct().withColumn("hit", F.lit(1)), [*PAIR, "round_no"], "left")
-    past = Window.partitionBy(*PAIR).orderBy("round_no").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.max(F.when(F.col("hit") == 1, F.col("round_no"))).over(past)
-    return marked.select(*PAIR, "round_no", (F.col("round_no") - last).alias("absent"))
+    ``seen`` (product_id, store_id, round_no), ``rounds`` (round_no): only rounds that have any.  Rounds are
+    ranked, a reading spans the ranks up to the pair's next one, and only those are put out: no pair
+    is compared with a round."""
+    ranked = rounds.distinct().withColumn("rank", F.row_number().over(Window.orderBy("round_no")))  # one row a round
+    hits = seen.select(*PAIR, "round_no").distinct().join(ranked, "round_no")
+    hits = hits.join(ranked.agg(F.max("rank").alias("top")))  # one row
+    following = F.coalesce(F.lead("rank").over(Window.partitionBy(*PAIR).orderBy("rank")) - 1, F.col("top"))
+    spans = hits.withColumn("upto", following).select(*PAIR, F.col("round_no").alias("last"), F.explode(F.sequence("rank", "upto")).alias("rank"))
+    return spans.join(ranked, "rank").select(*PAIR, "round_no", (F.col("round_no") - F.col("last")).alias("absent"))
 
 
 def vanished(known: DataFrame, seen: DataFrame) -> DataFrame:

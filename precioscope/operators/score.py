@@ -9,7 +9,7 @@ from precioscope import lexicon as L
 from precioscope.config import DEFAULTS
 from precioscope.functions.text import compact, compact_normal, find_category, literals, mentions, normalise, specs_normal, trusted_brand
 from precioscope.operators.history import has_price
-from precioscope.operators.summary import upper_median
+from precioscope.operators.summary import with_upper_median
 
 
 def _array(values: list[str]) -> Column:
@@ -118,7 +118,8 @@ def price_sanity(accepted: DataFrame, *keys: str) -> DataFrame:
     per query by an aggregate and joined back, so no window holds a query's rows.
     """
     least = F.when((F.col("specificity") >= 55) | (F.size("keywords") > 0), 3).otherwise(6)
-    stats = accepted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(has_price()).alias("priced"), upper_median(F.when(has_price(), F.col("price"))).alias("median"))
+    counts = accepted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(has_price()).alias("priced"))
+    stats = counts.join(with_upper_median(accepted, F.when(has_price(), F.col("price")), *keys), list(keys))
     out = accepted.join(stats, list(keys))
     wide, few = F.col("specificity") < 55, F.col("priced") < 5
     low = F.col("median") * F.when(few, 0.3).when(wide, 0.22).otherwise(0.35)
@@ -130,8 +131,9 @@ def price_sanity(accepted: DataFrame, *keys: str) -> DataFrame:
 
 def sane_prices(prices: DataFrame, key: str, low: float = 0.35, high: float = 2.6, least: int = 3) -> DataFrame:
     """(key, median, kept, dropped) counts of a price band around each group's upper median."""
-    stats = prices.filter(has_price()).groupBy(key).agg(F.count(F.lit(1)).alias("n"), upper_median("price").alias("median")).filter(F.col("n") >= least)
-    both = prices.filter(has_price()).join(stats, key)
+    priced = prices.filter(has_price())
+    enough = priced.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select(key)
+    both = priced.join(with_upper_median(priced, F.col("price"), key).join(enough, key), key)
     odd = (F.col("price") < F.col("median") * low) | (F.col("price") > F.col("median") * high)
     return both.groupBy(key, "median").agg(F.count_if(~odd).alias("kept"), F.count_if(odd).alias("dropped"))
 

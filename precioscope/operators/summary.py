@@ -94,18 +94,37 @@ def average_price(offers: DataFrame) -> DataFrame:
     return per.select("product_id", (F.col("cents") / F.col("offers") / 100).alias("average_price"), "offers")
 
 
-def upper_median(prices: str | Column) -> Column:
-    """Element floor(n / 2) of the sorted group: of an even number the upper of the two middle ones."""
-    listed = F.array_sort(F.collect_list(prices))
-    return F.element_at(listed, (F.floor(F.size(listed) / 2) + 1).cast("int"))
+def with_upper_median(rows: DataFrame, price: Column, *keys: str) -> DataFrame:
+    """(keys, median): element floor(n / 2) of each group's sorted prices, nulls aside: of an even number the
+    upper of the two middle ones; null where a group has no price.
+
+    Prices are counted by value before anything is ordered, so that a group costs its distinct prices
+    (sorted by a window, which spills) and never an array of its rows.
+    """
+    counts = rows.groupBy(*keys, price.alias("_price")).agg(F.count(F.lit(1)).alias("_n"))
+    known = F.when(F.col("_price").isNotNull(), F.col("_n")).otherwise(0)
+    whole = Window.partitionBy(*keys)
+    counts = counts.withColumn("_upto", F.sum(known).over(whole.orderBy(F.col("_price").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)))
+    half = F.floor(F.sum(known).over(whole) / 2)
+    return counts.withColumn("_half", half).groupBy(*keys).agg(F.min(F.when(F.col("_price").isNotNull() & (F.col("_upto") > F.col("_half")), F.col("_price"))).alias("median"))
 
 
 def median_name(listings: DataFrame, *keys: str) -> DataFrame:
-    """The name of median length in each group (stable order by length, then ordinal)."""
-    names = listings.withColumn("_name", F.trim("name")).filter(F.length("_name") > 0)
-    listed = F.array_sort(F.collect_list(F.struct(F.length("_name").alias("len"), "ordinal", "_name")))
-    out = names.groupBy(*keys).agg(F.element_at(listed, (F.floor(F.count(F.lit(1)) / 2) + 1).cast("int"))["_name"].alias("name"))
-    return out.withColumn("name", F.substring("name", 1, 180))
+    """The name of median length in each group (order by length, then ordinal, then name).
+
+    Lengths are counted first, and only the names of a group's median length are put in order.
+    """
+    names = listings.withColumn("_name", F.trim("name")).filter(F.length("_name") > 0).select(*keys, "ordinal", "_name", F.length("_name").alias("_length"))
+    whole = Window.partitionBy(*keys)
+    lengths = names.groupBy(*keys, "_length").agg(F.count(F.lit(1)).alias("_n"))
+    lengths = lengths.withColumn("_upto", F.sum("_n").over(whole.orderBy("_length").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_half", F.floor(F.sum("_n").over(whole) / 2))
+    middle = lengths.filter((F.col("_upto") > F.col("_half")) & (F.col("_upto") - F.col("_n") <= F.col("_half")))
+    middle = middle.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_length").alias("_middle"), (F.col("_half") - F.col("_upto") + F.col("_n")).alias("_at"))
+    same = F.col("_length") == F.col("_middle")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    placed = names.join(middle, same).withColumn("_place", F.row_number().over(whole.orderBy("ordinal", "_name")) - 1)
+    return placed.filter(F.col("_place") == F.col("_at")).select(*keys, F.substring("_name", 1, 180).alias("name"))
 
 
 def price_position(summary: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from precioscope import lexicon as L
 from precioscope.operators.history import has_price
+from precioscope.sources.staging import staged
 
 CHART_SLACK, SPARK_SLACK, HISTORY_SLACK = 0.08, 0.12, 0.12
 STALE_HOURS = 2
@@ -78,7 +79,20 @@ def product_list(products: DataFrame, order: str = "recent", text: str = "", que
         rows = rows.filter(F.contains(F.lower(F.coalesce("name", F.lit(""))), F.lit(wanted)) | F.contains(F.lower(F.coalesce("brand", F.lit(""))), F.lit(wanted)))
     first = {"manual": "place", "drop": "percent_24h", "price": "current_price", "distance": "above_lowest"}.get(order)
     keys = [*([F.col(first).asc_nulls_last()] if first else []), *([F.col("created_at").desc()] if order in ("manual", "recent") else []), F.col("product_id")]
-    return rows.withColumn("position", F.row_number().over(Window.orderBy(*keys)))  # the list that one user watches
+    return numbered(rows, keys)
+
+
+def numbered(rows: DataFrame, keys: list[Column], name: str = "position") -> DataFrame:
+    """``rows`` with their place, from 1, in the order of ``keys``, which name each row.
+
+    Rows are dealt to ranges of the keys and stored with the range's number; a place is that inside the
+    range and the rows of the ranges before, so no task orders more than one range.
+    """
+    dealt = staged(rows.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    base = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
+    return dealt.withColumn("_inside", inside).join(base, "_range").withColumn(name, F.col("_base") + F.col("_inside")).drop("_range", "_base", "_inside")
 
 
 def family_cards(listed: DataFrame) -> DataFrame:

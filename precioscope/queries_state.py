@@ -90,12 +90,12 @@ def _listed(spark, sf_dir):
 @query(
     "product_list",
     f"""WITH {LISTED}, k AS (SELECT * FROM pl WHERE NOT archived)
-    SELECT 'manual' AS sorting, product_id, row_number() OVER (ORDER BY place NULLS LAST, created_at DESC, product_id)::INT AS position FROM k
-    UNION ALL SELECT 'drop', product_id, row_number() OVER (ORDER BY percent_24h NULLS LAST, product_id)::INT FROM k
-    UNION ALL SELECT 'price', product_id, row_number() OVER (ORDER BY current_price NULLS LAST, product_id)::INT FROM k
-    UNION ALL SELECT 'recent', product_id, row_number() OVER (ORDER BY created_at DESC, product_id)::INT FROM k
-    UNION ALL SELECT 'distance', product_id, row_number() OVER (ORDER BY above_lowest NULLS LAST, product_id)::INT FROM k
-    UNION ALL SELECT 'found', product_id, row_number() OVER (ORDER BY created_at DESC, product_id)::INT FROM pl WHERE query_id = 'Brand#2' AND (contains(lower(name), 'red') OR contains(lower(brand), 'red'))""",
+    SELECT 'manual' AS sorting, product_id, row_number() OVER (ORDER BY place NULLS LAST, created_at DESC, product_id)::BIGINT AS position FROM k
+    UNION ALL SELECT 'drop', product_id, row_number() OVER (ORDER BY percent_24h NULLS LAST, product_id)::BIGINT FROM k
+    UNION ALL SELECT 'price', product_id, row_number() OVER (ORDER BY current_price NULLS LAST, product_id)::BIGINT FROM k
+    UNION ALL SELECT 'recent', product_id, row_number() OVER (ORDER BY created_at DESC, product_id)::BIGINT FROM k
+    UNION ALL SELECT 'distance', product_id, row_number() OVER (ORDER BY above_lowest NULLS LAST, product_id)::BIGINT FROM k
+    UNION ALL SELECT 'found', product_id, row_number() OVER (ORDER BY created_at DESC, product_id)::BIGINT FROM pl WHERE query_id = 'Brand#2' AND (contains(lower(name), 'red') OR contains(lower(brand), 'red'))""",
 )
 def product_list(spark, sf_dir):
     p = _listed(spark, sf_dir)
@@ -107,7 +107,7 @@ def product_list(spark, sf_dir):
 
 @query(
     "family_cards",
-    f"""WITH {LISTED}, k AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, product_id)::INT AS position FROM pl WHERE NOT archived)
+    f"""WITH {LISTED}, k AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, product_id)::BIGINT AS position FROM pl WHERE NOT archived)
     SELECT query_id, min(position) AS position, count(*) AS members, min(current_price) AS from_price, arg_min(product_id, struct_pack(p := current_price, o := position)) FILTER (current_price IS NOT NULL) AS from_product, coalesce(bool_or(current_price IS NOT NULL AND current_price <= coalesce(lowest_price, 'inf'::DOUBLE)), false) AS at_low FROM k GROUP BY query_id""",
 )
 def family_cards(spark, sf_dir):

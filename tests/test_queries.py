@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from precioscope import queries as core
-from precioscope import queries_entities, queries_flow, queries_state, queries_web  # noqa: F401
+from precioscope import queries_diagnosis, queries_entities, queries_flow, queries_state, queries_web  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
