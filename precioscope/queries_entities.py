@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from precioscope.functions import text as X
 from precioscope.operators import entities as E
 from precioscope.operators import resolve as R
-from precioscope.queries import query, table
+from precioscope.queries import NORMAL, TOKENS, query, table
+
 
 def titles(spark, sf_dir):
     """A listing for each part: words that neighbours share, a model for a fifth, a size for a third, a code for an eleventh."""
@@ -47,3 +49,22 @@ def resolution_agreement(spark, sf_dir):
     n = F.col("p_partkey")
     listings = _named(spark, sf_dir).select(F.concat(F.lit("q"), (F.floor(n / 4) % 50).cast("string")).alias("query_id"), n.alias("listing_id"), "name", F.col("p_retailprice").alias("price"), (100 - F.col("p_size")).alias("score"), n.alias("ordinal"), F.lit(False).alias("specific"))
     return E.agreement(R.assign_products(listings, 1 << 30), E.resolve_entities(listings), "query_id")
+
+
+ALIKE = f"""v AS (SELECT item_id * 4 + j AS node, list_distinct(CASE j WHEN 0 THEN t WHEN 1 THEN list_filter(t, lambda w: NOT contains(w, 'a')) WHEN 2 THEN list_filter(t, lambda w: length(w) <= 6) ELSE list_filter(t, lambda w: length(w) <> 5) || [CAST(item_id AS VARCHAR) || 'gb'] END) AS words FROM (SELECT item_id, {TOKENS} AS t FROM (SELECT item_id, {NORMAL} AS n FROM (SELECT item_id, text FROM benchmark))), (SELECT unnest([0, 1, 2, 3]) AS j)),
+    k AS (SELECT node, unnest(words) AS w FROM v), c AS (SELECT a.node AS a, b.node AS b, count(*) AS c FROM k a JOIN k b USING (w) WHERE a.node < b.node GROUP BY ALL),
+    s AS (SELECT c.a, c.b, 0.45::DOUBLE * (c / (len(x.words) + len(y.words) - c)) + 0.55::DOUBLE * (c / least(len(x.words), len(y.words))) AS similarity FROM c JOIN v x ON x.node = c.a JOIN v y ON y.node = c.b)"""
+
+
+@query("alike_titles", f"WITH {ALIKE} SELECT theta, a, b, similarity FROM s, (SELECT unnest([0.5::DOUBLE, 0.7::DOUBLE, 0.82::DOUBLE]) AS theta) WHERE similarity >= theta")
+def alike_titles(spark, sf_dir):
+    """Pairs at the scores that the rules ask for; each text and three thinned ones are titles."""
+    t = table(spark, sf_dir, "benchmark").select("item_id", X.tokens(F.col("text")).alias("t"))
+    thin = [F.col("t"), F.filter("t", lambda w: ~F.contains(w, F.lit("a"))), F.filter("t", lambda w: F.length(w) <= 6), F.concat(F.filter("t", lambda w: F.length(w) != 5), F.array(F.concat(F.col("item_id").cast("string"), F.lit("gb"))))]
+    sets = t.select("item_id", F.posexplode(F.array(*map(F.array_distinct, thin))).alias("j", "words")).select((F.col("item_id") * 4 + F.col("j")).alias("node"), "words")
+    left, right = sets.select(F.col("node").alias("a"), F.col("words").alias("x")), sets.select(F.col("node").alias("b"), F.col("words").alias("y"))
+    out = None
+    for theta in (0.5, 0.7, 0.82):
+        scored = E.similar_pairs(sets, theta).join(left, "a").join(right, "b").select(F.lit(theta).alias("theta"), "a", "b", X.similarity(F.col("x"), F.col("y")).alias("similarity"))
+        out = scored.filter(F.col("similarity") >= theta) if out is None else out.unionByName(scored.filter(F.col("similarity") >= theta))
+    return out

@@ -114,11 +114,13 @@ def family_cards(spark, sf_dir):
     return V.family_cards(V.product_list(_listed(spark, sf_dir), "recent"))
 
 
-@query("family_titles", "SELECT p_brand AS query_id, CASE WHEN p_brand IN ('Brand#3', 'Brand#4') THEN 'Busca ' || p_brand ELSE 'MacBook Pro de Linha' END AS title FROM part GROUP BY p_brand")
+@query("family_titles", "SELECT p_brand AS query_id, CASE WHEN p_brand IN ('Brand#3', 'Brand#4') THEN 'Busca ' || p_brand ELSE 'MacBook Pro de Linha ' || CASE WHEN CAST(substring(p_brand, 7) AS INT) % 2 = 1 THEN 'Ultra' ELSE 'MAX' END || substring(p_brand, 7) END AS title FROM part GROUP BY p_brand")
 def family_titles(spark, sf_dir):
     n = F.col("p_partkey")
-    # Spellings differ from listing to listing; some families have nothing in common.
-    alike = F.concat(F.lit("12 "), F.when(n % 3 == 0, "Macbook").when(n % 3 == 1, "MACBOOK").otherwise("MacBook"), F.lit(" Pro De linha "), F.when(n % 2 == 0, "15").otherwise("15"), F.lit(" x"), n.cast("string"))
+    number = F.substring("p_brand", 7, 9)
+    line = F.concat(F.when(number.cast("int") % 2 == 1, "Ultra").otherwise("MAX"), number)
+    # Spellings differ from listing to listing, lines from family to family; some families have nothing in common.
+    alike = F.concat(F.lit("12 "), F.when(n % 3 == 0, "Macbook").when(n % 3 == 1, "MACBOOK").otherwise("MacBook"), F.lit(" Pro De linha "), line, F.lit(" 15 x"), n.cast("string"))
     alike = F.when(n % 5 == 0, F.replace(alike, F.lit("linha"), F.lit("Línha"))).otherwise(F.replace(alike, F.lit("linha"), F.lit("Linha")))
     own = F.concat(F.lit("item "), n.cast("string"), F.lit(" de "), n.cast("string"))
     part = table(spark, sf_dir, "part")
