@@ -286,6 +286,19 @@ def _tile_links(members: DataFrame, percent: int, sets_of: Callable[[list[bytes]
     return members.select("tile", "id", "component", "elements").mapInArrow(run, "a binary, b binary")
 
 
+def _home(shared: DataFrame) -> DataFrame:
+    """(key, name, count) of each name's key with most members, counted by those whose key that is; not of one alone."""
+    home = shared.groupBy("name").agg(F.max_by("key", F.struct("count", "key")).alias("key"))
+    return home.join(home.groupBy("key").agg(F.count(F.lit(1)).alias("count")).filter("count > 1"), "key")
+
+
+def _asked(ids: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, elements) of the members in ``ids``: only sets that are asked for move."""
+    asked = scratch.cut(ids.distinct(), "asked")
+    few = F.broadcast(asked) if asked.count() <= MOST_ASKED_SENT else asked
+    return members.select("id", "elements").join(few, "id", "left_semi")
+
+
 def _in_blocks(shared: DataFrame) -> DataFrame:
     """Rows (key, name, count) with tile: a block of their key."""
     block = F.pmod(F.xxhash64("name", "key"), F.ceil(F.col("count") / BLOCK_MEMBERS))
@@ -350,7 +363,7 @@ def link_small_sets(shared: DataFrame, members: DataFrame, percent: int, scratch
     large = shared.filter(F.col("count") > BLOCK_MEMBERS).join(members.select("name", "id"), "name").select("key", "id")
     rest = scratch.cut(open_tiles(_labelled(large, labels)), "open")
     if rest.limit(1).count():
-        rows = rest.join(members.select("id", "elements"), "id").select("tile", "id", "component", "elements")
+        rows = rest.join(_asked(rest.select("id"), members, scratch), "id").select("tile", "id", "component", "elements")
         links = scratch.cut(_tile_links(_sorted_by_tile(rows), percent, sets_of), "links")
         labels = _grown(links, labels, scratch)
     scratch.drop(rest)
@@ -361,8 +374,11 @@ def sorted_hashes(elements: bytes) -> np.ndarray:
     return np.frombuffer(elements, np.uint64)
 
 
-def admitted(ids: list[bytes], comps: list[bytes], sizes: np.ndarray, bitmaps: list[bytes], percent: int, best: int) -> tuple[list[tuple[bytes, bytes]], bool]:
-    """Pairs of different components that the bit counts admit, the ``best`` of each two components; more left?"""
+def admitted(ids: list[bytes], comps: list[bytes], sizes: np.ndarray, bitmaps: list[bytes], percent: int, best: int, parent: dict | None = None) -> tuple[list[tuple[bytes, bytes]], bool]:
+    """Pairs of different components that the bit counts admit, the ``best`` of each two components; more left?
+
+    With ``parent``, a forest of components, only the closest pair of each two trees, which it joins.
+    """
     least = min(map(len, bitmaps))
     grid = np.stack([_fold(np.frombuffer(b, np.uint64), least // 8) for b in bitmaps])
     number: dict = {}
@@ -387,43 +403,65 @@ def admitted(ids: list[bytes], comps: list[bytes], sizes: np.ndarray, bitmaps: l
     a, b, both = a[order], b[order], low[order] * len(number) + high[order]
     start = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
     keep = np.arange(len(both)) - np.repeat(start, np.diff(np.append(start, len(both)))) < best
+    if parent is not None:
+        first, keep = start[np.argsort(d[order][start], kind="stable")], np.zeros(len(both), bool)
+        for k in first.tolist():
+            x, y = _root(parent, comps[a[k]]), _root(parent, comps[b[k]])
+            if x != y:
+                parent[x] = y
+                keep[k] = True
     pairs = [(min(ids[x], ids[y]), max(ids[x], ids[y])) for x, y in zip(a[keep].tolist(), b[keep].tolist(), strict=True)]
     return pairs, not keep.all()
 
 
+def _root(parent: dict, x: bytes) -> bytes:
+    while parent.setdefault(x, x) != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
+
+
 def _candidates(members: DataFrame, percent: int, best: int) -> DataFrame:
-    """(a, b): admitted pairs of sorted (tile, id, component, n, bitmap); a row of nulls if a tile had more."""
+    """(a, b, key): admitted pairs of sorted (tile, key, id, component, n, bitmap); of a tile that has more, a row of its key alone.
+
+    With ``best`` 0 a task gives pairs that join its components as the admitted ones do (a forest), and no others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: dict[bytes, tuple] = {}
-        tile, more = None, False
+        tile = None
         found: set[tuple[bytes, bytes]] = set()  # of this task; given and forgotten when it grows
+        parent: dict[bytes, bytes] = {}
+        more: set[int] = set()
 
         def take() -> None:
-            nonlocal more
             if len(rows) > 1:
-                _, ids, comps, sizes, bitmaps = zip(*rows.values(), strict=True)
-                pairs, rest = admitted(list(ids), list(comps), np.array(sizes), list(bitmaps), percent, best)
+                _, keys, ids, comps, sizes, bitmaps = zip(*rows.values(), strict=True)
+                pairs, rest = admitted(list(ids), list(comps), np.array(sizes), list(bitmaps), percent, best, None if best else parent)
                 found.update(pairs)
-                more |= rest
+                if rest:
+                    more.add(keys[0])
 
         def out() -> pa.RecordBatch:
-            given = [*found, (None, None)] if more else list(found)
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in given], pa.binary()) for k in (0, 1)], names=["a", "b"])
+            given = [*((a, b, None) for a, b in found), *((None, None, k) for k in more)]
+            kinds = (pa.binary(), pa.binary(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in given], kind) for k, kind in enumerate(kinds)], names=["a", "b", "key"])
 
         for batch in batches:
             for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if row[0] != tile:
                     take()
                     rows, tile = {}, row[0]
-                rows[row[1]] = row
-            if len(found) > 100_000:
+                rows[row[2]] = row
+            if len(found) + len(more) + len(parent) > 100_000:
                 yield out()
                 found.clear()
+                more.clear()
+                parent.clear()
         take()
         yield out()
 
-    return members.select("tile", "id", "component", "n", "bitmap").mapInArrow(run, "a binary, b binary")
+    return members.select("tile", "key", "id", "component", "n", "bitmap").mapInArrow(run, "a binary, b binary, key long")
 
 
 def _verified(pairs: DataFrame, arrays: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -435,10 +473,7 @@ def _verified(pairs: DataFrame, arrays: DataFrame, percent: int, scratch: Scratc
             ok = [similar(sorted_hashes(x), sorted_hashes(y), percent) for x, y in zip(left, right, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
 
-    # Only sets that a pair asks for move.
-    asked = scratch.cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b"))).distinct(), "asked")
-    own = arrays.select("id", "elements").join(F.broadcast(asked) if asked.count() <= MOST_ASKED_SENT else asked, "id", "left_semi")
-    own = scratch.cut(own, "own")
+    own = scratch.cut(_asked(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b"))), arrays, scratch), "own")
     x, y = own.select(F.col("id").alias("a"), F.col("elements").alias("x")), own.select(F.col("id").alias("b"), F.col("elements").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, linked boolean")
 
@@ -446,36 +481,35 @@ def _verified(pairs: DataFrame, arrays: DataFrame, percent: int, scratch: Scratc
 def link_large_sets(shared: DataFrame, arrays: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(id, component) of the members that are linked with another, where sets are large and share many tiles.
 
-    shared (key, name, count); arrays (name, id, n, bitmap, elements), tables.  Each member's elements
-    go to one tile, the one with most members, which is decided exactly.  All other tiles compare
-    bitmaps between the components so far; the best pair of each two components is verified, true
-    links merge components, and rounds go on with more pairs until every admitted pair is decided.
+    shared (key, name, count); arrays (name, id, n, bitmap, elements), tables.  Members compare bitmaps,
+    first in one tile each, the one with most members, then in all tiles between the components so far.
+    At first a task gives pairs that would make a tree of its components, so a group of near copies gives
+    as many pairs as it has members; then the best pair of each two components.  Pairs are verified by
+    their elements, true links merge components, and rounds go on with the keys that have further admitted
+    pairs until there is none: where all admitted pairs are given, nothing is left to decide.
     """
-    names = arrays.select("name", "id")
-    home = shared.groupBy("name").agg(F.max_by("key", F.struct("count", "key")).alias("key"))
-    sizes = home.groupBy("key").agg(F.count(F.lit(1)).alias("count")).filter("count > 1")
-    rows = _in_blocks(home.join(sizes, "key")).join(arrays, "name").select("tile", "id", _no_component(), "elements")
-    links = scratch.cut(_tile_links(_sorted_by_tile(rows), percent, lambda es: list(map(sorted_hashes, es))), "links")
-    labels = _grown(links, None, scratch)
-    meta = arrays.select("id", "n", "bitmap")
-    now, checked, best = scratch.cut(shared.select("key", "name").join(names, "name").select("key", "id"), "members"), None, 1
+    names, meta = arrays.select("name", "id"), arrays.select("id", "n", "bitmap")
+    rows = _in_blocks(_home(shared)).join(names, "name").withColumn("component", F.col("id"))
+    found = scratch.cut(_candidates(_sorted_by_tile(rows.join(meta, "id")), percent, 0), "candidates")
+    pairs = scratch.cut(found.filter("a is not null").select("a", "b"), "pairs")
+    result = scratch.cut(_verified(pairs, arrays, percent, scratch), "verified")
+    labels = _grown(result.filter("linked").select("a", "b"), None, scratch)
+    checked, best = result.filter("not linked").select("a", "b"), 0
+    now = scratch.cut(shared.select("key", "name").join(names, "name").select("key", "id"), "members")
     while True:
         tiles = scratch.cut(open_tiles(_labelled(now, labels)), "open")
         found = scratch.cut(_candidates(_sorted_by_tile(tiles.join(meta, "id")), percent, best), "candidates")
-        pairs = found.filter("a is not null").distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
+        pairs = found.filter("a is not null").select("a", "b").distinct().join(checked, ["a", "b"], "left_anti")
         pairs = scratch.cut(pairs, "pairs")
         result = scratch.cut(_verified(pairs, arrays, percent, scratch), "verified")
         linked = result.filter("linked").limit(1).count()
-        more = found.filter("a is null").limit(1).count()
-        bad = result.filter("not linked").select("a", "b")
-        checked = bad if checked is None else checked.unionByName(bad)
-        old, now = now, scratch.cut(tiles.select("key", "id").distinct(), "members")
-        scratch.drop(old, tiles, found)
+        more = found.filter("key is not null").select("key").distinct()
+        some = more.limit(1).count()
+        checked = checked.unionByName(result.filter("not linked").select("a", "b"))
         if linked:
             labels = _grown(result.filter("linked").select("a", "b"), labels, scratch)
-        elif more:
-            best *= 16
-        else:
+        if not some:
             return labels
+        old, now = now, scratch.cut(tiles.join(more, "key", "left_semi").select("key", "id").distinct(), "members")
+        scratch.drop(old, tiles, found)
+        best = 1 if best == 0 else best if linked else 16 * best

@@ -3,14 +3,17 @@
 A document is its set of word shingles.  Equal sets are one representative.  A band holds sizes of a
 ratio of at most 1 / t**2, so similar sets lie in the same or in neighbouring bands.  Each band cuts
 the hash space into more parts than two similar sets of it can differ in elements: some part agrees
-wholly, and the hash of its elements is the key of a tile.  Tiles compare members by parity bitmaps,
+wholly, and the hash of its elements is the key of a tile.  There are spare parts for those that are
+empty by chance, so these are keys of a few sets only.  Tiles compare members by parity bitmaps,
 whose bit counts bound the overlap from above, then by exact sorted-array intersection (linking.py).
 No shingle is a key by itself, so a passage that many documents share makes no large tile.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 from hashlib import blake2b
 
 import numpy as np
@@ -22,7 +25,7 @@ from precioscope.llm.arrowtext import chunked, mix, word_shingles
 from precioscope.llm.linking import bitmap_bits, hot_keys, link_large_sets, most_apart, parity_bitmap, shared_tiles
 from precioscope.llm.scratch import Scratch
 
-#: Parts beyond the least number, so that this many empty parts of a set need no key.
+#: Parts beyond the least number: so many, and more in bands where sets have more empty parts by chance (spare_parts).
 SPARE_PARTS = 3
 SEEN_SETS = 100_000
 FLUSH_SETS = 20_000
@@ -42,6 +45,22 @@ def bands(percent: int, most: int = 1 << 40) -> list[int]:
     return out
 
 
+@cache
+def spare_parts(apart: int, least: int) -> int:
+    """Parts beyond ``apart`` + 1, so that sets of ``least`` elements hardly ever have more empty parts than that.
+
+    Of two sets that agree in more parts than one of them has empty, some part that agrees is not empty, so
+    only sets with more empty parts need keys of these.  Such keys are common: all of a band have them by chance.
+    """
+    for spare in range(SPARE_PARTS, SPARE_PARTS + apart // 2):
+        parts = apart + 1 + spare
+        load = least / parts
+        none = math.exp(-load)
+        if spare >= parts * none + 4 * math.sqrt(parts * none * (1 - (1 + load) * none)):
+            return spare
+    return SPARE_PARTS + apart // 2
+
+
 def set_keys(u: np.ndarray, edges: list[int], percent: int) -> np.ndarray:
     """Tile keys of a sorted set of hashes."""
     n = len(u)
@@ -53,12 +72,13 @@ def set_keys(u: np.ndarray, edges: list[int], percent: int) -> np.ndarray:
     value = mix(u ^ _SUM)
     for band in schemes:
         apart = int(most_apart(edges[band + 1] - 1, edges[band + 1] - 1, percent))
-        parts = apart + 1 + SPARE_PARTS
+        spare = spare_parts(apart, edges[band] * percent // 100)
+        parts = apart + 1 + spare
         part = ((u >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         seed = np.uint64((band + 1) * int(_BAND) & (1 << 64) - 1)
         out.append(mix(np.add.reduceat(value, start) ^ mix(part[start] * _PART + seed)))
-        if parts - len(start) > SPARE_PARTS:
+        if parts - len(start) > spare:
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[start])
             out.append(mix(mix(empty * _PART + seed)))
     return np.concatenate(out)

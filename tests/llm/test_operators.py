@@ -746,6 +746,32 @@ def test_tile_keys():
             assert len(np.intersect1d(set_keys(a, edges, 85), set_keys(b, edges, 85)))
 
 
+def test_tile_keys_of_empty_parts():
+    """Sets of one band that have nothing in common share no key, though parts of theirs are empty."""
+    from precioscope.llm.ngramjoin import bands, set_keys
+
+    rng = np.random.default_rng(3)
+    for percent in (80, 85):
+        edges = bands(percent)
+        for n in (120, 700, 3000, 12000):
+            keys = [set_keys(np.unique(rng.integers(0, 2**64, n + int(rng.integers(0, n // 4)), np.uint64)), edges, percent) for _ in range(40)]
+            assert len(np.unique(np.concatenate(keys))) == sum(map(len, keys))
+
+
+def test_candidates_of_a_group(spark):
+    """Near copies in many tiles of a task give fewer pairs than they have components, whatever the tiles; tiles with more pairs are told."""
+    from precioscope.llm.linking import _candidates, bitmap_bits, parity_bitmap
+
+    rng = np.random.default_rng(9)
+    base = np.unique(rng.integers(0, 1 << 60, 200, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([base[i:], rng.integers(0, 1 << 60, 2, dtype=np.uint64)])) for i in range(12)]
+    rows = [(t, 100 + t, b"%016d" % i, b"%016d" % i, len(s), parity_bitmap(s, bitmap_bits(len(s), 80))) for t in range(30) for i, s in enumerate(sets)]
+    members = spark.createDataFrame(rows, "tile long, key long, id binary, component binary, n long, bitmap binary").coalesce(1).sortWithinPartitions("tile")
+    tree, whole = _candidates(members, 80, 0).collect(), _candidates(members, 80, 1).collect()
+    assert sum(r["a"] is not None for r in tree) == 11 and {r["key"] for r in tree} - {None} == {100 + t for t in range(30)}
+    assert sum(r["a"] is not None for r in whole) == 66 and all(r["key"] is None for r in whole)
+
+
 def test_components(spark):
     from precioscope.llm.components import components
     from precioscope.llm.scratch import Scratch
