@@ -258,15 +258,17 @@ def removed_lines(docs: DataFrame, scratch: Scratch, least: int = LEAST_CHARS, p
     reps = scratch.cut(reps, "reps")
     own = reps.select("first.*", name).join(shared.select("name").distinct(), "name", "left_semi")
     own = scratch.cut(own.groupBy("doc_id", "tie").agg(F.collect_list("line_no").alias("wanted")), "wanted")
-    members = scratch.cut(_members(docs.join(own.hint("merge"), ["doc_id", "tie"]).select("text", "wanted")), "members")
+    members = scratch.cut(_members(docs.join(own.hint("shuffle_hash"), ["doc_id", "tie"]).select("text", "wanted")), "members")
     near = link_small_sets(shared, members.select("id", "elements", name), percent, scratch, partial(line_sets, size=size))
     scratch.drop(members, shared, own)
-    joined = reps.join(near, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    best = joined.groupBy("component").agg(F.min("first").alias("winner"), F.sum("copies").alias("lines")).filter("lines > 1")
+    # A line of one copy that is linked with none has nothing to lose.
+    joined = reps.join(near, "id", "left").filter("component is not null or copies > 1").withColumn("component", F.coalesce("component", "id"))
+    joined = scratch.cut(joined.select("id", "first", "component"), "joined")
+    best = joined.groupBy("component").agg(F.min("first").alias("winner"))
     losing = scratch.cut(joined.join(best, "component").select("id", "winner"), "losing")
     gone = lines.join(losing, "id").filter(F.struct("doc_id", "tie", "line_no") != F.col("winner"))
     gone = scratch.cut(gone.groupBy("doc_id", "tie").agg(F.collect_set("line_no").alias("gone")), "gone")
-    scratch.drop(wide, reps, near, losing)
+    scratch.drop(wide, reps, near, joined, losing)
     return gone
 
 
@@ -289,7 +291,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_CHARS, percent: int = PERCEN
     texts = rows.select("doc_id", "tie", "text")
     single = texts.filter("text is not null").dropDuplicates(["doc_id", "tie"]) if _repeats(texts) else texts
     gone = removed_lines(single, scratch, least, percent, size, short)
-    out = rows.join(gone.hint("merge"), ["doc_id", "tie"], "left")
+    out = rows.join(gone.hint("shuffle_hash"), ["doc_id", "tie"], "left")
     lines = F.split("text", "\n", -1)
     rest = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone", i)), "\n")
     cols = {c: F.col("row").getField(c) if c in others else None for c in docs.columns}
