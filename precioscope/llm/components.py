@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from precioscope.llm.scratch import Scratch
 
+#: A small table is not worth rounds of shuffles; a task's union-find of so many edges takes some 60 MB.
+EDGES = 200_000
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Edges (u, v) with u > v.  Large: each node's greater neighbours point to its least neighbour or
@@ -55,14 +58,14 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component) of every node that an edge (a, b) touches; component is its least node.
 
     Nodes are of any type that has an order.
-    Each partition first contracts its own edges; star rounds join what is left between partitions,
-    and there are none where one partition held all.  Loops and repeated edges do not matter; no
+    Tasks of at most about EDGES edges first contract their own; star rounds join what is left between
+    them, and there are none where one task held all.  ``edges`` is a table, read twice.  Loops and repeated edges do not matter; no
     edges give no rows.
     """
     kind = edges.schema["a"].dataType.simpleString()
     pairs = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     # Contracted where the edges are: dealing them out by a node would bring a hub's to one task.
-    now = scratch.cut(pairs.mapInArrow(_local, f"u {kind}, v {kind}").distinct(), "edges")
+    now = scratch.cut(pairs.coalesce(edges.count() // EDGES + 1).mapInArrow(_local, f"u {kind}, v {kind}").distinct(), "edges")
     while True:
         # Done when it is a forest of stars: no centre has a lesser neighbour and no leaf two.
         ends = now.select(F.col("u").alias("x"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).unionByName(now.select(F.col("v").alias("x"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))

@@ -15,7 +15,7 @@ bands of 5 values two lines of similarity 0.8 meet with probability 0.991, of 0.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from hashlib import blake2b
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from precioscope.llm.arrowtext import chunked, mix
-from precioscope.llm.linking import NAME_MASK, hot_keys, link_small_sets, shared_tiles, size_bits
+from precioscope.llm.linking import NAME_MASK, link_small_sets, shared_tiles, size_bits, sorted_set
 from precioscope.llm.scratch import Scratch
 
 SHINGLE = CORPUS_SHINGLE = 5
@@ -36,13 +36,14 @@ BINS = BANDS * ROWS
 FEW = 100
 SPOTS = 1024
 SEEN_LINES = 200_000
-FLUSH_LINES = 50_000
-LINE_SCHEMA = "doc_id long, tie long, line_no int, id binary, sizes int, keys array<long>, hot array<long>"
+LINE_SCHEMA = "doc_id long, tie long, line_no int, id binary, sizes int, keys array<long>"
 MEMBER_SCHEMA = "id binary, elements binary"
 _ODD = 0x9E3779B97F4A7C15
 _NONE = np.iinfo(np.uint64).max
+#: Odd multipliers, one for each band of short lines.
+_TURNS = mix(np.arange(101, 101 + BANDS, dtype=np.uint64)) | np.uint64(1)
 #: Bytes of text at a time: their arrays stay in a core's cache.
-TEXT_BYTES = 1 << 19
+TEXT_BYTES = 1 << 17
 _TABLES: list[np.ndarray] = []
 #: A-Z count as a-z, white space as a space; line ends stay.
 _SAME = bytes(c + 32 if 65 <= c <= 90 else 32 if c in (9, 11, 12, 13) else c for c in range(256))
@@ -55,56 +56,69 @@ def _values() -> np.ndarray:
     return _TABLES[0]
 
 
-def _characters(data: bytes, bounds: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(code points, place of each byte among them) of texts one after another; in a text that is not
+def _characters(data: bytes, bounds: np.ndarray) -> tuple[np.ndarray, Callable[[np.ndarray], np.ndarray]]:
+    """(code points, places of bytes among them) of texts one after another; in a text that is not
     UTF-8 bytes count as characters."""
     raw = np.frombuffer(data, np.uint8)
     try:
         chars = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
-        first = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+        later = np.flatnonzero((raw & 0xC0) == 0x80)
+        return chars, lambda at: at - np.searchsorted(later, at)
     except UnicodeDecodeError:
+        bounds = np.asarray(bounds)
         if len(bounds) == 2:
-            return raw.astype(np.uint32), np.arange(len(raw) + 1)
-        parts = [_characters(data[a:b], [0, b - a]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        chars = np.concatenate([p[0] for p in parts])
+            return raw.astype(np.uint32), lambda at: at
+        parts = [_characters(data[a:b], np.array([0, b - a])) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         ends = np.cumsum([0, *(len(p[0]) for p in parts)])
-        first = np.concatenate([*(p[1][:-1] + e for p, e in zip(parts, ends[:-1], strict=True)), ends[-1:]])
-    return chars, first
+        first = [p[1](np.arange(b - a)) + e for p, a, b, e in zip(parts, bounds[:-1], bounds[1:], ends[:-1], strict=True)]
+        first = np.concatenate([*first, ends[-1:]])
+        return np.concatenate([p[0] for p in parts]), lambda at: first[at]
 
 
 def shingle_hashes(chars: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """Hash of the ``size`` characters from each place on (of fewer at the end)."""
     value = _values()[chars]
-    out = value.copy()
+    out = value * np.uint64(_ODD)
     for k in range(1, min(size, len(chars))):
-        out *= np.uint64(_ODD)
         out[: len(chars) - k] += value[k:]
-    return mix(out)
+        out *= np.uint64(_ODD)
+    # Sums of odd multiples of evenly spread values are evenly spread.
+    return out
 
 
 def line_set(line: bytes, size: int = SHINGLE) -> np.ndarray:
     """The sorted shingle hashes of a line given as its normalised bytes."""
-    chars, _ = _characters(line, [0, len(line)])
+    chars, _ = _characters(line, np.array([0, len(line)]))
     return np.unique(shingle_hashes(chars, size)[: max(1, len(chars) - size + 1)])
 
 
+def line_bags(lines: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle hashes of many lines one after another, repeats included; number of each line's)."""
+    bounds = np.concatenate([[0], np.cumsum(np.array(list(map(len, lines)), np.int64))])
+    chars, place = _characters(b"".join(lines), bounds)
+    start = place(bounds)
+    counts = np.maximum(np.diff(start) - size + 1, 1)
+    return shingle_hashes(chars, size)[np.arange(counts.sum()) + np.repeat(start[:-1] - np.cumsum(counts) + counts, counts)], counts
+
+
 def line_sets(lines: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
     """The sets of many lines, whose characters are hashed together."""
-    bounds = np.concatenate([[0], np.cumsum(list(map(len, lines)))])
-    chars, place = _characters(b"".join(lines), bounds.tolist())
-    h, out = shingle_hashes(chars, size), []
-    start = place[bounds].tolist()
-    for a, b in zip(start[:-1], start[1:], strict=True):
-        u = np.sort(h[a : max(a + 1, b - size + 1)])
-        again = u[1:] == u[:-1]
-        out.append(np.concatenate([u[:1], u[1:][~again]]) if again.any() else u)
-    return out
+    values, counts = line_bags(lines, size)
+    return list(map(sorted_set, np.split(values, np.cumsum(counts)[:-1])))
 
 
-def _minima(x: np.ndarray, line: np.ndarray, lines: int, bins: int) -> np.ndarray:
-    """Minima of each line's hashes in each bin; an empty bin takes the next full one's, marked by the distance."""
+def _minima(x: np.ndarray, row: np.ndarray, lines: int, bins: int) -> np.ndarray:
+    """Minima of each line's hashes in each bin; an empty bin takes the next full one's, marked by the distance.
+
+    row: the line of each hash, times ``bins``.
+    """
     low = np.full(lines * bins, _NONE, np.uint64)
-    np.minimum.at(low, line * bins + (((x >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64), x)
+    at = x >> np.uint64(32)
+    at *= np.uint64(bins)
+    at >>= np.uint64(32)
+    at = at.view(np.int64)
+    at += row
+    np.minimum.at(low, at, x)
     low = low.reshape(-1, bins)
     none = low == _NONE
     for shift in range(1, bins):
@@ -143,14 +157,13 @@ def line_keys(h: np.ndarray, start: np.ndarray, stop: np.ndarray, size: int = SH
     if many.any():
         n = int(many.sum())
         # Lines that are not meant share a last row, which is left out.
-        low = _minima(x, np.repeat(np.where(many, np.cumsum(many) - 1, n), count), n + 1, BINS)
+        low = _minima(x, np.repeat(np.where(many, np.cumsum(many) - 1, n) * BINS, count), n + 1, BINS)
         keys[many, BANDS:] = _banded(low[:n], 99)
     if few.any():
-        own = np.repeat(np.where(few, np.cumsum(few) - 1, -1), count)
-        at = own >= 0
-        xs, ls = x[at], own[at]
+        xs, ls = x[np.repeat(few, count)], np.repeat(np.arange(int(few.sum())) * ROWS, count[few])
         for band in range(BANDS):
-            low = _minima(mix(xs + np.uint64((band + 1) * _ODD & (1 << 64) - 1)), ls, int(few.sum()), ROWS)
+            # An odd multiple of evenly spread hashes is another permutation of them.
+            low = _minima(xs * _TURNS[band], ls, int(few.sum()), ROWS)
             keys[few, band] = _banded(low, band + 1)[:, 0]
     has = np.concatenate([few[:, None].repeat(BANDS, 1), many[:, None].repeat(BANDS, 1)], axis=1)
     return keys[has], has.sum(axis=1), size_bits(least, count)
@@ -163,63 +176,46 @@ def _signed(docs: DataFrame, least: int, size: int, percent: int, short: bool) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in LINE_SCHEMA.split(", ")]
         seen: set[bytes] = set()  # bounded; a line's keys are given again if it was forgotten
-        recent: list[np.ndarray] = []
-        signed, most = 0, max(least, size)
-
-        def hot(least_lines: int) -> np.ndarray | None:
-            nonlocal recent, signed
-            if signed < least_lines or not recent:
-                return None
-            out, recent, signed = hot_keys(np.concatenate(recent), signed), [], 0
-            return out if len(out) else None
-
-        def hot_row(keys: np.ndarray) -> pa.RecordBatch:
-            null = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays([*null, pa.array([keys.view(np.int64).tolist()], pa.list_(pa.int64()))], names=names)
-
+        most = max(least, size)
         for batch in batches:
-            for i, j, offsets, data in chunked(batch.column(2), TEXT_BYTES):
+            for i, _, offsets, data in chunked(batch.column(2), TEXT_BYTES):
                 text = data.tobytes().translate(_SAME)
-                chars, place = _characters(text, offsets.tolist())
-                rows, numbers, digests, fresh, start, stop = [], [], [], [], [], []
-                for k in range(i, j):
-                    at = int(offsets[k - i])
-                    for number, line in enumerate(text[at : int(offsets[k - i + 1])].split(b"\n")):
-                        end = at + len(line)
-                        if line:
-                            a, b = int(place[at]), int(place[end])
-                            if b - a >= least or short and any(map(str.isalnum, map(chr, chars[a:b].tolist()))):
-                                own = blake2b(line, digest_size=16).digest()
-                                rows.append(k)
-                                numbers.append(number)
-                                digests.append(own)
-                                fresh.append(b - a >= most and own not in seen)
-                                if fresh[-1]:
-                                    if len(seen) >= SEEN_LINES:
-                                        seen.clear()
-                                    seen.add(own)
-                                    start.append(a)
-                                    stop.append(b)
-                        at = end + 1
-                if not rows:
+                chars, place = _characters(text, offsets)
+                breaks = np.flatnonzero(data == 10)
+                head = np.union1d(offsets[:-1], breaks + 1)
+                head = head[head < len(data)]
+                doc = np.searchsorted(offsets, head, "right") - 1
+                passed = np.searchsorted(breaks, head)
+                tail = np.minimum(np.append(breaks, len(data))[passed], offsets[doc + 1])
+                number = passed - np.searchsorted(breaks, offsets)[doc]
+                start, stop = place(head), place(tail)
+                wanted = stop - start >= least
+                if short:
+                    for k in np.flatnonzero(~wanted & (stop > start)).tolist():
+                        wanted[k] = any(map(str.isalnum, map(chr, chars[start[k] : stop[k]].tolist())))
+                if not wanted.any():
                     continue
-                keys, counts, bits = line_keys(shingle_hashes(chars, size), np.array(start, np.int64), np.array(stop, np.int64), size, percent)
-                recent.append(keys)
-                signed += len(start)
-                given = np.array(fresh)
-                sizes = np.zeros(len(rows), np.int64)
+                head, tail, doc, number, start, stop = (c[wanted] for c in (head, tail, doc, number, start, stop))
+                digests = [blake2b(text[a:b], digest_size=16).digest() for a, b in zip(head.tolist(), tail.tolist(), strict=True)]
+                given = stop - start >= most
+                for k in np.flatnonzero(given).tolist():
+                    if digests[k] in seen:
+                        given[k] = False
+                    else:
+                        if len(seen) >= SEEN_LINES:
+                            seen.clear()
+                        seen.add(digests[k])
+                keys, counts, bits = line_keys(shingle_hashes(chars, size), start[given], stop[given], size, percent)
+                rows = len(digests)
+                sizes = np.zeros(rows, np.int64)
                 sizes[given] = counts
-                told = np.zeros(len(rows), np.int32)
+                told = np.zeros(rows, np.int32)
                 told[given] = bits
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 keyed = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64)), mask=pa.array(~given))
-                hashes = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, 16 * len(rows) + 1, 16, np.int32)), pa.py_buffer(b"".join(digests))])
-                at = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), hashes, pa.array(told), keyed, pa.nulls(len(rows), pa.list_(pa.int64()))], names=names)
-                if (found := hot(FLUSH_LINES)) is not None:
-                    yield hot_row(found)
-        if (found := hot(0)) is not None:
-            yield hot_row(found)
+                hashes = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(np.arange(0, 16 * rows + 1, 16, np.int32)), pa.py_buffer(b"".join(digests))])
+                at = pa.array(i + doc)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(number.astype(np.int32)), hashes, pa.array(told), keyed], names=names)
 
     return docs.select("doc_id", "tie", "text").mapInArrow(run, LINE_SCHEMA)
 
@@ -249,17 +245,17 @@ def removed_lines(docs: DataFrame, scratch: Scratch, least: int = LEAST_CHARS, p
     Rows that agree in doc_id and tie have the same text.
     """
     wide = scratch.cut(_signed(docs, least, size, percent, short), "lines")
-    lines = wide.filter("id is not null").select("doc_id", "tie", "line_no", "id")
+    lines = wide.select("doc_id", "tie", "line_no", "id")
     # 48 bits name a line where tiles are found; lines that agree in them but not in all 128 both come along.
     short = F.xxhash64("id").bitwiseAND(F.lit(NAME_MASK))
     name = short.alias("name")
-    shared = shared_tiles(wide.select(short.bitwiseOR(F.col("sizes").cast("long")).alias("name"), "keys", "hot"), scratch, percent)
+    shared = shared_tiles(wide.select(short.bitwiseOR(F.col("sizes").cast("long")).alias("name"), "keys"), scratch, percent)
     reps = lines.groupBy("id").agg(F.min(F.struct("doc_id", "tie", "line_no")).alias("first"), F.count(F.lit(1)).alias("copies"))
     reps = scratch.cut(reps, "reps")
     own = reps.select("first.*", name).join(shared.select("name").distinct(), "name", "left_semi")
     own = scratch.cut(own.groupBy("doc_id", "tie").agg(F.collect_list("line_no").alias("wanted")), "wanted")
     members = scratch.cut(_members(docs.join(own.hint("shuffle_hash"), ["doc_id", "tie"]).select("text", "wanted")), "members")
-    near = link_small_sets(shared, members.select("id", "elements", name), percent, scratch, partial(line_sets, size=size))
+    near = link_small_sets(shared, members.select("id", "elements", name), percent, scratch, bags_of=partial(line_bags, size=size))
     scratch.drop(members, shared, own)
     # A line of one copy that is linked with none has nothing to lose.
     joined = reps.join(near, "id", "left").filter("component is not null or copies > 1").withColumn("component", F.coalesce("component", "id"))

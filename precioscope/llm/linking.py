@@ -18,18 +18,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from precioscope.llm.arrowtext import mix
 from precioscope.llm.components import components
 from precioscope.llm.scratch import Scratch
 
 BLOCK_MEMBERS = 256
 SMALL_TILE = 6
-#: A key that more than one in so many members of a flush have is hot; its members need no shuffle to find each other.
-HOT_SHARE = 500
+#: A key of more than so many rows of a pack is hot; its rows need not meet to be known as shared.
 LEAST_HOT = 64
-MOST_HOT_SENT = 50_000
+PACK_ROWS = 1_000_000
+PACKS, LEAST_PACKS = 16, 512
+PACK_SCHEMA = "pack int, hot int, pairs binary"
+_PLAIN, _HOT, _REST = range(3)
 MET_ROWS = 1_000_000
 #: A task that holds more than twice MET_ROWS gives away the rows of keys that have more than so many.
 MET_KEY_ROWS = 20_000
@@ -38,7 +42,10 @@ NAME_MASK = ~0xFFFF
 #: Of 16 bytes each, as are those of the hot keys of 8.
 MOST_ASKED_SENT = 500_000
 BATCH_ROWS = 50_000
-SETS_AT_ONCE = 512
+ROWS_AT_ONCE = 4096
+#: Pairs of tiles of at most so many members are compared many tiles at a time, by bitmaps of SPOTS bits.
+PAIRED_TILE = 32
+SPOTS = 512
 
 
 def parity_bitmap(hashes: np.ndarray, bits: int) -> bytes:
@@ -74,12 +81,11 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def hot_keys(keys: np.ndarray, members: int) -> np.ndarray:
-    """Keys of a flush that more than one in HOT_SHARE of its members have."""
-    if not len(keys):
-        return keys
-    u, n = np.unique(keys, return_counts=True)
-    return u[n > max(LEAST_HOT, members // HOT_SHARE)]
+def sorted_set(values: np.ndarray) -> np.ndarray:
+    """The different values in order; for short arrays this is much faster than np.unique."""
+    u = np.sort(values)
+    again = u[1:] == u[:-1]
+    return np.concatenate([u[:1], u[1:][~again]]) if again.any() else u
 
 
 def size_bits(least: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -101,17 +107,82 @@ def _rows_of(key: np.ndarray, name: np.ndarray, raw: bool) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(name[i : i + BATCH_ROWS]), pa.array(np.full(len(k), raw))], names=["key", "name", "raw"])
 
 
+def _packed(batches: Iterator[pa.RecordBatch], packs: int, most: int = PACK_ROWS) -> Iterator[pa.RecordBatch]:
+    """(pack, hot, pairs) of the (name, keys) of a partition: keys and names of a range of keys in one row.
+
+    Of a hot key one row goes to its pack and tells so, and the rest, known to be shared, is dealt to any pack.
+    """
+    parts: list[tuple] = []
+    held = 0
+
+    def out() -> pa.RecordBatch:
+        key, name = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(key)
+        key, name = key[order], name[order]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        length = np.diff(np.append(start, len(key)))
+        kind = np.full(len(key), _PLAIN)
+        if (hot := length > LEAST_HOT).any():
+            kind[np.repeat(hot, length)] = _REST
+            kind[start[hot]] = _HOT
+        rows = []
+        for k in (_PLAIN, _HOT, _REST):
+            own, names = (key, name) if k == _PLAIN and not hot.any() else (key[kind == k], name[kind == k])
+            if k == _REST:
+                cuts = np.arange(0, len(own), LEAST_HOT)
+                to = (mix(own[cuts] + cuts.astype(np.uint64)) % np.uint64(packs)).tolist()
+            else:
+                place = ((own >> np.uint64(32)) * np.uint64(packs)) >> np.uint64(32)
+                cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(own) else np.zeros(0, np.int64)
+                to = place[cuts].tolist()
+            ends = [*cuts.tolist(), len(own)]
+            rows += [(p, k, own[a:b].tobytes() + names[a:b].tobytes()) for p, a, b in zip(to, ends[:-1], ends[1:], strict=True)]
+        kinds = (pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["pack", "hot", "pairs"])
+
+    for batch in batches:
+        keys = batch.column(1)
+        key = keys.flatten().to_numpy().view(np.uint64)
+        if not len(key):
+            continue
+        sizes = pc.fill_null(pc.list_value_length(keys), 0).to_numpy(zero_copy_only=False)
+        parts.append((key, np.repeat(pc.fill_null(batch.column(0), 0).to_numpy(zero_copy_only=False), sizes)))
+        held += len(key)
+        if held >= most:
+            yield out()
+            parts, held = [], 0
+    if held:
+        yield out()
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, name) of packed rows; of hot ones also (hot), one kind a batch."""
+    for batch in batches:
+        for kind, pairs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            key, name = np.frombuffer(pairs, np.int64).reshape(2, -1)
+            columns = {"key": pa.array(key), "name": pa.array(name)}
+            if kind != _PLAIN:
+                columns["hot"] = pa.array(np.full(len(key), kind))
+            yield pa.RecordBatch.from_pydict(columns)
+
+
 def _met(batches: Iterator[pa.RecordBatch], percent: int | None, most: int = 2 * MET_ROWS, large: int = MET_KEY_ROWS) -> Iterator[pa.RecordBatch]:
     """The (key, name, raw) of a partition whose key has several names, once each; with ``percent`` not those
     of two names whose sizes are too different.
 
-    Once more than ``most`` rows are held, keys of more than ``large`` of them are given away as they come (raw: names
-    may repeat, and of one name only there may be), so what is held does not grow with a key.
+    Rows of hot keys are given as they are (raw: names may repeat, and of one name only there may be).  Once more than
+    ``most`` rows are held, keys of more than ``large`` of them are given away as they come, raw too, so what is held
+    does not grow with a key.
     """
-    parts, held, given = [], 0, np.zeros(0, np.int64)
+    parts, held, given, hot = [], 0, np.zeros(0, np.int64), []
     plain = (lambda n: n) if percent is None else (lambda n: n & NAME_MASK)
     for batch in batches:
         key, name = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:2])
+        if batch.num_columns > 2:
+            yield from _rows_of(key, plain(name), True)
+            if batch.column(2)[0].as_py() == _HOT:
+                hot.append(key)
+            continue
         if len(given):
             away = np.isin(key, given)
             yield from _rows_of(key[away], plain(name[away]), True)
@@ -131,10 +202,15 @@ def _met(batches: Iterator[pa.RecordBatch], percent: int | None, most: int = 2 *
         return
     key, name = (np.concatenate(c) for c in zip(*parts, strict=True))
     del parts
+    if hot:
+        away = np.isin(key, np.concatenate(hot))
+        yield from _rows_of(key[away], plain(name[away]), True)
+        key, name = key[~away], name[~away]
     order = np.argsort(key)
     key, name = key[order], name[order]
     # Most keys stand alone; only the rows of the others are put in order of names.
-    same = np.concatenate([[False], key[1:] == key[:-1]])
+    same = np.zeros(len(key), bool)
+    same[1:] = key[1:] == key[:-1]
     same[:-1] |= same[1:]
     key, name = key[same], name[same]
     order = np.lexsort((name, key))
@@ -165,21 +241,15 @@ def _like(df: DataFrame, table: DataFrame) -> DataFrame:
 def shared_tiles(wide: DataFrame, scratch: Scratch, percent: int | None = None) -> DataFrame:
     """(key, name, count) of the keys that several names have; of keys with the same names, one.
 
-    wide: (name long, keys array<long>, hot array<long>), a table.  With ``percent`` the low 16 bits of
-    a name are size_bits, which the result's names do not have any more.  Hot keys, found by the tasks that
-    made the table, are known to be shared, so their rows are not brought together for that.
+    wide: (name long, keys array<long>), a table.  With ``percent`` the low 16 bits of a name are size_bits,
+    which the result's names do not have any more.  Keys travel in packs, so a row moved holds many of them.
     """
-    hot = scratch.cut(wide.select(F.explode("hot").alias("key")).distinct(), "hot")
-    n_hot = hot.count()
-    rows = wide.select(F.explode("keys").alias("key"), "name")
-    few = F.broadcast(hot) if n_hot <= MOST_HOT_SENT else hot
-    plain = rows.join(few, "key", "left_anti") if n_hot else rows
     # Without the hot keys rows spread evenly, so a partition has about MET_ROWS rows of 16 bytes.
     total = wide.agg(F.sum(F.size("keys").cast("long")).alias("n")).first()["n"] or 0
-    met = plain.repartition(total // MET_ROWS + 1, "key").mapInArrow(lambda batches: _met(batches, percent), "key long, name long, raw boolean")
-    if n_hot:
-        own = F.col("name") if percent is None else F.col("name").bitwiseAND(F.lit(NAME_MASK))
-        met = met.unionByName(rows.join(few, "key", "left_semi").select("key", own.alias("name")).distinct().withColumn("raw", F.lit(False)))
+    parts = total // MET_ROWS + 1
+    packs = max(LEAST_PACKS, PACKS * parts)
+    packed = wide.filter("keys is not null").select("name", "keys").mapInArrow(lambda batches: _packed(batches, packs), PACK_SCHEMA)
+    met = packed.repartition(parts, "pack").mapInArrow(lambda batches: _met(_unpacked(batches), percent), "key long, name long, raw boolean")
     shared = scratch.cut(met, "tiles")
     if shared.filter("raw").limit(1).count():
         once = scratch.cut(shared.filter("not raw").unionByName(shared.filter("raw").distinct()), "once")
@@ -248,44 +318,101 @@ def forest(sets: list[np.ndarray], percent: int, labels: list | None = None) ->
     return [(find(x), x) for x in joined]
 
 
-def _tile_links(members: DataFrame, percent: int, sets_of: Callable[[list[bytes]], list[np.ndarray]]) -> DataFrame:
+def _pairs(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (later, earlier) pairs of the members of tiles, given by first member and number of members."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for n in np.unique(size[size > 1]).tolist():
+        x, y = np.tril_indices(n, -1)
+        at = start[size == n][:, None]
+        a.append((at + x).ravel())
+        b.append((at + y).ravel())
+    return np.concatenate(a), np.concatenate(b)
+
+
+def tile_forests(tiles: list[int], comps: list, bags: tuple[np.ndarray, np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links (stars) that join what the pairwise links inside each tile join; members of one label are joined already.
+
+    tiles in order; bags: (elements one member after another, repeats allowed; number of each member's).  A bit that only
+    one of two members sets stands for an element that only it has, so bit counts bound how far two are apart.
+    """
+    values, counts = bags
+    n = len(tiles)
+    ends = np.cumsum(counts)
+    made: dict[int, np.ndarray] = {}
+
+    def set_of(i: int) -> np.ndarray:
+        if i not in made:
+            made[i] = sorted_set(values[ends[i] - counts[i] : ends[i]])
+        return made[i]
+
+    first: dict = {}
+    parent = [i if c is None else first.setdefault((t, c), i) for i, (t, c) in enumerate(zip(tiles, comps, strict=True))]
+    root = np.array(parent)
+    number = np.array(tiles)
+    start = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+    size = np.diff(np.append(start, n))
+    out = []
+    for s, m in zip(start[size > PAIRED_TILE].tolist(), size[size > PAIRED_TILE].tolist(), strict=True):
+        own = [i if comps[i] is None else comps[i] for i in range(s, s + m)]
+        out += [(s + x, s + y) for x, y in forest([set_of(i) for i in range(s, s + m)], percent, own)]
+    small = size <= PAIRED_TILE
+    a, b = _pairs(start[small], size[small])
+    if not len(a):
+        return out
+    present = np.zeros(n * SPOTS, bool)
+    present[np.repeat(np.arange(n) * SPOTS, counts) + (values & np.uint64(SPOTS - 1)).astype(np.int64)] = True
+    grid = np.packbits(present, bitorder="little").view(np.uint64).reshape(n, SPOTS // 64)
+    apart = np.bitwise_count(grid[a] ^ grid[b]).sum(axis=1, dtype=np.int64)
+    ok = (apart <= most_apart(counts[a], counts[b], percent)) & (root[a] != root[b])
+    a, b, apart = a[ok], b[ok], apart[ok]
+    order = np.argsort(apart, kind="stable")
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    joined = []
+    for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True):
+        x, y = find(i), find(j)
+        if x != y and similar(set_of(i), set_of(j), percent):
+            parent[max(x, y)] = min(x, y)
+            joined.append(max(x, y))
+    return out + [(find(x), x) for x in joined]
+
+
+def _tile_links(members: DataFrame, percent: int, bags_of: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """(a, b): the links of each tile's forest; members (tile, id, component, elements) sorted by tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[bytes] = []
-        comps: list[bytes | None] = []
-        sets: list[np.ndarray] = []
-        tile, a, b = None, [], []
-        held: set[bytes] = set()
+        rows: dict[tuple, tuple] = {}  # of whole tiles but for the last
+        tile = None
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            tiles, ids, comps, elements = (list(c) for c in zip(*rows.values(), strict=True)) if rows else ([], [], [], [])
+            links = tile_forests(tiles, comps, bags_of(elements), percent) if len(rows) > 1 else []
+            ends = [pa.array([ids[link[k]] for link in links], pa.binary()) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
 
         for batch in batches:
-            columns = [x.to_pylist() for x in batch.columns]
-            sets_in_turn = (s for k in range(0, batch.num_rows, SETS_AT_ONCE) for s in sets_of(columns[3][k : k + SETS_AT_ONCE]))
-            for t, i, c, s in zip(*columns[:3], sets_in_turn, strict=True):
-                if t != tile:
-                    for x, y in forest(sets, percent, comps if any(comps) else None) if len(ids) > 1 else ():
-                        a.append(ids[x])
-                        b.append(ids[y])
-                    ids, comps, sets, held, tile = [], [], [], set(), t
-                if i not in held:
-                    held.add(i)
-                    ids.append(i)
-                    comps.append(c)
-                    sets.append(s)
-            if len(a) > 20_000:
-                yield out()
-                a, b = [], []
-        for x, y in forest(sets, percent, comps if any(comps) else None) if len(ids) > 1 else ():
-            a.append(ids[x])
-            b.append(ids[y])
+            for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if row[0] != tile:
+                    if len(rows) >= ROWS_AT_ONCE:
+                        yield out()
+                        rows = {}
+                    tile = row[0]
+                rows.setdefault(row[:2], row)
         yield out()
 
     return members.select("tile", "id", "component", "elements").mapInArrow(run, "a binary, b binary")
 
 
+def bags(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sets one after another, and the number of each one's elements."""
+    return np.concatenate([np.zeros(0, np.uint64), *sets]), np.array([len(s) for s in sets], np.int64)
+
+
 def _home(shared: DataFrame) -> DataFrame:
     """(key, name, count) of each name's key with most members, counted by those whose key that is; not of one alone."""
     home = shared.groupBy("name").agg(F.max_by("key", F.struct("count", "key")).alias("key"))
@@ -350,21 +477,24 @@ def _grown(links: DataFrame, labels: DataFrame | None, scratch: Scratch) -> Data
     return out
 
 
-def link_small_sets(shared: DataFrame, members: DataFrame, percent: int, scratch: Scratch, sets_of: Callable[[list[bytes]], list[np.ndarray]]) -> DataFrame:
+def link_small_sets(shared: DataFrame, members: DataFrame, percent: int, scratch: Scratch, sets_of: Callable[[list[bytes]], list[np.ndarray]] | None = None, bags_of: Callable | None = None) -> DataFrame:
     """(id, component) of the members that are linked with another, where elements are short.
 
+    Elements are read by ``sets_of``, or by ``bags_of`` (all elements, repeats allowed, and the number of each member's).
+
     shared (key, name, count); members (name, id, elements), tables; several ids may share a name.
     Every tile is decided exactly where its members meet: blocks of keys first, then what is left
     between the blocks of large keys.
     """
+    bags_of = bags_of or (lambda elements: bags(sets_of(elements)))
     rows = _in_blocks(shared).join(members, "name").select("tile", "id", _no_component(), "elements")
-    links = scratch.cut(_tile_links(_sorted_by_tile(rows), percent, sets_of), "links")
+    links = scratch.cut(_tile_links(_sorted_by_tile(rows), percent, bags_of), "links")
     labels = _grown(links, None, scratch)
     large = shared.filter(F.col("count") > BLOCK_MEMBERS).join(members.select("name", "id"), "name").select("key", "id")
     rest = scratch.cut(open_tiles(_labelled(large, labels)), "open")
     if rest.limit(1).count():
         rows = rest.join(_asked(rest.select("id"), members, scratch), "id").select("tile", "id", "component", "elements")
-        links = scratch.cut(_tile_links(_sorted_by_tile(rows), percent, sets_of), "links")
+        links = scratch.cut(_tile_links(_sorted_by_tile(rows), percent, bags_of), "links")
         labels = _grown(links, labels, scratch)
     scratch.drop(rest)
     return labels
@@ -510,6 +640,6 @@ def link_large_sets(shared: DataFrame, arrays: DataFrame, percent: int, scratch:
             labels = _grown(result.filter("linked").select("a", "b"), labels, scratch)
         if not some:
             return labels
-        old, now = now, scratch.cut(tiles.join(more, "key", "left_semi").select("key", "id").distinct(), "members")
+        old, now = now, scratch.cut(now.join(more, "key", "left_semi"), "members")
         scratch.drop(old, tiles, found)
         best = 1 if best == 0 else best if linked else 16 * best

@@ -22,15 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from precioscope.llm.arrowtext import chunked, mix, word_shingles
-from precioscope.llm.linking import bitmap_bits, hot_keys, link_large_sets, most_apart, parity_bitmap, shared_tiles
+from precioscope.llm.linking import bitmap_bits, link_large_sets, most_apart, parity_bitmap, shared_tiles
 from precioscope.llm.scratch import Scratch
 
 #: Parts beyond the least number: so many, and more in bands where sets have more empty parts by chance (spare_parts).
 SPARE_PARTS = 3
 SEEN_SETS = 100_000
-FLUSH_SETS = 20_000
 _PART, _BAND, _SUM = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
-SIGN_SCHEMA = "doc long, id binary, name long, n long, keys array<long>, hot array<long>"
+SIGN_SCHEMA = "doc long, id binary, name long, n long, keys array<long>"
 ELEMENT_SCHEMA = "name long, id binary, n long, bitmap binary, elements binary"
 
 
@@ -99,29 +98,21 @@ def _set_id(u: np.ndarray) -> bytes:
 
 def signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Per document: its set's size, 128-bit hash and the first 64 bits of that as a name; once a task the
-    set's tile keys; and rows of hot keys."""
+    set's tile keys."""
 
     kind = docs.schema["doc"].dataType.simpleString()
     doc_type = pa.binary() if kind == "binary" else pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SIGN_SCHEMA.split(", ")]
-        kinds = (doc_type, pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        kinds = (doc_type, pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
         edges, seen = bands(percent), set()
         held: list[tuple] = []
-        recent: list[np.ndarray] = []
-        size = members = 0
+        size = 0
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([h[c] for h in held], k) for c, k in enumerate(kinds)], names=names)
 
-        def with_hot() -> None:
-            nonlocal recent, members
-            hot = hot_keys(np.concatenate(recent), members) if recent else ()
-            if len(hot):
-                held.append((None, None, None, None, None, hot.view(np.int64)))
-            recent, members = [], 0
-
         for doc, u in _sets(batches, words):
             own = _set_id(u)
             keys = None
@@ -130,16 +121,11 @@ def signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     seen.clear()
                 seen.add(own)
                 keys = set_keys(u, edges, percent).view(np.int64)
-                recent.append(keys.view(np.uint64))
-                members += 1
                 size += len(keys)
-            held.append((doc, own, int.from_bytes(own[:8], "little", signed=True), len(u), keys, None))
-            if members >= FLUSH_SETS:
-                with_hot()
+            held.append((doc, own, int.from_bytes(own[:8], "little", signed=True), len(u), keys))
             if len(held) >= 1000 or size > 200_000:
                 yield out()
                 held, size = [], 0
-        with_hot()
         yield out()
 
     return docs.select("doc", "text").mapInArrow(run, SIGN_SCHEMA.replace("doc long", f"doc {kind}"))
@@ -178,8 +164,8 @@ def ngram_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Data
     texts = docs.select(F.col("doc_id").cast(kind).alias("doc"), "text")
     known = texts.filter("doc is not null")
     wide = scratch.cut(signed(known, words, percent), "signs")
-    signs = scratch.cut(wide.filter("id is not null").select("doc", "id", "name", "n"), "documents")
-    shared = shared_tiles(wide.filter("keys is not null or hot is not null").select("name", "keys", "hot"), scratch)
+    signs = scratch.cut(wide.select("doc", "id", "name", "n"), "documents")
+    shared = shared_tiles(wide.select("name", "keys"), scratch)
     scratch.drop(wide)  # keys need the most room
     sets = scratch.cut(signs.filter("n > 0").groupBy("id", "name").agg(F.min("doc").alias("rep")), "sets")
     wanted = sets.join(shared.select("name").distinct(), "name", "left_semi").select(F.col("rep").alias("doc")).distinct()
