@@ -62,3 +62,17 @@ def test_lines_are_those_that_splitting_gives():
     got = [(r["doc_id"], r["line_no"]) for b in _signed(Docs(), 20, 5, 80, True)(iter([batch])) for r in b.to_pylist()]
     want = [(i, k) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n")) if any(map(str.isalnum, x))]
     assert got == want
+
+
+def test_hot_keys_travel_in_packs_without_a_join(spark):
+    from precioscope.llm.linking import LEAST_HOT, shared_tiles
+    from precioscope.llm.scratch import Scratch
+
+    hot = 5 * LEAST_HOT
+    rows = [(i, [7, 1000 + i, 2000 + i // 2]) for i in range(hot)] + [(9000, [1001]), (9001, None), (9002, [-5, 8]), (9003, [-5]), (0, [7, 1000])]
+    wide = spark.createDataFrame(rows, "name long, keys array<long>").repartition(3)
+    got: dict = {}
+    for r in shared_tiles(wide, Scratch(spark, "hot")).collect():
+        got.setdefault(r["key"], []).append((r["name"], r["count"]))
+    want = {7: range(hot), 1001: (1, 9000), -5: (9002, 9003), **{2000 + i: (2 * i, 2 * i + 1) for i in range(hot // 2)}}
+    assert {k: sorted(v) for k, v in got.items()} == {k: [(n, len(v)) for n in v] for k, v in want.items()}
