@@ -55,8 +55,8 @@ def parity_bitmap(hashes: np.ndarray, bits: int) -> bytes:
 
 
 def bitmap_bits(n: int, percent: int) -> int:
-    """Bits of the bitmap of a set of n elements: several times what two similar sets can differ in."""
-    return min(1 << 16, max(64, 1 << int(8 * most_apart(n, n, percent)).bit_length()))
+    """Bits of the bitmap of a set of n elements: many times what two similar sets can differ in, so few others pass."""
+    return min(1 << 16, max(64, 1 << int(32 * most_apart(n, n, percent)).bit_length()))
 
 
 def _fold(bitmap: np.ndarray, size: int) -> np.ndarray:

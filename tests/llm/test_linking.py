@@ -76,3 +76,16 @@ def test_hot_keys_travel_in_packs_without_a_join(spark):
         got.setdefault(r["key"], []).append((r["name"], r["count"]))
     want = {7: range(hot), 1001: (1, 9000), -5: (9002, 9003), **{2000 + i: (2 * i, 2 * i + 1) for i in range(hot // 2)}}
     assert {k: sorted(v) for k, v in got.items()} == {k: [(n, len(v)) for n in v] for k, v in want.items()}
+
+
+def test_near_misses_are_mostly_no_candidates():
+    from precioscope.llm.linking import admitted, bitmap_bits, most_apart, parity_bitmap
+
+    rng = np.random.default_rng(9)
+    n, few = 600, 0
+    over = int(most_apart(n, n, 85) * 1.08) // 2 + 1
+    for _ in range(50):
+        u = rng.integers(0, 1 << 63, n + over).astype(np.uint64)
+        maps = [parity_bitmap(s, bitmap_bits(n, 85)) for s in (u[:n], u[over:])]
+        few += len(admitted([b"a" * 16, b"b" * 16], [b"a", b"b"], np.array([n, n]), maps, 85, 1)[0])
+    assert few < 10
