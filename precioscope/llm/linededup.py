@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from precioscope.llm.arrowtext import chunked, mix
+from precioscope.llm.arrowtext import buffers, chunked, mix
 from precioscope.llm.linking import NAME_MASK, link_small_sets, shared_tiles, size_bits, sorted_set
 from precioscope.llm.scratch import Scratch
 
@@ -42,6 +42,8 @@ _ODD = 0x9E3779B97F4A7C15
 _NONE = np.iinfo(np.uint64).max
 #: Odd multipliers, one for each band of short lines.
 _TURNS = mix(np.arange(101, 101 + BANDS, dtype=np.uint64)) | np.uint64(1)
+_SEEDS = np.arange(1, BANDS + 1, dtype=np.uint64) + np.uint64(99 << 32)
+_FEW_SEEDS = (np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(32)) + np.uint64(1)
 #: Bytes of text at a time: their arrays stay in a core's cache.
 TEXT_BYTES = 1 << 17
 _TABLES: list[np.ndarray] = []
@@ -92,11 +94,11 @@ def line_set(line: bytes, size: int = SHINGLE) -> np.ndarray:
     return np.unique(shingle_hashes(chars, size)[: max(1, len(chars) - size + 1)])
 
 
-def line_bags(lines: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def line_bags(lines: list[bytes] | pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(shingle hashes of many lines one after another, repeats included; number of each line's)."""
-    bounds = np.concatenate([[0], np.cumsum(np.array(list(map(len, lines)), np.int64))])
-    chars, place = _characters(b"".join(lines), bounds)
-    start = place(bounds)
+    offsets, data = buffers(lines if isinstance(lines, pa.Array) else pa.array(lines, pa.binary()))
+    chars, place = _characters(data[offsets[0] : offsets[-1]].tobytes(), offsets - offsets[0])
+    start = place(offsets - offsets[0])
     counts = np.maximum(np.diff(start) - size + 1, 1)
     return shingle_hashes(chars, size)[np.arange(counts.sum()) + np.repeat(start[:-1] - np.cumsum(counts) + counts, counts)], counts
 
@@ -130,10 +132,9 @@ def _minima(x: np.ndarray, row: np.ndarray, lines: int, bins: int) -> np.ndarray
     return low
 
 
-def _banded(low: np.ndarray, seed: int) -> np.ndarray:
-    """A key of each ROWS neighbouring minima; they are evenly spread numbers, so sums of odd multiples are."""
-    bands = low.shape[1] // ROWS
-    key = mix(np.arange(1, bands + 1, dtype=np.uint64) + np.uint64(seed << 32))[None, :].repeat(len(low), 0)
+def _banded(low: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """A key of each ROWS neighbouring minima, by seeds for each band; they are evenly spread numbers, so sums of odd multiples are."""
+    key = mix(np.broadcast_to(seeds, (len(low), low.shape[1] // ROWS)))
     for r in range(ROWS):
         key = mix(key + low[:, r::ROWS])
     return key
@@ -158,13 +159,14 @@ def line_keys(h: np.ndarray, start: np.ndarray, stop: np.ndarray, size: int = SH
         n = int(many.sum())
         # Lines that are not meant share a last row, which is left out.
         low = _minima(x, np.repeat(np.where(many, np.cumsum(many) - 1, n) * BINS, count), n + 1, BINS)
-        keys[many, BANDS:] = _banded(low[:n], 99)
+        keys[many, BANDS:] = _banded(low[:n], _SEEDS)
     if few.any():
-        xs, ls = x[np.repeat(few, count)], np.repeat(np.arange(int(few.sum())) * ROWS, count[few])
-        for band in range(BANDS):
-            # An odd multiple of evenly spread hashes is another permutation of them.
-            low = _minima(xs * _TURNS[band], ls, int(few.sum()), ROWS)
-            keys[few, band] = _banded(low, band + 1)[:, 0]
+        # An odd multiple of evenly spread hashes is another permutation of them; a row for each line and band.
+        n = int(few.sum())
+        xs = x[np.repeat(few, count)] * _TURNS[:, None]
+        ls = np.repeat(np.arange(n) * ROWS, count[few]) + np.arange(0, BANDS * n * ROWS, n * ROWS)[:, None]
+        low = _minima(xs.ravel(), ls.ravel(), BANDS * n, ROWS)
+        keys[few, :BANDS] = _banded(low, np.repeat(_FEW_SEEDS, n)[:, None]).reshape(BANDS, n).T
     has = np.concatenate([few[:, None].repeat(BANDS, 1), many[:, None].repeat(BANDS, 1)], axis=1)
     return keys[has], has.sum(axis=1), size_bits(least, count)
 
@@ -252,17 +254,17 @@ def removed_lines(docs: DataFrame, scratch: Scratch, least: int = LEAST_CHARS, p
     shared = shared_tiles(wide.select(short.bitwiseOR(F.col("sizes").cast("long")).alias("name"), "keys"), scratch, percent)
     reps = lines.groupBy("id").agg(F.min(F.struct("doc_id", "tie", "line_no")).alias("first"), F.count(F.lit(1)).alias("copies"))
     reps = scratch.cut(reps, "reps")
-    own = reps.select("first.*", name).join(shared.select("name").distinct(), "name", "left_semi")
+    own = reps.select("first.*", name).join(shared.select("name").distinct().hint("shuffle_hash"), "name", "left_semi")
     own = scratch.cut(own.groupBy("doc_id", "tie").agg(F.collect_list("line_no").alias("wanted")), "wanted")
     members = scratch.cut(_members(docs.join(own.hint("shuffle_hash"), ["doc_id", "tie"]).select("text", "wanted")), "members")
     near = link_small_sets(shared, members.select("id", "elements", name), percent, scratch, bags_of=partial(line_bags, size=size))
     scratch.drop(members, shared, own)
     # A line of one copy that is linked with none has nothing to lose.
-    joined = reps.join(near, "id", "left").filter("component is not null or copies > 1").withColumn("component", F.coalesce("component", "id"))
+    joined = reps.join(near.hint("shuffle_hash"), "id", "left").filter("component is not null or copies > 1").withColumn("component", F.coalesce("component", "id"))
     joined = scratch.cut(joined.select("id", "first", "component"), "joined")
     best = joined.groupBy("component").agg(F.min("first").alias("winner"))
-    losing = scratch.cut(joined.join(best, "component").select("id", "winner"), "losing")
-    gone = lines.join(losing, "id").filter(F.struct("doc_id", "tie", "line_no") != F.col("winner"))
+    losing = scratch.cut(joined.join(best.hint("shuffle_hash"), "component").select("id", "winner"), "losing")
+    gone = lines.join(losing.hint("shuffle_hash"), "id").filter(F.struct("doc_id", "tie", "line_no") != F.col("winner"))
     gone = scratch.cut(gone.groupBy("doc_id", "tie").agg(F.collect_set("line_no").alias("gone")), "gone")
     scratch.drop(wide, reps, near, joined, losing)
     return gone

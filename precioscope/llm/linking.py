@@ -34,6 +34,8 @@ PACK_ROWS = 1_000_000
 PACKS, LEAST_PACKS = 16, 512
 PACK_SCHEMA = "pack int, hot int, pairs binary"
 _PLAIN, _HOT, _REST = range(3)
+_FILL = np.uint64(np.iinfo(np.uint64).max)
+_UNMARKED = np.uint64(np.iinfo(np.uint64).max - 1)
 MET_ROWS = 1_000_000
 #: A task that holds more than twice MET_ROWS gives away the rows of keys that have more than so many.
 MET_KEY_ROWS = 20_000
@@ -43,9 +45,13 @@ NAME_MASK = ~0xFFFF
 MOST_ASKED_SENT = 500_000
 BATCH_ROWS = 50_000
 ROWS_AT_ONCE = 4096
+#: Whole tiles are compared together as far as they hold about so many bytes.
+BYTES_AT_ONCE = 1 << 18
 #: Pairs of tiles of at most so many members are compared many tiles at a time, by bitmaps of SPOTS bits.
 PAIRED_TILE = 32
-SPOTS = 512
+SPOTS = 2048
+#: Elements of pairs that are put in order at a time: they stay in a core's cache.
+PAIRED_ELEMENTS = 1 << 16
 
 
 def parity_bitmap(hashes: np.ndarray, bits: int) -> bytes:
@@ -329,7 +335,7 @@ def _pairs(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(a), np.concatenate(b)
 
 
-def tile_forests(tiles: list[int], comps: list, bags: tuple[np.ndarray, np.ndarray], percent: int) -> list[tuple[int, int]]:
+def tile_forests(tiles: list[int] | np.ndarray, comps: list, bags: tuple[np.ndarray, np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links (stars) that join what the pairwise links inside each tile join; members of one label are joined already.
 
     tiles in order; bags: (elements one member after another, repeats allowed; number of each member's).  A bit that only
@@ -338,23 +344,16 @@ def tile_forests(tiles: list[int], comps: list, bags: tuple[np.ndarray, np.ndarr
     values, counts = bags
     n = len(tiles)
     ends = np.cumsum(counts)
-    made: dict[int, np.ndarray] = {}
-
-    def set_of(i: int) -> np.ndarray:
-        if i not in made:
-            made[i] = sorted_set(values[ends[i] - counts[i] : ends[i]])
-        return made[i]
-
     first: dict = {}
     parent = [i if c is None else first.setdefault((t, c), i) for i, (t, c) in enumerate(zip(tiles, comps, strict=True))]
-    root = np.array(parent)
     number = np.array(tiles)
     start = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
     size = np.diff(np.append(start, n))
     out = []
     for s, m in zip(start[size > PAIRED_TILE].tolist(), size[size > PAIRED_TILE].tolist(), strict=True):
         own = [i if comps[i] is None else comps[i] for i in range(s, s + m)]
-        out += [(s + x, s + y) for x, y in forest([set_of(i) for i in range(s, s + m)], percent, own)]
+        sets = [sorted_set(values[ends[i] - counts[i] : ends[i]]) for i in range(s, s + m)]
+        out += [(s + x, s + y) for x, y in forest(sets, percent, own)]
     small = size <= PAIRED_TILE
     a, b = _pairs(start[small], size[small])
     if not len(a):
@@ -362,10 +361,10 @@ def tile_forests(tiles: list[int], comps: list, bags: tuple[np.ndarray, np.ndarr
     present = np.zeros(n * SPOTS, bool)
     present[np.repeat(np.arange(n) * SPOTS, counts) + (values & np.uint64(SPOTS - 1)).astype(np.int64)] = True
     grid = np.packbits(present, bitorder="little").view(np.uint64).reshape(n, SPOTS // 64)
-    apart = np.bitwise_count(grid[a] ^ grid[b]).sum(axis=1, dtype=np.int64)
-    ok = (apart <= most_apart(counts[a], counts[b], percent)) & (root[a] != root[b])
-    a, b, apart = a[ok], b[ok], apart[ok]
-    order = np.argsort(apart, kind="stable")
+    apart = np.concatenate([np.bitwise_count(grid[a[i : i + ROWS_AT_ONCE]] ^ grid[b[i : i + ROWS_AT_ONCE]]).sum(axis=1, dtype=np.int64) for i in range(0, len(a), ROWS_AT_ONCE)])
+    ok = np.flatnonzero(apart <= most_apart(counts[a], counts[b], percent))
+    ok = ok[np.argsort(apart[ok], kind="stable")]
+    a, b = a[ok], b[ok]
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -374,36 +373,96 @@ def tile_forests(tiles: list[int], comps: list, bags: tuple[np.ndarray, np.ndarr
         return x
 
     joined = []
-    for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True):
-        x, y = find(i), find(j)
-        if x != y and similar(set_of(i), set_of(j), percent):
-            parent[max(x, y)] = min(x, y)
-            joined.append(max(x, y))
-    return out + [(find(x), x) for x in joined]
+    best = 1
+    while True:
+        root = np.array(parent)
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+        x, y = root[a], root[b]
+        a, b, x, y = (c[x != y] for c in (a, b, x, y))
+        if not len(a):
+            return out + [(find(x), x) for x in joined]
+        # The closest pairs of each component; the others may need no look once these are joined.
+        now = _among_first(np.stack([x, y], axis=1).ravel(), best).reshape(-1, 2).any(axis=1)
+        near = _similar_pairs(a[now], b[now], values, ends - counts, counts, percent)
+        for i, j in zip(a[now][near].tolist(), b[now][near].tolist(), strict=True):
+            x, y = find(i), find(j)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                joined.append(max(x, y))
+        a, b = a[~now], b[~now]
+        best *= 2
+
+
+def _among_first(x: np.ndarray, most: int) -> np.ndarray:
+    """Is each value one of the first ``most`` of its kind?"""
+    order = np.argsort(x, kind="stable")
+    y = x[order]
+    start = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))
+    out = np.empty(len(x), bool)
+    out[order] = np.arange(len(x)) - np.repeat(start, np.diff(np.append(start, len(x)))) < most
+    return out
 
 
-def _tile_links(members: DataFrame, percent: int, bags_of: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(a, b): the links of each tile's forest; members (tile, id, component, elements) sorted by tile."""
+def _similar_pairs(a: np.ndarray, b: np.ndarray, values: np.ndarray, start: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """similar() of many pairs of bags, whose elements are told apart by their upper 63 bits.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[tuple, tuple] = {}  # of whole tiles but for the last
-        tile = None
+    The elements of a pair are put in order in a row of a matrix, marked in the last bit by whose they are: a member's repeats
+    are then equal neighbours, and neighbours that differ in the mark alone are one element of both.
+    """
+    out = np.zeros(len(a), bool)
+    total = counts[a] + counts[b]
+    order = np.argsort(total, kind="stable")
+    a, b, total = a[order], b[order], total[order]
+    plain = values & _UNMARKED
+    marked = plain | np.uint64(1)
+    i = 0
+    while i < len(a):
+        # Of nearly the same size, so little is filled up.
+        least = int(total[i])
+        j = min(int(np.searchsorted(total, max(least * 9 // 8, 64), "right")), i + max(1, PAIRED_ELEMENTS // (least + 1)))
+        grid = np.full((j - i, int(total[j - 1]) + 1), _FILL)
+        places = (start[a[i:j]], counts[a[i:j]], start[b[i:j]], counts[b[i:j]])
+        for row, at, n, to, m in zip(grid, *(c.tolist() for c in places), strict=True):
+            row[:n] = plain[at : at + n]
+            row[n : n + m] = marked[to : to + m]
+        grid.sort(axis=1)
+        change = grid[:, 1:] ^ grid[:, :-1]
+        # One change is that to what fills the row up, and one less than there are different elements.
+        different = np.count_nonzero(change, axis=1)
+        both = np.count_nonzero(change == 1, axis=1)
+        out[order[i:j]] = 100 * both >= percent * (different - both)
+        i = j
+    return out
 
-        def out() -> pa.RecordBatch:
-            tiles, ids, comps, elements = (list(c) for c in zip(*rows.values(), strict=True)) if rows else ([], [], [], [])
-            links = tile_forests(tiles, comps, bags_of(elements), percent) if len(rows) > 1 else []
-            ends = [pa.array([ids[link[k]] for link in links], pa.binary()) for k in (0, 1)]
-            return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
 
+def _tile_links(members: DataFrame, percent: int, bags_of: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(a, b): the links of each tile's forest; members (tile, id, component, elements) sorted by tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(tiles: np.ndarray, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            rows = rows.combine_chunks()
+            at = np.flatnonzero(np.concatenate([[True], tiles[1:] != tiles[:-1]]))
+            ends = np.append(np.cumsum(pc.fill_null(pc.binary_length(rows["elements"]), 0).to_numpy().astype(np.int64)), 0)
+            cuts = at[np.flatnonzero(np.diff(ends[at - 1] // BYTES_AT_ONCE)) + 1] if len(at) > 1 else at[:0]
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(tiles)], strict=True):
+                own = rows.slice(i, j - i)
+                ids, comps, elements = (own[c].combine_chunks() for c in ("id", "component", "elements"))
+                links = np.array(tile_forests(tiles[i:j], comps.to_pylist(), bags_of(elements), percent), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(links[:, k])) for k in (0, 1)], names=["a", "b"])
+
+        rest = None
         for batch in batches:
-            for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if row[0] != tile:
-                    if len(rows) >= ROWS_AT_ONCE:
-                        yield out()
-                        rows = {}
-                    tile = row[0]
-                rows.setdefault(row[:2], row)
-        yield out()
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            tiles = rows["tile"].to_numpy()
+            # The last tile may go on in the next batch.
+            whole = int(np.searchsorted(tiles, tiles[-1])) if len(tiles) else 0
+            if whole:
+                yield from out(tiles[:whole], rows.slice(0, whole))
+            rest = rows.slice(whole)
+        if rest is not None and len(rest):
+            yield from out(rest["tile"].to_numpy(), rest)
 
     return members.select("tile", "id", "component", "elements").mapInArrow(run, "a binary, b binary")
 
@@ -480,14 +539,15 @@ def _grown(links: DataFrame, labels: DataFrame | None, scratch: Scratch) -> Data
 def link_small_sets(shared: DataFrame, members: DataFrame, percent: int, scratch: Scratch, sets_of: Callable[[list[bytes]], list[np.ndarray]] | None = None, bags_of: Callable | None = None) -> DataFrame:
     """(id, component) of the members that are linked with another, where elements are short.
 
-    Elements are read by ``sets_of``, or by ``bags_of`` (all elements, repeats allowed, and the number of each member's).
+    Elements are read by ``sets_of``, or by ``bags_of`` (all elements of a column, repeats allowed, and the number of each member's).
 
     shared (key, name, count); members (name, id, elements), tables; several ids may share a name.
     Every tile is decided exactly where its members meet: blocks of keys first, then what is left
     between the blocks of large keys.
     """
-    bags_of = bags_of or (lambda elements: bags(sets_of(elements)))
-    rows = _in_blocks(shared).join(members, "name").select("tile", "id", _no_component(), "elements")
+    bags_of = bags_of or (lambda elements: bags(sets_of(elements.to_pylist())))
+    # A name has few rows without elements, so they are hashed and the members need not be sorted.
+    rows = _in_blocks(shared).hint("shuffle_hash").join(members, "name").select("tile", "id", _no_component(), "elements")
     links = scratch.cut(_tile_links(_sorted_by_tile(rows), percent, bags_of), "links")
     labels = _grown(links, None, scratch)
     large = shared.filter(F.col("count") > BLOCK_MEMBERS).join(members.select("name", "id"), "name").select("key", "id")
