@@ -14,3 +14,11 @@ def test_embedded_state_is_read_to_its_end():
     for html in (_state(1000), _state(70_000, "<script>window.__STATE__ = {};</script>")):
         names = [x["name"] for x in E.from_state(parse(html), "https://a.b")]
         assert names == [f"Produto azul n{i}" for i in range(html.count("productName"))]
+
+
+def test_listings_in_sql_are_whole(spark):
+    from precioscope.functions.tables import register_tables
+
+    register_tables(spark)
+    pages = spark.createDataFrame([(1, "https://a.b/p", _state(1000))], "page_id long, url string, html string")
+    assert spark.sql("SELECT count(DISTINCT l.name) AS n FROM {pages} p, LATERAL watch_listings(p.html, p.url) l", pages=pages).first()["n"] == 1000
