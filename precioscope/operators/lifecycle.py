@@ -108,10 +108,15 @@ def manual_offers(links: DataFrame, stores: DataFrame, pages: DataFrame) -> Data
 
     ``links`` (product_id, url), ``stores`` (store_id, origin), ``pages`` (url, price, available).  Each
     link tells what came of it: ok, unknown_store or no_price; only ok ones have an offer (score 100,
-    manual, present).
+    manual, present).  An address that was read several times counts once: by the page read for the link's own
+    product, if ``pages`` has product_id, else by the cheapest with a price.
     """
     homes = stores.select("store_id", host_of(F.col("origin")).alias("_host")).groupBy("_host").agg(F.min("store_id").alias("store_id"))
-    both = links.withColumn("_host", host_of(F.col("url"))).join(homes, "_host", "left").join(pages.select("url", "price", F.coalesce("available", F.lit(True)).alias("available")), "url", "left")
+    one = F.min(F.struct((~has_price()).alias("unpriced"), "price", (~F.coalesce("available", F.lit(True))).alias("gone")))
+    both = links.withColumn("_host", host_of(F.col("url"))).join(homes, "_host", "left").join(pages.groupBy("url").agg(one.alias("_page")), "url", "left")
+    if "product_id" in pages.columns:
+        both = both.join(pages.filter("product_id IS NOT NULL").groupBy("product_id", "url").agg(one.alias("_own")), ["product_id", "url"], "left").withColumn("_page", F.coalesce("_own", "_page"))
+    both = both.withColumn("price", F.col("_page.price")).withColumn("available", ~F.col("_page.gone"))
     result = F.when(F.col("store_id").isNull(), "unknown_store").when(~has_price(), "no_price").otherwise("ok")
     ok = F.col("result") == "ok"
     out = both.withColumn("result", result)

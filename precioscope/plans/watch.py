@@ -86,7 +86,7 @@ def run_watch(state: WatchState, queries: DataFrame, captures: DataFrame, visits
     again = gone.select("product_id", "store_id", "seq", F.col("ts").cast("timestamp").alias("ts"), F.col("history_price").alias("price"), "available")
     readings = readings.select("product_id", "store_id", "seq", "ts", "price", "available").unionByName(again)
     if links is not None:
-        given = Y.manual_offers(links, stores, visits.select("url", "price", "available").filter("url is not null")).filter("result = 'ok'")
+        given = Y.manual_offers(links, stores, visits.select("product_id", "url", "price", "available").filter("url is not null")).filter("result = 'ok'")
         by_hand = given.select("product_id", "store_id", "price", F.lit(None).cast("double").alias("previous_price"), now.alias("seq"), F.timestamp_micros(now).alias("ts"), F.lit(None).cast("string").alias("title"), "available", F.lit(0).alias("absent_rounds"), "manual")
         updated = updated.join(by_hand.select("product_id", "store_id"), ["product_id", "store_id"], "left_anti").unionByName(by_hand)
         readings = readings.unionByName(by_hand.select("product_id", "store_id", "seq", "ts", "price", "available"))

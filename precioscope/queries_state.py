@@ -233,7 +233,7 @@ HOST = r"regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '
 @query("manual_offers", f"WITH l AS (SELECT page_id AS product_id, url, {HOST} AS h, CASE WHEN page_id % 3 > 0 THEN page_id * 1.5::DOUBLE ELSE 0.0::DOUBLE END AS p FROM pages), s AS (SELECT h, min(page_id) AS store_id FROM (SELECT page_id, {HOST} AS h FROM pages WHERE page_id % 4 = 0) GROUP BY h), j AS (SELECT l.*, s.store_id, CASE WHEN s.store_id IS NULL THEN 'unknown_store' WHEN p = 0 THEN 'no_price' ELSE 'ok' END AS result FROM l LEFT JOIN s USING (h)) SELECT product_id, result, CASE WHEN result = 'ok' THEN store_id END AS store_id, CASE WHEN result = 'ok' THEN p END AS price, CASE WHEN result = 'ok' THEN 100 END AS score FROM j")
 def manual_offers(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    captured = pages.select("url", F.when(F.col("page_id") % 3 > 0, F.col("page_id") * 1.5).otherwise(0.0).alias("price"), F.lit(True).alias("available"))
+    captured = pages.select(F.col("page_id").alias("product_id"), "url", F.when(F.col("page_id") % 3 > 0, F.col("page_id") * 1.5).otherwise(0.0).alias("price"), F.lit(True).alias("available"))
     host = P.host_of(F.col("url"))
     stores = pages.filter("page_id % 4 = 0").select(F.col("page_id").alias("store_id"), F.concat(F.lit("https://www."), host).alias("origin"))
     return Y.manual_offers(pages.select(F.col("page_id").alias("product_id"), "url"), stores, captured).select("product_id", "result", "store_id", "price", "score")

@@ -22,3 +22,14 @@ def test_listings_in_sql_are_whole(spark):
     register_tables(spark)
     pages = spark.createDataFrame([(1, "https://a.b/p", _state(1000))], "page_id long, url string, html string")
     assert spark.sql("SELECT count(DISTINCT l.name) AS n FROM {pages} p, LATERAL watch_listings(p.html, p.url) l", pages=pages).first()["n"] == 1000
+
+
+def test_an_address_read_twice_is_one_offer(spark):
+    from precioscope.operators.lifecycle import manual_offers
+
+    links = spark.createDataFrame([(1, "https://a.b/x"), (2, "https://a.b/x"), (3, "https://a.b/x"), (4, "https://a.b/y")], "product_id long, url string")
+    stores = spark.createDataFrame([(7, "https://www.a.b")], "store_id long, origin string")
+    pages = spark.createDataFrame([(1, "https://a.b/x", 9.0, True), (2, "https://a.b/x", 0.0, True), (None, "https://a.b/x", 8.0, False), (9, "https://a.b/x", None, None)], "product_id long, url string, price double, available boolean")
+    told = lambda p: sorted((r["product_id"], r["result"], r["price"], r["available"]) for r in manual_offers(links, stores, p).collect())
+    assert told(pages) == [(1, "ok", 9.0, True), (2, "no_price", None, None), (3, "ok", 8.0, False), (4, "no_price", None, None)]
+    assert told(pages.drop("product_id")) == [(1, "ok", 8.0, False), (2, "ok", 8.0, False), (3, "ok", 8.0, False), (4, "no_price", None, None)]
