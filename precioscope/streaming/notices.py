@@ -23,7 +23,11 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 
 class Notices(StatefulProcessor):
-    """Rows of one product in seq order; a read event comes before the reading of its seq."""
+    """Rows of one product in seq order; a read event comes before the reading of its seq.  A price of 0 is a
+    missing one, or with ``zero`` a price like others."""
+
+    def __init__(self, zero: bool = False):
+        self.zero = zero
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.offers = handle.getMapState("offers", "store_id string", "price double, available boolean, seq long, known double")
@@ -42,11 +46,11 @@ class Notices(StatefulProcessor):
             if is_read:
                 waiting, unread = False, []
                 continue
-            price, target = number(price), number(target)
+            price, target = (0.0 if self.zero and price == 0 else number(price)), number(target)
             flag = None if flag is None or flag != flag else bool(flag)
             known = offers[store][3] if store in offers else None
             tell = lambda kind, at=store, p=price, ref=None, pct=None: out.append((key[0], kind, at, seq, ts, p, ref, pct))  # noqa: B023, E731
-            if price:
+            if price is not None:
                 if known and price < known and (known - price) / known * 100 >= DEFAULTS.relevant_drop:
                     tell("price_drop", ref=known, pct=-((known - price) / known * 100))
                 if low is not None and price < low:
@@ -55,10 +59,10 @@ class Notices(StatefulProcessor):
                     tell("below_target", ref=target)
                     waiting = True
                 low = price if low is None else min(low, price)
-            offers[store] = (price, flag, seq, price or known)
+            offers[store] = (price, flag, seq, known if price is None else price)
             touched.add(store)
-            live = [(o[0], o[2], s) for s, o in offers.items() if o[0] and o[1] is not False]
-            if len(live) >= 2:
+            live = [(o[0], o[2], s) for s, o in offers.items() if o[0] is not None and o[1] is not False]
+            if len(live) >= 2 and max(live)[0]:
                 cheap, dear = min(live), max(live)
                 spread = (dear[0] - cheap[0]) / dear[0]
                 if spread >= DEFAULTS.store_spread and not any(s == cheap[2] and abs(p - cheap[0]) < 0.01 for s, p in unread):
@@ -77,12 +81,13 @@ class Notices(StatefulProcessor):
         pass
 
 
-def live_notices(readings: DataFrame, reads: DataFrame | None = None, targets: DataFrame | None = None, lateness: str = "1 day") -> DataFrame:
+def live_notices(readings: DataFrame, reads: DataFrame | None = None, targets: DataFrame | None = None, lateness: str = "1 day", zero: bool = False) -> DataFrame:
     """price_drop, all_time_low, below_target and best_between_stores notices of a stream of ``readings``
     (product_id, store_id, seq, ts, price, available).
 
     ``reads`` (product_id, seq, ts): the user read the product's notices; what was told before may be told
-    again.  ``targets`` (product_id, target) is a table.  Rows behind the watermark are left out.
+    again.  ``targets`` (product_id, target) is a table.  Rows behind the watermark are left out.  With ``zero`` a price of 0
+    is a price (something is given away), else it is a missing one.
     """
     none = lambda kind: F.lit(None).cast(kind)
     rows = readings.select("product_id", F.lit(False).alias("is_read"), F.col("store_id").cast("string").alias("store_id"), "seq", F.col("ts").cast("timestamp").alias("ts"), F.col("price").cast("double").alias("price"), "available")
@@ -90,7 +95,7 @@ def live_notices(readings: DataFrame, reads: DataFrame | None = None, targets: D
         rows = rows.unionByName(reads.select("product_id", F.lit(True).alias("is_read"), none("string").alias("store_id"), "seq", F.col("ts").cast("timestamp").alias("ts"), none("double").alias("price"), none("boolean").alias("available")))
     rows = rows.withWatermark("ts", lateness)
     rows = rows.withColumn("target", none("double")) if targets is None else rows.join(targets.select("product_id", F.col("target").cast("double").alias("target")), "product_id", "left")
-    return rows.select(*INPUT).groupBy("product_id").transformWithStateInPandas(Notices(), NOTICES, "append", "EventTime")
+    return rows.select(*INPUT).groupBy("product_id").transformWithStateInPandas(Notices(zero), NOTICES, "append", "EventTime")
 
 
 def drained(stream: DataFrame, name: str, checkpoint: str | None = None, path: str | None = None) -> DataFrame:

@@ -33,3 +33,21 @@ def test_an_address_read_twice_is_one_offer(spark):
     told = lambda p: sorted((r["product_id"], r["result"], r["price"], r["available"]) for r in manual_offers(links, stores, p).collect())
     assert told(pages) == [(1, "ok", 9.0, True), (2, "no_price", None, None), (3, "ok", 8.0, False), (4, "no_price", None, None)]
     assert told(pages.drop("product_id")) == [(1, "ok", 8.0, False), (2, "ok", 8.0, False), (3, "ok", 8.0, False), (4, "no_price", None, None)]
+
+
+def test_a_price_of_zero_is_told_where_asked(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from precioscope.streaming.notices import drained, live_notices
+
+    rows = [(1, "s", 1, 10.0, True), (1, "t", 2, 9.9, True), (1, "s", 3, 0.0, True), (1, "s", 4, 5.0, True), (1, "t", 5, 4.0, True)]
+    df = spark.createDataFrame(rows, "product_id long, store_id string, seq long, price double, available boolean").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+
+    def told(zero):
+        stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+        return {(r["kind"], r["seq"], r["price"], r["reference_price"]) for r in drained(live_notices(stream, zero=zero), "zero").collect()}
+
+    # As SQL over last_value(price) and min(price) has it.
+    assert told(True) == {("all_time_low", 2, 9.9, 10.0), ("price_drop", 3, 0.0, 10.0), ("all_time_low", 3, 0.0, 9.9), ("best_between_stores", 3, 0.0, 9.9), ("best_between_stores", 4, 5.0, 9.9), ("price_drop", 5, 4.0, 9.9), ("best_between_stores", 5, 4.0, 5.0)}
+    assert told(False) == {("all_time_low", 2, 9.9, 10.0), ("price_drop", 4, 5.0, 10.0), ("all_time_low", 4, 5.0, 9.9), ("best_between_stores", 4, 5.0, 9.9), ("price_drop", 5, 4.0, 9.9), ("all_time_low", 5, 4.0, 5.0), ("best_between_stores", 5, 4.0, 5.0)}
