@@ -51,3 +51,54 @@ def test_a_price_of_zero_is_told_where_asked(spark, tmp_path):
     # As SQL over last_value(price) and min(price) has it.
     assert told(True) == {("all_time_low", 2, 9.9, 10.0), ("price_drop", 3, 0.0, 10.0), ("all_time_low", 3, 0.0, 9.9), ("best_between_stores", 3, 0.0, 9.9), ("best_between_stores", 4, 5.0, 9.9), ("price_drop", 5, 4.0, 9.9), ("best_between_stores", 5, 4.0, 5.0)}
     assert told(False) == {("all_time_low", 2, 9.9, 10.0), ("price_drop", 4, 5.0, 10.0), ("all_time_low", 4, 5.0, 9.9), ("best_between_stores", 4, 5.0, 9.9), ("price_drop", 5, 4.0, 9.9), ("all_time_low", 5, 4.0, 5.0), ("best_between_stores", 5, 4.0, 5.0)}
+
+
+def test_shelf_finds_what_a_scan_finds():
+    import random
+
+    from precioscope.functions.identity import Shelf, identify, same_product
+
+    r = random.Random(3)
+    words = "azul preto grande com tampa de vidro mesa luz led suporte kit fogo aco inox".split()
+    codes = ["xk1001", "xk1002", "rtx 5070", "zz900b", "16gb", "32gb", "ryzen 5 5600", "", ""]
+    made = [identify(" ".join([r.choice(["Dell", "Samsung", ""]), *r.sample(words, r.randint(0, 6)), *r.sample(codes, r.randint(0, 2))]), r.choice([None, 10.0, 14.0, 30.0]), None, r.choice([None, None, "78900001", "78900002"])) for _ in range(500)]
+    shelf, hits = Shelf(), 0
+    for me in made:
+        want = [i for i, x in enumerate(shelf.items) if same_product(me, x)[0] and me.key != x.key]
+        assert set(want) <= set(shelf.candidates(me))
+        hits += len(want)
+        shelf.add(me)
+    assert hits > 500
+
+
+def test_equal_facts_follow_their_best_and_products_stay_many(spark):
+    """Thousands of products a query: a listing meets few of them, not all."""
+    from precioscope.functions import identity
+    from precioscope.operators.resolve import assign_products
+
+    n = 3000
+    rows = [("q", 4 * i + j, f"Geladeira Samsung RF{1000 + i} 300L {('frost', 'inverse frost', 'frost com garantia', 'FROST')[j]}", 9.0, 50 + i % 7, i, False) for i in range(n) for j in range(4)] + [("q", 5 * n + i, f"Geladeira Samsung RF{1000 + i} 300L frost", 9.0, 1, i, False) for i in range(n)]
+    got = assign_products(spark.createDataFrame(rows, "query_id string, listing_id long, name string, price double, score int, ordinal int, specific boolean"), 1 << 30).toPandas()
+    assert len(got) == len(rows) and got["product_id"].nunique() == 2 * n and got["is_new"].sum() == 2 * n
+    assert set(got[got["listing_id"] >= 5 * n]["rule"]) == {"key"}
+    shelf = identity.Shelf()
+    for x in rows[: 4 * n]:
+        shelf.add(identity.identify(x[2]))
+    assert len(shelf.candidates(identity.identify(rows[40][2]))) < 20
+
+
+def test_models_meet_by_title_or_code_alone(spark):
+    from precioscope.operators import entities as E
+
+    sets = spark.createDataFrame([(i, ["geladeira", "samsung", "300l", "frost", f"rf{i}"], True) for i in range(300)] + [(1000, ["geladeira", "samsung", "300l", "frost"], False)], "node long, words array<string>, by_model boolean")
+    assert {(r["a"], r["b"]) for r in E.similar_pairs(sets, 0.7, apart="by_model").collect()} == {(i, 1000) for i in range(300)}
+    assert E.similar_pairs(sets.select("node", "words"), 0.88).filter("b < 1000").count() == 0
+
+
+def test_followers_at_the_cap(spark):
+    """As a loop over all listings: one that found no place may be followed by an equal one that finds its key."""
+    from precioscope.operators.resolve import assign_products
+
+    rows = [("q", 1, "Mesa grande azul de vidro", 10.0, 9, 1, False), ("q", 2, "Mesa azul grande de vidro temperado", 50.0, 8, 2, False), ("q", 3, "Mesa azul grande de vidro temperado", 10.0, 7, 3, False), ("q", 4, "Mesa azul grande de vidro temperado", 50.0, 6, 4, False), ("q", 5, "Cama", None, 5, 5, False)]
+    got = assign_products(spark.createDataFrame(rows, "query_id string, listing_id long, name string, price double, score int, ordinal int, specific boolean"), 1)
+    assert sorted((r["listing_id"], r["product_id"], r["rule"], r["is_new"]) for r in got.collect()) == [(1, "q-0", "new", True), (3, "q-0", "text", False), (4, "q-0", "key", False)]
