@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from precioscope.operators.history import has_price
 from precioscope.operators.score import keep_most_complete
+from precioscope.sources.staging import staged
 
 # Trust in each strategy, in the order that ties follow.
 CONFIDENCE = {"jsonld": 1.35, "state": 1.0, "microdata": 1.25, "selectors": 1.15, "blocks": 0.95}
@@ -42,7 +43,7 @@ def choose_strategy(points: DataFrame, by: str = "page_id") -> DataFrame:
 
 def chosen_listings(listings: DataFrame) -> DataFrame:
     """Deduplicated listings of each page's chosen strategy; only priced ones where there are any."""
-    clean = dedupe(listings)
+    clean = staged(dedupe(listings), "listings")  # read several times, and pages are parsed once
     best = choose_strategy(strategy_points(clean))
     some = clean.groupBy("page_id", "strategy").agg(F.count_if(has_price()).alias("_priced"))
     out = clean.join(best, ["page_id", "strategy"]).join(some, ["page_id", "strategy"])

@@ -10,6 +10,7 @@ from precioscope.config import DEFAULTS
 from precioscope.functions.text import compact, compact_normal, find_category, literals, mentions, normalise, specs_normal, trusted_brand
 from precioscope.operators.history import has_price
 from precioscope.operators.summary import with_upper_median
+from precioscope.sources.staging import staged
 
 
 def _array(values: list[str]) -> Column:
@@ -110,6 +111,17 @@ def score(pairs: DataFrame, base: int = DEFAULTS.accept_score, band: int = DEFAU
     return p.drop("_n", "_c", "_w", "_specs", "_asked", "_query", "_accessory", "_models")
 
 
+def score_texts(seen: DataFrame, asked: DataFrame) -> DataFrame:
+    """``score`` of ``seen`` (query_id and the columns of a listing) with the queries ``asked``; what a query
+    and a text say is scored once, dealt over all tasks, however many rows have that text."""
+    spark = seen.sparkSession
+    parts = [c for c in ("name", "store_brand", "store_category", "gtin", "mpn") if c in seen.columns]
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    texts = seen.select("query_id", *parts).distinct().join(asked, "query_id").repartition(tasks)  # few bytes, much work
+    scores = staged(score(texts), "scores").withColumnsRenamed({c: f"_{c}" for c in ("query_id", *parts)})
+    return seen.join(scores, F.expr(" AND ".join(f"{c} <=> _{c}" for c in ("query_id", *parts)))).drop(*[f"_{c}" for c in ("query_id", *parts)])
+
+
 def price_sanity(accepted: DataFrame, *keys: str) -> DataFrame:
     """``accepted`` (price, specificity, keywords) with median and kept: listings far from the upper median
     of their query go; those without a price stay.

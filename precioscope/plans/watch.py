@@ -18,7 +18,7 @@ from precioscope.operators.interpret import interpret
 from precioscope.operators.listings import chosen_listings
 from precioscope.operators.opportunity import best_between_stores, opportunities
 from precioscope.operators.resolve import assign_round, revalidate
-from precioscope.operators.score import price_sanity, score
+from precioscope.operators.score import price_sanity, score, score_texts
 from precioscope.sources.staging import staged
 
 PRODUCTS = "query_id string, product_id string, identity_key string, name string, brand string, gtin string, archived boolean, created_at timestamp"
@@ -63,10 +63,11 @@ def run_watch(state: WatchState, queries: DataFrame, captures: DataFrame, visits
     asked = interpret(queries.withColumn("query_id", F.col("query_id").cast("string"))).filter("accepted").withColumnRenamed("accepted", "query_accepted").drop("reason", "text")
     asked = staged(asked, "asked")
     products = revalidate(state.products, _scored_products(state.products, asked)).drop("archive_reason")
+    products = staged(products, "products")
     pages = captures.select("page_id", "url", "html").dropDuplicates(["page_id"])
     listings = chosen_listings(extract_listings(pages)).withColumnRenamed("brand", "store_brand").withColumnRenamed("category", "store_category").withColumnRenamed("url", "listing_url").withColumnRenamed("model", "store_model")
     seen = captures.select(F.col("query_id").cast("string").alias("query_id"), F.col("store_id").cast("string").alias("store_id"), "page_id", F.col("ts").cast("timestamp").alias("ts")).join(listings, "page_id")
-    kept = price_sanity(score(seen.join(asked, "query_id")).filter("accepted"), "query_id").filter("kept")
+    kept = price_sanity(staged(score_texts(seen, asked).filter("accepted"), "accepted"), "query_id").filter("kept")
     kept = kept.withColumn("listing_id", F.xxhash64("page_id", "ordinal", "query_id", "store_id")).withColumn("specific", (F.size("keywords") > 0) | (F.size("models") > 0) | (F.col("specificity") >= 55)).withColumn("seq", F.unix_micros("ts"))
     kept = staged(kept.select("query_id", "listing_id", "store_id", "name", F.col("price").cast("double").alias("price"), "available", "score", "ordinal", "specific", "store_brand", "gtin", "mpn", "seq", "ts"), "kept")
     assigned = staged(assign_round(kept, products, state.offers), "assigned")

@@ -102,3 +102,18 @@ def test_followers_at_the_cap(spark):
     rows = [("q", 1, "Mesa grande azul de vidro", 10.0, 9, 1, False), ("q", 2, "Mesa azul grande de vidro temperado", 50.0, 8, 2, False), ("q", 3, "Mesa azul grande de vidro temperado", 10.0, 7, 3, False), ("q", 4, "Mesa azul grande de vidro temperado", 50.0, 6, 4, False), ("q", 5, "Cama", None, 5, 5, False)]
     got = assign_products(spark.createDataFrame(rows, "query_id string, listing_id long, name string, price double, score int, ordinal int, specific boolean"), 1)
     assert sorted((r["listing_id"], r["product_id"], r["rule"], r["is_new"]) for r in got.collect()) == [(1, "q-0", "new", True), (3, "q-0", "text", False), (4, "q-0", "key", False)]
+
+
+def test_texts_are_scored_once(spark):
+    from pyspark.sql import functions as F
+
+    from precioscope.operators.interpret import interpret
+    from precioscope.operators.score import score, score_texts
+
+    asked = interpret(spark.createDataFrame([("1", "notebook dell zorkian"), ("2", "cadeira azul")], "query_id string, text string")).withColumnRenamed("accepted", "query_accepted").drop("reason", "text")
+    names = ["Notebook Dell Zorkian ZK1000", "Cadeira azul de mesa", "Capa para notebook dell", None]
+    seen = spark.range(400).select((F.col("id") % 2 + 1).cast("string").alias("query_id"), F.get(F.array(*map(F.lit, names)), (F.col("id") % 4).cast("int")).alias("name"), F.lit(None).cast("string").alias("gtin"), "id")
+    columns = ["query_id", "id", "name", "gtin", "score", "accepted", "reason"]
+    once = score_texts(seen, asked)
+    assert sorted(map(str, once.select(columns).collect())) == sorted(map(str, score(seen.join(asked, "query_id")).select(columns).collect()))
+    assert len(once.columns) == len(set(once.columns)) and "levenshtein" not in once._jdf.queryExecution().optimizedPlan().toString()  # no rule is left to each row
