@@ -1,8 +1,8 @@
 """One round: queries and captured pages in, offers, history and opportunities out.
 
-Everything up to the assignment is one lazy plan: scope pairs, page extraction, strategy choice,
-scoring, price sanity.  Only the assignment of listings to products depends on order, and it is a
-grouped map by query.
+What several steps read (listings, scores, what is accepted and kept) is written to tables between them, so that
+pages are parsed and texts scored once.  Only the assignment of listings to products depends on order, and it is
+a grouped map by query.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from precioscope.operators.interpret import interpret
 from precioscope.operators.listings import chosen_listings
 from precioscope.operators.opportunity import best_between_stores, opportunities
 from precioscope.operators.resolve import assign_products
-from precioscope.operators.score import price_sanity, score
+from precioscope.operators.score import price_sanity, score_texts
+from precioscope.sources.staging import staged
 
 
 @dataclass
@@ -38,15 +39,15 @@ def run_round(queries: DataFrame, captures: DataFrame, past: DataFrame | None =
 
     Pages are read once per page_id however many queries share them.
     """
-    asked = interpret(queries).filter("accepted").persist()  # a few rows, used by every later step
+    asked = staged(interpret(queries).filter("accepted"), "asked")  # used by every later step
     pages = captures.select("page_id", "url", "html").dropDuplicates(["page_id"])
     listings = chosen_listings(extract_listings(pages, rules)).withColumnRenamed("brand", "store_brand").withColumnRenamed("category", "store_category").withColumnRenamed("url", "listing_url").withColumnRenamed("model", "store_model")
     seen = captures.select("query_id", "store_id", "page_id", "ts").join(listings, "page_id")
-    scored = score(seen.join(asked.withColumnRenamed("accepted", "query_accepted").drop("reason", "text"), "query_id"))
-    scored = scored.persist()
-    kept = price_sanity(scored.filter("accepted"), "query_id").filter("kept")
+    scored = score_texts(seen, asked.withColumnRenamed("accepted", "query_accepted").drop("reason", "text"))
+    kept = price_sanity(staged(scored.filter("accepted"), "accepted"), "query_id").filter("kept")
     kept = kept.withColumn("listing_id", F.xxhash64("page_id", "ordinal", "query_id")).withColumn("specific", (F.size("keywords") > 0) | (F.size("models") > 0) | (F.col("specificity") >= 55))
-    assigned = assign_products(kept)
+    kept = staged(kept, "kept")
+    assigned = staged(assign_products(kept), "assigned")
     readings = kept.withColumn("query_id", F.col("query_id").cast("string")).join(assigned.select("query_id", "listing_id", "product_id"), ["query_id", "listing_id"])
     # The same store twice for one product in a round: the lower price counts.
     readings = readings.groupBy("product_id", "store_id", "ts").agg(F.min_by(F.struct("price", "available", "listing_url", "name"), F.struct(F.coalesce("price", F.lit(1e300)), "listing_id")).alias("r"))
