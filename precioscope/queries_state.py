@@ -447,11 +447,12 @@ def sitemap_indexes(spark, sf_dir):
 
 @query("sql_functions", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 50.0::DOUBLE ELSE 90.0::DOUBLE END AS with_coupon, greatest(100 * 900.0::DOUBLE / p_retailprice, 4.0::DOUBLE) AS width, CASE WHEN p_size % 2 = 0 THEN 'great' ELSE 'poor' END AS rating, 'mod:samsung:rf' || (1000 + p_partkey) || ':::' AS identity_key, p_size % 2 = 0 AS same FROM part")
 def sql_functions(spark, sf_dir):
+    from precioscope.functions.extract import spread
     from precioscope.functions.registry import register
 
     register(spark)
     view = f"sql_functions_part_{abs(hash(sf_dir))}"
-    table(spark, sf_dir, "part").createOrReplaceTempView(view)
+    spread(table(spark, sf_dir, "part")).createOrReplaceTempView(view)
     return spark.sql(f"""SELECT p_partkey, watch_with_coupon(100D, CASE WHEN p_size % 2 = 0 THEN 'amount' ELSE 'percent' END, CASE WHEN p_size % 2 = 0 THEN 50D ELSE 10D END) AS with_coupon,
         watch_bar_width(900D, p_retailprice) AS width, watch_rating(CASE WHEN p_size % 2 = 0 THEN 0.95D ELSE 0.1D END) AS rating, watch_identity_key(concat('Geladeira Samsung RF', 1000 + p_partkey)) AS identity_key,
         watch_same_product(concat('Geladeira Samsung RF', 1000 + p_partkey), concat('geladeira samsung rf ', 1000 + p_partkey + p_size % 2)) AS same FROM {view}""")

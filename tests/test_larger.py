@@ -117,3 +117,11 @@ def test_texts_are_scored_once(spark):
     once = score_texts(seen, asked)
     assert sorted(map(str, once.select(columns).collect())) == sorted(map(str, score(seen.join(asked, "query_id")).select(columns).collect()))
     assert len(once.columns) == len(set(once.columns)) and "levenshtein" not in once._jdf.queryExecution().optimizedPlan().toString()  # no rule is left to each row
+
+
+def test_long_numbers_are_one_model_with_their_word():
+    from precioscope.functions.identity import identify, same_product
+
+    for number in (99_999, 100_000, 1_234_567):
+        a, b, c = identify(f"Geladeira Samsung RF{number}"), identify(f"geladeira samsung rf {number}"), identify(f"geladeira samsung rf {number + 1}")
+        assert a.key == b.key == f"mod:samsung:rf{number}:::" and same_product(a, b)[0] and not same_product(a, c)[0]
