@@ -125,3 +125,8 @@ def test_long_numbers_are_one_model_with_their_word():
     for number in (99_999, 100_000, 1_234_567):
         a, b, c = identify(f"Geladeira Samsung RF{number}"), identify(f"geladeira samsung rf {number}"), identify(f"geladeira samsung rf {number + 1}")
         assert a.key == b.key == f"mod:samsung:rf{number}:::" and same_product(a, b)[0] and not same_product(a, c)[0]
+
+
+def test_a_reference_that_was_cut_off_stays():
+    got = E.page_outline('<title>a &amp;&amp; b &lt;c&gt; &amp</title><h1 title="x&y">d&am<b> &quot;e&quot;</b> f & g</h1>')
+    assert got == {"title": "a && b <c> &amp", "heading": 'd&am "e" f & g'}
