@@ -19,14 +19,14 @@ def best_offer(offers: DataFrame) -> DataFrame:
     return out.select("product_id", F.col("b.price").alias("current_price"), F.col("b.store_id").alias("best_store"), "stores")
 
 
-def price_assessment(history: DataFrame, best: DataFrame, as_of: Column | str) -> DataFrame:
+def price_assessment(history: DataFrame, best: DataFrame, as_of: Column | str, days: int | None = 90) -> DataFrame:
     """How good the current price is: the share of the base that is strictly dearer, the base's mean and
     the distance to it in percent.
 
-    The base is the last 90 days if they hold 3 readings, else everything; fewer than 3 give no row.
+    The base is the last ``days`` if they hold 3 readings, else (or with None) everything; fewer than 3 give no row.
     """
     priced = history.filter(has_price()).join(best, "product_id")
-    recent = F.col("ts") >= _at(as_of) - F.make_interval(days=F.lit(90))
+    recent = F.lit(True) if days is None else F.col("ts") >= _at(as_of) - F.make_interval(days=F.lit(days))
     dearer = F.col("price") > F.col("current_price")
     one = lambda c: F.when(c, 1).otherwise(0)
     per = priced.groupBy("product_id", "current_price").agg(F.sum(one(recent)).alias("n90"), F.sum(one(recent & dearer)).alias("d90"), F.count(F.lit(1)).alias("n"), F.sum(one(dearer)).alias("d"), F.sum(F.when(recent, _cents("price"))).alias("c90"), F.sum(_cents("price")).alias("c"))
@@ -54,13 +54,13 @@ def last_variation(history: DataFrame, best: DataFrame) -> DataFrame:
     return two.select("product_id", F.col("price").alias("earlier_price"), ((F.col("current_price") - F.col("price")) / F.col("price") * 100).alias("percent"))
 
 
-def product_summary(history: DataFrame, offers: DataFrame, as_of: Column | str) -> DataFrame:
-    """One row per product of the history, with nulls where nothing is known."""
+def product_summary(history: DataFrame, offers: DataFrame, as_of: Column | str, days: int | None = 90) -> DataFrame:
+    """One row per product of the history, with nulls where nothing is known; rated by the last ``days`` (``price_assessment``)."""
     best = best_offer(offers)
     points = history.filter(has_price()).groupBy("product_id").agg(F.count(F.lit(1)).alias("points"))
     day = variation_24h(history, best, as_of).select("product_id", F.col("reference_price").alias("price_24h"))
     last = last_variation(history, best).select("product_id", "earlier_price")
-    grade = price_assessment(history, best, as_of).select("product_id", "rating", "share_dearer")
+    grade = price_assessment(history, best, as_of, days).select("product_id", "rating", "share_dearer")
     out = history.select("product_id").distinct()
     for part in (best, lowest_ever(history), points, day, last, grade):
         out = out.join(part, "product_id", "left")

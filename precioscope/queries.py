@@ -162,7 +162,7 @@ SUMMARY = f"""{BEST}, pr AS (SELECT * FROM r WHERE coalesce(price, 0) <> 0),
 @query("product_summary", f"WITH {SUMMARY} SELECT * FROM ps")
 def product_summary(spark, sf_dir):
     r = readings(spark, sf_dir)
-    return M.product_summary(r, H.current_offers(r), AS_OF)
+    return M.product_summary(r, H.current_offers(r), AS_OF, days=None)  # SQL rates by the whole history
 
 
 @query(

@@ -130,3 +130,15 @@ def test_long_numbers_are_one_model_with_their_word():
 def test_a_reference_that_was_cut_off_stays():
     got = E.page_outline('<title>a &amp;&amp; b &lt;c&gt; &amp</title><h1 title="x&y">d&am<b> &quot;e&quot;</b> f & g</h1>')
     assert got == {"title": "a && b <c> &amp", "heading": 'd&am "e" f & g'}
+
+
+def test_summary_of_a_long_history_equals_sql(spark, tmp_path):
+    import duckdb
+
+    from precioscope.queries import ORACLES, QUERIES
+
+    old = "SELECT 10 * g + i AS event_id, TIMESTAMP '2023-06-01' + INTERVAL (i * 30) DAY AS ts, g AS user_id, 'view' AS event_type, 10.0 + (i * 7 + g) % 9 AS value, '{\"k\": 1}' AS props FROM range(10) t(i), range(5) u(g)"
+    duckdb.sql(f"COPY ({old}) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    want = duckdb.sql(f"WITH events AS (SELECT * FROM '{tmp_path}/events.parquet') SELECT product_id, rating, share_dearer FROM ({ORACLES['product_summary']})").fetchall()
+    got = QUERIES["product_summary"](spark, str(tmp_path)).select("product_id", "rating", "share_dearer").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
