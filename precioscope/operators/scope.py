@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+FEW = 400_000  # rows of stores that a broadcast may have
 SHORTEST = 3  # words of fewer letters do not count; also the length of a triple
 
 
@@ -53,4 +54,19 @@ def store_serves(queries: DataFrame, stores: DataFrame) -> DataFrame:
     by_word = scopes.select("_scope", F.explode("_scope").alias("scope")).join(touching, "scope").select("_scope", "token").distinct()
     pairs = by_word.join(asked_sets.select("_asked", F.explode("_asked").alias("token")), "token").select("_asked", "_scope").distinct()
     unscoped = asked_sets.select("_asked", F.array().cast("array<string>").alias("_scope"))
-    return asked.join(pairs.union(unscoped), "_asked").join(served, "_scope").drop("_asked", "_scope")
+    return _dealt(asked.join(pairs.union(unscoped), "_asked").drop("_asked"), served)
+
+
+def _dealt(asked: DataFrame, served: DataFrame) -> DataFrame:
+    """The join by ``_scope``.  Few scopes have most rows and the pairs are many times what comes in, so ``asked``
+    is dealt over all tasks.  Up to ``FEW`` rows of stores go to every task; more come to each block of ``asked``
+    by a shuffle, where a task holds the stores of one scope at a time and spills."""
+    spark = asked.sparkSession
+    blocks = 4 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    row = F.xxhash64(*[c for c in asked.columns if c != "_scope"])
+    if served.limit(FEW + 1).count() <= FEW:
+        return asked.repartition(blocks, row).join(F.broadcast(served), "_scope").drop("_scope")
+    left = asked.withColumn("_block", F.pmod(row, F.lit(blocks)).cast("int"))
+    right = served.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    keys = ["_block", "_scope"]
+    return left.repartition(blocks, *keys).join(right.repartition(blocks, *keys).hint("merge"), keys).drop(*keys)

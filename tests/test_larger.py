@@ -142,3 +142,18 @@ def test_summary_of_a_long_history_equals_sql(spark, tmp_path):
     want = duckdb.sql(f"WITH events AS (SELECT * FROM '{tmp_path}/events.parquet') SELECT product_id, rating, share_dearer FROM ({ORACLES['product_summary']})").fetchall()
     got = QUERIES["product_summary"](spark, str(tmp_path)).select("product_id", "rating", "share_dearer").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_pairs_of_one_scope_are_dealt_to_many_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from precioscope.operators import scope
+
+    asked = spark.range(2000).coalesce(1).select(F.col("id").alias("query_id"), F.when(F.col("id") % 2 == 0, F.array(F.lit("europe"))).otherwise(F.array(F.lit("africa"), F.lit("us"))).alias("tokens"))
+    stores = spark.createDataFrame([(1, ["europe"]), (2, ["afri"]), (3, []), (3, []), (4, ["asia"])], "store_id long, scope_words array<string>")
+    want = sorted((q, s) for q in range(2000) for s in ([1] if q % 2 == 0 else [2]) + [3, 3])
+    for few in (100, 1):
+        monkeypatch.setattr(scope, "FEW", few)
+        out = scope.store_serves(asked, stores)
+        assert sorted((r["query_id"], r["store_id"]) for r in out.collect()) == want and set(out.columns) == {"query_id", "tokens", "store_id", "scope_words"}
+        assert len([n for n in out.groupBy(F.spark_partition_id()).count().collect() if n["count"] > 0]) > 8
