@@ -157,3 +157,16 @@ def test_pairs_of_one_scope_are_dealt_to_many_tasks(spark, monkeypatch):
         out = scope.store_serves(asked, stores)
         assert sorted((r["query_id"], r["store_id"]) for r in out.collect()) == want and set(out.columns) == {"query_id", "tokens", "store_id", "scope_words"}
         assert len([n for n in out.groupBy(F.spark_partition_id()).count().collect() if n["count"] > 0]) > 8
+
+
+def test_a_list_of_many_products_is_read_in_linear_time():
+    import time
+
+    def took(n):
+        html = '<script type="application/ld+json">' + json.dumps({"@type": "ItemList", "itemListElement": [{"@type": "ListItem", "item": {"@type": "Product", "name": f"Produto azul n{i}", "offers": {"price": "9.50"}}} for i in range(n)]}) + "</script>"
+        began = time.process_time()
+        assert [x["name"] for x in E.from_jsonld(parse(html), None)] == [f"Produto azul n{i}" for i in range(n)]
+        return time.process_time() - began
+
+    took(100)
+    assert took(40_000) < 16 * max(took(5_000), 0.05)
