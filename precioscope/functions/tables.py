@@ -45,5 +45,5 @@ TABLE_FUNCTIONS = (
 def register_tables(spark: SparkSession) -> list[str]:
     """Registers the table functions, to be used as ``SELECT ... FROM pages, LATERAL watch_listings(html, url)``."""
     for name, cls, rows in TABLE_FUNCTIONS:
-        spark.udtf.register(name, udtf(cls, returnType=rows))
+        spark.udtf.register(name, udtf(cls, returnType=rows, useArrow=True))  # a page's rows at a time, not those of 100 pages
     return [f[0] for f in TABLE_FUNCTIONS]

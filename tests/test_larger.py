@@ -170,3 +170,20 @@ def test_a_list_of_many_products_is_read_in_linear_time():
 
     took(100)
     assert took(40_000) < 16 * max(took(5_000), 0.05)
+
+
+def test_listings_leave_a_page_in_parts(spark):
+    """What is handed on at once is bounded, and blocks keep nothing of what was asked of them."""
+    card = '<li class="card shelf"><a href="/p/{i}"><h3>Produto blue anvil n{i}</h3></a><del class="old">R$ 9.999,00</del><span class="price">R$ 9{i},10</span></li>'
+    html = "<html><body><ul>" + "".join(card.replace("{i}", str(i)) for i in range(100, 400)) + "</ul></body></html>"
+    root = parse(html)
+    found = list(E.from_blocks(root, "https://a.b"))
+    assert [(x["name"], x["price"], x["list_price"], x["url"]) for x in found] == [(f"Produto blue anvil n{i}", float(f"9{i}.1"), 9999.0, f"https://a.b/p/{i}") for i in range(100, 400)]
+    assert all(n._below is None and n._text is None for li in root.walk() if li.tag == "li" for n in [li, *li.elements()])
+    pages = spark.createDataFrame([(1, "https://a.b", html)], "page_id long, url string, html string")
+    assert E.extract_listings(pages).count() == 300 and "ROWS" in vars(E)
+    from precioscope.functions import tables
+
+    tables.register_tables(spark)
+    assert spark.sql("SELECT max(l.price) AS m, count(*) AS n FROM {p} p, LATERAL watch_listings(p.html, p.url) l", p=pages).first()[:] == (9399.1, 300)
+    assert "ArrowEvalPythonUDTF" in spark.sql("SELECT l.* FROM {p} p, LATERAL watch_listings(p.html, p.url) l", p=pages)._jdf.queryExecution().toString()
